@@ -175,9 +175,11 @@ def _joined(model: str):
     def work(group: pa.Table) -> dict:
         if not machine:
             machine.append(Transducer(model))
-        maps = list(zip(*(group.column(name).to_pylist() for name in ("head", "count", "tail"))))
+        times = group.column("chunk").to_pylist().count(0)  # rows that repeat have each chunk as often
+        maps = list(zip(*(group.column(name).to_pylist()[::times] for name in ("head", "count", "tail"))))
         total = machine[0].total(machine[0].scanned(maps)[-1])
-        return {"doc_id": pa.array(group.column("doc_id").to_pylist()[:1], pa.int64()), "n_bytes": pa.array(group.column("n_bytes").to_pylist()[:1], pa.int64()), "n_tokens": pa.array([total], pa.int64())}
+        values = {"doc_id": group.column("doc_id")[0].as_py(), "n_bytes": group.column("n_bytes")[0].as_py(), "n_tokens": total}
+        return {name: pa.array([value] * times, pa.int64()) for name, value in values.items()}
 
     return work
 
@@ -193,7 +195,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= LONG).mapInArrow(_short(model), "doc_id long, n_bytes long, n_tokens long")
     text = F.concat(F.lit(" "), "text")
     chunks = rows.where(F.length("text") > LONG).select(F.xxhash64("text").alias("row"), "doc_id", "n_bytes", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / CHUNK)), lambda k: F.struct(k.cast("int").alias("chunk"), F.substring(text, (k * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("text")))).alias("part"))
-    chunks = chunks.select("row", "doc_id", "n_bytes", "part.chunk", "part.text").dropDuplicates(["row", "doc_id", "chunk"]).repartition("row", "doc_id", "chunk")
+    chunks = chunks.select("row", "doc_id", "n_bytes", "part.chunk", "part.text").repartition("row", "doc_id", "chunk")
     maps = chunks.mapInArrow(_mapped(model), "row long, doc_id long, n_bytes long, chunk int, head string, count long, tail string")
     long = in_groups(maps, ["row", "doc_id"], _joined(model), "doc_id long, n_bytes long, n_tokens long", ("chunk",))
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
