@@ -37,6 +37,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def kept(key: tuple, make: Callable):
+    """make(), once in each Python worker: for models and tables that tasks of one worker share."""
+    held = vars(sys).setdefault("_quillmark_kept", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

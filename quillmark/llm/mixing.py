@@ -98,3 +98,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3)
     copies = F.when(F.col("size") == 0, F.greatest(copies, F.lit(1))).otherwise(copies)
     taken = rows.join(plan, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("copies", copies)
     return taken.where("copies > 0").select("row.*", "copies")
+
+
+#: The same rows in DuckDB SQL, which orders every document of a source by its digest.
+SQL = r"""
+with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 9))::bigint as h from documents),
+o as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from s group by 1),
+w as (select *, [5.0::double, 2.0::double, 1.0::double][(place % 3 + 1)::int] as weight, sum(source_size) over ()::bigint as total from o),
+z as (select *, 3 * source_size / weight as reach from w),
+l as (select *, (total - 3 * coalesce(sum(source_size) over (order by reach, place rows between unbounded preceding and 1 preceding), 0))::double / sum(weight) over (order by reach, place rows between current row and unbounded following) as level from z),
+m as (select min(struct_pack(reach := reach, place := place, level := level)) filter (where reach > level) as first_open from l),
+t as (select source, source_size, least(weight * coalesce(first_open.level, level), (3 * source_size)::double) as target from l, m),
+q as (select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end::bigint as passes from t),
+b as (select s.source, s.h, sum(s.size)::bigint as size from s group by 1, 2),
+c as (select b.source, b.h, b.size, sum(b.size) over (partition by b.source order by b.h)::bigint as upto from b),
+x as (select c.source, c.h, c.upto, c.size, q.target - q.passes * q.source_size as rest from c join q on c.source is not distinct from q.source),
+k as (select source, h, (upto <= rest) or (upto - size <= rest and upto - rest < rest - (upto - size)) as more from x)
+select s.doc_id, s.size, q.source_size, q.target, (s.size * (q.passes + case when k.more then 1 else 0 end))::bigint as taken
+from s join q on s.source is not distinct from q.source join k on k.source is not distinct from s.source and k.h = s.h
+"""

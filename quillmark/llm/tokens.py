@@ -5,7 +5,7 @@ neighbours, encoded on their own, stay as they are. The last piece of every pref
 that end at a bounded number of earlier positions, and counting is a deterministic transducer: a state is the longest
 suffix that starts a piece, with the last piece and the relative count at each position where such a suffix begins; a
 transition on a character is annotated with the change of the number of emitted tokens. States and transitions are
-compiled when a text first reaches them and kept per task.
+compiled when a text first reaches them and kept per worker.
 
 No piece holds a space after another character, so the state after a boundary (before a run of spaces, and around a
 character that no piece holds) is the start state: a whole unit between boundaries composes to one transition from
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, ship
+from .common import in_groups, kept, ship
 
 ship(__name__)
 
 #: Characters beyond which a text is cut, and of a chunk.
 LONG, CHUNK = 65_536, 16_384
-#: Composite transitions and states kept in a task.
-KEPT_UNITS, KEPT_STATES = 300_000, 400_000
+#: Composite transitions and states kept in a worker.
+KEPT_UNITS, KEPT_STATES = 500_000, 300_000
 SPACE = "▁"
 
 
@@ -46,6 +46,9 @@ class Transducer(dict):
             if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i)):
                 self.rank[library.id_to_piece(i)] = -library.get_score(i)
         self.starts = {piece[:k] for piece in self.rank for k in range(1, len(piece) + 1)}
+        #: The suffixes of each start of a piece that start one too, the longest first, and the empty one.
+        self.heads = {x: [*(x[k:] for k in range(len(x)) if x[k:] in self.starts), ""] for x in ("", *self.starts)}
+        self.whole = {piece for piece in self.rank if self.merged(piece) == [piece]}
         self.letters = {letter for piece in self.rank for letter in piece}
         if any(SPACE in piece.lstrip(SPACE) for piece in self.rank):
             raise ValueError("a piece holds a space after another character: units would not be independent")
@@ -55,16 +58,26 @@ class Transducer(dict):
         self.units = re.compile(f"[ {SPACE}]*[^ {SPACE}{ends}]+|[ {SPACE}]+" + (f"|[{ends}]" if ends else "")).findall
         self.start = ("", ((None, 0),))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.arcs: dict = {}
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all states but the start, which is number 0."""
+        self.number = {self.start: 0}
+        self.states = [self.start]
+        self.arcs: list[dict[str, tuple[int, int]]] = [{}]
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a few characters by its definition: merge the pair of least rank, the leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            rank, at = min((self.rank.get(parts[k] + parts[k + 1], float("inf")), k) for k in range(len(parts) - 1))
-            if rank == float("inf"):
-                break
+        parts, rank, none = list(text), self.rank.get, float("inf")
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def stays(self, left: str | None, right: str) -> bool:
@@ -82,35 +95,44 @@ class Transducer(dict):
         if letter not in self.letters:
             return self.start, len(letter.encode("utf-8", "surrogatepass"))
         # before[k]: last piece, and count less the present one, where the suffix's k-th start lies; the last is here
-        heads = self.heads(suffix)
-        for head, (last, count) in zip(heads, before):
+        alive, longest, ended, change = [], "", "", 0
+        for head, (last, count) in zip(self.heads[suffix], before):
             piece = head + letter
-            if piece in self.rank and (piece == letter or self.merged(piece) == [piece]) and self.stays(last, piece):
+            if not ended and piece in self.whole and self.stays(last, piece):
                 ended, change = piece, count + 1
-                break
-        alive = [(head + letter, (last, count - change)) for head, (last, count) in zip(heads, before) if head + letter in self.starts]
-        return (alive[0][0] if alive else "", (*(x for _, x in alive), (ended, 0))), change
-
-    def heads(self, suffix: str) -> list[str]:
-        """The suffixes of `suffix` that start a piece, the longest first, and the empty one."""
-        return [*(suffix[k:] for k in range(len(suffix)) if suffix[k:] in self.starts), ""]
+            if piece in self.starts:
+                longest = longest or piece
+                alive.append((last, count))
+        return (longest, (*((last, count - change) for last, count in alive), (ended, 0))), change
 
     def __missing__(self, unit: str) -> int:
         if len(self) > KEPT_UNITS:
             self.clear()
-        if len(self.arcs) > KEPT_STATES:
-            self.arcs.clear()
-        state, total = self.start, 0
+        if len(self.states) > KEPT_STATES:
+            self.reset()
+        if len(self.fits) > KEPT_STATES * 5:
+            self.fits.clear()
+        at, total, arcs = 0, 0, self.arcs
         for letter in unit.replace(" ", SPACE):
-            arc = self.arcs.get((state, letter))
+            arc = arcs[at].get(letter)
             if arc is None:
-                arc = self.arcs[state, letter] = self.step(state, letter)
-            state, change = arc
-            total += change
+                arc = self.compiled(at, letter)
+            at = arc[0]
+            total += arc[1]
         if len(unit) <= 64:
             self[unit] = total
         return total
 
+    def compiled(self, at: int, letter: str) -> tuple[int, int]:
+        """The new transition from state number `at` on `letter`."""
+        state, change = self.step(self.states[at], letter)
+        to = self.number.setdefault(state, len(self.states))
+        if to == len(self.states):
+            self.states.append(state)
+            self.arcs.append({})
+        arc = self.arcs[at][letter] = (to, change)
+        return arc
+
     def count(self, text: str) -> int:
         return sum(map(self.__getitem__, self.units(text)))
 
@@ -149,7 +171,7 @@ class Transducer(dict):
 
 def _short(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = kept(("transducer", model), lambda: Transducer(model))
         for batch in batches:
             # a text starts with one more space, unless it is empty
             counts = [machine.count(" " + text) if text else 0 for text in (x.as_py() for x in batch.column(2))]
@@ -160,7 +182,7 @@ def _short(model: str):
 
 def _mapped(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = kept(("transducer", model), lambda: Transducer(model))
         for batch in batches:
             maps = [machine.chunk_map(text.as_py()) for text in batch.column(4)]
             columns = [pa.array([m[k] for m in maps], kind) for k, kind in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))]
@@ -170,14 +192,11 @@ def _mapped(model: str):
 
 
 def _joined(model: str):
-    machine: list[Transducer] = []
-
     def work(group: pa.Table) -> dict:
-        if not machine:
-            machine.append(Transducer(model))
+        machine = kept(("transducer", model), lambda: Transducer(model))
         times = group.column("chunk").to_pylist().count(0)  # rows that repeat have each chunk as often
         maps = list(zip(*(group.column(name).to_pylist()[::times] for name in ("head", "count", "tail"))))
-        total = machine[0].total(machine[0].scanned(maps)[-1])
+        total = machine.total(machine.scanned(maps)[-1])
         values = {"doc_id": group.column("doc_id")[0].as_py(), "n_bytes": group.column("n_bytes")[0].as_py(), "n_tokens": total}
         return {name: pa.array([value] * times, pa.int64()) for name, value in values.items()}
 
