@@ -25,7 +25,7 @@ from .common import components, cut, in_groups, ship, small
 ship(__name__)
 
 #: Trees; rows of a leaf; rows of a block in an election; rounds of elections; share that goes to both sides.
-TREES, LEAF, BLOCK, ROUNDS, SPILL = 10, 600, 1500, 3, 0.06
+TREES, LEAF, BLOCK, ROUNDS, SPILL = 8, 600, 1500, 3, 0.05
 #: Bound of the sample on which upper levels are fitted, and the rows of it that a leaf of a tree keeps.
 SAMPLE, SAMPLE_LEAF = 20_000, 64
 #: Further levels for leaves that are still too large.
