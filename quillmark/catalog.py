@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import documents
+
 FLAGSHIP = "document_scan"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_PLANS = (documents,)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

@@ -45,10 +45,10 @@ def with_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] =
 
 
 def linear(name: str):
-    """P of the named linear scorer from feature columns, rounded to 6 places."""
+    """P of the named linear scorer from feature columns."""
     w = SCORERS[name]
     z = sum((F.col(f) * w[f] for f in FEATURES), F.lit(w["bias"]))
-    return F.round(1 / (1 + F.exp(-z)), 6)
+    return 1 / (1 + F.exp(-z))
 
 
 def with_scores(df: DataFrame, text: str = "text", scorers: tuple[str, ...] = ("a",)) -> DataFrame:
@@ -65,7 +65,7 @@ def sql_features(source: str, text: str = "text", scorers: tuple[str, ...] = ("a
     """select *, features and scores from `source`."""
     hits = " + ".join(f"(length(lower({text})) - length(replace(lower({text}), '{p}', '')))::double / {len(p)}" for p in PHRASES)
     scores = "".join(
-        f", round(1 / (1 + exp(-({SCORERS[s]['bias']}::double + " + " + ".join(f"{f} * {SCORERS[s][f]}::double" for f in FEATURES) + f"))), 6) as p_{s}" for s in scorers
+        f", (1 / (1 + exp(-({SCORERS[s]['bias']}::double + " + " + ".join(f"{f} * {SCORERS[s][f]}::double" for f in FEATURES) + f")))) as p_{s}" for s in scorers
     )
     return rf"""select * exclude (_w, _l){scores} from (select *, length({text}) as n_chars, len(regexp_extract_all({text}, '{SQL_WORD}')) as n_words,
 case when len(_l) < 2 then 0.0::double else sqrt(greatest(list_sum(list_transform(_l, lambda x: x * x))::double / len(_l) - (list_sum(_l)::double / len(_l)) * (list_sum(_l)::double / len(_l)), 0.0::double)) end as burst,

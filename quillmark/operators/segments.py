@@ -23,8 +23,14 @@ START = ("введение",)
 CHAPTER = ("глава", "раздел", "заключение")
 TOC_LINE = r"(\t|\.{2,})[ \t]*[0-9]{1,4}[ \t]*\z"
 NUMBERED = r"^[ \t]*[0-9]+(\.[0-9]+)*\.?[ \t]+[^ \t]"
-BY_DOC = Window.partitionBy("doc_id")
-IN_ORDER = BY_DOC.orderBy("idx")
+
+
+def _doc():
+    return Window.partitionBy("doc_id")
+
+
+def _order():
+    return _doc().orderBy("idx")
 
 
 def _starts(text: Column, markers: tuple[str, ...]) -> Column:
@@ -46,8 +52,8 @@ def split_paragraphs(docs: DataFrame, sep: str = r"\n[ \t]*\n+") -> DataFrame:
 
 def attach_block_meta(paras: DataFrame, blocks: DataFrame) -> DataFrame:
     """Adds style, is_heading, is_caption, has_math by (doc_id, idx) if a document's counts match, else defaults."""
-    n_paras = paras.withColumn("_n", F.count("*").over(BY_DOC))
-    flags = blocks.select("doc_id", "idx", "style", "is_heading", "is_caption", "has_math", F.count("*").over(BY_DOC).alias("_m"))
+    n_paras = paras.withColumn("_n", F.count("*").over(_doc()))
+    flags = blocks.select("doc_id", "idx", "style", "is_heading", "is_caption", "has_math", F.count("*").over(_doc()).alias("_m"))
     joined = n_paras.join(flags, ["doc_id", "idx"], "left")
     same = F.col("_n") == F.col("_m")
     return joined.select(*paras.columns, F.when(same, F.col("style")).otherwise("").alias("style"), *[F.coalesce(same & F.col(c), F.lit(False)).alias(c) for c in ("is_heading", "is_caption", "has_math")])
@@ -91,11 +97,11 @@ def classify_sections(paras: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     rows = paras.withColumns({"hk": heading_kind(text), "_prose": is_body_prose(text), "_chapter": looks_like_heading(text) & is_chapter(text)})
-    rows = rows.withColumns({"_next": F.lead("_prose").over(IN_ORDER), "_prev": F.lag("hk").over(IN_ORDER)})
-    low = lambda cond: F.min(F.when(cond, F.col("idx"))).over(BY_DOC)
-    rows = rows.withColumns({"_toc": low(F.col("hk") == "toc"), "_last": F.max(F.when(F.col("_chapter") & F.col("_next"), F.col("idx"))).over(BY_DOC), "_first": low(F.col("_prose")), "_head": low(F.col("hk").isin("content_start", "content"))})
+    rows = rows.withColumns({"_next": F.lead("_prose").over(_order()), "_prev": F.lag("hk").over(_order())})
+    low = lambda cond: F.min(F.when(cond, F.col("idx"))).over(_doc())
+    rows = rows.withColumns({"_toc": low(F.col("hk") == "toc"), "_last": F.max(F.when(F.col("_chapter") & F.col("_next"), F.col("idx"))).over(_doc()), "_first": low(F.col("_prose")), "_head": low(F.col("hk").isin("content_start", "content"))})
     rows = rows.withColumn("_body", F.coalesce(low(F.col("_prose") & (F.col("idx") > F.coalesce("_toc", F.lit(-1)))), F.col("_first")))
-    opened = F.max(F.when((F.col("idx") == F.col("_body")) & F.col("_prev").isin("content_start", "content"), F.col("idx") - 1)).over(BY_DOC)
+    opened = F.max(F.when((F.col("idx") == F.col("_body")) & F.col("_prev").isin("content_start", "content"), F.col("idx") - 1)).over(_doc())
     rows = rows.withColumn("_open", F.coalesce(opened, F.col("_body"), F.col("_head")))
     ends = low((F.col("hk") == "backmatter") & (F.col("idx") > F.col("_open")) & ~(F.coalesce("_last", F.lit(-1)) > F.col("idx")))
     rows = rows.withColumn("_end", ends)
@@ -109,7 +115,7 @@ def classify_sections(paras: DataFrame) -> DataFrame:
 def content_spans(content: DataFrame) -> DataFrame:
     """Adds ps, pe: positions in the stream of a document's paragraphs joined by two characters; and word ranges
     w0, w1 (first and last word number; those of the previous word without words, at least 0)."""
-    before = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
     rows = content.withColumns({"ps": F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)), "_n": T.word_count(F.col("text"))})
     rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     first = F.when(F.col("_n") > 0, F.col("_before")).otherwise(F.greatest(F.col("_before") - 1, F.lit(0)))
@@ -208,7 +214,7 @@ def glue_short_prose(results: DataFrame) -> DataFrame:
     """(doc_id, anchor_idx, member_idxs, text, n_chars): runs of two or more short prose paragraphs (p null, subcat
     short_prose) with consecutive idx whose join has 200 characters."""
     short = results.where("p is null and subcat = 'short_prose'")
-    runs = short.withColumn("_run", F.col("idx") - F.row_number().over(IN_ORDER))
+    runs = short.withColumn("_run", F.col("idx") - F.row_number().over(_order()))
     members = F.array_sort(F.collect_list(F.struct("idx", "text")))
     frags = runs.groupBy("doc_id", "_run").agg(members.alias("m")).where(F.size("m") > 1)
     frags = frags.select("doc_id", F.col("m")[0]["idx"].alias("anchor_idx"), F.transform("m", lambda r: r["idx"]).alias("member_idxs"), F.array_join(F.transform("m", lambda r: r["text"]), " ").alias("text"))
@@ -219,7 +225,7 @@ def glue_aggressive(results: DataFrame, tables: DataFrame) -> DataFrame:
     """Fragments as above, but over anything except tables (doc_id, idx): short prose adds up in order and a fragment
     closes at 300 characters. A fold over a document's short prose alone gives each row its fragment's number."""
     marks = results.where("p is null and subcat = 'short_prose'").select("doc_id", "idx", "text", F.lit(0).alias("_t")).unionByName(tables.select("doc_id", "idx", F.lit("").alias("text"), F.lit(1).alias("_t")))
-    rows = marks.withColumn("epoch", F.sum("_t").over(IN_ORDER)).where("_t = 0")
+    rows = marks.withColumn("epoch", F.sum("_t").over(_order())).where("_t = 0")
     ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.length("text").alias("len"), "epoch"))).alias("m"))
     start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("sum"), F.lit(-1).cast("long").alias("epoch"), F.array().cast("array<struct<idx:int,g:int>>").alias("out"))
 
@@ -238,7 +244,7 @@ def glue_aggressive(results: DataFrame, tables: DataFrame) -> DataFrame:
 def score_fragments(frags: DataFrame, threshold: float, scorer: str = "a") -> DataFrame:
     """Adds p and label of fragments."""
     scored = features.with_scores(frags, "text", (scorer,))
-    return scored.select("doc_id", "anchor_idx", "member_idxs", "n_chars", F.col(f"p_{scorer}").alias("p"), T.label_for(F.col(f"p_{scorer}"), threshold).alias("label"))
+    return scored.select("doc_id", "anchor_idx", "member_idxs", "n_chars", F.round(f"p_{scorer}", 6).alias("p"), T.label_for(F.col(f"p_{scorer}"), threshold).alias("label"))
 
 
 def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
@@ -259,5 +265,5 @@ def summarize(results: DataFrame) -> DataFrame:
     sums = results.groupBy("doc_id").pivot("label", ["human", "insufficient", "suspicious", "uncertain"]).agg(F.sum(F.length("text")))
     chars = F.map_from_arrays(labels, F.array(*[F.coalesce(F.col(c), F.lit(0)) for c in ("human", "insufficient", "suspicious", "uncertain")]))
     rows = sums.select("doc_id", F.explode(chars).alias("label", "chars"))
-    total = F.sum("chars").over(BY_DOC)
+    total = F.sum("chars").over(_doc())
     return rows.withColumn("share", F.round(F.col("chars") / F.greatest(total, F.lit(1)), 6))
