@@ -142,9 +142,12 @@ def build_windows(content: DataFrame, size: int = WINDOW_WORDS, step: int = STEP
     last = F.element_at("_wins", -1)
     merge = (F.col("_k") > 1) & (last["cend"] - last["cstart"] < MIN_CHARS)
     n = F.when(merge, F.col("_k") - 1).otherwise(F.col("_k"))
-    rows = docs.select("doc_id", "stream", n.alias("n_wins"), last["cend"].alias("_end"), F.explode(F.slice("_wins", F.lit(1), n)).alias("w"))
-    end = F.when(F.col("w.win_no") == F.col("n_wins") - 1, F.col("_end")).otherwise(F.col("w.cend"))
-    return rows.select("doc_id", "w.win_no", "n_wins", "w.cstart", end.alias("cend"), F.substring("stream", F.col("w.cstart") + 1, end - F.col("w.cstart")).alias("text"))
+    end = lambda w: F.when(w["win_no"] == F.col("_m") - 1, F.col("_end")).otherwise(w["cend"])
+    docs = docs.select("doc_id", "stream", "_wins", n.alias("_m"), last["cend"].alias("_end"))
+    # all columns come out of the explode, so that a filter on them is not pushed below into the offsets' expressions
+    each = F.transform(F.slice("_wins", F.lit(1), F.col("_m")), lambda w: F.struct(w["win_no"].alias("win_no"), F.col("_m").alias("n_wins"), w["cstart"].alias("cstart"), end(w).alias("cend")))
+    rows = docs.select("doc_id", "stream", F.explode(each).alias("w"))
+    return rows.select("doc_id", "w.win_no", "w.n_wins", "w.cstart", "w.cend", F.substring("stream", F.col("w.cstart") + 1, F.col("w.cend") - F.col("w.cstart")).alias("text"))
 
 
 def interval_join(spans: DataFrame, wins: DataFrame, size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
