@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import documents
+from .plans import corpus, documents, metrics
 
 FLAGSHIP = "document_scan"
-_PLANS = (documents,)
+_PLANS = (documents, corpus, metrics)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

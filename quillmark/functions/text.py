@@ -176,19 +176,18 @@ SPLITTERS = (" and ", " that ", " which ", " und ", " que ")
 INTRO = r"^(However|Indeed|Therefore|The)[ ,]+"
 
 
-def perturb_phrases(sentence: Column, seed: int, phrases: Sequence[tuple[str, str]] = PHRASES, p: float = 0.7) -> Column:
-    """Replaces whole phrases, each with chance p, keeping a capital at their start."""
-    for k, (old, new) in enumerate(phrases):
-        upper = lambda x: x[0].upper() + x[1:]
-        edited = F.regexp_replace(F.regexp_replace(sentence, rf"(^|[^\p{{L}}]){old}($|[^\p{{L}}])", f"$1{new}$2"), rf"(^|[^\p{{L}}]){upper(old)}($|[^\p{{L}}])", f"$1{upper(new)}$2")
-        sentence = F.when(chance("phrase", seed, sentence, k) < p, edited).otherwise(sentence)
-    return sentence
+def perturb_phrase(sentence: Column, seed: int, k: int, old: str, new: str, p: float = 0.7) -> Column:
+    """Replaces the k-th phrase with chance p, keeping a capital at its start."""
+    upper = lambda x: x[0].upper() + x[1:]
+    edited = F.regexp_replace(sentence, rf"(^|[^\p{{L}}]){old}($|[^\p{{L}}])", f"$1{new}$2")
+    edited = F.regexp_replace(edited, rf"(^|[^\p{{L}}]){upper(old)}($|[^\p{{L}}])", f"$1{upper(new)}$2")
+    return F.when(chance("phrase", seed, sentence, k) < p, edited).otherwise(sentence)
 
 
 def perturb_split(sentence: Column, seed: int, splitters: Sequence[str] = SPLITTERS, p: float = 0.6, longest: int = 16) -> Column:
     """Ends a long sentence at the first splitter past 35 % of its length and starts a new one there."""
     floor = F.floor(F.length(sentence) * 0.35).cast("int") + 1
-    found = F.array_min(F.filter(F.array(*[F.struct(F.locate_from(s, sentence, floor) if hasattr(F, "locate_from") else F.instr(F.substring(sentence, floor, F.length(sentence)), s).alias("at"), F.lit(len(s)).alias("n")) for s in splitters]), lambda x: x["at"] > 0))
+    found = F.array_min(F.filter(F.array(*[F.struct(F.instr(F.substring(sentence, floor, F.length(sentence)), s).alias("at"), F.lit(len(s)).alias("n")) for s in splitters]), lambda x: x["at"] > 0))
     begin = found["at"] + floor - 1
     rest = F.substring(sentence, begin + found["n"], F.length(sentence))
     cut = F.concat(F.substring(sentence, F.lit(1), begin - 1), F.lit(". "), F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))
@@ -213,5 +212,9 @@ def perturb_reorder(sentence: Column, seed: int, intro: str = INTRO, p: float =
 def perturb(text: Column, seed: int) -> Column:
     """All edits, sentence by sentence, joined by a full stop and a space; no shuffle."""
     parts = F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 0)
-    edit = lambda s: perturb_reorder(perturb_connective(perturb_split(perturb_phrases(s, seed), seed), seed), seed)
-    return F.array_join(F.transform(parts, edit), ". ")
+    # one transform an edit: an edit names its sentence many times, so nesting them would multiply the expression
+    for k, (old, new) in enumerate(PHRASES):
+        parts = F.transform(parts, lambda s, k=k, old=old, new=new: perturb_phrase(s, seed, k, old, new))
+    for edit in (perturb_split, perturb_connective, perturb_reorder):
+        parts = F.transform(parts, lambda s, edit=edit: edit(s, seed))
+    return F.array_join(parts, ". ")
