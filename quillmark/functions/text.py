@@ -209,12 +209,16 @@ def perturb_reorder(sentence: Column, seed: int, intro: str = INTRO, p: float =
     return F.when(F.rlike(sentence, F.lit(intro)) & (F.length(rest) > 0) & (chance("reorder", seed, sentence) < p), moved).otherwise(sentence)
 
 
+def _each(edit, *args):
+    return lambda sentence: edit(sentence, *args)
+
+
 def perturb(text: Column, seed: int) -> Column:
     """All edits, sentence by sentence, joined by a full stop and a space; no shuffle."""
     parts = F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 0)
     # one transform an edit: an edit names its sentence many times, so nesting them would multiply the expression
     for k, (old, new) in enumerate(PHRASES):
-        parts = F.transform(parts, lambda s, k=k, old=old, new=new: perturb_phrase(s, seed, k, old, new))
+        parts = F.transform(parts, _each(perturb_phrase, seed, k, old, new))
     for edit in (perturb_split, perturb_connective, perturb_reorder):
-        parts = F.transform(parts, lambda s, edit=edit: edit(s, seed))
+        parts = F.transform(parts, _each(edit, seed))
     return F.array_join(parts, ". ")
