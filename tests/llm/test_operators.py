@@ -210,7 +210,10 @@ def test_embeddings(spark, monkeypatch, leaf):
     want = brute_components(len(u), np.argwhere(near).tolist())
     assert len(got) == len(rows) + len(odd) and all(got[i].n_links == 0 and got[i].kept for i, _ in odd)
     right = [got[i].n_links == near[i].sum() - 1 and got[i].component_id == want[i] for i in range(len(u))]
-    assert np.mean(right) >= (1.0 if leaf == 600 else 0.9)
+    found, true = np.array([got[i].n_links for i in range(len(u))]), near.sum(1) - 1
+    assert (found <= true).all()
+    # leaves far below the production size still find most links of groups that they cut apart
+    assert all(right) if leaf == 600 else found.sum() >= 0.8 * true.sum()
 
 
 def test_mixing(spark, docs):
