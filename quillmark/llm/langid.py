@@ -26,7 +26,8 @@ ship(__name__)
 HIDDEN, WINDOW, LEAD = 8, 112, 8
 #: Bounds of the fit: labelled rows, windows of each row, bytes of a window.
 FIT_ROWS, FIT_WINDOWS, FIT_BYTES = 3000, 2, 48
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Passes over the windows, and the least number of steps, which small tables reach by more passes.
+EPOCHS, STEPS, BATCH, RATE = 6, 300, 128, 0.01
 #: Windows that step together: few enough that their products stay on one thread.
 TOGETHER = 512
 UNKNOWN = "und"
@@ -90,8 +91,8 @@ def fit(windows: np.ndarray, y: np.ndarray, n_lang: int) -> dict[str, np.ndarray
     model, rng = _fresh(n_lang), np.random.default_rng(4)
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, max(EPOCHS, -(-STEPS // -(-len(windows) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             x, goal = windows[order[at : at + BATCH]], y[order[at : at + BATCH]]
@@ -111,7 +112,7 @@ def fit(windows: np.ndarray, y: np.ndarray, n_lang: int) -> dict[str, np.ndarray
             _backward(x, forth, slope @ model["outf"].T, model, "f", grad)
             _backward(back, other, (slope @ model["outb"].T)[::-1], model, "b", grad)
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])

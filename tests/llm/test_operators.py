@@ -142,7 +142,7 @@ def test_toxicity(spark, docs):
     rng = random.Random(1)
     rows, labels = [], []
     for i in range(400):
-        words, bad = [rng.choice(WORDS) for _ in range(60)], i % 8 == 0
+        words, bad = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)], i % 8 == 0
         if bad:
             for k in range(1 + i % 5):
                 words[k * 7] = ["vile", "foul"][k % 2]
