@@ -65,19 +65,24 @@ PREAMBLE = r"(?i)^(конечно|вот|разумеется|хорошо|certa
 REFUSAL = r"(?i)^(извините|к сожалению|я не могу|как языковая модель|i am sorry|i'm sorry|i cannot|as an ai)"
 
 
+def _unicode(pattern: str) -> str:
+    """(?i) over all of Unicode, which Java asks for by a flag of its own."""
+    return pattern.replace("(?i)", "(?iu)")
+
+
 def clean_generated(text: Column, preamble: str = PREAMBLE) -> Column:
     """A generated text without reasoning blocks, markup characters, up to two preambles, quotes around it and runs of
     white space."""
     text = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
     text = strip(F.regexp_replace(text, r"[*#`]", ""))
     for _ in range(2):
-        text = strip(F.regexp_replace(text, preamble, ""))
+        text = strip(F.regexp_replace(text, _unicode(preamble), ""))
     return F.btrim(flat(text), F.lit("\"«»“” "))
 
 
 def is_valid_generated(text: Column, min_chars: int = 200, min_words: int = 0, script: str = r"\p{IsCyrillic}", share: float = 0.5) -> Column:
     """Long enough, no reasoning tag left, no refusal, mostly of the script."""
-    return (F.length(text) >= min_chars) & (word_count(text) >= min_words) & ~F.contains(text, F.lit("<think>")) & ~F.rlike(text, F.lit(REFUSAL)) & (script_ratio(text, script) >= share)
+    return (F.length(text) >= min_chars) & (word_count(text) >= min_words) & ~F.contains(text, F.lit("<think>")) & ~F.rlike(text, F.lit(_unicode(REFUSAL))) & (script_ratio(text, script) >= share)
 
 
 # ---- words, sentences and rhythm ---------------------------------------------------------------------------------

@@ -34,7 +34,7 @@ def genre_features(sample: DataFrame, terms: dict[str, str] = TERMS) -> DataFram
     n, words = F.size("_lens"), F.greatest("n_words", F.lit(1))
     total, square = F.aggregate("_lens", F.lit(0), lambda a, x: a + x), F.aggregate("_lens", F.lit(0), lambda a, x: a + x * x)
     letters = F.greatest(F.length(F.regexp_replace(s, r"[^\p{L}]", "")), F.lit(1))
-    per1k = {f"{name}_per1k": F.round(F.regexp_count(s, F.lit(f"(?i){rx}")) / words * 1000, 1) for name, rx in terms.items()}
+    per1k = {f"{name}_per1k": F.round(F.regexp_count(s, F.lit(f"(?iu){rx}")) / words * 1000, 1) for name, rx in terms.items()}
     mean = F.when(n > 0, total / n).otherwise(0.0)
     return rows.withColumns(
         {

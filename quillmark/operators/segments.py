@@ -182,7 +182,7 @@ def project_to_paragraphs(spans: DataFrame, wins: DataFrame, threshold: float, p
     return rows.withColumn("label", T.label_for(F.col("p"), threshold))
 
 
-CAPTION = r"(?i)^[ \t]*(рис(унок)?\.?|табл(ица)?\.?|схема|диаграмма|листинг|график)[ \t]*№?[ \t]*[0-9]"
+CAPTION = r"^[ \t]*(рис(унок)?\.?|табл(ица)?\.?|схема|диаграмма|листинг|график)[ \t]*№?[ \t]*[0-9]"
 SUBHEAD = r"^[ \t]*[0-9]+(\.[0-9]+)+\.?[ \t]+[^ \t]"
 BULLET = r"^[ \t]*([–—•·●*]|[a-zа-яё]\)|\(?[0-9]+[.)])[ \t]"
 SYMBOL = r"[=∑×÷≤≥≈∫√±]"
@@ -196,7 +196,7 @@ def classify_short(text: Column, heading: Column | None = None, caption: Column
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
     kind = F.when(heading if heading is not None else no, "heading").when(caption if caption is not None else no, "caption").when(math if math is not None else no, "formula")
-    kind = kind.when(F.rlike(text, F.lit(CAPTION)), "caption").when(F.rlike(text, F.lit(SYMBOL)) & (F.length(text) < 175), "formula")
+    kind = kind.when(F.rlike(F.lower(text), F.lit(CAPTION)), "caption").when(F.rlike(text, F.lit(SYMBOL)) & (F.length(text) < 175), "formula")
     kind = kind.when(F.rlike(text, F.lit(CODE)) & F.rlike(text, F.lit(r"[(=.]")), "formula").when(F.rtrim(F.lower(text), F.lit(":")).isin("где", "примечание"), "formula")
     kind = kind.when(is_chapter(text) | F.rlike(text, F.lit(SUBHEAD)) | _starts(norm_heading(text), TOC + BACKMATTER), "heading")
     kind = kind.when((letters > 0) & (capitals / letters > 0.6) & (F.length(text) < 70), "heading").when(F.rlike(text, F.lit(BULLET)), "list_item")

@@ -232,7 +232,7 @@ when {_any(n, segments.START)} then 'content_start' when {_any(n, segments.CHAPT
 def sql_short(text: str) -> str:
     letters, capitals = rf"length(regexp_replace({text}, '[^\p{{L}}]', '', 'g'))", rf"length(regexp_replace({text}, '[^\p{{Lu}}]', '', 'g'))"
     n = f"len(regexp_extract_all({text}, '{W}'))"
-    return f"""case when {_m(text, segments.CAPTION)} then 'caption' when {_m(text, segments.SYMBOL)} and length({text}) < 175 then 'formula'
+    return f"""case when {_m(f'lower({text})', segments.CAPTION)} then 'caption' when {_m(text, segments.SYMBOL)} and length({text}) < 175 then 'formula'
 when {_m(text, segments.CODE)} and {_m(text, '[(=.]')} then 'formula' when rtrim(lower({text}), ':') in ('где', 'примечание') then 'formula'
 when {sql_chapter(text)} or {_m(text, segments.SUBHEAD)} or {_any(sql_norm(text), segments.TOC + segments.BACKMATTER)} then 'heading'
 when {letters} > 0 and {capitals} / {letters} > 0.6 and length({text}) < 70 then 'heading' when {_m(text, segments.BULLET)} then 'list_item'
