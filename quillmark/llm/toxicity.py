@@ -1,9 +1,9 @@
 """Toxicity: cumulative-link ordinal regression from sparse text features to severity grades.
 
-Features are the words of a whole text, present or not, kept if labelled rows tie them to the label. Grades are 0 for
-rows without the label and 1 to 3 for rows with it, by how often tied words occur, at the thirds of the labelled rows
-that hold one. One weight per word is shared by all ordered thresholds: P(grade > k) = sigmoid(w x - t_k). The
-fit is by gradient descent on the penalised likelihood; a document's severity is the expected grade, the
+Features are the words of a whole text and the words' beginnings, present or not, kept if labelled rows tie them to the
+label, and the share of a text's distinct words that are tied, in steps. Grades are 0 for rows without the label and 1
+to 3 for rows with it, by how often tied words occur, at the thirds of the labelled rows that hold one. One weight per
+feature is shared by all ordered thresholds: P(grade > k) = sigmoid(w x - t_k). The fit is by gradient descent on the penalised likelihood; a document's severity is the expected grade, the
 sum of P(grade > k), and it is toxic if P(grade > 0) is at least `CUT`.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,11 @@ from .common import cut, held_out, sampled, ship
 ship(__name__)
 
 GRADES = 3
-#: Bounds of the fit: labelled rows, words kept as features; a feature's least documents, as a number and a share, and z score.
-FIT_ROWS, FEATURES, LEAST_DOCS, LEAST_SHARE, LEAST_Z = 12_000, 500, 4, 0.01, 4.5
+#: Bounds of the fit: labelled rows, words and beginnings kept as features; a feature's least documents and z score.
+FIT_ROWS, FEATURES, LEAST_DOCS, LEAST_Z = 12_000, 2000, 4, 4.5
+#: Letters of a beginning; steps of the share of tied words.
+BEGINNINGS, SHARES = (3, 4, 5, 6), (0.01, 0.02, 0.03, 0.05, 0.08, 0.12)
+KNOWN_WORDS = 1_000_000
 PENALTY, STEPS, RATE = 2e-4, 800, 0.3
 CUT = 0.5
 WORD = regex.compile(r"\p{L}+")
@@ -33,11 +37,46 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def parts_of(word: str) -> list[str]:
+    """The word and its beginnings, which end in a mark that no word holds."""
+    return [word, *(word[:size] + "*" for size in BEGINNINGS if len(word) > size)]
+
+
+class Ties(dict):
+    """Features that each word of a text is tied by, kept while there are few words."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        value = self[word] = tuple(self.vocabulary[x] for x in parts_of(word) if x in self.vocabulary)
+        return value
+
+    def present(self, words: list[str]) -> list[int]:
+        """Sorted features of a text, the steps of the share of tied words last."""
+        distinct = set(words)
+        hits = [found for word in distinct if (found := self[word])]
+        steps = [len(self.vocabulary) + k for k, share in enumerate(SHARES) if hits and len(hits) >= share * len(distinct)]
+        return sorted({k for found in hits for k in found}) + steps
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the minimum hash of the word pairs of each text."""
+    for batch in batches:
+        least = []
+        for text in batch.column(1).to_pylist():
+            words = words_of(text)
+            least.append(min(xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:] or [""])) if words else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc_id", "text", "label", "least"])
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels, words = [], []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = set(words_of(text))
+            found = {part for word in set(words_of(text)) for part in parts_of(word)}
             words.extend(found)
             labels.extend([label] * len(found))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
@@ -45,14 +84,14 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _presence(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ties = Ties(vocabulary)
         for batch in batches:
             sizes, present, tied = [], [], []
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                hits = [vocabulary[w] for w in words if w in vocabulary]
                 sizes.append(len(words))
-                tied.append(len(hits))
-                present.append(sorted(set(hits)))
+                tied.append(sum(1 for word in words if ties[word]))
+                present.append(ties.present(words))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(tied, pa.int64()), pa.array(present, pa.list_(pa.int32()))], ["label", "n", "hits", "present"])
 
     return run
@@ -60,13 +99,13 @@ def _presence(vocabulary: dict[str, int]):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     """A model learned from at most `rows` labelled rows that are not held out, those with the smallest seeded digests
-    of doc_id: {"words", "weights", "cuts"}. Copies would tie their common words to one label, so rows whose words have
-    the same minimum hash count once. Without rows of both labels it finds nothing toxic."""
+    of doc_id: {"words", "weights", "cuts"}. Copies would tie their common words to one label, so rows whose word pairs
+    have the same minimum hash count once. Without rows of both labels it finds nothing toxic."""
     known = labels.where("toxic is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = sampled(known, "doc_id", rows, "toxicity:")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    least = F.array_min(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda word: F.xxhash64(word)))
-    texts = cut(texts.groupBy(least).agg(F.min_by(F.struct("text", "label"), "doc_id").alias("row")).select("row.text", "row.label"))
+    texts = texts.select("doc_id", "text", "label").mapInArrow(_least, "doc_id long, text string, label int, least long")
+    texts = cut(texts.groupBy("least").agg(F.min_by(F.struct("text", "label"), "doc_id").alias("row")).select("row.text", "row.label"))
     counts = texts.mapInArrow(_distinct, "word string, label int").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
     none = {"words": {}, "weights": np.zeros(0), "cuts": np.full(GRADES, 10.0)}
@@ -74,7 +113,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> di
         return none
     share = size.bad / size.n
     z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    tied = counts.where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * size.n)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(FEATURES).collect()
+    tied = counts.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(FEATURES).collect()
     if not tied:
         return none
     vocabulary = {row.word: k for k, row in enumerate(tied)}
@@ -85,7 +124,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> di
     grade = np.where(label == 1, 1 + np.searchsorted(thirds, hits, side="left"), 0)
     owner = np.repeat(np.arange(len(found)), [len(row.present) for row in found])
     feature = np.array([k for row in found for k in row.present], np.int64)
-    return {"words": vocabulary} | _ordinal(owner, feature, grade, len(vocabulary))
+    return {"words": vocabulary} | _ordinal(owner, feature, grade, len(vocabulary) + len(SHARES))
 
 
 def _ordinal(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int) -> dict:
@@ -119,15 +158,13 @@ def _grade(model: dict, keep: list[str]):
     """Adds severity, grade and toxic; the text is the last column and goes, all others are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights, cuts = model["words"], model["weights"], model["cuts"]
-        names = vocabulary.keys()
+        ties, weights, cuts = Ties(model["words"]), model["weights"], model["cuts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 score = np.zeros(part.num_rows)
                 for k, text in enumerate(part.column(part.num_columns - 1)):
-                    found = names & set(words_of(text.as_py()))
-                    score[k] = sum(weights[i] for i in sorted(vocabulary[w] for w in found))
+                    score[k] = sum(weights[i] for i in ties.present(words_of(text.as_py())))
                 above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))
                 exact = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], 1)
                 columns = [pa.array(above.sum(1)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= CUT)]

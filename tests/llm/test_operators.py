@@ -1,6 +1,7 @@
 """Each corpus operator on small tables with odd rows, against a brute-force version where there is one."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -158,6 +159,25 @@ def test_toxicity(spark, docs):
     assert toxicity.without_toxic(docs, model).columns == docs.columns
 
 
+def test_toxicity_of_a_rare_language(spark):
+    """Beginnings of words of a few rows are learned, also where no whole word comes back and clean rows hold one."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1500):
+        rare, bad = i % 15 < 2, i % 15 == 0 or i % 15 == 5
+        words = [("ol" if rare else "") + rng.choice(WORDS) + rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)]
+        for k in range(5 if bad else 0):
+            words[k * 7] = "vorq" + rng.choice(WORDS) + rng.choice(WORDS) if rare else ["vile", "foul"][k % 2]
+        if rare and i % 45 == 1:
+            words[9] = "vorq" + rng.choice(WORDS)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(bad)))
+    every, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.grade_toxicity(every, toxicity.fit_toxicity(every, marks)).collect()}
+    tested = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0 and i % 15 < 2]
+    assert np.mean([got[i] == (i % 15 == 0) for i in tested]) > 0.95
+
+
 def test_licences(spark):
     other = "The MIT Licence\nCopyright (c) 2019 Somebody\n\n" + licences.MIT.split("\n\n", 1)[1].upper().replace(" ", "  ")
     rows = [(0, licences.MIT), (1, "Copyright 2001 X\n" + licences.MIT.replace(",", ";")), (2, "text\nreleased under the mit LICENCE\nmore"), (3, None), (4, ""), (5, other), (2, "again")]
