@@ -235,11 +235,11 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     about = small(points.select("vec_id", "r", "m"))
     pairs = pairs.join(about.select(F.col("vec_id").alias("a"), F.col("r").alias("ra"), F.col("m").alias("ma")), "a").join(about.select(F.col("vec_id").alias("b"), F.col("r").alias("rb"), F.col("m").alias("mb")), "b")
     angle, limit = F.acos(F.least(F.col("cos"), F.lit(1.0))), float(np.arccos(cosine))
-    single = (F.col("ma") == 1) & (F.col("mb") == 1)
+    single = (F.col("ra") == 0) & (F.col("rb") == 0)
     pairs = cut(pairs.withColumn("whole", F.when(single, F.col("cos") >= cosine).when(angle + F.col("ra") + F.col("rb") <= limit - 1e-6, True)))
     whole = pairs.where("whole")
     # the other pairs of groups are compared vector by vector, in blocks of one group against the other
-    open_ = small(pairs.where("whole is null and not (ma = 1 and mb = 1)").select("a", "b"))
+    open_ = small(pairs.where("whole is null").select("a", "b"))
     x = member.select(F.col("leader").alias("a"), F.col("vec_id").alias("x"), F.col("vec").alias("xv"))
     y = member.select(F.col("leader").alias("b"), F.col("vec_id").alias("y"), F.col("vec").alias("yv"))
     sides = open_.join(x, "a").select("a", "b", F.lit(0).alias("side"), F.col("x").alias("vec_id"), F.col("xv").alias("vec")).unionByName(open_.join(y, "b").select("a", "b", F.lit(1).alias("side"), F.col("y").alias("vec_id"), F.col("yv").alias("vec")))
@@ -259,10 +259,11 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 
 
 def _leaders(member: DataFrame) -> DataFrame:
-    """Points of the forest: each leader with its vector, the largest angle to one of its vectors, and their number."""
-    sums = member.groupBy("leader").agg(F.acos(F.least(F.min("near"), F.lit(1.0))).alias("r"), F.count("*").alias("m"))
+    """Points of the forest: each leader with its vector, the largest angle to one of its vectors, and their number.
+    Only a leader alone has radius 0: the one vector left may be another, if a later round took the leader itself."""
+    sums = member.groupBy("leader").agg(F.acos(F.least(F.min("near"), F.lit(1.0))).alias("r"), F.count("*").alias("m"), (F.min("vec_id") == F.col("leader")).alias("first"))
     own = member.select(F.col("vec_id").alias("leader"), "vec")
-    return sums.join(own, "leader").select(F.col("leader").alias("vec_id"), "vec", F.when(F.col("m") == 1, 0.0).otherwise(F.col("r")).alias("r"), "m")
+    return sums.join(own, "leader").select(F.col("leader").alias("vec_id"), "vec", F.when((F.col("m") == 1) & F.col("first"), 0.0).otherwise(F.greatest("r", F.lit(1e-7))).alias("r"), "m")
 
 
 def _between(cosine: float):

@@ -236,6 +236,21 @@ def test_embeddings(spark, monkeypatch, leaf):
     assert all(right) if leaf == 600 else found.sum() >= 0.8 * true.sum()
 
 
+def test_embeddings_left_by_their_leader(spark, monkeypatch):
+    """Vectors whose leader a later round takes from them are compared themselves, not by the leader."""
+    member = spark.createDataFrame([(0, [1.0, 0.0], 0, 1.0), (1, [0.99, 0.141], 0, 0.99), (2, [0.96, 0.28], 1, 0.99)], "vec_id long, vec array<double>, leader long, near double")
+    radius = {r.vec_id: r.r for r in embed_dup._leaders(member).collect()}
+    assert radius == pytest.approx({0: np.arccos(0.99), 1: np.arccos(0.99)})
+    monkeypatch.setattr(embed_dup, "BLOCK", 40)
+    x = np.random.default_rng(6).normal(size=(400, 3))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    want = brute_components(len(u), np.argwhere(near).tolist())
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dup.embedding_duplicates(rows).collect()}
+    assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == want[i] for i in range(len(u)))
+
+
 def test_mixing(spark, docs):
     rng = random.Random(3)
     many = table(spark, [prose(rng, rng.randint(1, 40)) for _ in range(600)]).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
