@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a slim table (a few longs each) that may be broadcast: under 16 MB.
-BROADCAST_ROWS = 200_000
+#: Megabytes of rows, as they lie in memory, that may be broadcast.
+BROADCAST_MB = 16
 
 
 def ship(name: str) -> None:
@@ -24,17 +25,39 @@ ship(__name__)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back: later stages survive the loss of an executor."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmark-"))
-    return df.checkpoint()
+    """`df` written as a table to the shared checkpoint folder and read back: later stages survive the loss of an
+    executor, read only the columns they need, and are planned by real sizes (a checkpoint would carry along the size
+    estimates of its plan, which in iterations grow to numbers that take minutes to multiply).
 
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, marked for broadcast if it has at most `rows` rows. Call it on tables that were cut, as it counts."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    The folder is that of the session's checkpoints, as `spark.checkpoint.dir` names it. Where it is unset, a temporary
+    one serves a local master alone, as executors on other machines would not see it.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quillmark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def weight(df: DataFrame) -> int:
+    """Bytes of the rows of `df`: 8 for each value, besides the bytes of strings and 8 for each item of an array."""
+    each = F.lit(8 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            each += F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            each += 8 * F.coalesce(F.size(name), F.lit(0))
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
+def small(df: DataFrame, mb: float = BROADCAST_MB) -> DataFrame:
+    """`df`, marked for broadcast if its rows take at most `mb` megabytes. Call it on tables that were cut, as it sums."""
+    return F.broadcast(df) if weight(df) <= mb * 2**20 else df
 
 
 def kept(key: tuple, make: Callable):
@@ -117,20 +140,26 @@ def _grouper(keys: list[str], work: Callable, names: list[str]) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (src, dst), longs: rows (node, component), component the smallest id reached.
 
-    Each round maps every node to its smallest neighbour, jumps twice along these pointers and contracts the edges;
-    nodes that are not a local minimum vanish, so the edges left at least halve their nodes. All steps are joins and
-    aggregations that combine before they shuffle. Nodes without an edge are not returned; no edges: no rows.
+    Each round lets every node point to its smallest neighbour, if that is smaller than itself, follows the pointers
+    three at a time until none moves, and contracts the edges to the nodes pointed to. A chain of n nodes in any order
+    of pointers takes log3(n) steps of a round. A node that stays has a neighbour that vanishes or else vanishes in the
+    next round, so the nodes left at least halve in two rounds. All steps are joins and aggregations that combine before
+    they shuffle. Nodes without an edge to another are not returned; no edges: no rows.
     """
     left = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct())
     labels = None
     while not left.isEmpty():
         both = left.union(left.select("dst", "src"))
-        point = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("to"))
-        point = cut(point)
-        for _ in range(2):
+        point = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("to")))
+        moved = True
+        while moved:
             hop = small(point).select(F.col("node").alias("to"), F.col("to").alias("next"))
-            point = point.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        point = cut(point)
+            step = point.select("node", "to", F.col("to").alias("was"))
+            for _ in range(2):
+                step = step.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to"), "was")
+            step = cut(step)
+            moved = not step.where("to <> was").isEmpty()
+            point = step.select("node", "to")
         hop = small(point)
         left = left.join(hop.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(hop.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
         left = cut(left.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())

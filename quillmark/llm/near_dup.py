@@ -1,25 +1,35 @@
 """MinHash near-duplicates through an LSH forest of sorted signature orders.
 
 Every text becomes a set of hashed word shingles with a pool of 64 minimum hashes. Texts with equal sets fall together
-first, so that copies cost one row. A tree is one order of the pool (tree t starts at hash 4 t): representatives that
-share a prefix of `MIN_DEPTH` hashes in a tree form a region, and a region with more than `REGION_ROWS` rows or
-`REGION_SHINGLES` shingles goes deeper, by 2 and then 3 more hashes, and at last by a salt; depth adapts to density.
-In a region, neighbours whose signatures agree in `MIN_AGREEMENT` of the pool, and whose sizes allow a link, are joined
-to coarse groups. A coarse group's full sets are then compared exactly, each pair at most once and never two texts that
-are already connected. A group beyond the bounds is compared in the deeper regions of all trees instead.
-
-A pair at the threshold of 0.85 misses all 16 trees with chance (1 - 0.85^3)^16 = 2e-7, and its agreement falls below
-0.64 with chance 1e-6.
+first, so that copies cost one row, a node. A tree is one sorted order of the signatures (tree t reads the pool from hash
+4 t on). Rows that share `MIN_DEPTH` hashes in a tree are a region of neighbours in its order. In a region, rows meet
+their neighbours of the longest common prefix first and then, prefix by prefix, all others of the region that are not
+yet connected to them: depth adapts to each region's density. Rows whose signatures agree in a share of the pool that
+hardly a linked pair falls below, and whose sizes allow a link, are joined to coarse groups; a region of more than
+`REGION_ROWS` rows is a coarse group as it stands. A coarse group's full sets are then compared exactly.
+
+A coarse group within `UNIT_ROWS` and `UNIT_SHINGLES` is compared in one task, each pair at most once and never two texts
+already connected. A larger one is compared in two steps. First its rows are cut into bounded blocks along several of the
+sorted orders, so that blocks hold neighbours of long common prefixes, and compared within blocks: what is dense falls
+together. Then blocks of rows that are still apart meet all other blocks of the group, each pair of blocks in a task of
+its own; only pairs of rows inside the group's largest part, which are connected already, are left out. No pair is lost
+and no task holds more than two blocks. The second step grows with the rows outside the largest part times all rows of
+that group.
+
+A pair at the threshold of 0.85 shares no region in 16 trees with chance (1 - 0.85^3)^16 = 2e-7, at 0.8 with 1e-5, and
+its signatures fall below the agreement asked for with chance 1e-6.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, in_groups, ship, small
@@ -27,11 +37,22 @@ from .common import components, cut, in_groups, ship, small
 ship(__name__)
 
 POOL, TREES, STRIDE, MIN_DEPTH, MAX_DEPTH = 64, 16, 4, 3, 8
-REGION_ROWS, REGION_SHINGLES = 2048, 4_000_000
-MIN_AGREEMENT = 0.64
+#: Rows of a region that meet in one task; rows and shingles of a block or of a group compared in one task.
+REGION_ROWS, UNIT_ROWS, UNIT_SHINGLES = 1024, 1024, 4_000_000
+#: Trees along whose orders the blocks of a larger group are cut.
+SORTED = (0, 5, 10)
 KNOWN_WORDS = 1_000_000
 
 
+def least_agreement(percent: int) -> float:
+    """Share of the pool below which the signatures of a linked pair agree with a chance of at most 1e-6."""
+    p, below, k = percent / 100, 0.0, -1
+    while below <= 1e-6:
+        k += 1
+        below += math.comb(POOL, k) * p**k * (1 - p) ** (POOL - k)
+    return k / POOL
+
+
 class WordHashes(dict):
     """64-bit digests of words, kept while there are few of them."""
 
@@ -87,94 +108,157 @@ def _sign(size: int):
     return run
 
 
+def _stars(ids: np.ndarray, comp: np.ndarray) -> dict | None:
+    """Rows (src, dst): the smallest id of each part and each other member."""
+    order = np.lexsort((ids, comp))
+    ids, comp = ids[order], comp[order]
+    first = np.concatenate([[True], comp[1:] != comp[:-1]])
+    least = ids[first][np.cumsum(first) - 1]
+    own = ids != least
+    return {"src": least[own], "dst": ids[own]} if own.any() else None
+
+
+def _fits(n: np.ndarray, signs: np.ndarray, at: int, others: np.ndarray, percent: int, agreement: float) -> np.ndarray:
+    """Those of `others` that may link with row `at`, by sizes and signatures."""
+    others = others[100 * np.minimum(n[others], n[at]) >= percent * np.maximum(n[others], n[at])]
+    return others[(signs[others] == signs[at]).mean(1) >= agreement] if len(others) else others
+
+
 def _forest_links(percent: int):
-    """Joins a region's rows whose signatures agree: rows (src, dst), a spanning forest."""
+    """Joins a region's rows, sorted by the tree's order, whose signatures agree: rows (src, dst) that span them."""
+    agreement = least_agreement(percent)
 
     def work(group: pa.Table) -> dict | None:
         if group.num_rows < 2:
             return None
-        ids, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
+        ids, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint32).reshape(len(ids), POOL)
-        root, open_ = np.arange(len(ids)), np.ones(len(ids), bool)
-        for i in range(len(ids)):
-            # breadth first from each row that is still alone
-            if not open_[i]:
-                continue
-            open_[i], queue = False, [i]
-            while queue:
-                at = queue.pop()
-                rest = np.flatnonzero(open_)
-                if not len(rest):
-                    break
-                fits = (100 * np.minimum(n[rest], n[at]) >= percent * np.maximum(n[rest], n[at])) & ((signs[rest] == signs[at]).mean(1) >= MIN_AGREEMENT)
-                near = rest[fits]
-                root[near], open_[near] = i, False
-                queue.extend(near.tolist())
-        own = root != np.arange(len(ids))
-        return {"src": ids[root[own]], "dst": ids[own]} if own.any() else None
+        order = np.frombuffer(b"".join(group.column("order").to_pylist()), np.uint32).reshape(len(ids), MAX_DEPTH)
+        common = np.cumprod(order[1:] == order[:-1], 1).sum(1)
+        comp = np.arange(len(ids))
+        for depth in sorted(set(common.tolist()), reverse=True):
+            for run in np.split(np.arange(len(ids)), np.flatnonzero(common < depth) + 1):
+                for at in run if len(run) > 1 else ():
+                    others = run[comp[run] != comp[at]]
+                    if not len(others):
+                        break
+                    for part in np.unique(comp[_fits(n, signs, at, others, percent, agreement)]):
+                        comp[comp == part] = comp[at]
+        return _stars(ids, comp)
 
     return work
 
 
-def _exact_links(percent: int):
-    """Compares full sets in a unit: rows (src, dst) that span its connected texts."""
+def _exact_links(percent: int, cross: bool = False):
+    """Compares full sets: rows (src, dst) that span the connected texts of a group.
+
+    With `cross`, a group is two blocks, by `side`, or one against itself; rows of one `label` are known to be connected
+    and only pairs of two labels, across the blocks, are compared.
+    """
+    agreement = least_agreement(percent)
 
     def work(group: pa.Table) -> dict | None:
-        if group.num_rows < 2:
+        ids = group.column("node").to_numpy()
+        side = group.column("side").to_numpy() if cross else np.zeros(len(ids), np.int64)
+        # rows that repeat have the same set
+        _, rows = np.unique(np.stack([side, ids]), axis=1, return_index=True)
+        ids, side = ids[rows], side[rows]
+        if len(ids) < 2:
             return None
-        ids = group.column("rep").to_numpy()
-        signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint32).reshape(len(ids), POOL)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint32).reshape(-1, POOL)[rows]
+        every = group.column("shingles").to_pylist()
+        sets = [np.frombuffer(every[k], np.uint64) for k in rows]
         n = np.array([len(x) for x in sets])
         known, local = np.unique(np.concatenate(sets), return_inverse=True)
-        local, start = local.astype(np.int32), np.concatenate([[0], np.cumsum(n)])
-        comp, mask, src, dst = np.arange(len(ids)), np.zeros(len(known), bool), [], []
+        local, start = local.ravel().astype(np.int32), np.concatenate([[0], np.cumsum(n)])
+        comp = np.unique(group.column("label").to_numpy()[rows], return_inverse=True)[1].ravel() if cross else np.arange(len(ids))
+        two, mask, src, dst = side.any(), np.zeros(len(known), bool), [], []
         for i in range(len(ids)):
-            others = np.flatnonzero(comp != comp[i])
-            others = others[(100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            others = others[(signs[others] == signs[i]).mean(1) >= MIN_AGREEMENT] if len(others) else others
+            if side[i]:
+                break
+            others = _fits(n, signs, i, np.flatnonzero((comp != comp[i]) & (side == 1 if two else True)), percent, agreement)
             if not len(others):
                 continue
             mine = local[start[i] : start[i + 1]]
             mask[mine] = True
-            shared = np.array([np.count_nonzero(mask[local[start[j] : start[j + 1]]]) for j in others])
+            if len(others) > 16:
+                upto = np.concatenate([[0], np.cumsum(mask[local])])
+                shared = upto[start[others + 1]] - upto[start[others]]
+            else:
+                shared = np.array([np.count_nonzero(mask[local[start[j] : start[j + 1]]]) for j in others])
             mask[mine] = False
             for j in others[100 * shared >= percent * (n[others] + n[i] - shared)]:
                 if comp[j] != comp[i]:
                     comp[comp == comp[j]] = comp[i]
                     src.append(ids[i])
                     dst.append(ids[j])
-        return {"src": src, "dst": dst} if src else None
+        return ({"src": src, "dst": dst} if src else None) if cross else _stars(ids, comp)
 
     return work
 
 
-def _regions(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Adds `region` to rows (*group, tree, order, rep, n): prefixes of `order`, deeper where a region is too large."""
-    keys = [*group, "tree"]
-    prefix = lambda depth: F.substring("order", 1, 4 * depth)
-    full = lambda: (F.count("*") > REGION_ROWS) | (F.sum("n") > REGION_SHINGLES)
-    rows = rows.withColumn("region", prefix(MIN_DEPTH))
-    met = cut(rows.groupBy(*keys, "region").agg(F.count("*").alias("rows"), full().alias("full")).where("rows > 1"))
-    rows = cut(rows.join(small(met.drop("rows")), [*keys, "region"]))  # rows alone in a region end here
-    done, rows = rows.where("not full"), rows.where("full")
-    for depth in (MIN_DEPTH + 2, MAX_DEPTH):
-        if rows.isEmpty():
-            return done.drop("full", "order")
-        deeper = rows.drop("full", "parts").withColumn("region", prefix(depth))
-        met = cut(deeper.groupBy(*keys, "region").agg(full().alias("full"), F.greatest(F.count("*") / REGION_ROWS, F.sum("n") / REGION_SHINGLES).alias("parts")))
-        rows = cut(deeper.join(small(met), [*keys, "region"]))
-        done, rows = done.unionByName(rows.where("not full").drop("parts")), rows.where("full")
-    # what shares MAX_DEPTH hashes and is still too large is dealt out by a salt; each tree deals it another way
-    salt = F.pmod(F.xxhash64("rep", "tree"), F.ceil("parts")).cast("string").cast("binary")
-    return done.unionByName(rows.withColumn("region", F.concat("region", F.lit(b"/"), salt)).drop("parts")).drop("full", "order")
-
-
-def _orders(reps: DataFrame) -> DataFrame:
-    """A row per representative and tree with the start of that tree's order of the pool."""
-    twice = F.concat("sign", "sign")
+def _order(tree: Column) -> Column:
+    """The start of a tree's order of the signature."""
+    return F.substring(F.concat("sign", "sign"), tree * 4 * STRIDE + 1, F.lit(4 * MAX_DEPTH))
+
+
+def _blocks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`rows` with a column `block`: bounded runs of neighbours in the order of `keys` and `order`, within equal `keys`.
+
+    Spark sorts by ranges, so a group of any size is spread over partitions; `order` ends in `node`, which ties cannot share.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, held, weight = TaskContext.get().partitionId() << 33, None, 0, 0
+        for batch in batches:
+            found = []
+            for *key, n in zip(*(batch.column(names.index(c)).to_pylist() for c in (*keys, "n"))):
+                if key != last or held >= UNIT_ROWS or weight + n > UNIT_SHINGLES:
+                    block, last, held, weight = block + 1, key, 0, 0
+                held, weight = held + 1, weight + n
+                found.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*names, "block"])
+
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    return rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema + ", block long")
+
+
+def _coarse(slim: DataFrame, percent: int) -> DataFrame:
+    """Coarse groups of `slim` (node, n, sign): rows (node, component), for nodes that meet another."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    return reps.select("rep", "n", "sign", trees).select("rep", "n", "tree", F.substring(twice, F.col("tree") * 4 * STRIDE + 1, F.lit(4 * MAX_DEPTH)).alias("order"))
+    orders = slim.select("node", "sign", trees).select("node", "tree", _order(F.col("tree")).alias("order"))
+    orders = orders.withColumn("region", F.substring("order", 1, 4 * MIN_DEPTH))
+    met = cut(orders.groupBy("tree", "region").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1"))
+    orders = cut(orders.join(small(met), ["tree", "region"]))  # rows alone in a region end here
+    within = orders.where(F.col("rows") <= REGION_ROWS).select("tree", "region", "order", "node").join(slim, "node")
+    links = in_groups(within.select("tree", "region", "order", "node", "n", "sign"), ["tree", "region"], _forest_links(percent), "src long, dst long", ("order",))
+    return components(links.unionByName(orders.where(F.col("rows") > REGION_ROWS).select(F.col("first").alias("src"), F.col("node").alias("dst"))))
+
+
+def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact links of groups of any size: rows (src, dst) that span the connected nodes of each unit of `members`
+    (unit, node, n, sign); `sets` has (node, shingles)."""
+    full = sets.join(members.select("node", "sign"), "node")
+    trees = F.explode(F.array(*[F.lit(k) for k in SORTED])).alias("tree")
+    rows = members.select("unit", "node", "n", "sign", trees).select("unit", "tree", _order(F.col("tree")).alias("order"), "node", "n")
+    near = cut(_blocks(rows, ["unit", "tree"], ["order", "node"]).select("block", "node"))
+    links = cut(in_groups(near.join(full, "node"), ["block"], _exact_links(percent), "src long, dst long"))
+
+    named = members.select("unit", "node", "n").join(small(components(links)), "node", "left").select("unit", "node", "n", F.coalesce("component", "node").alias("label"))
+    sizes = cut(named.groupBy("unit", "label").agg(F.count("*").alias("rows")))
+    core = sizes.groupBy("unit").agg(F.max(F.struct("rows", "label"))["label"].alias("core"), F.count("*").alias("labels")).where("labels > 1")
+    sizes = cut(sizes.join(core, "unit").select("unit", "label", F.when(F.col("rows") >= UNIT_ROWS, F.col("label")).otherwise(-1).alias("part"), (F.col("label") == F.col("core")).alias("core")))
+    apart = named.join(small(sizes), ["unit", "label"]).select("unit", "part", "label", "node", "n", "core")
+    apart = cut(_blocks(apart, ["unit", "part"], ["label", "node"]))
+    # a block whose rows all lie in the largest part meets the others, but none of its like
+    blocks = cut(apart.groupBy("unit", "block", "part").agg((F.first("core") & (F.first("part") >= 0)).alias("core")))
+    left = blocks.where("not core").select("unit", F.col("block").alias("a"), F.col("part").alias("pa"))
+    right = blocks.select("unit", F.col("block").alias("b"), F.col("part").alias("pb"), "core")
+    pairs = cut(left.join(right, "unit").where("(core or a <= b) and (pa < 0 or pa <> pb)").select("a", "b"))
+    rows = apart.select("block", "label", "node")
+    sides = pairs.join(rows.withColumnRenamed("block", "a"), "a").withColumn("side", F.lit(0)).unionByName(pairs.where("a <> b").join(rows.withColumnRenamed("block", "b"), "b").withColumn("side", F.lit(1)))
+    return links.unionByName(in_groups(sides.join(full, "node"), ["a", "b"], _exact_links(percent, True), "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -182,43 +266,64 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     (doc_id, n_shingles, component_id, kept).
 
     Words are ASCII-lower-cased runs of anything but ASCII white space. A text with fewer than `size` words is one
-    shingle; null, empty and blank texts have none, link with nothing and are kept. doc_id must be unique and not null;
-    other columns are ignored. An empty table gives no rows.
+    shingle; null, empty and blank texts have none, link with nothing and are kept. Rows that repeat are each returned,
+    with the same values; rows that share a doc_id but not a text are linked by their texts alone, and each is kept if
+    its own component's smallest doc_id is its own. A row with a null doc_id links with nothing, has a null component_id
+    and is kept. Other columns are ignored. An empty table gives no rows.
+    """
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = cut(asked.mapInArrow(_sign(size), "doc_id long, n long, key binary, sign binary"))
+    reps = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
+    slim = reps.select("node", "n", "sign")
+
+    members = cut(_coarse(slim, percent).join(slim, "node").select(F.col("component").alias("unit"), "node", "n", "sign"))
+    sizes = cut(members.groupBy("unit").agg(((F.count("*") > UNIT_ROWS) | (F.sum("n") > UNIT_SHINGLES)).alias("full")))
+    members = members.join(small(sizes), "unit")
+    wanted = cut(members.select("node", "full").join(reps.select("node", "rep", "key"), "node"))
+    texts = asked.join(small(wanted.select(F.col("rep").alias("doc_id"), "node", "key", "full")), "doc_id").select("node", "key", "full", "text")
+    sets = texts.mapInArrow(_sets(size), "node long, full boolean, shingles binary")
+    units = sets.where("not full").join(members.where("not full").select("unit", "node", "sign"), "node")
+    links = in_groups(units.select("unit", "node", "sign", "shingles"), ["unit"], _exact_links(percent), "src long, dst long")
+    if not sizes.where("full").isEmpty():
+        large = cut(members.where("full").select("unit", "node", "n", "sign"))
+        links = links.unionByName(_large_links(large, cut(sets.where("full").select("node", "shingles")), percent))
+
+    # a component is named by the smallest doc_id of its texts
+    linked = cut(components(links).join(reps.select("node", "rep"), "node"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = cut(linked.join(least, "component").select("node", "least"))
+    classes = reps.join(small(linked), "node", "left").select("key", F.coalesce("least", "rep").alias("class"))
+    named = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")
+    component = F.coalesce("class", "doc_id")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def first_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without near copies: of each component the rows of its smallest doc_id, with all columns.
+
+    Rows that repeat a doc_id and a text stay once, any one of them; rows that share a doc_id but not a text go only if
+    none of their texts leads its component. Rows with a null doc_id and, unless they repeat, those without words stay.
     """
-    signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign(size), "doc_id long, n long, key binary, sign binary"))
-    reps = cut(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sign").alias("sign")))
-    slim = reps.select("rep", "n", "sign")
-    regions = _regions(_orders(slim), []).drop("n").join(slim, "rep")
-    coarse = components(in_groups(regions.select("tree", "region", "rep", "n", "sign"), ["tree", "region"], _forest_links(percent), "src long, dst long"))
-    members = cut(coarse.join(slim, coarse.node == slim.rep).select(F.col("component").alias("unit"), "rep", "n", "sign"))
-    size_of = cut(members.groupBy("unit").agg(((F.count("*") > REGION_ROWS) | (F.sum("n") > REGION_SHINGLES)).alias("full")))
-    members = members.join(small(size_of), "unit")
-    units = members.where("not full").select("unit", F.lit(-1).alias("tree"), F.lit(b"").alias("region"), "rep", "sign")
-    if not size_of.where("full").isEmpty():
-        large = members.where("full").select("unit", "rep", "n", "sign")
-        dealt = _regions(_orders(large).join(large.select("unit", "rep"), "rep"), ["unit"]).select("unit", "tree", "region", "rep")
-        units = units.unionByName(dealt.join(large.select("rep", "sign"), "rep"))
-    units = cut(units)
-    wanted = cut(units.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(wanted), "doc_id")
-    sets = texts.mapInArrow(_sets(size), "rep long, shingles binary")
-    links = in_groups(sets.join(units, "rep").select("unit", "tree", "region", "rep", "sign", "shingles"), ["unit", "tree", "region"], _exact_links(percent), "src long, dst long")
-    joined = components(links)
-    classes = reps.join(small(joined), reps.rep == joined.node, "left").select("key", F.coalesce("component", "rep").alias("class"))
-    # a class is named by its smallest representative, which is the smallest id of its texts
-    return signed.join(classes, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"), (F.coalesce("class", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+    found = near_duplicates(docs, size, percent).where("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    ids = cut(ids.where("not _kept or _rows > 1"))
+    rest = docs.join(small(ids.select("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    again = docs.join(small(ids.where("_kept").select("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    return rest.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def _sets(size: int):
+    """Full sets of the texts that have the digest `key`; others share their doc_id only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(text.as_py(), size, words).tobytes() for text in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+                sets = [shingle_set(text.as_py(), size, words).tobytes() for text in part.column(3)]
+                right = pa.array([xxhash.xxh3_128_digest(x) == key for x, key in zip(sets, part.column(1).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], ["node", "full", "shingles"]).filter(right)
 
     return run
 

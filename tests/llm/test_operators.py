@@ -66,16 +66,51 @@ def brute_components(n, linked):
     return [find(x) for x in range(n)]
 
 
-@pytest.mark.parametrize("region", [2048, 4])
-def test_near_duplicates(docs, texts, monkeypatch, region):
-    monkeypatch.setattr(near_dup, "REGION_ROWS", region)
-    sets = [shingles(t, 3) for t in texts]
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+@pytest.mark.parametrize("bound", [1024, 4])
+def test_near_duplicates(docs, texts, monkeypatch, bound):
+    monkeypatch.setattr(near_dup, "REGION_ROWS", bound)
+    monkeypatch.setattr(near_dup, "UNIT_ROWS", bound)
+    check_near_duplicates(docs, texts, 3, 85)
+
+
+def check_near_duplicates(docs, texts, size, percent):
+    sets = [shingles(t, size) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = brute_components(len(sets), links)
-    got = {r.doc_id: r for r in near_dup.near_duplicates(docs, 3, 85).collect()}
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs, size, percent).collect()}
     assert len(got) == len(texts)
     for i in range(len(texts)):
         assert got[i].n_shingles == len(sets[i]) and got[i].component_id == want[i] and got[i].kept == (want[i] == i)
+    return want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_beyond_the_bounds(spark, monkeypatch, percent):
+    """A group far beyond the bounds, of versions that drift apart, with rows close to the threshold: nothing is lost."""
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 24)
+    monkeypatch.setattr(near_dup, "UNIT_ROWS", 16)
+    rng = random.Random(8)
+    base = prose(rng, 120).split()
+    texts = []
+    for _ in range(260):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 7, 9])):
+            words[rng.randrange(len(words))] = rng.choice(WORDS) + str(rng.randrange(50))
+        texts.append(" ".join(words))
+    want = check_near_duplicates(table(spark, texts), texts, 5, percent)
+    assert 3 < len(set(want)) < 200
+
+
+def test_near_duplicates_of_odd_ids(spark, texts):
+    """Null and repeated ids; two texts under one id."""
+    a, b, c = texts[5], texts[6], texts[7]
+    rows = spark.createDataFrame([(None, a), (3, a), (3, a), (2, a), (7, b), (7, c), (8, b), (6, c), (9, None), (9, None), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(rows, 3, 85).collect()), key=repr)
+    n = [len(shingles(x, 3)) for x in (a, b, c)]
+    want = [(None, n[0], None, True), (3, n[0], 2, False), (3, n[0], 2, False), (2, n[0], 2, True), (7, n[1], 7, True), (7, n[2], 6, False), (8, n[1], 7, False), (6, n[2], 6, True), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+    left = sorted(((r.doc_id, r.text) for r in near_dup.first_copies(rows, 3, 85).collect()), key=repr)
+    assert left == sorted([(None, a), (2, a), (7, b), (7, c), (6, c), (9, None), (None, None)], key=repr)
 
 
 def test_empty_tables(spark, empty):
@@ -97,6 +132,19 @@ def test_components(spark):
     assert got == {i: 0 for i in range(9)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A chain of 1,000 in the order of ids, and one in a mixed order, take few steps."""
+    steps, real = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: steps.append(1) or real(df))
+    order = list(range(2000, 2400))
+    random.Random(2).shuffle(order)
+    chain = [(i, i + 1) for i in range(1000)]
+    got = dict(common.components(spark.createDataFrame(chain, "src long, dst long")).collect())
+    assert got == {i: 0 for i in range(1001)} and len(steps) <= 12
+    got = dict(common.components(spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long")).collect())
+    assert got == {i: 2000 for i in order} and len(steps) <= 60
+
+
 def test_token_counts(spark, docs, texts, monkeypatch):
     import sentencepiece
 
