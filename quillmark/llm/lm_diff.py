@@ -1,126 +1,190 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background trigram model share one vocabulary, `SYMBOLS` classes of UTF-8 bytes, so that both tables are
-exact and of a fixed size however large the corpora: words of a web-sized corpus would need pruned or colliding
-tables. Tasks count all bytes of their texts into partial tables, Spark sums them by cell, and the two summed tables,
-bounded by the number of cells, turn into log probabilities that go to all tasks. A byte's probability interpolates its
-trigram, bigram and unigram shares with a distribution that both models fall back to. A document's score is the mean
-difference of the target's and the background's loss: the lower, the more like the target.
+A target and a background bigram model share one vocabulary, all words of the corpus, and are smoothed alike:
+p(w | v) = (c(vw) + MU p(w)) / (c(v) + MU) with p(w) = (c(w) + HALF) / (n + HALF V). Counts are exact and their table grows
+with the corpus; a document is always scored without its own occurrences, so that neither model has seen it. A
+document's score is the mean over its words of the target's loss less the background's: the lower, the more like the
+target.
+
+Documents are dealt to batches of bounded size. A batch counts its distinct words and word pairs and sends them, packed
+in arrays and cut by key range, to the tasks that own the ranges; these sum the batches' counts and answer each batch
+with the totals of those keys that occur elsewhere too. A batch then meets its answers and scores its documents. A
+frequent word is one entry of each batch, so no key is hot, and no table of counts is sent to all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small
+from .common import cut, in_groups, ship, small
 
 ship(__name__)
 
-#: Symbols: printable ASCII, line end, tab, other control characters, and other bytes by their low five bits.
-SYMBOLS = 130
-#: Weights of the trigram, bigram, unigram and shared distribution.
-WEIGHTS = (0.6, 0.25, 0.1, 0.05)
-
-_CODE = np.full(256, 97, np.int32)
-_CODE[32:127] = np.arange(95)
-_CODE[10], _CODE[9] = 95, 96
-_CODE[128:] = 98 + (np.arange(128, 256) & 31)
-
-
-def cells(text: str) -> np.ndarray:
-    """The trigram cell of each byte of a text; a text starts after two line ends."""
-    code = np.concatenate([[95, 95], _CODE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]])
-    return (code[:-2] * SYMBOLS + code[1:-1]) * SYMBOLS + code[2:]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's counts: rows (cell, background, target) of cells that occur."""
-    tables = np.zeros((2, SYMBOLS**3), np.int64)
-    for batch in batches:
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
-
-        def add() -> None:
-            for is_target in (0, 1):
-                if held[is_target]:
-                    found = np.bincount(np.concatenate(held[is_target]), minlength=SYMBOLS**3)
-                    tables[0] += found
-                    if is_target:
-                        tables[1] += found
-                    held[is_target].clear()
-
-        for text, is_target in zip(batch.column(0), batch.column(1)):
-            if value := text.as_py():
-                held[int(is_target.as_py())].append(cells(value))
-                size += len(value)
-                if size > 4_000_000:
-                    add()
-                    size = 0
-        add()
-    at = np.flatnonzero(tables[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(tables[0][at]), pa.array(tables[1][at])], ["cell", "background", "target"])
-
-
-def fit_models(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Trigram counts of both models, int64 (2, SYMBOLS^3): background over all of `docs`, target over the rows of
-    `docs` whose doc_id is in `target`."""
-    chosen = small(cut(target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()), 2_000_000)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = rows.join(chosen.withColumn("chosen", F.lit(True)), "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    summed = marked.mapInArrow(_count, "cell long, background long, target long").groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    tables = np.zeros((2, SYMBOLS**3), np.int64)
-    found = summed.toArrow()
-    at = found.column("cell").to_numpy()
-    tables[0][at], tables[1][at] = found.column("background").to_numpy(), found.column("target").to_numpy()
-    return tables
-
-
-def log_probabilities(tables: np.ndarray) -> np.ndarray:
-    """Natural log of each cell's conditional probability in both models, float32 (2, SYMBOLS^3)."""
-    cube = tables.reshape(2, SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
-    shared = (cube[0].sum((0, 1)) + 1) / (cube[0].sum() + SYMBOLS)
-    out = np.empty((2, SYMBOLS**3), np.float32)
-    for k in (0, 1):
-        p = np.broadcast_to(shared, (SYMBOLS, SYMBOLS, SYMBOLS)).copy()
-        for weight, axes in zip(WEIGHTS[2::-1], ((0, 1), (0,), ())):
-            counts = cube[k].sum(axes, keepdims=True) if axes else cube[k]
-            total = counts.sum(-1, keepdims=True)
-            # each order mixes with the next lower one where its context was seen
-            own = weight / (weight + sum(WEIGHTS[WEIGHTS.index(weight) + 1 :]))
-            p = np.where(total > 0, own * counts / np.maximum(total, 1) + (1 - own) * p, p)
-        out[k] = np.log(p).ravel()
-    return out
-
-
-def _score(tables):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = tables.value
-        for batch in batches:
-            sizes, of_target, of_background = [], [], []
-            for text in batch.column(1):
-                value = text.as_py()
-                at = cells(value) if value else ()
-                sizes.append(len(at))
-                of_target.append(-float(target[at].mean(dtype=np.float64)) if len(at) else None)
-                of_background.append(-float(background[at].mean(dtype=np.float64)) if len(at) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_target, pa.float64()), pa.array(of_background, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    return run
+#: Smoothing: weight of the word's own share in a pair's, and the count added to each word.
+MU, HALF = 0.5, 0.5
+#: Bytes of text of a batch, and for each range of keys.
+BATCH_BYTES, RANGE_BYTES = 24 << 20, 8 << 20
+START = b""
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case runs of anything but ASCII white space."""
+    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+
+
+class _Words(dict):
+    """64-bit digests of words, the last bit off."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word) & ~1
+        return value
+
+
+class _Batch:
+    """Tokens of a batch: `keys`, sorted and distinct, of words (even) and pairs (odd); of each token its document and
+    its places in `keys`, the start mark of each text included."""
+
+    def __init__(self, texts: list[str | None], target: np.ndarray):
+        digest = _Words()
+        parts = [[START, *found] if (found := words_of(text)) else [] for text in texts]
+        size = np.array([len(part) for part in parts], np.int64)
+        word = np.fromiter((digest[x] for part in parts for x in part), np.uint64, int(size.sum()))
+        self.doc = np.repeat(np.arange(len(texts)), size)
+        self.first = np.zeros(len(word), bool)
+        self.first[(np.cumsum(size) - size)[size > 0]] = True
+        pair = np.zeros_like(word)
+        pair[1:] = ((word[:-1] ^ (word[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) ^ (word[1:] * np.uint64(0xD6E8FEB86659FD93))
+        pair = (pair ^ (pair >> np.uint64(32))) | np.uint64(1)
+        self.later = np.flatnonzero(~self.first)
+        self.keys, at = np.unique(np.concatenate([word, pair[self.later]]), return_inverse=True)
+        at = at.ravel()
+        self.word, self.pair = at[: len(word)], at[len(word) :]
+        self.counts = np.zeros((2, len(self.keys)), np.int64)
+        self.size, self.target = size, target
+        for k, own in enumerate((np.ones(len(texts)), target)):
+            self.counts[k] = np.bincount(self.word, own[self.doc], len(self.keys)) + np.bincount(self.pair, own[self.doc[self.later]], len(self.keys))
+
+    def own(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each token's key occurs in its own document."""
+        _, back, count = np.unique(doc * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return count[back.ravel()]
+
+    def losses(self, totals: dict) -> np.ndarray:
+        """(2, documents): mean loss of the background and of the target model; nan without words."""
+        later, word, doc = self.later, self.word, self.doc
+        own_word, own_pair = self.own(doc, word), self.own(doc[later], self.pair)
+        out = np.full((2, len(self.size)), np.nan)
+        n = np.maximum(self.size - 1, 0)
+        for k, mine in enumerate((np.ones(len(self.size)), self.target)):
+            own = mine[doc[later]]
+            alone = (self.counts[k][word[later]] - own * own_word[later] + HALF) / (totals["n"][k] - own * self.size[doc[later]] + HALF * totals["types"])
+            context = self.counts[k][word[later - 1]] - own * own_word[later - 1]
+            p = (self.counts[k][self.pair] - own * own_pair + MU * alone) / (context + MU)
+            out[k][n > 0] = np.bincount(doc[later], -np.log(p), len(n))[n > 0] / n[n > 0]
+        return out
+
+
+def _texts(group: pa.Table) -> _Batch:
+    return _Batch(group.column("text").to_pylist(), group.column("target").to_numpy().astype(np.float64))
+
+
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    return values.astype(kind).tobytes()
+
+
+def _asked(bits: int):
+    """A batch's counts, a row for each range of keys that it holds."""
+
+    def work(group: pa.Table) -> dict | None:
+        batch = _texts(group)
+        if not len(batch.keys):
+            return None
+        ranges = (batch.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(batch.keys), np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        ends = [*starts[1:], len(ranges)]
+        cuts = [slice(a, b) for a, b in zip(starts, ends)]
+        return {
+            "range": ranges[starts], "batch": np.full(len(starts), group.column("batch")[0].as_py()),
+            "keys": pa.array([batch.keys[x].tobytes() for x in cuts], pa.binary()),
+            **{name: pa.array([_packed(batch.counts[k][x], "u4") for x in cuts], pa.binary()) for k, name in enumerate(("background", "target"))},
+        }
+
+    return work
+
+
+def _answered(group: pa.Table) -> dict | None:
+    """Sums a range's counts and answers each batch; a row of batch -1 has the range's words and their counts."""
+    every = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
+    counts = [np.concatenate([np.frombuffer(x, "u4") for x in group.column(name).to_pylist()]).astype(np.int64) for name in ("background", "target")]
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    at = at.ravel()
+    sums = [np.bincount(at, c, len(keys)).astype(np.int64) for c in counts]
+    found: dict[str, list] = {"batch": [-1], "keys": [b""], "background": [b""], "target": [b""]}
+    begin = 0
+    for batch, own in zip(group.column("batch").to_pylist(), every):
+        part = slice(begin, begin + len(own))
+        begin += len(own)
+        place = at[part]
+        elsewhere = sums[0][place] != counts[0][part]
+        if elsewhere.any():
+            for name, value in zip(found, (batch, own[elsewhere].tobytes(), _packed(sums[0][place[elsewhere]], "u8"), _packed(sums[1][place[elsewhere]], "u8"))):
+                found[name].append(value)
+    words = keys % np.uint64(2) == 0
+    about = {"types": int(words.sum()), "n_background": int(sums[0][words].sum()), "n_target": int(sums[1][words].sum())}
+    rows = len(found["batch"])
+    return {"batch": np.array(found["batch"])} | {name: pa.array(found[name], pa.binary()) for name in ("keys", "background", "target")} | {name: pa.array([value] + [0] * (rows - 1), pa.int64()) for name, value in about.items()}
+
+
+def _scored(totals: dict):
+    """Scores a batch's documents; rows without a text are its answers."""
+
+    def work(group: pa.Table) -> dict | None:
+        answers = group.column("answer").to_numpy(zero_copy_only=False).astype(bool)
+        texts = group.filter(pa.array(~answers))
+        if not texts.num_rows:
+            return None
+        batch = _texts(texts)
+        for keys, *sums in zip(*(group.filter(pa.array(answers)).column(name).to_pylist() for name in ("keys", "background", "of_target"))):
+            at = np.searchsorted(batch.keys, np.frombuffer(keys, np.uint64))
+            for k, found in enumerate(sums):
+                batch.counts[k][at] = np.frombuffer(found, "u8")
+        background, target = (pa.array(x, pa.float64(), mask=np.isnan(x)) for x in batch.losses(totals))
+        return {"doc_id": texts.column("doc_id").combine_chunks(), "n_tokens": np.maximum(batch.size - 1, 0), "target_loss": target, "background_loss": background}
+
+    return work
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference) of each row of `docs`, in nats a byte.
+    """(doc_id, n_tokens, target_loss, background_loss, difference) of each row of `docs`, in nats a word.
 
-    `target` names by doc_id the rows of `docs` of the target corpus. Null and empty texts have 0 tokens and null
-    losses. With an empty target corpus the target model is the shared fallback. Rows that repeat are each counted and
-    returned; a null doc_id is never a target; other columns are ignored; an empty table gives no rows.
+    `target` names by doc_id the rows of `docs` of the target corpus; all of `docs` are the background. Null, empty and
+    blank texts have 0 tokens and null losses. With an empty target corpus the target model holds all words alike. Rows
+    that repeat are each counted and returned; a null doc_id is never a target; other columns are ignored; an empty table
+    gives no rows.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(log_probabilities(fit_models(docs, target)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_score(tables), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches, bits = max(1, math.ceil(size / BATCH_BYTES)), max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
+    chosen = small(cut(target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()))
+    marked = asked.join(chosen.withColumn("target", F.lit(1)), "doc_id", "left")
+    rows = marked.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+
+    counts = in_groups(rows, ["batch"], _asked(bits), "range long, batch long, keys binary, background binary, target binary")
+    schema = "batch long, keys binary, background binary, target binary, types long, n_background long, n_target long"
+    answers = cut(in_groups(counts, ["range"], _answered, schema))
+    sums = answers.where("batch < 0").agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("types", "n_background", "n_target")]).first()
+    totals = {"types": sums["types"], "n": (sums["n_background"], sums["n_target"])}
+
+    def none(kind: str) -> Column:
+        return F.lit(None).cast(kind)
+
+    texts = rows.select("batch", F.lit(False).alias("answer"), "doc_id", "text", "target", none("binary").alias("keys"), none("binary").alias("background"), none("binary").alias("of_target"))
+    known = answers.where("batch >= 0").select("batch", F.lit(True).alias("answer"), none("long"), none("string"), F.lit(0), "keys", "background", "target")
+    found = in_groups(texts.union(known), ["batch"], _scored(totals), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return found.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -317,23 +317,35 @@ def test_mixing(spark, docs):
     assert set(docs.columns) | {"copies"} == set(taken.columns)
 
 
-def test_language_models(spark, docs, texts):
-    target = spark.createDataFrame([(5,), (6,), (None,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_diff.cross_entropy_difference(docs, target).collect()}
-    assert len(got) == len(texts) and got[0].difference is None and got[1].n_tokens == 0
-    tables = np.zeros((2, lm_diff.SYMBOLS**3), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            np.add.at(tables[0], lm_diff.cells(text), 1)
-            if i in (5, 6):
-                np.add.at(tables[1], lm_diff.cells(text), 1)
-    logs = lm_diff.log_probabilities(tables)
-    sums = np.exp(logs.astype(np.float64)).reshape(2, -1, lm_diff.SYMBOLS).sum(-1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    for i, text in enumerate(texts):
-        if text:
-            assert got[i].target_loss == pytest.approx(-logs[1][lm_diff.cells(text)].mean(), abs=1e-5)
-    assert got[5].difference < got[13].difference + 1
+@pytest.mark.parametrize("bound", [1 << 20, 300])
+def test_language_models(spark, docs, texts, monkeypatch, bound):
+    """Against counts in plain dicts, a document's own words left out; many batches and ranges count as one."""
+    from collections import Counter
+    from math import log
+
+    monkeypatch.setattr(lm_diff, "BATCH_BYTES", bound)
+    monkeypatch.setattr(lm_diff, "RANGE_BYTES", bound)
+    chosen = {5, 6, 13}
+    every = docs.union(docs.where("doc_id in (6, 9)")).union(table(spark, [texts[11] * 20]).withColumn("doc_id", F.lit(None).cast("long")))
+    target = spark.createDataFrame([(5,), (6,), (13,), (None,)], "doc_id long")
+    rows = [(r.doc_id, [""] + r.text.lower().encode().split() if (r.text or "").split() else []) for r in every.collect()]
+    count = lambda words: Counter(words) + Counter(zip(words, words[1:]))
+    models = [sum((count(w) for _, w in rows), Counter()), sum((count(w) for i, w in rows if i in chosen), Counter())]
+    vocabulary = {x for _, w in rows for x in w}
+    sizes = [sum(c for x, c in model.items() if x in vocabulary) for model in models]
+
+    def loss(model, size, own, words):
+        left, n = model - own, size - sum(c for x, c in own.items() if x in vocabulary)
+        p = lambda v, w: (left[v, w] + 0.5 * (left[w] + 0.5) / (n + 0.5 * len(vocabulary))) / (left[v] + 0.5)
+        return -sum(log(p(v, w)) for v, w in zip(words, words[1:])) / (len(words) - 1)
+
+    want = []
+    for i, w in rows:
+        own = [count(w), count(w) if i in chosen else Counter()]
+        want.append((i, max(0, len(w) - 1), *(round(loss(models[k], sizes[k], own[k], w), 6) if w else None for k in (1, 0))))
+    got = lm_diff.cross_entropy_difference(every, target).collect()
+    assert sorted(((r.doc_id, r.n_tokens, *(None if x is None else round(x, 6) for x in (r.target_loss, r.background_loss))) for r in got), key=repr) == sorted(want, key=repr)
+    assert all((r.difference is None) == (r.n_tokens == 0) for r in got)
 
 
 def test_pipeline(spark):
