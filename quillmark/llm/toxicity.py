@@ -62,24 +62,17 @@ class Ties(dict):
         return sorted({k for found in hits for k in found}) + steps
 
 
-def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the minimum hash of the word pairs of each text."""
-    for batch in batches:
-        least = []
-        for text in batch.column(1).to_pylist():
-            words = words_of(text)
-            least.append(min(xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:] or [""])) if words else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc_id", "text", "label", "least"])
-
-
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words and beginnings of each text, with the minimum hash of its word pairs, which near copies share."""
     for batch in batches:
-        labels, words = [], []
+        labels, parts, least = [], [], []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = {part for word in set(words_of(text)) for part in parts_of(word)}
-            words.extend(found)
+            words = words_of(text)
+            found = {part for word in set(words) for part in parts_of(word)}
+            parts.extend(found)
             labels.extend([label] * len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
+            least.extend([min((xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:])), default=0)] * len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(least, pa.int64()), pa.array(labels, pa.int32())], ["word", "least", "label"])
 
 
 def _presence(vocabulary: dict[str, int]):
@@ -99,14 +92,15 @@ def _presence(vocabulary: dict[str, int]):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     """A model learned from at most `rows` labelled rows that are not held out, those with the smallest seeded digests
-    of doc_id: {"words", "weights", "cuts"}. Copies would tie their common words to one label, so rows whose word pairs
-    have the same minimum hash count once. Without rows of both labels it finds nothing toxic."""
+    of doc_id: {"words", "weights", "cuts"}. All of them are learned from, exact copies once. Near copies would tie their
+    common words to one label, so a feature's support counts texts with the same minimum hash of word pairs once.
+    Without rows of both labels it finds nothing toxic."""
     known = labels.where("toxic is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = sampled(known, "doc_id", rows, "toxicity:")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("doc_id", "text", "label").mapInArrow(_least, "doc_id long, text string, label int, least long")
-    texts = cut(texts.groupBy("least").agg(F.min_by(F.struct("text", "label"), "doc_id").alias("row")).select("row.text", "row.label"))
-    counts = texts.mapInArrow(_distinct, "word string, label int").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    texts = cut(texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("text", "label"))
+    support = texts.mapInArrow(_distinct, "word string, least long, label int").groupBy("word", "least").agg(F.max("label").alias("label"))
+    counts = support.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
     none = {"words": {}, "weights": np.zeros(0), "cuts": np.full(GRADES, 10.0)}
     if not 0 < size.bad < size.n:
