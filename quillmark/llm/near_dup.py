@@ -4,7 +4,7 @@ Every text becomes a set of hashed word shingles with a pool of 64 minimum hashe
 first, so that copies cost one row, a node. A tree is one sorted order of the signatures (tree t reads the pool from hash
 4 t on). Rows that share `MIN_DEPTH` hashes in a tree are a region of neighbours in its order. In a region, rows meet
 their neighbours of the longest common prefix first and then, prefix by prefix, all others of the region that are not
-yet connected to them: depth adapts to each region's density. Rows whose signatures agree in a share of the pool that
+yet connected to them: depth adapts to each region's density. Regions whose rows earlier trees connected are not visited. Rows whose signatures agree in a share of the pool that
 hardly a linked pair falls below, and whose sizes allow a link, are joined to coarse groups; a region of more than
 `REGION_ROWS` rows is a coarse group as it stands. A coarse group's full sets are then compared exactly.
 
@@ -39,6 +39,8 @@ ship(__name__)
 POOL, TREES, STRIDE, MIN_DEPTH, MAX_DEPTH = 64, 16, 4, 3, 8
 #: Rows of a region that meet in one task; rows and shingles of a block or of a group compared in one task.
 REGION_ROWS, UNIT_ROWS, UNIT_SHINGLES = 1024, 1024, 4_000_000
+#: Trees that are searched before the others.
+FIRST_TREES = 4
 #: Trees along whose orders the blocks of a larger group are cut.
 SORTED = (0, 5, 10)
 KNOWN_WORDS = 1_000_000
@@ -135,7 +137,7 @@ def _forest_links(percent: int):
         signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint32).reshape(len(ids), POOL)
         order = np.frombuffer(b"".join(group.column("order").to_pylist()), np.uint32).reshape(len(ids), MAX_DEPTH)
         common = np.cumprod(order[1:] == order[:-1], 1).sum(1)
-        comp = np.arange(len(ids))
+        comp = np.unique(group.column("label").to_numpy(), return_inverse=True)[1].ravel()
         for depth in sorted(set(common.tolist()), reverse=True):
             for run in np.split(np.arange(len(ids)), np.flatnonzero(common < depth) + 1):
                 for at in run if len(run) > 1 else ():
@@ -224,16 +226,27 @@ def _blocks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema + ", block long")
 
 
-def _coarse(slim: DataFrame, percent: int) -> DataFrame:
-    """Coarse groups of `slim` (node, n, sign): rows (node, component), for nodes that meet another."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    orders = slim.select("node", "sign", trees).select("node", "tree", _order(F.col("tree")).alias("order"))
+def _met(slim: DataFrame, trees: range, percent: int) -> DataFrame:
+    """Links (src, dst) of rows of `slim` (node, n, sign, label) that meet in a region of one of `trees` with a row of
+    another label; rows of one label are connected already."""
+    tree = F.explode(F.array(*[F.lit(k) for k in trees])).alias("tree")
+    orders = slim.select("node", "label", "sign", tree).select("node", "label", "tree", _order(F.col("tree")).alias("order"))
     orders = orders.withColumn("region", F.substring("order", 1, 4 * MIN_DEPTH))
-    met = cut(orders.groupBy("tree", "region").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1"))
-    orders = cut(orders.join(small(met), ["tree", "region"]))  # rows alone in a region end here
-    within = orders.where(F.col("rows") <= REGION_ROWS).select("tree", "region", "order", "node").join(slim, "node")
-    links = in_groups(within.select("tree", "region", "order", "node", "n", "sign"), ["tree", "region"], _forest_links(percent), "src long, dst long", ("order",))
-    return components(links.unionByName(orders.where(F.col("rows") > REGION_ROWS).select(F.col("first").alias("src"), F.col("node").alias("dst"))))
+    about = orders.groupBy("tree", "region").agg(F.count("*").alias("rows"), F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = cut(about.where("low <> high").select("tree", "region", "rows", "first"))
+    orders = cut(orders.join(small(met), ["tree", "region"]))
+    within = orders.where(F.col("rows") <= REGION_ROWS).select("tree", "region", "order", "label", "node").join(slim.select("node", "n", "sign"), "node")
+    links = in_groups(within.select("tree", "region", "order", "label", "node", "n", "sign"), ["tree", "region"], _forest_links(percent), "src long, dst long", ("order",))
+    return cut(links.unionByName(orders.where(F.col("rows") > REGION_ROWS).select(F.col("first").alias("src"), F.col("node").alias("dst"))))
+
+
+def _coarse(slim: DataFrame, percent: int) -> DataFrame:
+    """Coarse groups of `slim` (node, n, sign): rows (node, component), for nodes that meet another. The first trees join
+    what is dense, so that the others only visit regions in which two groups meet."""
+    first = _met(slim.withColumn("label", F.col("node")), range(FIRST_TREES), percent)
+    labels = small(cut(components(first)))
+    named = slim.join(labels, "node", "left").select("node", "n", "sign", F.coalesce("component", "node").alias("label"))
+    return components(first.unionByName(_met(named, range(FIRST_TREES, TREES), percent)))
 
 
 def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
