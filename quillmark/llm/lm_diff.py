@@ -6,19 +6,24 @@ with the corpus; a document is always scored without its own occurrences, so tha
 document's score is the mean over its words of the target's loss less the background's: the lower, the more like the
 target.
 
-Documents are dealt to batches of bounded size. A batch counts its distinct words and word pairs and sends them, packed
-in arrays and cut by key range, to the tasks that own the ranges; these sum the batches' counts and answer each batch
-with the totals of those keys that occur elsewhere too. A batch then meets its answers and scores its documents. A
-frequent word is one entry of each batch, so no key is hot, and no table of counts is sent to all tasks.
+Tasks cut the documents they read into batches of bounded size. A batch counts its distinct words and word pairs and
+sends them, packed in arrays and cut by key range, to the tasks that own the ranges; these sum the batches' counts and
+answer each batch with the totals of those keys that occur elsewhere too. The documents are then dealt by batch, meet
+their batch's answers and are scored. A frequent word is one entry of each batch, so no key is hot, and no table of
+counts is sent to all tasks. Keys are digests of 40 bits within a range; ranges grow in number with the corpus, so that
+a key meets a foreign one with a chance of some 1e-6 at any size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +34,10 @@ ship(__name__)
 #: Smoothing: weight of the word's own share in a pair's, and the count added to each word.
 MU, HALF = 0.5, 0.5
 #: Bytes of text of a batch, and for each range of keys.
-BATCH_BYTES, RANGE_BYTES = 24 << 20, 8 << 20
+BATCH_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 START = b""
+#: Bits of a key within its range.
+KEY_BITS = 40
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,20 +54,24 @@ class _Words(dict):
 
 
 class _Batch:
-    """Tokens of a batch: `keys`, sorted and distinct, of words (even) and pairs (odd); of each token its document and
-    its places in `keys`, the start mark of each text included."""
-
-    def __init__(self, texts: list[str | None], target: np.ndarray):
-        digest = _Words()
-        parts = [[START, *found] if (found := words_of(text)) else [] for text in texts]
+    """Tokens of a batch: `keys`, sorted and distinct, of words (even) and pairs (odd), of KEY_BITS and `bits` bits; of
+    each token its document and its places in `keys`, the start mark of each text included."""
+
+    def __init__(self, texts: pa.ChunkedArray, target: np.ndarray, bits: int):
+        digest, parts = _Words(), []
+        for text in texts:
+            found = words_of(text.as_py())
+            parts.append(np.fromiter(map(digest.__getitem__, [START, *found]), np.uint64, len(found) + 1) if found else np.empty(0, np.uint64))
         size = np.array([len(part) for part in parts], np.int64)
-        word = np.fromiter((digest[x] for part in parts for x in part), np.uint64, int(size.sum()))
+        word = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        del parts, digest
         self.doc = np.repeat(np.arange(len(texts)), size)
         self.first = np.zeros(len(word), bool)
         self.first[(np.cumsum(size) - size)[size > 0]] = True
         pair = np.zeros_like(word)
         pair[1:] = ((word[:-1] ^ (word[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) ^ (word[1:] * np.uint64(0xD6E8FEB86659FD93))
-        pair = (pair ^ (pair >> np.uint64(32))) | np.uint64(1)
+        pair = ((pair ^ (pair >> np.uint64(32))) | np.uint64(1)) & np.uint64(2 ** (KEY_BITS + bits) - 1)
+        word &= np.uint64(2 ** (KEY_BITS + bits) - 1)
         self.later = np.flatnonzero(~self.first)
         self.keys, at = np.unique(np.concatenate([word, pair[self.later]]), return_inverse=True)
         at = at.ravel()
@@ -90,70 +101,105 @@ class _Batch:
         return out
 
 
-def _texts(group: pa.Table) -> _Batch:
-    return _Batch(group.column("text").to_pylist(), group.column("target").to_numpy().astype(np.float64))
+    def slices(self, bits: int) -> tuple[np.ndarray, list[slice]]:
+        """The ranges of keys that occur, and the part of `keys` in each."""
+        ranges = (self.keys >> np.uint64(KEY_BITS)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else np.empty(0, np.int64)
+        return ranges[starts], [slice(a, b) for a, b in zip(starts, [*starts[1:], len(ranges)])]
+
+
+def _low(keys: np.ndarray) -> bytes:
+    """The bits of keys within their range, five bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // (KEY_BITS // 8), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8").ravel()
 
 
-def _packed(values: np.ndarray, kind: str) -> bytes:
-    return values.astype(kind).tobytes()
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of runs of a task's rows that end where BATCH_BYTES of text are reached."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        length = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+        ends = np.cumsum([0 if x is None else x for x in pc.binary_length(length).to_pylist()]) if batch.num_rows else []
+        begin, base = 0, 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(ends, base + BATCH_BYTES - size)) + 1
+            held.append(batch.slice(begin, end - begin))
+            last = min(end, batch.num_rows) - 1
+            size, base, begin = size + int(ends[last]) - base, int(ends[last]), last + 1
+            if size >= BATCH_BYTES:
+                yield number, pa.Table.from_batches(held)
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held)
 
 
 def _asked(bits: int):
-    """A batch's counts, a row for each range of keys that it holds."""
+    """Each batch's counts, a row for each range of keys that it holds."""
 
-    def work(group: pa.Table) -> dict | None:
-        batch = _texts(group)
-        if not len(batch.keys):
-            return None
-        ranges = (batch.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(batch.keys), np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
-        ends = [*starts[1:], len(ranges)]
-        cuts = [slice(a, b) for a, b in zip(starts, ends)]
-        return {
-            "range": ranges[starts], "batch": np.full(len(starts), group.column("batch")[0].as_py()),
-            "keys": pa.array([batch.keys[x].tobytes() for x in cuts], pa.binary()),
-            **{name: pa.array([_packed(batch.counts[k][x], "u4") for x in cuts], pa.binary()) for k, name in enumerate(("background", "target"))},
-        }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _batches(batches):
+            batch = _Batch(rows.column("text"), rows.column("target").to_numpy(), bits)
+            ranges, cuts = batch.slices(bits)
+            counts = [pa.array([batch.counts[k][x].astype("u4").tobytes() for x in cuts], pa.binary()) for k in (0, 1)]
+            columns = [pa.array(ranges), pa.array(np.full(len(ranges), number)), pa.array([_low(batch.keys[x]) for x in cuts], pa.binary()), *counts]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "batch", "keys", "background", "target"])
 
-    return work
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their batch."""
+    for number, rows in _batches(batches):
+        for part in rows.to_batches():
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, number))], [*part.schema.names, "batch"])
 
 
 def _answered(group: pa.Table) -> dict | None:
-    """Sums a range's counts and answers each batch; a row of batch -1 has the range's words and their counts."""
-    every = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
+    """Sums a range's counts and answers each batch with the size of its part, the places in it of the keys that occur
+    elsewhere, and their totals; a row of batch -1 has the range's words and their counts."""
+    every = [_wide(x) for x in group.column("keys").to_pylist()]
     counts = [np.concatenate([np.frombuffer(x, "u4") for x in group.column(name).to_pylist()]).astype(np.int64) for name in ("background", "target")]
     keys, at = np.unique(np.concatenate(every), return_inverse=True)
     at = at.ravel()
     sums = [np.bincount(at, c, len(keys)).astype(np.int64) for c in counts]
-    found: dict[str, list] = {"batch": [-1], "keys": [b""], "background": [b""], "target": [b""]}
+    found: dict[str, list] = {"batch": [-1], "size": [0], "places": [b""], "background": [b""], "target": [b""]}
     begin = 0
     for batch, own in zip(group.column("batch").to_pylist(), every):
         part = slice(begin, begin + len(own))
         begin += len(own)
         place = at[part]
-        elsewhere = sums[0][place] != counts[0][part]
-        if elsewhere.any():
-            for name, value in zip(found, (batch, own[elsewhere].tobytes(), _packed(sums[0][place[elsewhere]], "u8"), _packed(sums[1][place[elsewhere]], "u8"))):
-                found[name].append(value)
+        elsewhere = np.flatnonzero(sums[0][place] != counts[0][part])
+        totals = [s[place[elsewhere]].astype("u8").tobytes() for s in sums]
+        for name, value in zip(found, (batch, len(own), elsewhere.astype("u4").tobytes(), *totals)):
+            found[name].append(value)
     words = keys % np.uint64(2) == 0
     about = {"types": int(words.sum()), "n_background": int(sums[0][words].sum()), "n_target": int(sums[1][words].sum())}
     rows = len(found["batch"])
-    return {"batch": np.array(found["batch"])} | {name: pa.array(found[name], pa.binary()) for name in ("keys", "background", "target")} | {name: pa.array([value] + [0] * (rows - 1), pa.int64()) for name, value in about.items()}
+    names = {name: pa.array([group.column("range")[0].as_py()] * rows) if name == "range" else pa.array(found[name], pa.int64()) for name in ("range", "batch", "size")}
+    return names | {name: pa.array(found[name], pa.binary()) for name in ("places", "background", "target")} | {name: pa.array([value] + [0] * (rows - 1), pa.int64()) for name, value in about.items()}
 
 
-def _scored(totals: dict):
+def _scored(totals: dict, bits: int):
     """Scores a batch's documents; rows without a text are its answers."""
 
     def work(group: pa.Table) -> dict | None:
         answers = group.column("answer").to_numpy(zero_copy_only=False).astype(bool)
-        texts = group.filter(pa.array(~answers))
+        texts, known = group.filter(pa.array(~answers)), group.filter(pa.array(answers))
         if not texts.num_rows:
-            return None
-        batch = _texts(texts)
-        for keys, *sums in zip(*(group.filter(pa.array(answers)).column(name).to_pylist() for name in ("keys", "background", "of_target"))):
-            at = np.searchsorted(batch.keys, np.frombuffer(keys, np.uint64))
+            raise RuntimeError("the documents were read in another order than before")
+        batch = _Batch(texts.column("text"), texts.column("target").to_numpy(), bits)
+        cuts = dict(zip(*batch.slices(bits)))
+        for at, size, places, *sums in zip(*(known.column(name).to_pylist() for name in ("range", "size", "places", "background", "of_target"))):
+            part = cuts.get(at, slice(0, 0))
+            if part.stop - part.start != size:
+                raise RuntimeError("the documents were read in another order than before")
             for k, found in enumerate(sums):
-                batch.counts[k][at] = np.frombuffer(found, "u8")
+                batch.counts[k][part.start + np.frombuffer(places, "u4").astype(np.int64)] = np.frombuffer(found, "u8")
         background, target = (pa.array(x, pa.float64(), mask=np.isnan(x)) for x in batch.losses(totals))
         return {"doc_id": texts.column("doc_id").combine_chunks(), "n_tokens": np.maximum(batch.size - 1, 0), "target_loss": target, "background_loss": background}
 
@@ -170,13 +216,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches, bits = max(1, math.ceil(size / BATCH_BYTES)), max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
+    bits = max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
     chosen = small(cut(target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()))
-    marked = asked.join(chosen.withColumn("target", F.lit(1)), "doc_id", "left")
-    rows = marked.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+    rows = asked.join(chosen.withColumn("target", F.lit(1)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
 
-    counts = in_groups(rows, ["batch"], _asked(bits), "range long, batch long, keys binary, background binary, target binary")
-    schema = "batch long, keys binary, background binary, target binary, types long, n_background long, n_target long"
+    counts = rows.mapInArrow(_asked(bits), "range long, batch long, keys binary, background binary, target binary")
+    schema = "range long, batch long, size long, places binary, background binary, target binary, types long, n_background long, n_target long"
     answers = cut(in_groups(counts, ["range"], _answered, schema))
     sums = answers.where("batch < 0").agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("types", "n_background", "n_target")]).first()
     totals = {"types": sums["types"], "n": (sums["n_background"], sums["n_target"])}
@@ -184,7 +229,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     def none(kind: str) -> Column:
         return F.lit(None).cast(kind)
 
-    texts = rows.select("batch", F.lit(False).alias("answer"), "doc_id", "text", "target", none("binary").alias("keys"), none("binary").alias("background"), none("binary").alias("of_target"))
-    known = answers.where("batch >= 0").select("batch", F.lit(True).alias("answer"), none("long"), none("string"), F.lit(0), "keys", "background", "target")
-    found = in_groups(texts.union(known), ["batch"], _scored(totals), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    texts = rows.mapInArrow(_numbered, "doc_id long, text string, target int, batch long")
+    texts = texts.select("batch", F.lit(False).alias("answer"), "doc_id", "text", "target", none("long").alias("range"), none("long").alias("size"), *(none("binary").alias(name) for name in ("places", "background", "of_target")))
+    known = answers.where("batch >= 0").select("batch", F.lit(True), none("long"), none("string"), F.lit(0), "range", "size", "places", "background", "target")
+    found = in_groups(texts.union(known), ["batch"], _scored(totals, bits), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return found.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
