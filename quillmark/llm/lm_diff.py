@@ -8,7 +8,7 @@ target.
 
 Tasks cut the documents they read into batches of bounded size. A batch counts its distinct words and word pairs and
 sends them, packed in arrays and cut by key range, to the tasks that own the ranges; these sum the batches' counts and
-answer each batch with the totals of those keys that occur elsewhere too. The documents are then dealt by batch, meet
+answer each batch with the totals of its keys. The documents are then dealt by batch, meet
 their batch's answers and are scored. A frequent word is one entry of each batch, so no key is hot, and no table of
 counts is sent to all tasks. Keys are digests of 40 bits within a range; ranges grow in number with the corpus, so that
 a key meets a foreign one with a chance of some 1e-6 at any size.
@@ -34,7 +34,7 @@ ship(__name__)
 #: Smoothing: weight of the word's own share in a pair's, and the count added to each word.
 MU, HALF = 0.5, 0.5
 #: Bytes of text of a batch, and for each range of keys.
-BATCH_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 START = b""
 #: Bits of a key within its range.
 KEY_BITS = 40
@@ -119,6 +119,18 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _bytes(counts: np.ndarray) -> bytes:
+    """Counts of a byte each; those from 255 on follow in eight bytes, in order."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
+    return out
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """(number, rows) of runs of a task's rows that end where BATCH_BYTES of text are reached."""
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -145,7 +157,7 @@ def _asked(bits: int):
         for number, rows in _batches(batches):
             batch = _Batch(rows.column("text"), rows.column("target").to_numpy(), bits)
             ranges, cuts = batch.slices(bits)
-            counts = [pa.array([batch.counts[k][x].astype("u4").tobytes() for x in cuts], pa.binary()) for k in (0, 1)]
+            counts = [pa.array([_bytes(batch.counts[k][x]) for x in cuts], pa.binary()) for k in (0, 1)]
             columns = [pa.array(ranges), pa.array(np.full(len(ranges), number)), pa.array([_low(batch.keys[x]) for x in cuts], pa.binary()), *counts]
             yield pa.RecordBatch.from_arrays(columns, ["range", "batch", "keys", "background", "target"])
 
@@ -160,28 +172,25 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answered(group: pa.Table) -> dict | None:
-    """Sums a range's counts and answers each batch with the size of its part, the places in it of the keys that occur
-    elsewhere, and their totals; a row of batch -1 has the range's words and their counts."""
+    """Sums a range's counts and answers each batch with the totals of its keys, in their order; a row of batch -1 has the
+    range's words and their counts."""
     every = [_wide(x) for x in group.column("keys").to_pylist()]
-    counts = [np.concatenate([np.frombuffer(x, "u4") for x in group.column(name).to_pylist()]).astype(np.int64) for name in ("background", "target")]
+    counts = [np.concatenate([_counts(x, len(own)) for x, own in zip(group.column(name).to_pylist(), every)]) for name in ("background", "target")]
     keys, at = np.unique(np.concatenate(every), return_inverse=True)
     at = at.ravel()
-    sums = [np.bincount(at, c, len(keys)).astype(np.int64) for c in counts]
-    found: dict[str, list] = {"batch": [-1], "size": [0], "places": [b""], "background": [b""], "target": [b""]}
+    sums = [np.bincount(at, c, len(keys)).astype(np.int64) for c in counts]  # exact below 2^53
+    found: dict[str, list] = {"batch": [-1], "size": [0], "background": [b""], "target": [b""]}
     begin = 0
     for batch, own in zip(group.column("batch").to_pylist(), every):
         part = slice(begin, begin + len(own))
         begin += len(own)
-        place = at[part]
-        elsewhere = np.flatnonzero(sums[0][place] != counts[0][part])
-        totals = [s[place[elsewhere]].astype("u8").tobytes() for s in sums]
-        for name, value in zip(found, (batch, len(own), elsewhere.astype("u4").tobytes(), *totals)):
+        for name, value in zip(found, (batch, len(own), *(_bytes(x[at[part]]) for x in sums))):
             found[name].append(value)
     words = keys % np.uint64(2) == 0
     about = {"types": int(words.sum()), "n_background": int(sums[0][words].sum()), "n_target": int(sums[1][words].sum())}
     rows = len(found["batch"])
     names = {name: pa.array([group.column("range")[0].as_py()] * rows) if name == "range" else pa.array(found[name], pa.int64()) for name in ("range", "batch", "size")}
-    return names | {name: pa.array(found[name], pa.binary()) for name in ("places", "background", "target")} | {name: pa.array([value] + [0] * (rows - 1), pa.int64()) for name, value in about.items()}
+    return names | {name: pa.array(found[name], pa.binary()) for name in ("background", "target")} | {name: pa.array([value] + [0] * (rows - 1), pa.int64()) for name, value in about.items()}
 
 
 def _scored(totals: dict, bits: int):
@@ -194,12 +203,12 @@ def _scored(totals: dict, bits: int):
             raise RuntimeError("the documents were read in another order than before")
         batch = _Batch(texts.column("text"), texts.column("target").to_numpy(), bits)
         cuts = dict(zip(*batch.slices(bits)))
-        for at, size, places, *sums in zip(*(known.column(name).to_pylist() for name in ("range", "size", "places", "background", "of_target"))):
+        for at, size, *sums in zip(*(known.column(name).to_pylist() for name in ("range", "size", "background", "of_target"))):
             part = cuts.get(at, slice(0, 0))
             if part.stop - part.start != size:
                 raise RuntimeError("the documents were read in another order than before")
             for k, found in enumerate(sums):
-                batch.counts[k][part.start + np.frombuffer(places, "u4").astype(np.int64)] = np.frombuffer(found, "u8")
+                batch.counts[k][part] = _counts(found, size)
         background, target = (pa.array(x, pa.float64(), mask=np.isnan(x)) for x in batch.losses(totals))
         return {"doc_id": texts.column("doc_id").combine_chunks(), "n_tokens": np.maximum(batch.size - 1, 0), "target_loss": target, "background_loss": background}
 
@@ -221,7 +230,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     rows = asked.join(chosen.withColumn("target", F.lit(1)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
 
     counts = rows.mapInArrow(_asked(bits), "range long, batch long, keys binary, background binary, target binary")
-    schema = "range long, batch long, size long, places binary, background binary, target binary, types long, n_background long, n_target long"
+    schema = "range long, batch long, size long, background binary, target binary, types long, n_background long, n_target long"
     answers = cut(in_groups(counts, ["range"], _answered, schema))
     sums = answers.where("batch < 0").agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("types", "n_background", "n_target")]).first()
     totals = {"types": sums["types"], "n": (sums["n_background"], sums["n_target"])}
@@ -230,7 +239,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         return F.lit(None).cast(kind)
 
     texts = rows.mapInArrow(_numbered, "doc_id long, text string, target int, batch long")
-    texts = texts.select("batch", F.lit(False).alias("answer"), "doc_id", "text", "target", none("long").alias("range"), none("long").alias("size"), *(none("binary").alias(name) for name in ("places", "background", "of_target")))
-    known = answers.where("batch >= 0").select("batch", F.lit(True), none("long"), none("string"), F.lit(0), "range", "size", "places", "background", "target")
+    texts = texts.select("batch", F.lit(False).alias("answer"), "doc_id", "text", "target", none("long").alias("range"), none("long").alias("size"), *(none("binary").alias(name) for name in ("background", "of_target")))
+    known = answers.where("batch >= 0").select("batch", F.lit(True), none("long"), none("string"), F.lit(0), "range", "size", "background", "target")
     found = in_groups(texts.union(known), ["batch"], _scored(totals, bits), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return found.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
