@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,12 @@ def load_instruct(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce(clean("output"), clean("instruction"))).where("text is not null").withColumn("label", F.lit(1)).drop("output", "instruction")
 
 
+def load_generated(df: DataFrame, name: str, source: str) -> DataFrame:
+    """Machine texts (text, generator): blank ones go, a missing generator is `name`; label 1."""
+    rows = df.where(T.strip(F.col("text")) != "")
+    return rows.select("text", F.coalesce("generator", F.lit(name)).alias("generator"), F.lit(source).alias("source"), F.lit(1).alias("label"))
+
+
 def load_chat_replies(df: DataFrame, role: str, low: int, high: int, limit: int | None = None) -> DataFrame:
     """Trimmed replies (conv_id, turn, text) of one role within a length range; of equal texts the first; at most
     `limit` in the order of (conv_id, turn) if it is given."""
@@ -59,7 +66,7 @@ def load_sources(builders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFram
     for name, build in builders.items():
         try:
             built.append(build().withColumn("origin", F.lit(name)))
-        except Exception as error:  # noqa: BLE001  one source must not stop the rest
+        except AnalysisException as error:  # a missing source must not stop the rest
             failed[name] = str(error).splitlines()[0]
     if not built:
         raise ValueError(f"no source could be read: {failed}")
@@ -222,7 +229,13 @@ def compare_versions(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
 
 
 def match_prefix(paras: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Paragraphs that start with one of a few prefixes (prefix, truth); the longest counts."""
-    met = paras.join(F.broadcast(prefixes), F.startswith(F.col("text"), F.col("prefix")))
-    best = F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.desc(F.length("prefix"))))
-    return met.withColumn("_r", best).where("_r = 1").drop("_r", "prefix")
+    """Paragraphs that start with one of `prefixes` (prefix, truth), with its truth; the longest counts.
+
+    Paragraphs and prefixes meet by the digest of as many characters, one for each length that occurs among the prefixes.
+    """
+    lengths = [row.n for row in prefixes.select(F.length("prefix").alias("n")).distinct().collect()]
+    keys = prefixes.select(F.md5("prefix").alias("_key"), F.length("prefix").alias("_n"), "truth").dropDuplicates(["_key"])
+    starts = F.array(*[F.struct(F.lit(n).alias("n"), F.md5(F.substring("text", 1, n)).alias("key")) for n in lengths]) if lengths else F.array().cast("array<struct<n:int,key:string>>")
+    met = paras.select("doc_id", "idx", F.explode(starts).alias("_s")).select("doc_id", "idx", F.col("_s.key").alias("_key")).join(keys, "_key")
+    best = met.groupBy("doc_id", "idx").agg(F.max(F.struct("_n", "truth"))["truth"].alias("truth"))
+    return paras.join(best, ["doc_id", "idx"])

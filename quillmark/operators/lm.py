@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import features
 from ..functions import text as T
 
 START = "<s>"
@@ -31,7 +32,7 @@ def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
     p(w|v) = 0.7 n(v, w) / n(v) + 0.3 (n(w) + 1) / (N + V + 1); the first word has its unigram probability. Perplexity
     is the exponent of the mean loss; sentence_std the population deviation of sentences' perplexities, 0 below two;
     rank_entropy that of the bins 0, 1-9, 10-99, 100-999 and beyond of a word's place among its predecessor's
-    successors, unseen pairs beyond.
+    successors, unseen pairs beyond. Mean losses are rounded to nine places, below which they depend on the order of sums.
     """
     pairs, words = fit(tokens(train))
     size = F.broadcast(words.agg(F.sum("n_w").alias("big_n"), F.count("*").alias("big_v")))
@@ -43,7 +44,19 @@ def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
     bin_ = F.when(F.col("rank").isNull(), 4).when(F.col("rank") == 0, 0).when(F.col("rank") < 10, 1).when(F.col("rank") < 100, 2).when(F.col("rank") < 1000, 3).otherwise(4)
     rows = rows.select("doc_id", "sent", "k", (-F.log(p) * F.col("k")).alias("loss"), bin_.alias("bin"))
     sums = rows.groupBy("doc_id", "sent").agg(F.sum("loss").alias("loss"), F.sum("k").alias("k"), *[F.sum(F.when(F.col("bin") == b, F.col("k")).otherwise(0)).alias(f"b{b}") for b in range(5)])
-    per = sums.groupBy("doc_id").agg(F.sum("k").alias("n_tokens"), F.exp(F.sum("loss") / F.sum("k")).alias("perplexity"), F.when(F.count("*") > 1, F.stddev_pop(F.exp(F.col("loss") / F.col("k")))).otherwise(0.0).alias("sentence_std"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(5)])
+    per = sums.groupBy("doc_id").agg(F.sum("k").alias("n_tokens"), F.exp(F.round(F.sum("loss") / F.sum("k"), 9)).alias("perplexity"), F.when(F.count("*") > 1, F.stddev_pop(F.exp(F.round(F.col("loss") / F.col("k"), 9)))).otherwise(0.0).alias("sentence_std"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(5)])
     share = [F.col(f"b{b}") / F.col("n_tokens") for b in range(5)]
     entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in share), F.lit(0.0))
-    return per.select("doc_id", "n_tokens", F.round("perplexity", 6).alias("perplexity"), F.round("sentence_std", 6).alias("sentence_std"), F.round(entropy, 6).alias("rank_entropy"))
+    return per.select("doc_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"), F.round("sentence_std", 4).alias("sentence_std"), F.round(entropy, 6).alias("rank_entropy"))
+
+
+def feature_matrix(corpus: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matrix, skipped) of labelled texts (doc_id, text, label): the eight features of each, and a row with the number of
+    those left out for a null text or label. Documents of fewer than two tokens have zeros from the language model."""
+    good = F.col("text").isNotNull() & F.col("label").isNotNull()
+    rows = corpus.where(good).select("doc_id", "text", "label")
+    own = features.with_features(rows).select("doc_id", "label", *[F.round(name, 6).alias(name) for name in features.FEATURES])
+    three = ("perplexity", "sentence_std", "rank_entropy")
+    found = own.join(lm_features(rows.select("doc_id", "text"), train), "doc_id", "left")
+    zeroed = [F.when(F.col("n_tokens") >= 2, F.col(name)).otherwise(0.0).alias(name) for name in three]
+    return found.select("doc_id", "label", *features.FEATURES, *zeroed), corpus.agg(F.count_if(~good).alias("skipped"))

@@ -138,7 +138,7 @@ def short_auc(models: dict[str, Callable[[DataFrame], DataFrame]], rows: DataFra
 
     `models` maps names to functions that add `p` to rows with `text`.
     """
-    cut = rows.select("label", F.explode(F.array(*map(F.lit, lengths))).alias("cut"), "text").withColumn("text", T.truncate_words(F.col("text"), F.col("cut")))
+    cut = rows.withColumn("cut", F.explode(F.array(*map(F.lit, lengths)))).withColumn("text", T.truncate_words(F.col("text"), F.col("cut")))
     scored = None
     for name, score in models.items():
         part = score(cut).select(F.lit(name).alias("model"), "cut", "label", F.round("p", 6).alias("p"))

@@ -163,13 +163,6 @@ def interval_join(spans: DataFrame, wins: DataFrame, size: int = WINDOW_WORDS, s
     return rows.where("oe > os")
 
 
-def union_len(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, covered): length of the union of intervals (os, oe) of each key."""
-    before = Window.partitionBy(*keys).orderBy("os", "oe").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("oe") - F.greatest("os", F.coalesce(F.max("oe").over(before), F.col("os"))))
-    return pairs.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").alias("covered"))
-
-
 def project_to_paragraphs(spans: DataFrame, wins: DataFrame, threshold: float, p: str = "p_a", size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
     """Adds p (mean of window scores weighted by overlap; null below 200 covered characters), covered_chars, label."""
     pairs = interval_join(spans.select("doc_id", "idx", "ps", "pe", "w0", "w1"), wins.select("doc_id", "win_no", "n_wins", "cstart", "cend", F.col(p).alias("_p")), size, step)
@@ -262,6 +255,20 @@ def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t
     return rows.withColumn("subcat", F.when(F.col("p").isNull(), classify_short(F.col("text"))))
 
 
+def document_map(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+") -> DataFrame:
+    """Every paragraph of every document, content and dropped, with kind and drop_reason; content also has p and label."""
+    sections = classify_sections(split_paragraphs(docs, sep)).select("doc_id", "idx", "text", "kind", "drop_reason")
+    scored = scan_documents(docs, threshold, sep).select("doc_id", "idx", "p", "label")
+    return sections.join(scored, ["doc_id", "idx"], "left").withColumn("label", F.coalesce("label", F.when(F.col("kind") == "content", "insufficient")))
+
+
+def attach_truth(paras: DataFrame, truth: DataFrame) -> DataFrame:
+    """Scanned paragraphs with the label of `truth` (doc_id, text, label) that has their text; unknown ones go. Texts meet
+    by digest, and a text that a document repeats has its largest label."""
+    known = truth.groupBy("doc_id", F.sha2("text", 256).alias("_key")).agg(F.max("label").alias("truth"))
+    return paras.withColumn("_key", F.sha2("text", 256)).join(known, ["doc_id", "_key"]).drop("_key")
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """(doc_id, label, chars, share): characters of each label in a document, absent labels with 0."""
     labels = F.array(*map(F.lit, ("human", "insufficient", "suspicious", "uncertain")))

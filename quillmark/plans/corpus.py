@@ -68,10 +68,10 @@ def unpivot_text_columns(spark, sf_dir):
     return C.unpivot_text_columns(wide, ["doc_id"]).select("doc_id", F.md5("text").alias("m"), "label", "generator")
 
 
-@query(f"select doc_id, coalesce(nullif({SQ.format('o')}, ''), nullif({SQ.format('i')}, '')) as text, 1 as label from (select doc_id, case when doc_id % 4 = 0 then '  ' else substr(text, 1, 80) end as o, 'about ' || source as i from documents)")
+@query(f"select doc_id, coalesce(nullif({SQ.format('o')}, ''), nullif({SQ.format('i')}, '')) as text, 1 as label from (select doc_id, case when doc_id % 4 = 0 then '  ' else text end as o, 'about ' || source as i from documents)")
 def load_instruct(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return C.load_instruct(docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "  ").otherwise(F.substring("text", 1, 80)).alias("output"), F.concat(F.lit("about "), "source").alias("instruction")))
+    return C.load_instruct(docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "  ").otherwise(F.col("text")).alias("output"), F.concat(F.lit("about "), "source").alias("instruction")))
 
 
 @query(f"with r as (select conv_id, turn, {SQ.format('text')} as text from conversations where role = 'assistant') select conv_id, turn, text from r where length(text) between 200 and 3000 qualify row_number() over (partition by text order by conv_id, turn) = 1")
@@ -91,7 +91,9 @@ B = readers.BLOCK_TAGS
 
 def _blocks() -> str:
     h = r"regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g')"
-    h = rf"regexp_replace({h}, '(?is)<table[^>]*>(.*?)</table>', chr(1) || 'table' || chr(2) || '\1' || chr(1), 'g')"
+    h = rf"string_split(regexp_replace({h}, '(?is)<table[^>]*>(.*?)</table>', chr(3) || '\1' || chr(3), 'g'), chr(3))"
+    cells = r"len(list_filter(regexp_extract_all(x, '(?is)<t[dh](?: [^>]*)?>(.*?)</t[dh]>', 1), lambda c: " + SQ.format("regexp_replace(c, '<[^>]*>', '', 'g')") + " <> ''))"
+    h = f"array_to_string(list_transform({h}, lambda x, i: case when i % 2 = 0 then chr(1) || 'table' || chr(2) || '⟦таблица: ' || {cells} || ' ячеек⟧' || chr(1) else x end), '')"
     h = rf"regexp_replace({h}, '(?i)<({B})( [^>]*)?/?>', chr(1) || '\1' || chr(2), 'g')"
     h = f"string_split(regexp_replace({h}, '(?i)</({B})>', chr(1), 'g'), chr(1))"
     body = r"regexp_replace(regexp_replace(raw, '^[A-Za-z0-9]+\x02', ''), '(?s)<[^>]*>', '', 'g')"
@@ -103,9 +105,21 @@ q as (select page_id, pos, lower(regexp_extract(raw, '^([A-Za-z0-9]+)\x02', 1))
 blocks as (select page_id, (row_number() over (partition by page_id order by pos) - 1)::int as idx, text, style, regexp_matches(style, '^h[1-6]$') as is_heading, style in ('caption', 'figcaption') as is_caption, has_math, style = 'table' as is_table from q where text <> '')"""
 
 
-@query(f"with {_blocks()} select * from blocks")
+#: Each second page with a table after its own blocks: a row of four cells, one of them empty.
+ROWS = ("<table class=x><thead><tr><th>n</th><td>", "</td><td> </td><td><b>y</b></td></tr></thead></table><p>after</p>")
+TABLED = f"tabled as (select page_id, case when page_id % 2 = 0 then html || '{ROWS[0]}' || page_id || '{ROWS[1]}' else html end as html from pages)"
+
+
+@query(f"with {TABLED}, {_blocks().replace('from pages', 'from tabled')} select * from blocks")
 def extract_blocks(spark, sf_dir):
-    return readers.extract_blocks(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return readers.extract_blocks(pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit(ROWS[0]), F.col("page_id").cast("string"), F.lit(ROWS[1]))).otherwise(F.col("html"))))
+
+
+@query("select text, coalesce(nullif(source, 'src1'), 'model') as generator, 'file' as source, 1 as label from documents where trim(text) <> ''")
+def load_generated(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return C.load_generated(docs.select("text", F.when(F.col("source") != "src1", F.col("source")).alias("generator")), "model", "file")
 
 
 @query(f"with {_blocks()}, s as (select page_id, sum(length(text))::bigint as chars from blocks group by 1), i as (select page_id, len(regexp_extract_all(lower(html), '<img'))::int as n_img from pages) select page_id, n_img, coalesce(chars, 0) as chars, case when coalesce(chars, 0) < 100 and n_img > 0 then 'scan' when coalesce(chars, 0) = 0 then 'no text' end as warning from i left join s using (page_id)")

@@ -1,7 +1,8 @@
 """Queries over documents cut into paragraphs, sections and windows, with their DuckDB equivalents.
 
 The fixture texts have one paragraph a line; where sections matter they are wrapped into a title, a table of contents,
-one chapter and back matter, built by the same expressions here and in SQL.
+one chapter and back matter, built by the same expressions here and in SQL. Where short paragraphs matter, each third
+line is broken into paragraphs of at most 120 characters; no text is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from ..operators import reports, segments
 
 THRESHOLD = 0.72
 TABLE = "⟦таблица: 4 ячеек⟧"
+#: Where a line is broken: the last space within 120 characters.
+BREAK = r"([^\n]{60,119}) "
 HEAD = ("Заголовок работы", "Содержание", "Введение\t3", "Список литературы\t9", "Введение")
 TAIL = ("Список литературы", "1. Иванов И. И. Книга. — 2020.")
 
@@ -26,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wrapped(docs: DataFrame, tables: bool = False, shorten: bool = False) -> DataFrame:
     lines = F.split("text", "\n")
     if shorten:
-        lines = F.transform(lines, lambda x: F.substring(x, 1, 120))
+        lines = F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.regexp_replace(x, BREAK, "$1\n\n")).otherwise(x))
     if tables:
         lines = F.transform(lines, lambda x, i: F.when((i + 1) % 3 == 0, F.concat(x, F.lit("\n\n" + TABLE))).otherwise(x))
     return docs.withColumn("text", F.concat(F.lit("\n\n".join(HEAD) + "\n\n"), F.array_join(lines, "\n\n"), F.lit("\n\n" + "\n\n".join(TAIL))))
@@ -37,7 +40,7 @@ def _paras(spark, sf_dir, **how):
 
 
 def _results(spark, sf_dir, scorers=("a",)):
-    """A scan of shortened documents with tables, where long lines were cut and most paragraphs stay unscored."""
+    """A scan of documents with tables in which short paragraphs lie between long ones."""
     return segments.scan_documents(wrapped(documents(spark, sf_dir), True, True), THRESHOLD, scorers=scorers)
 
 
@@ -126,6 +129,11 @@ def glue_stats(spark, sf_dir):
     return counts.join(chars, ["doc_id", "label"]).join(total, "doc_id").select("doc_id", "label", "fragments", "member_chars", F.round(F.col("member_chars") / F.col("all_chars"), 6).alias("share"))
 
 
+def document_map(spark, sf_dir):
+    """Content and dropped paragraphs in one table, by idx: the label of content, the reason of what was dropped."""
+    return segments.document_map(wrapped(documents(spark, sf_dir), True, True), THRESHOLD).select("doc_id", "idx", F.length("text").alias("n_chars"), "kind", "drop_reason", "p", "label")
+
+
 def map_glued(spark, sf_dir):
     """The document map with a fragment's members shown at its anchor alone."""
     results = _results(spark, sf_dir)
@@ -192,7 +200,7 @@ def report_html(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     document_scan, paragraphs, block_flags, section_map, dropped_counts, content_stream, word_windows, paragraph_scores, label_shares, short_kinds,
-    insufficient_breakdown, glued, glued_aggressive, glue_stats, map_glued, direct_scores, flagged_listing, agreement, quick_agreement, text_features,
+    insufficient_breakdown, document_map, glued, glued_aggressive, glue_stats, map_glued, direct_scores, flagged_listing, agreement, quick_agreement, text_features,
     report_markdown, report_html,
 )}
 
@@ -250,7 +258,7 @@ def sql_wrapped(tables: bool, shorten: bool) -> str:
     """CTE `docs`."""
     lines = "string_split(text, chr(10))"
     if shorten:
-        lines = f"list_transform({lines}, lambda x: substr(x, 1, 120))"
+        lines = f"list_transform({lines}, lambda x, i: case when i % 3 = 1 then regexp_replace(x, '{BREAK}', '\\1' || chr(10) || chr(10), 'g') else x end)"
     if tables:
         lines = f"list_transform({lines}, lambda x, i: case when i % 3 = 0 then x || chr(10) || chr(10) || '{TABLE}' else x end)"
     join = lambda parts: " || chr(10) || chr(10) || ".join("'" + p.replace("\t", "' || chr(9) || '") + "'" for p in parts)
@@ -335,6 +343,7 @@ select d.doc_id, l.label, coalesce(sum(length(r.text)), 0)::bigint as chars, rou
     "glued_aggressive": f"with recursive {SHORT}, {AGGR}, {SCORED_FRAGS} select * from sf",
     "glue_stats": f"""with {SHORT}, {FRAGS}, {SCORED_FRAGS}, mem as (select doc_id, label, unnest(member_idxs) as idx from sf), ch as (select m.doc_id, m.label, sum(length(r.text)) as c from mem m join results r on r.doc_id = m.doc_id and r.idx = m.idx group by 1, 2), tot as (select doc_id, sum(length(text)) as t from results group by 1), cnt as (select doc_id, label, count(*) as n from sf group by 1, 2)
 select doc_id, label, n as fragments, c::bigint as member_chars, round(c / t, 6) as share from cnt join ch using (doc_id, label) join tot using (doc_id)""",
+    "document_map": f"with {SHORT} select s.doc_id, s.idx, length(s.text) as n_chars, s.kind, s.drop_reason, r.p, coalesce(r.label, case when s.kind = 'content' then 'insufficient' end) as label from sections s left join results r using (doc_id, idx)",
     "map_glued": f"""with {SHORT}, {FRAGS}, {SCORED_FRAGS}, hid as (select doc_id, unnest(member_idxs) as idx from frags)
 select doc_id, idx, length(text) as n_chars, label, false as is_glued from results where not exists (select 1 from hid where hid.doc_id = results.doc_id and hid.idx = results.idx) union all select doc_id, anchor_idx, n_chars, label, true from sf""",
     "direct_scores": f"with {LINED}, long as (select * from paras where length(text) >= 120), sc as ({features.sql_features('long')}) select doc_id, count(*) as n, round(avg((p_a >= {THRESHOLD})::int), 6) as share, round(quantile_cont(p_a, 0.5), 6) as median_p from sc group by 1",

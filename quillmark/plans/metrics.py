@@ -81,7 +81,7 @@ def overlap_coeff(spark, sf_dir):
     return metrics.overlap_coeff(one(spark, sf_dir))
 
 
-LENGTHS = (20, 40, 75)
+LENGTHS = (300, 150, 100, 75, 50, 40, 30, 20)
 
 
 def swept(spark, sf_dir):
@@ -89,13 +89,16 @@ def swept(spark, sf_dir):
     return features.with_scores(rows).select("doc_id", "label", "n", "n_words", F.round("p_a", 6).alias("p"))
 
 
-SWEPT = f"{C.K}, x as (select doc_id, label, n, {C._cut('text', 'n')} as text from c, (select unnest([20, 40, 75]) as n)), sw as (select doc_id, label, n, n_words, round(p_a, 6) as p from ({features.sql_features('x')}))"
+SWEPT = f"{C.K}, x as (select doc_id, label, n, {C._cut('text', 'n')} as text from c, (select unnest([300, 150, 100, 75, 50, 40, 30, 20]) as n)), sw as (select doc_id, label, n, n_words, round(p_a, 6) as p from ({features.sql_features('x')}))"
 
 
-@query(f"with {SWEPT} select n, {AVG.format(THR, 0)} as fpr, {AVG.format(THR, 1)} as recall, quantile_cont(n_words, 0.5)::double as median_words, round(quantile_cont(p, 0.5), 6) as median_p from sw group by 1")
+@query(f"""with {SWEPT}, r as (select n, label, rank() over (partition by n order by p) + (count(*) over (partition by n, p) - 1) / 2.0::double as r from sw), au as (select n, round((sum(r) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0::double) / (count(*) filter (where label = 1) * count(*) filter (where label = 0)), 6) as auc from r group by 1)
+select n, any_value(auc) as auc, {AVG.format(THR, 0)} as fpr, {AVG.format(THR, 1)} as recall, quantile_cont(n_words, 0.5)::double as median_words, round(quantile_cont(p, 0.5), 6) as median_p from sw join au using (n) group by 1""")
 def length_sweep(spark, sf_dir):
     hit = F.col("p") >= THR
-    return swept(spark, sf_dir).groupBy("n").agg(metrics.rate(hit, F.col("label") == 0).alias("fpr"), metrics.rate(hit, F.col("label") == 1).alias("recall"), F.percentile("n_words", F.lit(0.5)).alias("median_words"), F.round(F.percentile("p", F.lit(0.5)), 6).alias("median_p"))
+    rows = swept(spark, sf_dir)
+    sums = rows.groupBy("n").agg(metrics.rate(hit, F.col("label") == 0).alias("fpr"), metrics.rate(hit, F.col("label") == 1).alias("recall"), F.percentile("n_words", F.lit(0.5)).alias("median_words"), F.round(F.percentile("p", F.lit(0.5)), 6).alias("median_p"))
+    return sums.join(metrics.roc_auc(rows, ("n",)), "n")
 
 
 @query(f"""with {SWEPT}, t as (select n, round(quantile_cont(p, 0.97), 6) as own from sw where label = 0 group by 1), g as (select round(quantile_cont(p, 0.97), 6) as flat from sw where label = 0)
@@ -186,9 +189,9 @@ t as (select doc_id, sent, w, lag(w, 1, '<s>') over (partition by doc_id order b
 pr as (select v, w, count(*) as n from tr where v <> '<s>' group by 1, 2), rk as (select *, rank() over (partition by v order by n desc) - 1 as rank, sum(n) over (partition by v) as of_v from pr), uv as (select v, any_value(of_v) as of_v from rk group by 1), u as (select w, count(*) as n_w from tr group by 1), z as (select sum(n_w) as big_n, count(*) as big_v from u),
 j as (select t.doc_id, t.sent, t.v, rk.n, rk.rank, uv.of_v, (coalesce(u.n_w, 0) + 1)::double / (big_n + big_v + 1) as uni from t left join rk on rk.v = t.v and rk.w = t.w left join u on u.w = t.w left join uv on uv.v = t.v, z),
 p as (select doc_id, sent, -ln(case when v = '<s>' then uni else coalesce(0.7::double * n / of_v, 0) + 0.3::double * uni end) as loss, case when rank is null then 4 when rank = 0 then 0 when rank < 10 then 1 when rank < 100 then 2 when rank < 1000 then 3 else 4 end as bin from j),
-ps as (select doc_id, sent, exp(avg(loss)) as ppl from p group by 1, 2), sd as (select doc_id, case when count(*) > 1 then stddev_pop(ppl) else 0.0 end as sentence_std from ps group by 1), pd as (select doc_id, count(*) as n_tokens, exp(avg(loss)) as perplexity from p group by 1),
+ps as (select doc_id, sent, exp(round(avg(loss), 9)) as ppl from p group by 1, 2), sd as (select doc_id, case when count(*) > 1 then stddev_pop(ppl) else 0.0 end as sentence_std from ps group by 1), pd as (select doc_id, count(*) as n_tokens, exp(round(avg(loss), 9)) as perplexity from p group by 1),
 bn as (select doc_id, bin, count(*)::double as c from p group by 1, 2), en as (select doc_id, sum(-(c / n_tokens) * log2(c / n_tokens)) as rank_entropy from bn join pd using (doc_id) group by 1)
-select doc_id, n_tokens, round(perplexity, 6) as perplexity, round(sentence_std, 6) as sentence_std, round(rank_entropy, 6) as rank_entropy from pd join sd using (doc_id) join en using (doc_id)""")
+select doc_id, n_tokens, round(perplexity, 4) as perplexity, round(sentence_std, 4) as sentence_std, round(rank_entropy, 6) as rank_entropy from pd join sd using (doc_id) join en using (doc_id)""")
 def lm_features(spark, sf_dir):
     docs = D.documents(spark, sf_dir).select("doc_id", "text")
     return lm.lm_features(docs, docs.where("doc_id % 5 <> 0"))

@@ -1,7 +1,6 @@
 """Queries of trained models, thresholds and the scorer registry, with DuckDB equivalents where nothing is fitted.
 
-Fits learn from labelled documents of folds 1 to 4; scores are given for the labelled documents of fold 0, and of all
-folds where each fold's own model is left out.
+Every labelled document is scored, by the model of two that was fitted on the other half.
 """
 
 from __future__ import annotations
@@ -29,6 +28,13 @@ def query(sql: str | None = None):
     return add
 
 
+def _crossed(rows, fit, score):
+    """`rows`, which have a column fold, each half scored by what was fitted on the other."""
+    half = F.col("fold") % 2
+    parts = [score(rows.where(half == k), fit(rows.where(half != k))) for k in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
 def _featured(spark, sf_dir):
     return features.with_features(C.corpus(spark, sf_dir)).withColumn("fold", models.fold("doc_id"))
 
@@ -39,16 +45,12 @@ def _score_a(rows):
 
 @query()
 def gbt(spark, sf_dir):
-    rows = _featured(spark, sf_dir)
-    model = models.fit_gbt(rows.where("fold > 0"), rounds=ROUNDS)
-    return models.score_gbt(rows.where("fold = 0"), model).select("doc_id", "label", "p")
+    return _crossed(_featured(spark, sf_dir), lambda rows: models.fit_gbt(rows, rounds=ROUNDS), models.score_gbt).select("doc_id", "label", "p")
 
 
 @query()
 def calibrated_gbt(spark, sf_dir):
-    rows = _featured(spark, sf_dir)
-    pairs = models.fit_calibrated_gbt(rows.where("fold > 0"), rounds=ROUNDS)
-    return models.score_calibrated_gbt(rows.where("fold = 0"), pairs).select("doc_id", "label", "p")
+    return _crossed(_featured(spark, sf_dir), lambda rows: models.fit_calibrated_gbt(rows, rounds=ROUNDS), models.score_calibrated_gbt).select("doc_id", "label", "p")
 
 
 @query()
@@ -66,20 +68,29 @@ def isotonic(spark, sf_dir):
 @query()
 def text_model(spark, sf_dir):
     rows = C.corpus(spark, sf_dir).withColumn("fold", models.fold("doc_id"))
-    return models.fit_text_model(rows.where("fold > 0")).score(rows.where("fold = 0")).select("doc_id", "label", "p")
+    return _crossed(rows, models.fit_text_model, lambda part, model: model.score(part)).select("doc_id", "label", "p")
 
 
 @query()
 def select_by_short_auc(spark, sf_dir):
     rows = C.corpus(spark, sf_dir).withColumn("fold", models.fold("doc_id"))
-    fitted = {f"penalty {c}": models.fit_text_model(rows.where("fold > 0"), penalty=c).score for c in (0.001, 0.1)}
-    return models.short_auc({**fitted, "linear a": _score_a}, rows.where("fold = 0"))
+    half = lambda c: {k: models.fit_text_model(rows.where(F.col("fold") % 2 != k), penalty=c) for k in (0, 1)}
+
+    def scorer(pair):
+        def score(part):
+            scored = [pair[k].score(part.where(F.col("fold") % 2 == k)) for k in (0, 1)]
+            return scored[0].unionByName(scored[1])
+
+        return score
+
+    fitted = {f"penalty {c}": scorer(half(c)) for c in (0.001, 0.1)}
+    return models.short_auc({**fitted, "linear a": _score_a}, rows)
 
 
 @query()
 def linear_probe(spark, sf_dir):
     rows = C.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("label")).withColumn("fold", models.fold("vec_id"))
-    return models.score_linear_probe(rows.where("fold = 0"), models.fit_linear_probe(rows.where("fold > 0"))).select("vec_id", "label", "p")
+    return _crossed(rows, models.fit_linear_probe, models.score_linear_probe).select("vec_id", "label", "p")
 
 
 WORD = r"[\p{L}\p{N}_]+"

@@ -55,11 +55,12 @@ def _unescaped(text: Column) -> Column:
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, idx, text, style, is_heading, is_caption, has_math, is_table) of raw pages, in order.
 
-    Scripts, styles and comments go; a table is one block that counts its cells; a block is what lies between block
+    Scripts, styles and comments go; a table is one block, a marker that counts its cells; a block is what lies between block
     tags, its style the tag that opens it; inline tags are dropped and entities resolved; empty blocks are left out.
     """
     html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    html = F.regexp_replace(html, r"(?is)<table[^>]*>(.*?)</table>", "\u0001table\u0002$1\u0001")
+    parts = F.split(F.regexp_replace(html, r"(?is)<table[^>]*>(.*?)</table>", "\u0003$1\u0003"), "\u0003")
+    html = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("\u0001table\u0002"), table_marker(x), F.lit("\u0001"))).otherwise(x)), "")
     marked = F.regexp_replace(html, f"(?i)<({BLOCK_TAGS})( [^>]*)?/?>", "\u0001$1\u0002")
     marked = F.regexp_replace(marked, f"(?i)</({BLOCK_TAGS})>", "\u0001")
     rows = pages.select("page_id", F.posexplode(F.split(marked, "\u0001")).alias("pos", "raw"))
@@ -72,7 +73,7 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
 
 def table_marker(html: Column) -> Column:
     """The marker of a table: how many of its cells are not empty."""
-    cells = F.regexp_extract_all(html, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1)
+    cells = F.regexp_extract_all(html, F.lit(r"(?is)<t[dh](?: [^>]*)?>(.*?)</t[dh]>"), 1)
     full = F.filter(cells, lambda c: T.strip(F.regexp_replace(c, "<[^>]*>", "")) != "")
     return F.concat(F.lit("⟦таблица: "), F.size(full).cast("string"), F.lit(" ячеек⟧"))
 

@@ -34,11 +34,14 @@ def stream_scan(source: DataFrame, path: str, checkpoint: str, threshold: float
 
 
 def stream_score_cached(source: DataFrame, cache: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Scores each text once: micro-batches look texts up in the table at `cache` and append what is new."""
+    """Scores each text once: micro-batches look texts up in the table at `cache` and append what is new. A batch that
+    is run again replaces its own rows, so it does not read them."""
 
     def score(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema("text_md5 string, p double").option("recursiveFileLookup", "true").parquet(cache)
+        schema, own = "text_md5 string, p double", f"/batch={number}/"
+        files = [file for file in spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(cache).inputFiles() if own not in file]
+        known = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
         rows, grown = corpus.score_incremental(batch, known, lambda df: features.with_scores(df).select("text_md5", F.round("p_a", 6).alias("p")))
         rows.select("doc_id", "text_md5", "p").write.mode("overwrite").parquet(f"{path}/batch={number}")
         grown.join(known, "text_md5", "left_anti").write.mode("overwrite").parquet(f"{cache}/batch={number}")

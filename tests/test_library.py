@@ -127,11 +127,25 @@ def test_files(spark, tmp_path):
 
 
 def test_tables_in_pages(spark):
-    page = [(0, "<p>a &amp; b</p><table><tr><td>1</td><td> </td><th>2</th></tr></table><script>x</script><h2>Head</h2>")]
-    rows = readers.extract_blocks(spark.createDataFrame(page, "page_id long, html string"))
-    assert {"a & b", "Head"} <= {r.text for r in rows.collect()} and rows.where("is_heading").count() == 1
-    marks = spark.createDataFrame(page, "page_id long, html string").select(readers.table_marker(F.col("html"))).collect()
-    assert marks[0][0] == "⟦таблица: 2 ячеек⟧"
+    page = [(0, "<p>a &amp; b</p><table><thead><tr><td>1</td><td> </td><th>2</th></tr></thead></table><script>x</script><h2>Head</h2>")]
+    rows = readers.extract_blocks(spark.createDataFrame(page, "page_id long, html string")).orderBy("idx").collect()
+    assert [(r.text, r.style, r.is_table, r.is_heading) for r in rows] == [("a & b", "p", False, False), ("⟦таблица: 2 ячеек⟧", "table", True, False), ("Head", "h2", False, True)]
+
+
+def test_scans_reach_every_label(spark):
+    """The fixture of reports and glue has scored paragraphs of all labels beside short ones, and fragments."""
+    labels = {r.label: r.chars for r in catalog.QUERIES["label_shares"](spark, SF).groupBy("label").agg(F.sum("chars").alias("chars")).collect()}
+    assert set(labels) == {"human", "insufficient", "suspicious", "uncertain"} and min(labels.values()) > 0
+    assert catalog.QUERIES["glued"](spark, SF).count() > 0
+
+
+def test_truth_by_text_and_by_prefix(spark):
+    paras = spark.createDataFrame([(0, 0, "alpha beta"), (0, 1, "alpha"), (1, 0, "gamma")], "doc_id long, idx int, text string")
+    truth = spark.createDataFrame([(0, "alpha", 1), (0, "alpha", 0), (2, "gamma", 1)], "doc_id long, text string, label int")
+    assert [(r.idx, r.truth) for r in segments.attach_truth(paras, truth).collect()] == [(1, 1)]
+    prefixes = spark.createDataFrame([("al", 0), ("alpha b", 1), ("zzz", 1)], "prefix string, truth int")
+    assert {(r.doc_id, r.idx, r.truth) for r in corpus.match_prefix(paras, prefixes).collect()} == {(0, 0, 1), (0, 1, 0)}
+    assert corpus.match_prefix(paras, prefixes.limit(0)).count() == 0
 
 
 def test_empty_class(spark):

@@ -27,3 +27,18 @@ def test_cached(spark, tmp_path):
     cache = spark.read.schema("text_md5 string, p double").option("recursiveFileLookup", "true").parquet(str(tmp_path / "cache"))
     assert cache.count() == docs.select(F.md5("text")).distinct().count() == cache.select("text_md5").distinct().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_cached_batch_again(spark, tmp_path):
+    """A batch whose commit was lost is run again: cache and output stay as they were."""
+    docs, stream = source(spark, tmp_path)
+    spark.createDataFrame([], "text_md5 string, p double").write.parquet(str(tmp_path / "cache"))
+    run = lambda: jobs.stream_score_cached(stream, str(tmp_path / "cache"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    read = lambda: sorted(spark.read.schema("text_md5 string, p double").option("recursiveFileLookup", "true").parquet(str(tmp_path / "cache")).collect())
+    run()
+    before = read()
+    last = max((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert read() == before and len(before) > 0 and spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
