@@ -11,7 +11,8 @@ No piece holds a space after another character, so the state after a boundary (b
 character that no piece holds) is the start state: a whole unit between boundaries composes to one transition from
 start to start. A chunk of a text maps any entry state to an exit state and a count; it is held as the part before its
 first boundary, the count between its boundaries and the part after its last. Such maps compose associatively, so texts
-beyond `LONG` characters are cut into chunks, mapped in parallel and joined by a prefix scan in log2(chunks) steps.
+beyond `LONG` characters are cut into chunks, mapped in parallel and composed pairwise in log2(chunks) levels, the part of
+a prefix scan that a total needs.
 """
 
 from __future__ import annotations
@@ -156,13 +157,12 @@ class Transducer(dict):
         parts = self.units(a[2])
         return a if len(parts) < 2 else (a[0], a[1] + sum(map(self.__getitem__, parts[:-1])), parts[-1])
 
-    def scanned(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix scan of chunk maps by doubling."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[k - step], maps[k]) if k >= step else maps[k] for k in range(len(maps))]
-            step *= 2
-        return maps
+    def reduced(self, maps: list[tuple]) -> tuple:
+        """The chunk maps composed pairwise, level by level: the last value of their prefix scan, in log2(maps) levels.
+        Each level holds the text between boundaries once, so memory grows with the text also where it has none."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0]
 
     def total(self, whole: tuple) -> int:
         """The count of a text whose chunk maps compose to `whole`."""
@@ -196,7 +196,7 @@ def _joined(model: str):
         machine = kept(("transducer", model), lambda: Transducer(model))
         times = group.column("chunk").to_pylist().count(0)  # rows that repeat have each chunk as often
         maps = list(zip(*(group.column(name).to_pylist()[::times] for name in ("head", "count", "tail"))))
-        total = machine.total(machine.scanned(maps)[-1])
+        total = machine.total(machine.reduced(maps))
         values = {"doc_id": group.column("doc_id")[0].as_py(), "n_bytes": group.column("n_bytes")[0].as_py(), "n_tokens": total}
         return {name: pa.array([value] * times, pa.int64()) for name, value in values.items()}
 

@@ -161,6 +161,22 @@ def test_token_counts(spark, docs, texts, monkeypatch):
     assert tokens.token_counts(twice, path).count() == 2
 
 
+def test_tokens_of_a_long_text_without_a_space():
+    """Chunk maps of a text without a boundary compose in memory that grows with the text alone."""
+    import tracemalloc
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    machine, library = tokens.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    text = "ab1xy" * 60_000
+    assert machine.total(machine.reduced([machine.chunk_map(x) for x in (" " + text[:9_000], text[9_000:20_000])])) == len(library.encode(text[:20_000]))
+    tracemalloc.start()
+    total = machine.total(machine.reduced([machine.chunk_map(text[k : k + tokens.CHUNK]) for k in range(0, len(text), tokens.CHUNK)]))
+    assert total > 60_000 and tracemalloc.get_traced_memory()[1] < 40 * len(text)
+    tracemalloc.stop()
+
+
 def test_language(spark, docs):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model, languages = langid.fit_language_model(real, 800)
@@ -229,10 +245,17 @@ def test_toxicity_of_a_rare_language(spark):
 def test_licences(spark):
     other = "The MIT Licence\nCopyright (c) 2019 Somebody\n\n" + licences.MIT.split("\n\n", 1)[1].upper().replace(" ", "  ")
     rows = [(0, licences.MIT), (1, "Copyright 2001 X\n" + licences.MIT.replace(",", ";")), (2, "text\nreleased under the mit LICENCE\nmore"), (3, None), (4, ""), (5, other), (2, "again")]
+    rows += [(None, "x\nSPDX-License-Identifier: MIT"), (8, licences.BSD_3.replace("acknowledgment", "acknowledgement").replace("\n\n", "\n")), (9, "programmer per century licence sub licence"), (9, licences.APACHE_NOTICE.lower()), (10, "the licence  Licence\norganise")]
     got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    by = {(r.doc_id, r.notices[0] if r.notices else None): r for r in got}
-    assert len(got) == 7 and by[0, None].licence == "MIT" and by[1, None].licence == "MIT" and by[3, None].digest is None and by[4, None].licence is None
-    assert by[2, "MIT"].licence is None
+    found = sorted(((r.doc_id, r.licence, tuple(r.notices)) for r in got), key=repr)
+    want = [(0, "MIT", ()), (1, "MIT", ()), (2, None, ("MIT",)), (3, None, ()), (4, None, ()), (5, None, ()), (2, None, ()), (None, None, ("MIT",)), (8, "BSD-3-Clause", ()), (9, None, ()), (9, "Apache-2.0", ()), (10, None, ())]
+    assert found == sorted(want, key=repr)
+    digest = {r.doc_id: r.digest for r in got}
+    import hashlib
+
+    form = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert digest[3] is None and digest[4] == form("") and digest[10] == form("the license license organize")
+    assert {form("programmer per century license sublicense"), form("again")} <= {r.digest for r in got}
 
 
 def test_quality(spark, docs):
