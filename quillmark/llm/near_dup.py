@@ -9,11 +9,12 @@ hardly a linked pair falls below, and whose sizes allow a link, are joined to co
 `REGION_ROWS` rows is a coarse group as it stands. A coarse group's full sets are then compared exactly.
 
 A coarse group within `UNIT_ROWS` and `UNIT_SHINGLES` is compared in one task, each pair at most once and never two texts
-already connected. A larger one is compared in two steps. First its rows are cut into bounded blocks along several of the
+already connected. A larger one is compared in three steps. First those rows leave it of whose shingles so many occur in no
+other text of the group that they can link with nothing. Then its rows are cut into bounded blocks along several of the
 sorted orders, so that blocks hold neighbours of long common prefixes, and compared within blocks: what is dense falls
-together. Then blocks of rows that are still apart meet all other blocks of the group, each pair of blocks in a task of
+together. At last blocks of rows that are still apart meet all other blocks of the group, each pair of blocks in a task of
 its own; only pairs of rows inside the group's largest part, which are connected already, are left out. No pair is lost
-and no task holds more than two blocks. The second step grows with the rows outside the largest part times all rows of
+and no task holds more than two blocks. The last step grows with the rows outside the largest part times all rows of
 that group.
 
 A pair at the threshold of 0.85 shares no region in 16 trees with chance (1 - 0.85^3)^16 = 2e-7, at 0.8 with 1e-5, and
@@ -249,9 +250,60 @@ def _coarse(slim: DataFrame, percent: int) -> DataFrame:
     return components(first.unionByName(_met(named, range(FIRST_TREES, TREES), percent)))
 
 
+def _counted(bits: int):
+    """Packed parts of a count of shingles by unit: keys, and the node of those that occur once among a task's rows (-1
+    for others), a row for each of 2^bits ranges of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            node = np.where(count == 1, np.concatenate(nodes)[first], -1)
+            ranges = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+            cuts = list(zip(starts, [*starts[1:], len(found)]))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges[starts]), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (found, node))], ["range", "keys", "nodes"])
+
+        for batch in batches:
+            for unit, node, shingles in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = np.frombuffer(shingles, np.uint64)
+                keys.append(found ^ np.uint64(xxhash.xxh3_64_intdigest(str(unit))))
+                nodes.append(np.full(len(found), node))
+                held += len(found)
+                if held > UNIT_SHINGLES:
+                    yield from flush()
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _alone(group: pa.Table) -> dict | None:
+    """Of a range, rows (node, alone): how many keys occur in that node's text and no other."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()])
+    nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()])
+    _, first, count = np.unique(keys, return_index=True, return_counts=True)
+    found, alone = np.unique(nodes[first[(count == 1) & (nodes[first] >= 0)]], return_counts=True)
+    return {"node": found, "alone": alone} if len(found) else None
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of `members` without those that can link with nothing: too many of their shingles occur in no other text
+    of their unit. An exact bound; a meeting of digests only keeps a row too many."""
+    size = members.agg(F.sum("n")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, 4 * size / UNIT_SHINGLES))))
+    parts = sets.join(members.select("unit", "node"), "node").select("unit", "node", "shingles").mapInArrow(_counted(bits), "range long, keys binary, nodes binary")
+    alone = in_groups(parts, ["range"], _alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    rows = members.join(small(cut(alone)), "node", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    return rows.select("unit", "node", "n", "sign")
+
+
 def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact links of groups of any size: rows (src, dst) that span the connected nodes of each unit of `members`
     (unit, node, n, sign); `sets` has (node, shingles)."""
+    members = cut(_linkable(members, sets, percent))
     full = sets.join(members.select("node", "sign"), "node")
     trees = F.explode(F.array(*[F.lit(k) for k in SORTED])).alias("tree")
     rows = members.select("unit", "node", "n", "sign", trees).select("unit", "tree", _order(F.col("tree")).alias("order"), "node", "n")
