@@ -14,7 +14,7 @@ other text of the group that they can link with nothing. Then its rows are cut i
 sorted orders, so that blocks hold neighbours of long common prefixes, and compared within blocks: what is dense falls
 together. At last blocks of rows that are still apart meet all other blocks of the group, each pair of blocks in a task of
 its own; only pairs of rows inside the group's largest part, which are connected already, are left out. No pair is lost
-and no task holds more than two blocks. The last step grows with the rows outside the largest part times all rows of
+and no task holds more than two blocks, each within twice the bounds. The last step grows with the rows outside the largest part times all rows of
 that group.
 
 A pair at the threshold of 0.85 shares no region in 16 trees with chance (1 - 0.85^3)^16 = 2e-7, at 0.8 with 1e-5, and
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, in_groups, ship, small
@@ -224,7 +224,13 @@ def _blocks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*names, "block"])
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema + ", block long")
+    found = cut(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema + ", block long"))
+    # ends of partitions leave short blocks: neighbours are put together, up to twice the bounds
+    share = F.greatest(F.count("*") / UNIT_ROWS, F.sum("n") / UNIT_SHINGLES)
+    sizes = found.groupBy(*keys, "block").agg(share.alias("_share"))
+    sizes = sizes.withColumn("_bin", F.ceil(F.sum("_share").over(Window.partitionBy(*keys).orderBy("block"))))
+    ends = cut(sizes.select("block", F.min("block").over(Window.partitionBy(*keys, "_bin")).alias("_into")))
+    return found.join(small(ends), "block").drop("block").withColumnRenamed("_into", "block")
 
 
 def _met(slim: DataFrame, trees: range, percent: int) -> DataFrame:
