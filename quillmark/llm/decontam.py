@@ -56,7 +56,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     met = probes.join(small(keys), "h").where((F.col("n_words") >= F.col("least")) & (F.col("n_words") - size + 1 >= F.col("need")))
     pairs = cut(met.select("doc_id", "item_id").distinct())
 
-    texts = rows.join(small(pairs), "doc_id").join(small(known.select("item_id", "hashes", "n", "need"), 50_000), "item_id")
+    texts = rows.join(small(pairs), "doc_id").join(small(known.select("item_id", "hashes", "n", "need")), "item_id")
     found = F.transform(_starts(size), lambda at: F.xxhash64(*[F.col("words")[at + k] for k in range(size)]))
     shared = texts.select("doc_id", "item_id", "n", "need", F.size(F.array_intersect("hashes", found)).alias("n_shared")).where("n_shared >= need")
     best = shared.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared"))

@@ -221,7 +221,7 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         taken = cut(in_groups(blocks.select("node", "block", "vec_id", "vec"), ["node", "block"], _elect(half), "vec_id long, leader long, leader_vec array<double>"))
         if taken.isEmpty():
             continue
-        step = small(taken.select(F.col("vec_id").alias("leader"), F.col("leader").alias("next"), F.col("leader_vec").alias("next_vec")), 20_000)
+        step = small(taken.select(F.col("vec_id").alias("leader"), F.col("leader").alias("next"), F.col("leader_vec").alias("next_vec")))
         moved = member.join(step, "leader", "left").withColumn("next_near", F.when(F.col("next").isNotNull(), dot("vec", "next_vec")))
         # vectors that the next leader does not reach stay with theirs
         reached = F.col("next").isNotNull() & (F.col("next_near") >= half)
