@@ -198,16 +198,59 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.list_(pa.float64()))], ["vec_id", "vec"])
 
 
+def _whole(cosine: float):
+    """In a group that is a leaf of its own: rows (vec_id, class, n) of all its vectors."""
+
+    def work(group: pa.Table) -> dict | None:
+        ids, vectors = group.column("vec_id").to_numpy(), matrix(group.column("vec"))
+        near = vectors @ vectors.T >= cosine
+        np.fill_diagonal(near, True)
+        part, before = np.arange(len(ids)), None
+        while before is None or (part != before).any():
+            before = part
+            part = np.where(near, part[None, :], len(ids)).min(1)
+            part = part[part]
+        return {"vec_id": ids, "class": ids[part], "n": near.sum(1) - 1}
+
+    return work
+
+
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of `vectors` (vec_id, embedding).
 
-    Vectors link with cosine >= `cosine` in double precision; those that are null, empty, zero or hold null or
-    non-finite components link with nothing. vec_id must be unique and not null; vectors of another length than most
-    link with nothing either. Other columns are ignored; an empty table gives no rows.
+    Vectors link with cosine >= `cosine` in double precision, whatever their number of components, with those of as many
+    components; those that are null, empty, zero or hold null or non-finite components link with nothing. Rows that
+    repeat a vec_id and a vector are one vector, and each is returned; rows that share a vec_id but not a vector are
+    linked by their own vectors. A row with a null vec_id links with nothing, has a null component_id and is kept. Other
+    columns are ignored; an empty table gives no rows.
     """
-    every = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_clean, "vec_id long, vec array<double>"))
-    usual = every.where("vec is not null").groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    good = every.where(F.size("vec") == (usual["size"] if usual else 0))
+    asked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    every = cut(asked.mapInArrow(_clean, "vec_id long, vec array<double>").withColumn("row", F.monotonically_increasing_id()))
+    good, key = every.where("vec is not null and vec_id is not null"), ["row"]
+    if not good.groupBy("vec_id").count().where("count > 1").isEmpty():
+        good, key = cut(good.groupBy("vec_id", "vec").agg(F.min("row").alias("row"))), ["vec_id", "vec"]
+
+    # the commonest length goes through the forest, and each other that one leaf cannot hold; the rest are a leaf each
+    sizes = cut(good.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("rows")))
+    usual = sizes.orderBy(F.desc("rows"), "size").limit(1)
+    large = [row["size"] for row in sizes.where(F.col("rows") > LEAF).union(usual).distinct().collect()]
+    points = good.select(F.col("row").alias("vec_id"), "vec")
+    filed = in_groups(points.where(~F.size("vec").isin(large)).withColumn("size", F.size("vec")), ["size"], _whole(cosine), "vec_id long, class long, n long")
+    for size in large:
+        filed = filed.unionByName(_linked(points.where(F.size("vec") == size), cosine))
+    filed = good.join(filed.withColumnRenamed("vec_id", "row"), "row").select(*key, F.col("vec_id").alias("id"), "class", "n")
+
+    # a class is named by the smallest vec_id of all its vectors
+    filed = cut(filed)
+    least = small(cut(filed.groupBy("class").agg(F.min("id").alias("component"), F.count("*").alias("rows")).where("rows > 1").select("class", "component")))
+    named = every.join(filed.join(least, "class", "left").select(*key, "component", "n"), key, "left")
+    component = F.coalesce("component", "vec_id")
+    return named.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def _linked(good: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, class, n): of each of `good` (vec_id, vec), unit vectors of one length with an id each, the class that
+    links reach, named by one of its ids, and the number of vectors that it links with."""
     half = float(np.cos(np.arccos(cosine) / 2 - 1e-6))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
@@ -231,7 +274,11 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     points = cut(_leaders(member))
 
     dealt = deal(points, 7, list(range(TREES)), True)
-    pairs = cut(in_groups(dealt.select("tree", "node", "vec_id", "vec", "r"), ["tree", "node"], _compare(cosine), "a long, b long, cos double").dropDuplicates(["a", "b"]))
+    # a leaf that no level could split is compared in blocks, each pair of blocks in a task
+    wide = cut(dealt.groupBy("tree", "node").count().where(F.col("count") > BLOCK).select("tree", "node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    leaf = dealt.join(small(wide), ["tree", "node"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    leaf = leaf.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "vec_id", "vec", "r")
+    pairs = cut(in_groups(leaf, ["tree", "node", "i", "j"], _compare(cosine), "a long, b long, cos double").dropDuplicates(["a", "b"]))
     about = small(points.select("vec_id", "r", "m"))
     pairs = pairs.join(about.select(F.col("vec_id").alias("a"), F.col("r").alias("ra"), F.col("m").alias("ma")), "a").join(about.select(F.col("vec_id").alias("b"), F.col("r").alias("rb"), F.col("m").alias("mb")), "b")
     angle, limit = F.acos(F.least(F.col("cos"), F.lit(1.0))), float(np.arccos(cosine))
@@ -239,23 +286,20 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     pairs = cut(pairs.withColumn("whole", F.when(single, F.col("cos") >= cosine).when(angle + F.col("ra") + F.col("rb") <= limit - 1e-6, True)))
     whole = pairs.where("whole")
     # the other pairs of groups are compared vector by vector, in blocks of one group against the other
-    open_ = small(pairs.where("whole is null").select("a", "b"))
-    x = member.select(F.col("leader").alias("a"), F.col("vec_id").alias("x"), F.col("vec").alias("xv"))
-    y = member.select(F.col("leader").alias("b"), F.col("vec_id").alias("y"), F.col("vec").alias("yv"))
-    sides = open_.join(x, "a").select("a", "b", F.lit(0).alias("side"), F.col("x").alias("vec_id"), F.col("xv").alias("vec")).unionByName(open_.join(y, "b").select("a", "b", F.lit(1).alias("side"), F.col("y").alias("vec_id"), F.col("yv").alias("vec")))
-    single_links = cut(in_groups(sides, ["a", "b"], _between(cosine), "vec_id long, links long, a long, b long", ("side", "vec_id")))
+    open_ = pairs.where("whole is null").select("a", "b", F.ceil(F.col("ma") / BLOCK).cast("int").alias("na"), F.ceil(F.col("mb") / BLOCK).cast("int").alias("nb"))
+    open_ = small(cut(open_))
+    own, each = lambda n: F.pmod(F.xxhash64("vec_id"), n), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - F.lit(1).cast("long")))
+    x = open_.join(member.select(F.col("leader").alias("a"), "vec_id", "vec"), "a").select("a", "b", own("na").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "vec_id", "vec")
+    y = open_.join(member.select(F.col("leader").alias("b"), "vec_id", "vec"), "b").select("a", "b", each("na").alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "vec_id", "vec")
+    sides = x.unionByName(y)
+    single_links = cut(in_groups(sides, ["a", "b", "i", "j"], _between(cosine), "vec_id long, links long, a long, b long", ("side", "vec_id")))
 
     by_leader = whole.select(F.col("a").alias("leader"), F.col("mb").alias("n")).unionByName(whole.select(F.col("b").alias("leader"), F.col("ma").alias("n"))).groupBy("leader").agg(F.sum("n").alias("by_leader"))
     by_vector = single_links.groupBy("vec_id").agg(F.sum("links").alias("by_vector"))
     groups = components(whole.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(single_links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     named = cut(points.select(F.col("vec_id").alias("leader"), "m").join(small(groups), F.col("leader") == F.col("node"), "left").select("leader", "m", F.coalesce("component", "leader").alias("class")).join(small(cut(by_leader)), "leader", "left"))
-    # a class is named by the smallest vec_id of all its vectors
-    filed = member.select("vec_id", "leader").join(small(named), "leader")
-    least = small(cut(filed.groupBy("class").agg(F.min("vec_id").alias("component"))))
-    filed = filed.join(least, "class").join(small(cut(by_vector)), "vec_id", "left").select("vec_id", "component", (F.col("m") - 1 + F.coalesce("by_leader", F.lit(0)) + F.coalesce("by_vector", F.lit(0))).alias("n"))
-    return every.select("vec_id").join(filed, "vec_id", "left").select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept")
-    )
+    filed = member.select("vec_id", "leader").join(small(named), "leader").join(small(cut(by_vector)), "vec_id", "left")
+    return filed.select("vec_id", "class", (F.col("m") - 1 + F.coalesce("by_leader", F.lit(0)) + F.coalesce("by_vector", F.lit(0))).alias("n"))
 
 
 def _leaders(member: DataFrame) -> DataFrame:
@@ -267,7 +311,7 @@ def _leaders(member: DataFrame) -> DataFrame:
 
 
 def _between(cosine: float):
-    """Links of each vector of two groups with the other group: rows (vec_id, links, a, b) with links > 0."""
+    """Links of each vector of two blocks, one of each of two groups: rows (vec_id, links, a, b) with links > 0."""
 
     def work(group: pa.Table) -> dict | None:
         side, ids, vectors = group.column("side").to_numpy(), group.column("vec_id").to_numpy(), matrix(group.column("vec"))

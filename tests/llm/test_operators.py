@@ -307,6 +307,36 @@ def test_embeddings(spark, monkeypatch, leaf):
     assert all(right) if leaf == 600 else found.sum() >= 0.8 * true.sum()
 
 
+@pytest.mark.parametrize("leaf", [600, 40])
+def test_embeddings_of_several_lengths(spark, monkeypatch, leaf):
+    """Every length is compared; rows that repeat count once; null ids link with nothing; groups and leaves meet in blocks.
+    Leaves of 40 rows send two lengths through the forest and may miss a link, but none that is found is false."""
+    monkeypatch.setattr(embed_dup, "LEAF", leaf)
+    monkeypatch.setattr(embed_dup, "BLOCK", 20)
+    monkeypatch.setattr(embed_dup, "DEEPER", 1)
+    rng = np.random.default_rng(9)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=8) + rng.normal(size=(90, 8)) * 0.16]))]
+    rows += [(200 + k, v.tolist()) for k, v in enumerate(rng.normal(size=(70, 2)))] + [(300, [0.0, 1.0, 0.0]), (301, [0.0, 2.0, 0.1]), (302, [1.0, 0.0, 0.0]), (303, [4.0])]
+    repeated = [rows[70], rows[70], rows[0], rows[-2], (7, rows[75][1]), (None, rows[70][1]), (None, None)]
+    distinct = list({(i, *v): (i, v) for i, v in rows + [x for x in repeated if x[0] is not None]}.values())
+    near = np.array([[len(a) == len(b) and np.dot(a, b) >= 0.95 * np.linalg.norm(a) * np.linalg.norm(b) for _, b in distinct] for _, a in distinct])
+    want = {}
+    for k, c in enumerate(brute_components(len(distinct), np.argwhere(near).tolist())):
+        want.setdefault(c, []).append(k)
+    want = {k: min(distinct[j][0] for j in part) for part in want.values() for k in part}
+    expected = {(i, *v): (int(near[k].sum()) - 1, want[k]) for k, (i, v) in enumerate(distinct)}
+    every = rows + repeated
+    found = embed_dup.embedding_duplicates(spark.createDataFrame([(i, v, "x") for i, v in every], "vec_id long, embedding array<double>, class string")).collect()
+    right = sorted((i, *expected[(i, *v)]) if i is not None else (-1, 0, -1) for i, v in every)
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id) for r in found)
+    if leaf == 600:
+        assert got == right
+    else:
+        assert [r[0] for r in got] == [r[0] for r in right] and all(x[1] <= y[1] for x, y in zip(got, right))
+        assert sum(r[1] for r in got) >= 0.95 * sum(r[1] for r in right)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found)
+
+
 def test_embeddings_left_by_their_leader(spark, monkeypatch):
     """Vectors whose leader a later round takes from them are compared themselves, not by the leader."""
     member = spark.createDataFrame([(0, [1.0, 0.0], 0, 1.0), (1, [0.99, 0.141], 0, 0.99), (2, [0.96, 0.28], 1, 0.99)], "vec_id long, vec array<double>, leader long, near double")
