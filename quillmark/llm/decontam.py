@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions alone.
 
-A test item is the set of hashed shingles of its words; items are partitioned by the power of two of that set's size.
-An item's sketch is its smallest hashes, so many that a document with the asked share of the item must hold one of them
-(n - ceil(share * n) + 1 of n, a count the partition bounds). Documents are not sketched: all their shingles probe the
-sketches, for documents are long and items short, and an item of a partition is only sought in documents large enough.
-Candidates are then verified by exact containment over the whole shingle sets.
+A test item is the set of hashed shingles of its words; items are partitioned by the power of two of that set's size. A
+partition sets the parameters of its search: the number of hits, one and an eighth of its least size, that make a document a
+candidate. An item's sketch is its smallest hashes, so many that a document with the asked share of the item must hold as
+many of them as its partition asks for (n - need + hits of n, by pigeonhole), so larger items need several common shingles
+before anything is verified. Documents are not sketched: all their shingles probe the sketches, for documents are long and
+items short. Candidates are then verified by exact containment over the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, small
 
 SEPARATOR = r"[^\p{L}\p{N}]+"
+#: Parts of a key where sketches are joined by a shuffle.
+SALTS = 16
 
 
 def _words(text: str) -> Column:
@@ -31,6 +34,16 @@ def _starts(size: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _probed(probes: DataFrame, sketch: DataFrame) -> DataFrame:
+    """`probes` joined to the keys of `sketch` by h. Sketches too large to broadcast are copied to `SALTS` parts of each
+    key, so that the documents that share a common passage are dealt over as many tasks."""
+    keys = small(sketch)
+    if keys is not sketch:
+        return probes.join(keys, "h")
+    salted = sketch.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return probes.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["h", "salt"]).drop("salt")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) with 100 * n_shared >= percent * n_item.
 
@@ -44,17 +57,18 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     known = cut(shingles.groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hashes")))
     known = known.withColumn("n", F.size("hashes")).withColumn("need", F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int"))
     known = known.withColumn("part", F.floor(F.log2("n")).cast("int"))
+    hits = F.greatest(F.least(F.floor(F.pow(F.lit(2.0), "part") / 8).cast("int") + 1, F.col("need")), F.lit(1))
+    known = known.withColumn("hits", hits)
     # the sketch order is a second hash, so that it is not the order in which equal prefixes of words cluster
     order = F.sort_array(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("rank"), h.alias("h"))))
-    sketch = known.select("item_id", "part", "need", F.explode(F.slice(order, 1, F.col("n") - F.col("need") + 1)).alias("key"))
-    sketch = cut(sketch.select("item_id", "part", "need", F.col("key.h").alias("h")))
+    sketch = known.select("item_id", "need", "hits", F.explode(F.slice(order, 1, F.col("n") - F.col("need") + F.col("hits"))).alias("key"))
+    sketch = cut(sketch.select("item_id", "need", "hits", F.col("key.h").alias("h")))
 
     rows = docs.where("doc_id is not null").select("doc_id", _words("text").alias("words"))
-    least = sketch.groupBy("part").agg(F.min("need").alias("least"))
     probes = rows.select("doc_id", F.size("words").alias("n_words"), "words", F.explode(_starts(size)).alias("at")).select("doc_id", "n_words", _shingle(size, F.col("at")).alias("h"))
-    keys = cut(sketch.join(least, "part").select("h", "item_id", "need", "least"))
-    met = probes.join(small(keys), "h").where((F.col("n_words") >= F.col("least")) & (F.col("n_words") - size + 1 >= F.col("need")))
-    pairs = cut(met.select("doc_id", "item_id").distinct())
+    met = _probed(probes, sketch).where(F.col("n_words") - size + 1 >= F.col("need"))
+    counts = met.select("doc_id", "item_id", "h", "hits").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("met"), F.first("hits").alias("hits"))
+    pairs = cut(counts.where("met >= hits").select("doc_id", "item_id"))
 
     texts = rows.join(small(pairs), "doc_id").join(small(known.select("item_id", "hashes", "n", "need")), "item_id")
     found = F.transform(_starts(size), lambda at: F.xxhash64(*[F.col("words")[at + k] for k in range(size)]))

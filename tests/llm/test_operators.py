@@ -283,6 +283,33 @@ def test_decontamination(spark, docs, texts):
     assert decontam.decontaminated(docs, items).count() == len(texts) - len({i for i, _ in want})
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_of_all_sizes(spark, monkeypatch, broadcast):
+    """Items of every size partition with shares around the bound, a passage that many documents hold, rows that repeat."""
+    if not broadcast:
+        monkeypatch.setattr(decontam, "small", lambda df: df)
+    rng = random.Random(9)
+    parts = [prose(rng, n) for n in (5, 6, 9, 14, 22, 40, 70, 150, 300)]
+    rows = []
+    for i in range(180):
+        words = rng.choice(parts).split()
+        for _ in range(rng.randrange(1 + len(words) // 20)):
+            words[rng.randrange(len(words))] = "changed"
+        words = words[: rng.randrange(len(words) * 7 // 10, len(words) + 1)]
+        rows.append((i, f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 20)} {parts[1] if i % 3 else ''}"))
+    rows += [rows[4], (5, rows[6][1]), (None, parts[3]), (200, None), (201, "")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(parts)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontam.contaminated(docs, items).collect()}
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    want, held = {}, [sets(p) for p in parts]
+    for i, t in rows:
+        found = sets(t) if i is not None else set()
+        for k, p in enumerate(held):
+            if found and 100 * len(found & p) >= 80 * len(p):
+                want[i, k] = (len(p), max(len(found & p), want.get((i, k), (0, 0))[1]))
+    assert got == want and {k for _, k in want} == set(range(len(parts)))
+
+
 @pytest.mark.parametrize("leaf", [600, 40])
 def test_embeddings(spark, monkeypatch, leaf):
     monkeypatch.setattr(embed_dup, "LEAF", leaf)
