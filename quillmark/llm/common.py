@@ -106,7 +106,9 @@ def _grouper(keys: list[str], work: Callable, names: list[str]) -> Callable:
             change = np.zeros(batch.num_rows - 1, bool)
             for key in keys:
                 column = batch.column(batch.schema.get_field_index(key))
-                change |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+                differ = pc.fill_null(pc.not_equal(column[1:], column[:-1]), True)
+                null = column.is_null()  # two nulls are one key
+                change |= pc.and_not(differ, pc.and_(null[1:], null[:-1])).to_numpy(zero_copy_only=False)
             starts = [0, *(np.flatnonzero(change) + 1).tolist()]
             for at, end in zip(starts, [*starts[1:], batch.num_rows]):
                 part = batch.slice(at, end - at)

@@ -9,14 +9,19 @@ compiled when a text first reaches them and kept per worker.
 
 No piece holds a space after another character, so the state after a boundary (before a run of spaces, and around a
 character that no piece holds) is the start state: a whole unit between boundaries composes to one transition from
-start to start. A chunk of a text maps any entry state to an exit state and a count; it is held as the part before its
-first boundary, the count between its boundaries and the part after its last. Such maps compose associatively, so texts
-beyond `LONG` characters are cut into chunks, mapped in parallel and composed pairwise in log2(chunks) levels, the part of
-a prefix scan that a total needs.
+start to start.
+
+Texts beyond `LONG` characters are cut into chunks, each a task's row of its own. A chunk is held as its state map: for each
+state in which it may be entered, the state in which it is left and the tokens emitted. The entry states are those that
+the `LEAD` characters before the chunk lead to from the start state at any of their first `OFFSETS` positions; they fall
+together at the first boundary, and mostly without one. Maps compose associatively and are scanned in levels of `FAN`
+neighbours, each group a task's row again, until one map a text is left: no task holds the text. Where a map lacks the
+state in which its chunk is really entered, the text is counted by one pass over its chunks, in order, state in hand.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -24,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, kept, ship
+from .common import cut, in_groups, kept, ship, small
 
 ship(__name__)
 
 #: Characters beyond which a text is cut, and of a chunk.
 LONG, CHUNK = 65_536, 16_384
+#: Characters before a chunk from which its entry states follow, and how many of them may start a piece anew.
+LEAD, OFFSETS = 256, 16
+#: Neighbouring maps composed at once.
+FAN = 64
 #: Composite transitions and states kept in a worker.
 KEPT_UNITS, KEPT_STATES = 500_000, 300_000
 SPACE = "▁"
@@ -109,20 +118,29 @@ class Transducer(dict):
     def __missing__(self, unit: str) -> int:
         if len(self) > KEPT_UNITS:
             self.clear()
+        total = self.walk(self.start, unit)[1]
+        if len(unit) <= 64:
+            self[unit] = total
+        return total
+
+    def walk(self, state: tuple, unit: str) -> tuple[tuple, int]:
+        """The state after `unit`, which holds no boundary, from `state`, and the change of the count."""
         if len(self.states) > KEPT_STATES:
             self.reset()
         if len(self.fits) > KEPT_STATES * 5:
             self.fits.clear()
-        at, total, arcs = 0, 0, self.arcs
+        at = self.number.setdefault(state, len(self.states))
+        if at == len(self.states):
+            self.states.append(state)
+            self.arcs.append({})
+        total, arcs = 0, self.arcs
         for letter in unit.replace(" ", SPACE):
             arc = arcs[at].get(letter)
             if arc is None:
                 arc = self.compiled(at, letter)
             at = arc[0]
             total += arc[1]
-        if len(unit) <= 64:
-            self[unit] = total
-        return total
+        return self.states[at], total
 
     def compiled(self, at: int, letter: str) -> tuple[int, int]:
         """The new transition from state number `at` on `letter`."""
@@ -137,36 +155,54 @@ class Transducer(dict):
     def count(self, text: str) -> int:
         return sum(map(self.__getitem__, self.units(text)))
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(head, count, tail): count is None if the chunk has no boundary, and head is all of it."""
+    def passed(self, state: tuple, last: str, text: str) -> tuple[tuple, int]:
+        """The state after `text`, entered in `state` behind the character `last`, and the change of the count."""
         parts = self.units(text)
-        if len(parts) < 2:
-            return text, None, ""
-        return parts[0], sum(map(self.__getitem__, parts[1:-1])), parts[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """First chunk map `a`, then `b`."""
-        if b[1] is None:
-            return (a[0] + b[0], None, "") if a[1] is None else self.close((a[0], a[1], a[2] + b[0]))
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
-
-    def close(self, a: tuple) -> tuple:
-        """`a` with the units counted that its tail completes."""
-        parts = self.units(a[2])
-        return a if len(parts) < 2 else (a[0], a[1] + sum(map(self.__getitem__, parts[:-1])), parts[-1])
-
-    def reduced(self, maps: list[tuple]) -> tuple:
-        """The chunk maps composed pairwise, level by level: the last value of their prefix scan, in log2(maps) levels.
-        Each level holds the text between boundaries once, so memory grows with the text also where it has none."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return maps[0]
-
-    def total(self, whole: tuple) -> int:
-        """The count of a text whose chunk maps compose to `whole`."""
-        return self.count(whole[0]) if whole[1] is None else self.count(whole[0]) + whole[1] + self.count(whole[2])
+        if not parts:
+            return state, 0
+        if _space(text[0]) and not _space(last):
+            state = self.start
+        state, total = self.walk(state, parts[0])
+        if len(parts) > 1:
+            total += sum(map(self.__getitem__, parts[1:-1]))
+            state, more = self.walk(self.start, parts[-1])
+            total += more
+        return state, total
+
+    def entries(self, lead: str) -> list[tuple]:
+        """The states after `lead` from the start state at its first positions; the start state without a lead."""
+        found, last = [self.start], ""
+        for k, letter in enumerate(lead):
+            moved = {self.passed(state, last, letter)[0]: None for state in found}
+            found, last = [*moved, *([self.start] if k + 1 < OFFSETS and self.start not in moved else [])], letter
+        return found
+
+    def chunk_map(self, lead: str, text: str) -> dict[str, tuple[str, int]]:
+        """For each state in which the chunk may be entered, that in which it is left and the tokens emitted."""
+        found = {}
+        for state in self.entries(lead):
+            after, total = self.passed(state, lead[-1:], text)
+            found[json.dumps(state)] = (json.dumps(after), total)
+        return found
+
+
+def _space(letter: str) -> bool:
+    return letter in (" ", SPACE)
+
+
+def composed(maps: list[dict]) -> dict[str, tuple[str, int]]:
+    """Chunk maps of neighbours as one map; entry states that some map does not know are left out."""
+    whole = {}
+    for entry in maps[0]:
+        state, total = entry, 0
+        for each in maps:
+            state, more = each.get(state, (None, 0))
+            if state is None:
+                break
+            total += more
+        else:
+            whole[entry] = (state, total)
+    return whole
 
 
 def _short(model: str):
@@ -180,27 +216,95 @@ def _short(model: str):
     return run
 
 
+MAPS = "row long, doc_id long, n_bytes long, chunk int, times long, entry array<string>, after array<string>, tokens array<long>"
+TOTALS = "row long, doc_id long, n_bytes long, times long, n_tokens long"
+
+
 def _mapped(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = kept(("transducer", model), lambda: Transducer(model))
         for batch in batches:
-            maps = [machine.chunk_map(text.as_py()) for text in batch.column(4)]
-            columns = [pa.array([m[k] for m in maps], kind) for k, kind in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["row", "doc_id", "n_bytes", "chunk", "head", "count", "tail"])
+            maps = [machine.chunk_map(lead, text) for lead, text in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([1] * len(maps), pa.int64()), *_columns(maps)], [x.split()[0] for x in MAPS.split(", ")])
 
     return run
 
 
-def _joined(model: str):
-    def work(group: pa.Table) -> dict:
+def _columns(maps: list[dict]) -> list[pa.Array]:
+    return [
+        pa.array([list(m) for m in maps], pa.list_(pa.string())),
+        pa.array([[x for x, _ in m.values()] for m in maps], pa.list_(pa.string())),
+        pa.array([[n for _, n in m.values()] for m in maps], pa.list_(pa.int64())),
+    ]
+
+
+def _level(group: pa.Table) -> dict:
+    """One map for the neighbouring maps of `group`; rows that repeat have each chunk as often."""
+    chunks, times = group.column("chunk").to_pylist(), group.column("times").to_pylist()
+    maps = {}
+    for chunk, *values in zip(chunks, *(group.column(name).to_pylist() for name in ("entry", "after", "tokens"))):
+        maps.setdefault(chunk, {e: (x, n) for e, x, n in zip(*values)})
+    whole = _columns([composed(list(maps.values()))])
+    again = sum(n for chunk, n in zip(chunks, times) if chunk == chunks[0])
+    one = {name: group.column(name)[:1].combine_chunks() for name in ("row", "doc_id", "n_bytes")}
+    return {**one, "chunk": pa.array([chunks[0] // FAN], pa.int32()), "times": pa.array([again], pa.int64()), **dict(zip(("entry", "after", "tokens"), whole))}
+
+
+def _streamed(model: str):
+    """Totals of texts whose chunks come in order: one pass with the state in hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = kept(("transducer", model), lambda: Transducer(model))
-        times = group.column("chunk").to_pylist().count(0)  # rows that repeat have each chunk as often
-        maps = list(zip(*(group.column(name).to_pylist()[::times] for name in ("head", "count", "tail"))))
-        total = machine.total(machine.reduced(maps))
-        values = {"doc_id": group.column("doc_id")[0].as_py(), "n_bytes": group.column("n_bytes")[0].as_py(), "n_tokens": total}
-        return {name: pa.array([value] * times, pa.int64()) for name, value in values.items()}
+        text, chunk, times, state, last, total = None, -1, 0, machine.start, "", 0
+
+        def ended() -> pa.RecordBatch:
+            values = (*text, times, total)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in values], [x.split()[0] for x in TOTALS.split(", ")])
+
+        for batch in batches:
+            for *this, k, _, part in zip(*(column.to_pylist() for column in batch.columns)):
+                if this != text:
+                    if text is not None:
+                        yield ended()
+                    text, chunk, times, state, last, total = this, -1, 0, machine.start, "", 0
+                times += k == 0
+                if k != chunk:
+                    state, more = machine.passed(state, last, part)
+                    chunk, last, total = k, part[-1:] or last, total + more
+        if text is not None:
+            yield ended()
+
+    return run
+
 
-    return work
+def _long_counts(rows: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of the long texts of `rows`."""
+    text, key = F.concat(F.lit(" "), "text"), ["row", "doc_id", "n_bytes"]
+
+    def part(k):
+        at = (k * CHUNK + 1).cast("int")
+        before = F.greatest(at - LEAD, F.lit(1))
+        return F.struct(k.cast("int").alias("chunk"), F.substring(text, before, at - before).alias("lead"), F.substring(text, at, F.lit(CHUNK)).alias("text"))
+
+    chunks = rows.select(F.xxhash64("text").alias("row"), "doc_id", "n_bytes", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / CHUNK)), part)).alias("part"))
+    chunks = chunks.select(*key, "part.chunk", "part.lead", "part.text")
+    maps = cut(chunks.repartition(*key, "chunk").mapInArrow(_mapped(model), MAPS))
+    most = maps.agg(F.max("chunk")).first()[0] or 0
+    while True:
+        # the last level also puts rows that repeat together
+        maps = in_groups(maps.withColumn("part", F.floor(F.col("chunk") / FAN)), [*key, "part"], _level, MAPS, ("chunk",))
+        if most < FAN:
+            break
+        most //= FAN
+    maps = cut(maps)
+    known = F.size("entry") > 0
+    totals = maps.where(known).select(*key, "times", F.col("tokens")[0].alias("n_tokens"))
+    unknown = maps.where(~known).select(*key)
+    if not unknown.isEmpty():
+        same = [chunks[name].eqNullSafe(unknown[name]) for name in key]
+        again = chunks.join(small(unknown), same, "left_semi").repartition(*key).sortWithinPartitions(*key, "chunk")
+        totals = totals.unionByName(again.mapInArrow(_streamed(model), TOTALS))
+    return totals.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "n_bytes", "n_tokens")
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
@@ -212,9 +316,5 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), F.col("text").cast("string").alias("text"))
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= LONG).mapInArrow(_short(model), "doc_id long, n_bytes long, n_tokens long")
-    text = F.concat(F.lit(" "), "text")
-    chunks = rows.where(F.length("text") > LONG).select(F.xxhash64("text").alias("row"), "doc_id", "n_bytes", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / CHUNK)), lambda k: F.struct(k.cast("int").alias("chunk"), F.substring(text, (k * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("text")))).alias("part"))
-    chunks = chunks.select("row", "doc_id", "n_bytes", "part.chunk", "part.text").repartition("row", "doc_id", "chunk")
-    maps = chunks.mapInArrow(_mapped(model), "row long, doc_id long, n_bytes long, chunk int, head string, count long, tail string")
-    long = in_groups(maps, ["row", "doc_id"], _joined(model), "doc_id long, n_bytes long, n_tokens long", ("chunk",))
+    long = _long_counts(rows.where(F.length("text") > LONG), model)
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -162,19 +162,40 @@ def test_token_counts(spark, docs, texts, monkeypatch):
 
 
 def test_tokens_of_a_long_text_without_a_space():
-    """Chunk maps of a text without a boundary compose in memory that grows with the text alone."""
-    import tracemalloc
-
+    """State maps compose to the library's count, with and without boundaries, in any grouping and within small memory."""
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     machine, library = tokens.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    text = "ab1xy" * 60_000
-    assert machine.total(machine.reduced([machine.chunk_map(x) for x in (" " + text[:9_000], text[9_000:20_000])])) == len(library.encode(text[:20_000]))
-    tracemalloc.start()
-    total = machine.total(machine.reduced([machine.chunk_map(text[k : k + tokens.CHUNK]) for k in range(0, len(text), tokens.CHUNK)]))
-    assert total > 60_000 and tracemalloc.get_traced_memory()[1] < 40 * len(text)
-    tracemalloc.stop()
+    start = tokens.json.dumps(machine.start)
+    rng = random.Random(3)
+    for text in ("ab1xy" * 6_000, "日本語のテキスト" * 2_000, "word  and\n\nline " * 900, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "x   " * 3_000):
+        whole, size = " " + text, 1_000
+        maps = [machine.chunk_map(whole[max(0, k - tokens.LEAD) : k], whole[k : k + size]) for k in range(0, len(whole), size)]
+        assert all(len(m) <= tokens.OFFSETS for m in maps) and list(maps[0]) == [start]
+        left, right = tokens.composed(maps[:7]), tokens.composed(maps[7:])
+        want = len(library.encode(text))
+        assert tokens.composed([left, right])[start][1] == tokens.composed(maps)[start][1] == want
+
+
+@pytest.mark.parametrize("lead", [256, 2])
+def test_token_counts_in_levels(spark, monkeypatch, lead):
+    """Texts of many chunks; with a lead that is too short, entry states are unknown and texts are passed in order."""
+    import sentencepiece
+
+    for name, value in (("LONG", 100), ("CHUNK", 32), ("FAN", 3), ("LEAD", lead), ("OFFSETS", min(16, lead))):
+        monkeypatch.setattr(tokens, name, value)
+    passed = []
+    real = tokens._streamed
+    monkeypatch.setattr(tokens, "_streamed", lambda model: passed.append(1) or real(model))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    texts = ["a" * 2_000, "internationalisation" * 90, "трамвай" * 200, "日本語" * 300, prose(rng, 400), " " * 900, "\n" * 500, "é😀" * 200, "a " * 600, "x" * 128]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[1]), (None, texts[1]), (0, texts[2])]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()), key=repr)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert got == sorted(((i, len(t.encode()), len(library.encode(t))) for i, t in rows), key=repr)
+    assert passed or lead > 2
 
 
 def test_language(spark, docs):
