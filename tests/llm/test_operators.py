@@ -460,3 +460,25 @@ def test_pipeline(spark):
         assert kept.select(*docs.columns).exceptAll(docs).count() == 0, name
     ids = lambda df: sorted(r.doc_id for r in df.collect())
     assert ids(corpus_pipeline.run(spark, "/root/testdata/sf0.001")) == ids(kept) == ids(want)
+
+
+def test_pipeline_stages_with_odd_rows(spark, texts):
+    """Null ids and texts, rows that repeat, clashing columns, a very long text and an empty table, through each stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    plain = table(spark, [*texts, prose(random.Random(1), 60_000)])
+    odd = plain.union(plain.where("doc_id in (0, 4)")).union(plain.where("doc_id in (0, 5)").withColumn("doc_id", F.lit(None).cast("long")))
+    count = lambda df, where: df.where(where).count()
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, odd, sf)
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert kept.columns == [*odd.columns, *(["copies"] if last else [])], name
+        kept = common.cut(kept)
+        assert kept.select(*odd.columns).exceptAll(odd).count() == 0, name
+        if name not in ("quality classifier", corpus_pipeline.STAGES[-1][0]):
+            # a text without words is never rejected, but near-dedup keeps rows that repeat an id and a text once
+            once = name == "MinHash near-dedup"
+            assert count(kept, "text is null and doc_id = 0") == (1 if once else 2) and count(kept, "text is null and doc_id is null") == 1, name
+            assert count(kept, "length(text) > 100000") == 1, name
+        assert common.cut(stage(spark, odd.limit(0), sf)).count() == 0, name
