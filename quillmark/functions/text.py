@@ -61,8 +61,10 @@ def script_ratio(text: Column, script: str = r"\p{IsCyrillic}") -> Column:
 
 
 #: Openings that a generator puts before its answer; fixed values, as a pattern over the start of a text.
-PREAMBLE = r"(?i)^(конечно|вот|разумеется|хорошо|certainly|sure|here is|here's)[^\n]{0,80}:[ \t]*\n*"
-REFUSAL = r"(?i)^(извините|к сожалению|я не могу|как языковая модель|i am sorry|i'm sorry|i cannot|as an ai)"
+PREAMBLE = r"(?i)^(конечно|разумеется|хорошо|вот|ниже|текст абзаца|абзац|certainly|sure|here is|here's)([^\p{L}\p{N}_:\n][^:\n]{0,89})?:[ \t]*\n*"
+REFUSAL = r"(?i)^[ \t\n]*(извин|я не мог|как языков|не могу|к сожалению|i am sorry|i'm sorry|i cannot|as an ai)"
+#: Tags of reasoning, and marks of markup.
+THINK, MARKUP = r"(?i)</?think>", r"[#*`>_]"
 
 
 def _unicode(pattern: str) -> str:
@@ -71,10 +73,11 @@ def _unicode(pattern: str) -> str:
 
 
 def clean_generated(text: Column, preamble: str = PREAMBLE) -> Column:
-    """A generated text without reasoning blocks, markup characters, up to two preambles, quotes around it and runs of
+    """A generated text without reasoning blocks and stray tags, markup characters, up to two preambles, quotes around it and runs of
     white space."""
-    text = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    text = strip(F.regexp_replace(text, r"[*#`]", ""))
+    text = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
+    text = F.regexp_replace(text, THINK, "")
+    text = strip(F.regexp_replace(text, MARKUP, ""))
     for _ in range(2):
         text = strip(F.regexp_replace(text, _unicode(preamble), ""))
     return F.btrim(flat(text), F.lit("\"«»“” "))
@@ -82,7 +85,7 @@ def clean_generated(text: Column, preamble: str = PREAMBLE) -> Column:
 
 def is_valid_generated(text: Column, min_chars: int = 200, min_words: int = 0, script: str = r"\p{IsCyrillic}", share: float = 0.5) -> Column:
     """Long enough, no reasoning tag left, no refusal, mostly of the script."""
-    return (F.length(text) >= min_chars) & (word_count(text) >= min_words) & ~F.contains(text, F.lit("<think>")) & ~F.rlike(text, F.lit(_unicode(REFUSAL))) & (script_ratio(text, script) >= share)
+    return (F.length(text) >= min_chars) & (word_count(text) >= min_words) & ~F.rlike(text, F.lit(THINK)) & ~F.rlike(text, F.lit(_unicode(REFUSAL))) & (script_ratio(text, script) >= share)
 
 
 # ---- words, sentences and rhythm ---------------------------------------------------------------------------------

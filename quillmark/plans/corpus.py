@@ -152,17 +152,17 @@ def truncate_words(spark, sf_dir):
 
 
 def _clean_sql() -> str:
-    raw = "'<think>plan' || chr(10) || '</think>Sure, here it is: **' || text || '**'"
-    t = SQ.format(f"regexp_replace(regexp_replace({raw}, '(?s)<think>.*?</think>', '', 'g'), '[*#`]', '', 'g')")
+    raw = "'<think>plan' || chr(10) || '</Think></think>Sure, here it is: > _**' || text || '**_'"
+    t = SQ.format(f"regexp_replace(regexp_replace(regexp_replace({raw}, '(?is)<think>.*?</think>', '', 'g'), '{T.THINK}', '', 'g'), '{T.MARKUP}', '', 'g')")
     for _ in range(2):
         t = SQ.format(f"regexp_replace({t}, '{T.PREAMBLE.replace(chr(39), chr(39) * 2)}', '', 'g')")
     return f"trim({FLAT.format(t)}, '\"«»“” ')"
 
 
-@query(rf"""with t as (select doc_id, {_clean_sql()} as text from documents) select doc_id, md5(text) as m, length(text) >= 200 and len(regexp_extract_all(text, '{W}')) >= 30 and not contains(text, '<think>') and not regexp_matches(text, '{T.REFUSAL.replace(chr(39), chr(39) * 2)}')
+@query(rf"""with t as (select doc_id, {_clean_sql()} as text from documents) select doc_id, md5(text) as m, length(text) >= 200 and len(regexp_extract_all(text, '{W}')) >= 30 and not regexp_matches(text, '{T.THINK}') and not regexp_matches(text, '{T.REFUSAL.replace(chr(39), chr(39) * 2)}')
 and (case when length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) > 0 then length(regexp_replace(text, '[^\p{{Latin}}]', '', 'g')) / length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) else 0 end) >= 0.5 as valid from t""")
 def clean_generated(spark, sf_dir):
-    raw = F.concat(F.lit("<think>plan\n</think>Sure, here it is: **"), "text", F.lit("**"))
+    raw = F.concat(F.lit("<think>plan\n</Think></think>Sure, here it is: > _**"), "text", F.lit("**_"))
     rows = read(spark, sf_dir, "documents").select("doc_id", T.clean_generated(raw).alias("text"))
     return rows.select("doc_id", F.md5("text").alias("m"), T.is_valid_generated(F.col("text"), 200, 30, r"\p{IsLatin}").alias("valid"))
 
