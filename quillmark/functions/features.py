@@ -12,6 +12,13 @@ from . import text as T
 
 #: Phrases and coefficients of the two linear scorers used where no trained model is given.
 PHRASES = ("the", "and", "that", "with", "of the", "in the")
+#: Stock phrases of generated Russian texts; fixed values, for `phrases`.
+CLICHES = (
+    "важно отметить", "стоит отметить", "таким образом", "в заключение",
+    "играет важную роль", "является неотъемлемой частью", "следует подчеркнуть",
+    "в современном мире", "не секрет, что", "в первую очередь",
+    "необходимо учитывать", "в целом можно сказать", "подводя итог",
+)
 SCORERS = {
     "a": {"bias": 0.6, "burst": -0.12, "mean_len": 0.12, "mattr": -1.0, "phrase": -0.02, "punct": 0.8},
     "b": {"bias": 1.9, "burst": 0.05, "mean_len": -0.10, "mattr": -1.2, "phrase": 0.03, "punct": 0.5},

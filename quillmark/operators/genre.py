@@ -12,6 +12,18 @@ CITE = r"\[[^\]]*[0-9]{4}[^\]]*\]|\[[ \t]*[0-9]+([ \t]*[,;–-][ \t]*[0-9]+)*[ \
 MATH = r"[=+→×÷≤≥∑∫√{}<>−]"
 #: Term patterns of the fixture language; callers with other languages give their own.
 TERMS = {"hum": "the|and|of", "tech": "in|on|ing", "sci": "tion|ment", "canc": "that|with"}
+_APART, _ENDED = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Term stems of Russian academic texts, and words of program code; fixed values, for `terms` and `code`.
+RUSSIAN_TERMS = {
+    "hum": "исследован|методологи|корпус|семантик|дискурс|лингвист|интерпретац|концепт|нарратив|поэтик|философ|культур|"
+    "социолог|историограф|художеств|литератур|роман|произведени|жанр|метафор|стилист|герменевт|эстетик|идентичност",
+    "tech": f"систем|таблиц|интерфейс|база данных|{_APART}бд{_ENDED}|реализац|модул|сервер|алгоритм|диаграмм|разработк|программн|"
+    f"функционал|приложени|пользовател|запрос|клиент|архитектур|{_APART}код{_ENDED}|развёртыван|тестирован|фреймворк|компонент|сущност",
+    "sci": "гипотез|эксперимент|выборк|корреляц|значимост|респондент|статистическ|регресс|p-значени|контрольн.{0,3} групп",
+    "canc": "обусловлен|представляет собой|в результате|таким образом|в связи с|следует отметить|необходимо отметить|"
+    f"осуществляет|данн(ый|ая|ое|ых|ыми){_ENDED}",
+}
+CODE = f"{_APART}(function|var|import|def|class|return|select|create|insert|public|void|int |float){_ENDED}"
 
 
 def genre_sample(content: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -27,8 +39,10 @@ def genre_sample(content: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.select("doc_id", "n_paras", "n_cited", F.substring(F.array_join(F.transform("m", lambda r: r["text"]), " "), 1, most).alias("sample"))
 
 
-def genre_features(sample: DataFrame, terms: dict[str, str] = TERMS) -> DataFrame:
-    """Adds sentence length mean and deviation, cite_frac, latin_frac, mathcode_per_w and <term>_per1k."""
+def genre_features(sample: DataFrame, terms: dict[str, str] = TERMS, code: str | None = None) -> DataFrame:
+    """Adds sentence length mean and deviation, cite_frac, latin_frac, mathcode_per_w and <term>_per1k; matches of the
+    pattern `code` count with the formula signs."""
+    signs = f"(?iu){MATH}|{code}" if code else MATH
     s = F.col("sample")
     rows = sample.withColumns({"n_words": T.word_count(s), "_lens": F.transform(F.filter(T.sentences(s), lambda x: T.strip(x) != ""), lambda x: T.word_count(x))})
     n, words = F.size("_lens"), F.greatest("n_words", F.lit(1))
@@ -40,7 +54,7 @@ def genre_features(sample: DataFrame, terms: dict[str, str] = TERMS) -> DataFram
         {
             "mean_sent_len": F.round(mean, 1), "sent_std": F.round(F.when(n > 1, F.sqrt(F.greatest(square / n - mean * mean, F.lit(0.0)))).otherwise(0.0), 1),
             "cite_frac": F.round(F.col("n_cited") / F.greatest("n_paras", F.lit(1)), 3), "latin_frac": F.round(F.length(F.regexp_replace(s, "[^A-Za-z]", "")) / letters, 3),
-            "mathcode_per_w": F.round(F.regexp_count(s, F.lit(MATH)) / words, 3), **per1k,
+            "mathcode_per_w": F.round(F.regexp_count(s, F.lit(signs)) / words, 3), **per1k,
         }
     ).drop("_lens", "sample", "n_cited")
 

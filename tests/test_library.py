@@ -164,3 +164,26 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_russian_defaults(spark):
+    """The fixed Russian phrases, terms and code words against Python's expressions."""
+    import re
+
+    from quillmark.functions import features
+    from quillmark.operators import genre
+
+    texts = [
+        "Важно отметить, что система и база данных, БД, код и кодекс: function f = 1. Таким образом, класс int x.",
+        "Гипотеза и выборка; данный роман, данные КОРПУСА. Подводя итог, functional и def.", "", "Просто слова.",
+    ]
+    rows = spark.createDataFrame([(i, t, 1, 0) for i, t in enumerate(texts)], "doc_id long, sample string, n_paras long, n_cited long")
+    got = genre.genre_features(rows, genre.RUSSIAN_TERMS, genre.CODE).orderBy("doc_id").collect()
+    plain = lambda rx: rx.replace(r"\p{L}\p{N}_", r"\w")
+    for row, text in zip(got, texts):
+        words = max(row.n_words, 1)
+        for name, rx in genre.RUSSIAN_TERMS.items():
+            assert row[f"{name}_per1k"] == pytest.approx(len(re.findall(plain(rx), text, re.I)) / words * 1000, abs=0.06)
+        assert row.mathcode_per_w == pytest.approx(len(re.findall(f"{genre.MATH}|{plain(genre.CODE)}", text, re.I)) / words, abs=6e-4)
+    rates = [r.phrase for r in features.with_features(rows, "sample", features.CLICHES).orderBy("doc_id").collect()]
+    assert rates[0] > rates[1] > 0 == rates[2] == rates[3]
