@@ -18,6 +18,7 @@ from . import quality as _quality
 from . import runs as _runs
 from . import tokens as _tokens
 from . import toxicity as _toxicity
+from . import trie as _trie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm_diff.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all documents, those that the contract changes included."""
     return _runs.run_digests(_runs.periodic_runs(_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
@@ -77,7 +82,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_language_id, op3_toxicity, op4_licence_scan, op5_token_counts, op6_quality,
-        op7_benchmark_decontamination, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring, op13_periodic_runs,
+        op7_benchmark_decontamination, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring, op11_conversation_trie, op13_periodic_runs,
     )
 }
 
