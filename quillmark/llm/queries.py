@@ -16,6 +16,7 @@ from . import mixing as _mixing
 from . import near_dup as _near_dup
 from . import quality as _quality
 from . import runs as _runs
+from . import substrings as _substrings
 from . import tokens as _tokens
 from . import toxicity as _toxicity
 from . import trie as _trie
@@ -73,6 +74,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substrings.removal_digests(_substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all documents, those that the contract changes included."""
     return _runs.run_digests(_runs.periodic_runs(_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
@@ -82,7 +87,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_language_id, op3_toxicity, op4_licence_scan, op5_token_counts, op6_quality,
-        op7_benchmark_decontamination, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring, op11_conversation_trie, op13_periodic_runs,
+        op7_benchmark_decontamination, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring, op11_conversation_trie, op12_substring_dedup,
+        op13_periodic_runs,
     )
 }
 
