@@ -44,8 +44,19 @@ def clean_para(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[ \t]*\n[ \t]*", " "))
 
 
+#: Words up to which a beginning is matched by one expression, whose depth grows with them.
+MATCHED_WORDS = 500
+
+
 def truncate_words(text: Column, n: int | Column) -> Column:
-    """The text up to the end of its n-th word; the whole text if it has no more than n."""
+    """The text up to the end of its n-th word; the whole text if it has no more than n.
+
+    For a number up to `MATCHED_WORDS` one match from the start finds the end and reads no further than the next letter;
+    otherwise the lengths of words and gaps are summed.
+    """
+    if isinstance(n, int) and 0 < n <= MATCHED_WORDS:
+        cut = F.regexp_extract(text, rf"(?s)\A((?>.*?{WORD}){{{n}}}).*?\p{{L}}", 1)
+        return F.when(cut != "", cut).otherwise(text)
     n = F.lit(n) if isinstance(n, int) else n
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
     gaps = F.split(text, WORD, -1)

@@ -28,19 +28,57 @@ def classification_report(df: DataFrame, threshold: float) -> DataFrame:
     return c.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "fpr": ratio(fp, fp + tn), "precision1": ratio(tp, tp + fp), "recall1": ratio(tp, tp + fn), "f1_1": ratio(2 * tp, 2 * tp + fp + fn), "precision0": ratio(tn, tn + fn), "recall0": ratio(tn, tn + fp), "f1_0": ratio(2 * tn, 2 * tn + fp + fn)})
 
 
-def roc_auc(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(*keys, auc) by ranks, ties one half. Rows reduce to distinct scores, and these to score bins whose counts give
+def apart(df: DataFrame) -> DataFrame:
+    """`df` with its columns taken out of a generator. A join or filter above then stays above: what it implies of a column
+    is not pushed below an aggregation, where it would write out and compute the column's whole expression again."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def score_counts(df: DataFrame, keys: tuple[str, ...] = (), value: str = "p") -> DataFrame:
+    """(*keys, value, n0, n1): rows of either label by distinct value, all that the metrics below need of the scored rows."""
+    return apart(df.groupBy(*keys, value).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")))
+
+
+def auc_of_counts(by: DataFrame, keys: tuple[str, ...] = (), value: str = "p") -> DataFrame:
+    """(*keys, auc) of counts (*keys, value, n0, n1), ties one half. Distinct scores reduce to score bins whose counts give
     each bin's share of lower negatives, so no partition holds all scores."""
-    by = df.groupBy(*keys, "p").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).withColumn("_bin", F.floor(F.col("p") * 1000))
-    bins = by.groupBy(*keys, "_bin").agg(F.sum("n0").alias("_b0"))
+    rows = by.withColumn("_bin", F.floor(F.col(value) * 1000))
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("n0").alias("_b0"))
     lower = Window.partitionBy(*(keys or (F.lit(0),))).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_low", F.coalesce(F.sum("_b0").over(lower), F.lit(0))).drop("_b0")
-    inside = Window.partitionBy(*keys, "_bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by.withColumn("_in", F.coalesce(F.sum("n0").over(inside), F.lit(0))).join(F.broadcast(bins), [*keys, "_bin"])
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("n0").over(inside), F.lit(0))).join(F.broadcast(bins), [*keys, "_bin"])
     wins = F.sum(F.col("n1") * (F.col("_low") + F.col("_in") + F.col("n0") / 2))
     return rows.groupBy(*keys).agg(F.round(F.when((F.sum("n0") > 0) & (F.sum("n1") > 0), wins / (F.sum("n0") * F.sum("n1"))), 6).alias("auc"))
 
 
+def roc_auc(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, auc) by ranks, ties one half."""
+    return auc_of_counts(score_counts(df, keys), keys)
+
+
+def quantiles(by: DataFrame, at: tuple[float, ...], keys: tuple[str, ...] = (), value: str = "p", weight: Column | None = None, width: float = 0.001) -> DataFrame:
+    """(*keys, q, value): exact quantiles, linear between neighbours, of counts by distinct value; keys without rows are absent.
+
+    `weight` is a value's count (default n0 + n1). Counts add up by bins of `width` first, and only bins that hold a wanted
+    rank are looked into, so no task sorts all values of a key. Keys are few: two bins for each of them and q are broadcast.
+    """
+    weight = F.col("n0") + F.col("n1") if weight is None else weight
+    rows = by.select(*keys, F.col(value).alias("_v"), weight.alias("_w"), F.floor(F.col(value) / width).alias("_bin")).where("_w > 0 and _v is not null")
+    per = Window.partitionBy(*(keys or (F.lit(0),)))
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_n"))
+    before = F.sum("_n").over(per.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(*keys, "_bin", "_n", F.coalesce(before, F.lit(0)).alias("_low"), F.sum("_n").over(per).alias("_all"))
+    bins = bins.withColumn("q", F.explode(F.array(*map(F.lit, at))))  # after the sums, which would count a bin once for each q
+    bins = bins.withColumn("_r", F.col("q") * (F.col("_all") - 1)).withColumns({"_a": F.floor("_r"), "_b": F.ceil("_r")})
+    bins = bins.where("_low <= _b and _a < _low + _n").select(*keys, "q", "_bin", "_low", "_a", "_b", (F.col("_r") - F.col("_a")).alias("_part"))
+    inside = Window.partitionBy(*keys, "q", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(F.broadcast(bins), [*keys, "_bin"]).withColumn("_from", F.col("_low") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    ranked = lambda r: F.max(F.when((F.col(r) >= F.col("_from")) & (F.col(r) < F.col("_from") + F.col("_w")), F.col("_v")))
+    ends = found.groupBy(*keys, "q").agg(ranked("_a").alias("_lo"), ranked("_b").alias("_hi"), F.first("_part").alias("_part"))
+    return ends.select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(value))
+
+
 def threshold_table(df: DataFrame, thresholds: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, threshold, fpr, recall) for each of a few thresholds."""
     at = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
@@ -57,17 +95,20 @@ def pick_threshold(df: DataFrame, target: float, grid: tuple[float, ...] = GRID,
     return steps.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("above") / F.col("n") <= target, value)), F.lit(grid[-1])).alias("threshold"))
 
 
-def quantile_threshold(df: DataFrame, q: float, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """(*keys, threshold): the q-quantile of negatives' scores, linear between neighbours, or approximate at scale."""
-    f = F.percentile("p", F.lit(q)) if exact else F.percentile_approx("p", q, 100_000)
-    return df.where("label = 0").groupBy(*keys).agg(F.round(f, 6).alias("threshold"))
+def quantile_threshold(df: DataFrame, q: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, threshold): the q-quantile of negatives' scores, linear between neighbours."""
+    found = quantiles(score_counts(df, keys), (q,), keys, weight=F.col("n0"))
+    return found.select(*keys, F.round("p", 6).alias("threshold"))
 
 
 def calibration_curve(df: DataFrame, bins: int = 5) -> DataFrame:
-    """(bin, n, predicted, observed) by quantiles of p."""
-    edges = F.broadcast(df.agg(F.percentile("p", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e")))
+    """(bin, n, predicted, observed) by quantiles of p; of the scored rows only counts by score are kept."""
+    by = score_counts(df)
+    edges = F.broadcast(quantiles(by, tuple(k / bins for k in range(1, bins))).agg(F.sort_array(F.collect_list("p")).alias("_e")))
     at = F.size(F.filter("_e", lambda e: e < F.col("p")))
-    return df.crossJoin(edges).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("label"), 6).alias("observed"))
+    n = F.col("n0") + F.col("n1")
+    sums = by.crossJoin(edges).groupBy(at.alias("bin")).agg(F.sum(n).alias("n"), F.sum(F.col("p") * n).alias("_p"), F.sum("n1").alias("_y"))
+    return sums.select("bin", "n", F.round(F.col("_p") / F.col("n"), 6).alias("predicted"), F.round(F.col("_y") / F.col("n"), 6).alias("observed"))
 
 
 def overlap_coeff(df: DataFrame, bins: int = 20) -> DataFrame:
@@ -82,12 +123,86 @@ def recall_by(df: DataFrame, keys: tuple[str, ...], threshold: float) -> DataFra
     return df.where("label = 1").rollup(*keys).agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") >= threshold).cast("int")), 6).alias("recall"))
 
 
+#: Edges of the histogram of changes of a score; fixed values.
+DELTA_EDGES = (-1.0, -0.8, -0.6, -0.4, -0.3, -0.2, -0.1, -0.05, 0.0, 0.05, 1.0)
+
+
+def _drop(threshold: float) -> dict[str, Column]:
+    a, b = (F.avg((F.col(c) >= threshold).cast("int")) for c in ("before", "after"))
+    return {"recall_before": F.round(a, 6), "recall_after": F.round(b, 6), "drop_pp": F.round(100 * (a - b), 6)}
+
+
 def robustness_report(df: DataFrame, threshold: float) -> DataFrame:
-    """One row from paired scores (before, after): recalls, drop in points, flips, and median and mean change."""
+    """One row from paired scores (before, after): recalls, drop in points, flips, medians of both and of the change, and its mean."""
     a, b = F.col("before") >= threshold, F.col("after") >= threshold
-    d = F.col("after") - F.col("before")
-    share = lambda x: F.avg(x.cast("int"))
-    return df.agg(F.count("*").alias("n"), F.round(share(a), 6).alias("recall_before"), F.round(share(b), 6).alias("recall_after"), F.round(100 * (share(a) - share(b)), 6).alias("drop_pp"), F.count_if(a & ~b).alias("flipped"), F.count_if(~a & b).alias("gained"), F.round(F.percentile(d, F.lit(0.5)), 6).alias("median_delta"), F.round(F.avg(d), 6).alias("mean_delta"))
+    sums = df.agg(F.count("*").alias("n"), *[c.alias(name) for name, c in _drop(threshold).items()], F.count_if(a & ~b).alias("flipped"), F.count_if(~a & b).alias("gained"), F.round(F.avg(F.col("after") - F.col("before")), 6).alias("mean_delta"))
+    each = F.array(*[F.struct(F.lit(name).alias("kind"), F.round(c, 6).alias("v")) for name, c in (("median_before", F.col("before")), ("median_after", F.col("after")), ("median_delta", F.col("after") - F.col("before")))])
+    by = apart(df.select(F.explode(each).alias("_m")).select("_m.kind", "_m.v").groupBy("kind", "v").agg(F.count("*").alias("_k")))
+    medians = quantiles(by, (0.5,), ("kind",), "v", F.col("_k"))
+    return sums.crossJoin(F.broadcast(medians.agg(*[F.round(F.max(F.when(F.col("kind") == name, F.col("v"))), 6).alias(name) for name in ("median_before", "median_after", "median_delta")])))
+
+
+def robustness_by(df: DataFrame, threshold: float, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, n, recall_before, recall_after, drop_pp) of paired scores, for each key alone and, with nulls, for all rows."""
+    sets = [[], *[[k] for k in keys]]
+    return df.groupingSets(sets, *keys).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in _drop(threshold).items()])
+
+
+def delta_histogram(df: DataFrame, edges: tuple[float, ...] = DELTA_EDGES) -> DataFrame:
+    """(low, high, n): changes after - before from each edge to below the next, empty bins with 0."""
+    delta = F.round(F.col("after") - F.col("before"), 6)
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= delta))
+    counts = df.groupBy(at.alias("_at")).agg(F.count("*").alias("_n"))
+    bins = df.sparkSession.createDataFrame([(k + 1, low, high) for k, (low, high) in enumerate(zip(edges, edges[1:]))], "_at int, low double, high double")
+    return bins.join(counts, "_at", "left").select("low", "high", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def sweep_report(by: DataFrame, q: float = 0.975, first: str = "", keys: tuple[str, ...] = ("scorer", "n")) -> DataFrame:
+    """(*keys, threshold, recall, recall_first, fpr, auc, auc_first) of counts (*keys, part, source, p, n0, n1).
+
+    Thresholds are quantiles of the validation part's negatives, and the test part is judged by them; `first` names a
+    source whose positives are reported by themselves.
+    """
+    thresholds = quantiles(by.where("part = 'validation'"), (q,), keys, weight=F.col("n0")).select(*keys, F.round("p", 6).alias("threshold"))
+    test = by.where("part = 'test'").withColumn("n2", F.when(F.col("source") == first, F.col("n1")).otherwise(0))
+    hit = F.col("p") >= F.col("threshold")
+    share = lambda c: F.round(F.sum(F.when(hit, F.col(c)).otherwise(0)) / F.nullif(F.sum(c), F.lit(0)), 6)
+    rates = test.join(F.broadcast(thresholds), list(keys)).groupBy(*keys).agg(F.first("threshold").alias("threshold"), share("n1").alias("recall"), share("n2").alias("recall_first"), share("n0").alias("fpr"))
+    sums = test.groupBy(*keys, "p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    rows = rates.join(auc_of_counts(sums.select(*keys, "p", "n0", "n1"), keys), list(keys), "left")
+    return rows.join(auc_of_counts(sums.select(*keys, "p", "n0", F.col("n2").alias("n1")), keys).withColumnRenamed("auc", "auc_first"), list(keys), "left")
+
+
+def length_aware_gain(by: DataFrame, q: float = 0.975) -> DataFrame:
+    """(n, own, flat, recall_own, recall_flat, fpr_own, fpr_flat, gain) of counts (n, part, p, n0, n1), n = 0 being whole texts.
+
+    The validation part's negatives set a threshold for each length, `own`, and one of whole texts, `flat`; recalls and
+    rates of false positives are those of the test part.
+    """
+    by = by.groupBy("n", "part", "p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    thresholds = quantiles(by.where("part = 'validation'"), (q,), ("n",), weight=F.col("n0")).select("n", F.round("p", 6).alias("own"))
+    flat = F.broadcast(thresholds.where("n = 0").select(F.col("own").alias("flat")))
+    rows = by.where("part = 'test' and n > 0").join(F.broadcast(thresholds), "n").crossJoin(flat)  # one row
+    share = lambda t, c: F.round(F.sum(F.when(F.col("p") >= F.col(t), F.col(c)).otherwise(0)) / F.nullif(F.sum(c), F.lit(0)), 6)
+    sums = rows.groupBy("n").agg(F.first("own").alias("own"), F.first("flat").alias("flat"), *[share(t, c).alias(f"{name}_{t}") for name, c in (("recall", "n1"), ("fpr", "n0")) for t in ("own", "flat")])
+    return sums.withColumn("gain", F.round(F.col("recall_own") - F.col("recall_flat"), 6))
+
+
+def sweep_acceptance(report: DataFrame, old: str, new: str, at: int = 40, gain: tuple[float, float] = (0.10, 0.05), fpr: float = 0.03, slack: float = 0.005) -> DataFrame:
+    """(name, value, op, bound, passed, verdict) of a new scorer's `sweep_report` against an old one's.
+
+    The recall at length `at` must rise by the first of `gain`, no length's rate of false positives pass `fpr`, and that of
+    whole texts (n = 0) not pass the old one's by more than `slack`: accepted. With a rise by the second of `gain` and the
+    rates of all lengths within bounds: partial. Else rejected.
+    """
+    pick = lambda scorer, n, c: F.max(F.when((F.col("scorer") == scorer) & (F.col("n") == n), F.col(c)))
+    found = report.agg((pick(new, at, "recall") - pick(old, at, "recall")).alias("g"), F.max(F.when((F.col("scorer") == new) & (F.col("n") > 0), F.col("fpr"))).alias("f"), (pick(new, 0, "fpr") - pick(old, 0, "fpr")).alias("w"))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    g, f, w = (F.round(c, 6) for c in ("g", "f", "w"))
+    verdict = F.when(ok(g >= gain[0]) & ok(f <= fpr) & ok(w <= slack), "accepted").when(ok(g >= gain[1]) & ok(f <= fpr), "partial").otherwise("rejected")
+    rows = [(f"gain at {at}", g, ">=", gain[0], ok(g >= gain[0])), ("largest fpr", f, "<=", fpr, ok(f <= fpr)), ("fpr of whole texts, change", w, "<=", slack, ok(w <= slack))]
+    each = F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(op).alias("op"), F.lit(bound).alias("bound"), passed.alias("passed"), verdict.alias("verdict")) for name, value, op, bound, passed in rows])
+    return found.select(F.inline(each))
 
 
 def acceptance(metrics: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Documents cut into paragraphs, sections and overlapping word windows, and window scores laid back on paragraphs.
 
-Every step is a projection or a window partitioned by doc_id, so a document is shuffled once; window offsets are
-computed inside the row, and paragraphs meet windows by window number, not by a range condition.
+Every step is a projection, a grouping or a window partitioned by doc_id, so a document is shuffled once. A scan carries
+a document's paragraphs beside the first of its windows, scores the windows row by row, and lays the scores back inside one
+row a document, where a paragraph finds its windows by number.
 """
 
 from __future__ import annotations
@@ -37,17 +38,17 @@ def _starts(text: Column, markers: tuple[str, ...]) -> Column:
     return F.rlike(text, F.lit("^(" + "|".join(markers) + ")"))
 
 
-def split_paragraphs(docs: DataFrame, sep: str = r"\n[ \t]*\n+") -> DataFrame:
-    """(doc_id, idx, text, start, end): stripped, not empty parts of a text between matches of `sep`, numbered from 0,
+def split_paragraphs(docs: DataFrame, sep: str = r"\n[ \t]*\n+", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, idx, text, start, end): stripped, not empty parts of a text between matches of `sep`, numbered from 0,
     with code point positions in the text."""
     body = F.coalesce(F.col("text"), F.lit(""))
     parts, seps = F.split(body, sep, -1), F.concat(F.regexp_extract_all(body, F.lit(sep), 0), F.array(F.lit("")))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(parts.alias("part"), seps.alias("sep"))).alias("pos", "row"))
+    rows = docs.select("doc_id", *keep, F.posexplode(F.arrays_zip(parts.alias("part"), seps.alias("sep"))).alias("pos", "row"))
     before = F.sum(F.length("row.part") + F.length("row.sep")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     lead = F.length("row.part") - F.length(F.regexp_replace("row.part", f"^{T.SPACE}+", ""))
-    rows = rows.select("doc_id", "pos", T.strip(F.col("row.part")).alias("text"), (F.coalesce(before, F.lit(0)) + lead).alias("start"))
+    rows = rows.select("doc_id", *keep, "pos", T.strip(F.col("row.part")).alias("text"), (F.coalesce(before, F.lit(0)) + lead).alias("start"))
     rows = rows.where("text <> ''").withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
-    return rows.select("doc_id", "idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
+    return rows.select("doc_id", *keep, "idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
 def attach_block_meta(paras: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -112,42 +113,121 @@ def classify_sections(paras: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("drop_reason").isNull(), "content").otherwise("service")).select(*paras.columns, "hk", "kind", "drop_reason")
 
 
-def content_spans(content: DataFrame) -> DataFrame:
+def content_spans(content: DataFrame, among: Column | None = None) -> DataFrame:
     """Adds ps, pe: positions in the stream of a document's paragraphs joined by two characters; and word ranges
-    w0, w1 (first and last word number; those of the previous word without words, at least 0)."""
+    w0, w1 (first and last word number; those of the previous word without words, at least 0). Paragraphs that are not
+    `among` those of the stream take no place in it."""
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
-    rows = content.withColumns({"ps": F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)), "_n": T.word_count(F.col("text"))})
+    among = F.lit(True) if among is None else among
+    n = F.when(among, T.word_count(F.col("text"))).otherwise(0)
+    rows = content.withColumns({"ps": F.coalesce(F.sum(F.when(among, F.length("text") + 2).otherwise(0)).over(before), F.lit(0)).cast("int"), "_n": n})
     rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     first = F.when(F.col("_n") > 0, F.col("_before")).otherwise(F.greatest(F.col("_before") - 1, F.lit(0)))
     last = F.greatest(F.col("_before") + F.col("_n") - 1, F.lit(0))
     return rows.withColumns({"pe": F.col("ps") + F.length("text"), "w0": first, "w1": last}).drop("_n", "_before")
 
 
+def _blocks(stream: Column, step: int) -> Column:
+    """The stream in parts of `step` words, each from the end of the one before to the end of its last word; null alone
+    for a stream without words. One pass; `step` is bounded by the depth of an expression."""
+    if step > T.MATCHED_WORDS:
+        raise ValueError(f"windows advance by at most {T.MATCHED_WORDS} words")
+    found = F.regexp_extract_all(stream, F.lit(rf"(?s)(?>.*?{T.WORD}){{1,{step}}}"), 0)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("string")))
+
+
+def _windows(blocks: DataFrame, sizes: tuple[tuple[int, int], ...], *carried: str) -> DataFrame:
+    """Windows of rows (doc_id, size, b, block, *carried): running sums of block lengths give offsets, and the blocks that
+    follow the text. A document without words has one row with a null `text`."""
+    per = Window.partitionBy("doc_id", "size")
+    order = per.orderBy("b")
+    length = F.length("block")
+    many = {m: [size for size, step in sizes if size // step == m] for m in {size // step for size, step in sizes}}
+
+    def by_size(make):
+        value = None
+        for m, found in many.items():
+            hit = F.col("size").isin(found)
+            value = F.when(hit, make(m)) if value is None else value.when(hit, make(m))
+        return value
+
+    ahead = lambda m: order.rowsBetween(0, m - 1)
+    rows = blocks.select(
+        "doc_id", "size", "b", *carried, length.alias("_len"), F.length(F.regexp_extract("block", rf"(?s)\A(.*?){T.WORD}", 1)).alias("_gap"),
+        F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        by_size(lambda m: F.sum(length).over(ahead(m))).alias("_span"), by_size(lambda m: F.array_join(F.collect_list("block").over(ahead(m)), "")).alias("_text"),
+        by_size(lambda m: F.lead("block", m).over(order)).alias("_more"), F.greatest(F.lit(1), F.count("block").over(per) - by_size(lambda m: F.lit(m - 1))).alias("_k"),
+    )
+    # a last window of few characters joins the one before
+    rows = rows.withColumn("_short", (F.col("_k") > 1) & F.coalesce(F.max(F.when(F.col("b") == F.col("_k") - 1, F.col("_span") - F.col("_gap"))).over(per) < MIN_CHARS, F.lit(False)))
+    rows = rows.withColumn("n_wins", (F.col("_k") - F.col("_short").cast("int")).cast("int")).where("b < n_wins")
+    more = F.when(F.col("_short") & (F.col("b") == F.col("n_wins") - 1), F.col("_more"))
+    text = F.when(F.col("_len").isNotNull(), F.substring(F.concat("_text", F.coalesce(more, F.lit(""))), F.col("_gap") + 1, F.lit(2**31 - 1)))
+    return rows.select("doc_id", "size", F.col("b").alias("win_no"), "n_wins", (F.col("_before") + F.col("_gap")).cast("int").alias("cstart"), (F.col("_before") + F.col("_span") + F.coalesce(F.length(more), F.lit(0))).cast("int").alias("cend"), text.alias("text"), *carried)
+
+
 def build_windows(content: DataFrame, size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
     """(doc_id, win_no, n_wins, cstart, cend, text): windows of `size` words every `step` over a document's stream; a
-    last one of under 200 characters joins the one before. `size` is a multiple of `step`. Offsets are sums of the
-    lengths of blocks of `step` words, inside the row."""
+    last one of under 200 characters joins the one before. `size` is a multiple of `step`. The stream is cut into blocks of `step`
+    words in one pass, and offsets are running sums over blocks, so the work is linear in the text."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
     docs = content.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n\n").alias("stream"))
-    docs = docs.withColumns({"_g": F.transform(F.split("stream", T.WORD, -1), lambda x: F.length(x)), "_w": F.transform(F.regexp_extract_all("stream", F.lit(T.WORD), 0), lambda x: F.length(x))})
-    docs = docs.withColumn("_n", F.size("_w")).where("_n > 0")
-    total = lambda array: F.aggregate(array, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / step).cast("int") - 1), lambda b: total(F.slice("_g", b * step + 1, F.least(F.lit(step), F.col("_n") - b * step))) + total(F.slice("_w", b * step + 1, F.lit(step))))
-    docs = docs.withColumns({"_b": blocks, "_k": F.when(F.col("_n") <= size, 1).otherwise(1 + F.ceil((F.col("_n") - size) / step).cast("int"))})
-    wins = F.transform(
-        F.sequence(F.lit(0), F.col("_k") - 1),
-        lambda k: F.struct(k.alias("win_no"), (total(F.slice("_b", F.lit(1), k)) + F.element_at("_g", k * step + 1)).alias("cstart"), total(F.slice("_b", F.lit(1), k + size // step)).alias("cend")),
-    )
-    docs = docs.withColumn("_wins", wins)
-    last = F.element_at("_wins", -1)
-    merge = (F.col("_k") > 1) & (last["cend"] - last["cstart"] < MIN_CHARS)
-    n = F.when(merge, F.col("_k") - 1).otherwise(F.col("_k"))
-    end = lambda w: F.when(w["win_no"] == F.col("_m") - 1, F.col("_end")).otherwise(w["cend"])
-    docs = docs.select("doc_id", "stream", "_wins", n.alias("_m"), last["cend"].alias("_end"))
-    # all columns come out of the explode, so that a filter on them is not pushed below into the offsets' expressions
-    each = F.transform(F.slice("_wins", F.lit(1), F.col("_m")), lambda w: F.struct(w["win_no"].alias("win_no"), F.col("_m").alias("n_wins"), w["cstart"].alias("cstart"), end(w).alias("cend")))
-    rows = docs.select("doc_id", "stream", F.explode(each).alias("w"))
-    return rows.select("doc_id", "w.win_no", "w.n_wins", "w.cstart", "w.cend", F.substring("stream", F.col("w.cstart") + 1, F.col("w.cend") - F.col("w.cstart")).alias("text"))
+    blocks = docs.select("doc_id", F.lit(size).alias("size"), F.posexplode(_blocks(F.col("stream"), step)).alias("b", "block"))
+    return _windows(blocks, ((size, step),)).where("text is not null").drop("size")
+
+
+def score_paragraphs(paras: DataFrame, scorers: tuple[str, ...] = ("a",), sizes: tuple[tuple[int, int], ...] = ((WINDOW_WORDS, STEP),)) -> DataFrame:
+    """`paras` with ps, pe, w0, w1 and, for each of `sizes` (words, step), a row with size, covered_chars and p_<name> of each scorer:
+    the mean of window scores weighted by overlap, null below 200 covered characters.
+
+    Rows have doc_id, idx and text; where they have `kind`, only content lies in windows. One shuffle of the text, by doc_id.
+    """
+    own = [c for c in paras.columns if c not in ("doc_id", "idx")]
+    content = F.col("kind") == "content" if "kind" in own else F.lit(True)
+    rows = content_spans(paras, content)
+    own += ["ps", "pe", "w0", "w1"]
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", *own, content.alias("_in")))).alias("paras"))
+    stream = F.array_join(F.transform(F.filter("paras", lambda r: r["_in"]), lambda r: r["text"]), "\n\n")
+    docs = docs.select("doc_id", "paras", stream.alias("stream"))
+    none = F.lit(None).cast(docs.schema["paras"].dataType)
+    # the paragraphs ride beside the first block alone, so nothing is copied for each window
+    def part(k: int, size: int):
+        beside = lambda i: F.when(i == 0, F.col("paras")).otherwise(none) if k == 0 else none
+        return lambda x, i: F.struct(F.lit(size).alias("size"), i.alias("b"), x.alias("block"), beside(i).alias("paras"))
+
+    parts = F.concat(*[F.transform(_blocks(F.col("stream"), step), part(k, size)) for k, (size, step) in enumerate(sizes)])
+    blocks = docs.select("doc_id", F.explode(parts).alias("x")).select("doc_id", "x.size", "x.b", "x.block", "x.paras")
+    wins = features.with_scores(_windows(blocks, sizes, "paras"), "text", scorers)
+    win = F.struct("size", "win_no", "cstart", "cend", *[f"p_{name}" for name in scorers])
+    met = wins.groupBy("doc_id").agg(F.collect_list("paras").alias("paras"), F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), win))).alias("wins"))
+    of_size = lambda size: lambda w: w["size"] == size
+    # out of a generator, so that the sorted windows are computed once and not for each paragraph
+    met = met.select("doc_id", F.explode(F.array(F.struct(F.col("paras")[0].alias("paras"), *[F.filter("wins", of_size(size)).alias(f"w{k}") for k, (size, _) in enumerate(sizes)]))).alias("d"))
+
+    def laid(k: int, size: int, step: int) -> Column:
+        found = F.col(f"d.w{k}")
+        top = F.size(found) - 1
+
+        def back(r: Column) -> Column:
+            low = F.greatest(F.lit(0), F.least(top, F.floor((r["w0"] - size) / step).cast("int") + 1) - 1)
+            high = F.greatest(F.least(top, F.floor(r["w1"] / step).cast("int") + 1), low)
+            near = F.when(r["_in"] & (top >= 0), F.slice(found, low + 1, high - low + 1)).otherwise(F.slice(found, 1, 0))
+            start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("covered"), F.lit(-1).alias("end"), *[F.lit(0.0).alias(f"s_{name}") for name in scorers])
+
+            def add(a: Column, w: Column) -> Column:
+                first, last = F.greatest(r["ps"], w["cstart"]), F.least(r["pe"], w["cend"])
+                over = F.greatest(last - first, F.lit(0))
+                new = F.greatest(last - F.greatest(first, a["end"]), F.lit(0))
+                return F.struct((a["chars"] + over).alias("chars"), (a["covered"] + new).alias("covered"), F.greatest(a["end"], last).alias("end"), *[(a[f"s_{name}"] + w[f"p_{name}"] * over).alias(f"s_{name}") for name in scorers])
+
+            return F.struct(F.lit(size).alias("size"), r.alias("r"), F.aggregate(near, start, add).alias("a"))
+
+        return F.transform("d.paras", back)
+
+    each = F.concat(*[laid(k, size, step) for k, (size, step) in enumerate(sizes)])
+    rows = met.select("doc_id", F.explode(each).alias("x"))
+    scores = [F.when(F.col("x.a.covered") >= MIN_CHARS, F.round(F.col(f"x.a.s_{name}") / F.col("x.a.chars"), 6)).alias(f"p_{name}") for name in scorers]
+    return rows.select("doc_id", "x.r.idx", *[f"x.r.{c}" for c in own], "x.size", F.col("x.a.covered").alias("covered_chars"), *scores)
 
 
 def interval_join(spans: DataFrame, wins: DataFrame, size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
@@ -175,6 +255,7 @@ def project_to_paragraphs(spans: DataFrame, wins: DataFrame, threshold: float, p
     return rows.withColumn("label", T.label_for(F.col("p"), threshold))
 
 
+#: Patterns of short paragraphs; fixed values.
 CAPTION = r"^[ \t]*(рис(унок)?\.?|табл(ица)?\.?|схема|диаграмма|листинг|график)[ \t]*№?[ \t]*[0-9]"
 SUBHEAD = r"^[ \t]*[0-9]+(\.[0-9]+)+\.?[ \t]+[^ \t]"
 BULLET = r"^[ \t]*([–—•·●*]|[a-zа-яё]\)|\(?[0-9]+[.)])[ \t]"
@@ -243,23 +324,28 @@ def score_fragments(frags: DataFrame, threshold: float, scorer: str = "a") -> Da
     return scored.select("doc_id", "anchor_idx", "member_idxs", "n_chars", F.round(f"p_{scorer}", 6).alias("p"), T.label_for(F.col(f"p_{scorer}"), threshold).alias("label"))
 
 
-def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
+def _scanned(paras: DataFrame, threshold: float, scorers: tuple[str, ...], size: int, step: int) -> DataFrame:
+    rows = score_paragraphs(paras, scorers, ((size, step),)).drop("size").withColumnRenamed(f"p_{scorers[0]}", "p")
+    return rows.withColumn("label", T.label_for(F.col("p"), threshold))
+
+
+def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None) -> DataFrame:
     """Every content paragraph of every document with p, covered_chars, label and subcat (null if scored), for the
-    first of `scorers`; with two, also p_<name> for each."""
-    content = content_spans(classify_sections(split_paragraphs(docs, sep)).where("kind = 'content'"))
-    wins = features.with_scores(build_windows(content, size, step), "text", scorers)
-    rows = project_to_paragraphs(content, wins, threshold, f"p_{scorers[0]}", size, step)
-    for name in scorers[1:]:
-        other = project_to_paragraphs(content, wins, threshold, f"p_{name}", size, step).select("doc_id", "idx", F.col("p").alias(f"p_{name}"))
-        rows = rows.join(other, ["doc_id", "idx"])
-    return rows.withColumn("subcat", F.when(F.col("p").isNull(), classify_short(F.col("text"))))
+    first of `scorers`; with two, also p_<name> for each further one. `blocks` are flags of `attach_block_meta`, by which short
+    paragraphs are told apart first."""
+    paras = split_paragraphs(docs, sep)
+    flags = (None, None, None)
+    if blocks is not None:
+        paras, flags = attach_block_meta(paras, blocks), (F.col("is_heading"), F.col("is_caption"), F.col("has_math"))
+    rows = _scanned(classify_sections(paras), threshold, scorers, size, step).where("kind = 'content'")
+    return rows.withColumn("subcat", F.when(F.col("p").isNull(), classify_short(F.col("text"), *flags)))
 
 
 def document_map(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+") -> DataFrame:
     """Every paragraph of every document, content and dropped, with kind and drop_reason; content also has p and label."""
-    sections = classify_sections(split_paragraphs(docs, sep)).select("doc_id", "idx", "text", "kind", "drop_reason")
-    scored = scan_documents(docs, threshold, sep).select("doc_id", "idx", "p", "label")
-    return sections.join(scored, ["doc_id", "idx"], "left").withColumn("label", F.coalesce("label", F.when(F.col("kind") == "content", "insufficient")))
+    rows = _scanned(classify_sections(split_paragraphs(docs, sep)), threshold, ("a",), WINDOW_WORDS, STEP)
+    label = F.when(F.col("kind") == "content", F.col("label"))
+    return rows.select("doc_id", "idx", "text", "kind", "drop_reason", "p", label.alias("label"))
 
 
 def attach_truth(paras: DataFrame, truth: DataFrame) -> DataFrame:

@@ -75,19 +75,15 @@ def word_windows(spark, sf_dir):
 
 
 def paragraph_scores(spark, sf_dir):
-    rows = segments.content_spans(_content(spark, sf_dir))
-    wins = features.with_scores(segments.build_windows(_content(spark, sf_dir)))
-    return segments.project_to_paragraphs(rows, wins, THRESHOLD).select("doc_id", "idx", "p", "covered_chars", "label")
+    found = segments.score_paragraphs(_content(spark, sf_dir))
+    return found.select("doc_id", "idx", F.col("p_a").alias("p"), "covered_chars", T.label_for(F.col("p_a"), THRESHOLD).alias("label"))
 
 
 def document_scan(spark, sf_dir):
     """The flagship: paragraphs of all documents scored through windows, characters by language and label."""
-    rows = segments.content_spans(_content(spark, sf_dir))
-    wins = features.with_scores(segments.build_windows(_content(spark, sf_dir)))
-    found = segments.project_to_paragraphs(rows, wins, THRESHOLD)
-    by_doc = found.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    langs = documents(spark, sf_dir).select("doc_id", "lang")
-    return by_doc.join(langs, "doc_id").groupBy("lang", "label").agg(F.sum("n").alias("paragraphs"), F.sum("chars").alias("chars"))
+    found = segments.score_paragraphs(segments.split_paragraphs(documents(spark, sf_dir), "\n", ("lang",)))
+    rows = found.select("lang", T.label_for(F.col("p_a"), THRESHOLD).alias("label"), F.length("text").alias("n"))
+    return rows.groupBy("lang", "label").agg(F.count("*").alias("paragraphs"), F.sum("n").alias("chars"))
 
 
 def label_shares(spark, sf_dir):
@@ -169,10 +165,7 @@ def agreement(spark, sf_dir):
 
 
 def _two(spark, sf_dir):
-    rows = segments.content_spans(_content(spark, sf_dir))
-    wins = features.with_scores(segments.build_windows(_content(spark, sf_dir)), "text", ("a", "b"))
-    one = segments.project_to_paragraphs(rows, wins, THRESHOLD, "p_a").select("doc_id", "idx", F.col("p").alias("p_a"))
-    return one.join(segments.project_to_paragraphs(rows, wins, THRESHOLD, "p_b").select("doc_id", "idx", F.col("p").alias("p_b")), ["doc_id", "idx"], "left")
+    return segments.score_paragraphs(_content(spark, sf_dir), ("a", "b")).select("doc_id", "idx", "p_a", "p_b")
 
 
 def quick_agreement(spark, sf_dir):

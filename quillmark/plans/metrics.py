@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import features
+from ..functions import features, prefix
 from ..functions import text as T
 from ..operators import genre, lm, metrics, segments
 from . import corpus as C
@@ -84,32 +84,92 @@ def overlap_coeff(spark, sf_dir):
 LENGTHS = (300, 150, 100, 75, 50, 40, 30, 20)
 
 
-def swept(spark, sf_dir):
-    rows = C.corpus(spark, sf_dir).withColumn("n", F.explode(F.array(*map(F.lit, LENGTHS)))).withColumn("text", T.truncate_words(F.col("text"), F.col("n")))
-    return features.with_scores(rows).select("doc_id", "label", "n", "n_words", F.round("p_a", 6).alias("p"))
+def swept(spark, sf_dir, scorers=("a",)):
+    """Scores of every labelled text cut to each of `LENGTHS` words: doc_id, label, source, n, n_words, scorer, p."""
+    rows = prefix.with_prefixes(C.corpus(spark, sf_dir).select("doc_id", "label", "source", "text"), LENGTHS)
+    each = F.array(*[F.struct(F.lit(name).alias("scorer"), F.round(features.linear(name), 6).alias("p")) for name in scorers])
+    return rows.select("doc_id", "label", "source", "n", "n_words", F.explode(each).alias("_s")).select("doc_id", "label", "source", "n", "n_words", "_s.scorer", "_s.p")
+
+
+def part():
+    """validation or test, by a digest's half."""
+    return F.when(F.md5(F.col("doc_id").cast("string")) < "8", "validation").otherwise("test")
+
+
+def sweep_counts(spark, sf_dir, scorers=("a", "b")):
+    """Counts (scorer, n, part, source, p, n0, n1) at each length and, as n = 0, of whole texts; the part is a digest's half."""
+    whole = scores(spark, sf_dir).where(F.col("scorer").isin(*scorers)).select("doc_id", "label", "source", F.lit(0).alias("n"), "scorer", "p")
+    rows = swept(spark, sf_dir, scorers).select(*whole.columns).unionByName(whole).withColumn("part", part())
+    return metrics.score_counts(rows, ("scorer", "n", "part", "source"))
 
 
 SWEPT = f"{C.K}, x as (select doc_id, label, n, {C._cut('text', 'n')} as text from c, (select unnest([300, 150, 100, 75, 50, 40, 30, 20]) as n)), sw as (select doc_id, label, n, n_words, round(p_a, 6) as p from ({features.sql_features('x')}))"
+#: Both scorers, with whole texts as n = 0, and halves by digest.
+SWEPT_ALL = f"""{C.K}, x as (select doc_id, label, source, n, {C._cut('text', 'n')} as text from c, (select unnest([300, 150, 100, 75, 50, 40, 30, 20]) as n) union all select doc_id, label, source, 0, text from c),
+xf as (select *, case when md5(doc_id::varchar) < '8' then 'validation' else 'test' end as part from ({features.sql_features('x', 'text', ('a', 'b'))})),
+sw as (select 'a' as scorer, n, part, source, label, n_words, round(p_a, 6) as p from xf union all select 'b', n, part, source, label, n_words, round(p_b, 6) from xf)"""
+_AUC = "round((sum(r) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0::double) / nullif(count(*) filter (where label = 1) * count(*) filter (where label = 0), 0), 6)"
+_RANK = "rank() over (partition by scorer, n order by p) + (count(*) over (partition by scorer, n, p) - 1) / 2.0::double as r"
+FIRST = "src2"
+REPORT = f"""{SWEPT_ALL}, th as (select scorer, n, round(quantile_cont(p, 0.975), 6) as threshold from sw where label = 0 and part = 'validation' group by 1, 2), te as (select * from sw where part = 'test'),
+a1 as (select scorer, n, {_AUC} as auc from (select *, {_RANK} from te) group by 1, 2), a2 as (select scorer, n, {_AUC} as auc_first from (select *, {_RANK} from te where label = 0 or source = '{FIRST}') group by 1, 2),
+rep as (select scorer, n, threshold, round(avg((p >= threshold)::int) filter (where label = 1), 6) as recall, round(avg((p >= threshold)::int) filter (where label = 1 and source = '{FIRST}'), 6) as recall_first, round(avg((p >= threshold)::int) filter (where label = 0), 6) as fpr from te join th using (scorer, n) group by 1, 2, 3),
+report as (select * from rep left join a1 using (scorer, n) left join a2 using (scorer, n))"""
 
 
 @query(f"""with {SWEPT}, r as (select n, label, rank() over (partition by n order by p) + (count(*) over (partition by n, p) - 1) / 2.0::double as r from sw), au as (select n, round((sum(r) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0::double) / (count(*) filter (where label = 1) * count(*) filter (where label = 0)), 6) as auc from r group by 1)
 select n, any_value(auc) as auc, {AVG.format(THR, 0)} as fpr, {AVG.format(THR, 1)} as recall, quantile_cont(n_words, 0.5)::double as median_words, round(quantile_cont(p, 0.5), 6) as median_p from sw join au using (n) group by 1""")
 def length_sweep(spark, sf_dir):
-    hit = F.col("p") >= THR
-    rows = swept(spark, sf_dir)
-    sums = rows.groupBy("n").agg(metrics.rate(hit, F.col("label") == 0).alias("fpr"), metrics.rate(hit, F.col("label") == 1).alias("recall"), F.percentile("n_words", F.lit(0.5)).alias("median_words"), F.round(F.percentile("p", F.lit(0.5)), 6).alias("median_p"))
-    return sums.join(metrics.roc_auc(rows, ("n",)), "n")
+    """Everything follows from one reduction: counts of scores and of words by length."""
+    each = F.array(F.struct(F.lit("p").alias("kind"), F.col("p").alias("v")), F.struct(F.lit("words").alias("kind"), F.col("n_words").cast("double").alias("v")))
+    rows = swept(spark, sf_dir).select("label", "n", F.explode(each).alias("_m")).select("label", "n", "_m.kind", "_m.v")
+    by = metrics.score_counts(rows, ("n", "kind"), "v")
+    p = F.col("kind") == "p"
+    share = lambda c: F.round(F.sum(F.when(p & (F.col("v") >= THR), F.col(c)).otherwise(0)) / F.nullif(F.sum(F.when(p, F.col(c))), F.lit(0)), 6)
+    rates = by.groupBy("n").agg(share("n0").alias("fpr"), share("n1").alias("recall"))
+    medians = metrics.quantiles(by, (0.5,), ("n", "kind"), "v")
+    medians = medians.groupBy("n").agg(F.max(F.when(~p, F.col("v"))).alias("median_words"), F.round(F.max(F.when(p, F.col("v"))), 6).alias("median_p"))
+    auc = metrics.auc_of_counts(by, ("n", "kind"), "v").where(p).select("n", "auc")
+    return auc.join(rates, "n").join(medians, "n")
+
+
+@query(f"with {REPORT} select * from report")
+def sweep_by_scorer(spark, sf_dir):
+    return metrics.sweep_report(sweep_counts(spark, sf_dir), first=FIRST)
+
+
+@query(f"""with {SWEPT_ALL}, t as (select n, round(quantile_cont(p, 0.975), 6) as own from sw where scorer = 'a' and n > 0 and label = 0 and part = 'validation' group by 1), g as (select round(quantile_cont(p, 0.975), 6) as flat from sw where scorer = 'a' and n = 0 and label = 0 and part = 'validation'),
+j as (select n, any_value(own) as own, any_value(flat) as flat, round(avg((p >= own)::int) filter (where label = 1), 6) as recall_own, round(avg((p >= flat)::int) filter (where label = 1), 6) as recall_flat, round(avg((p >= own)::int) filter (where label = 0), 6) as fpr_own, round(avg((p >= flat)::int) filter (where label = 0), 6) as fpr_flat from (select * from sw where scorer = 'a' and part = 'test') join t using (n), g group by 1)
+select *, round(recall_own - recall_flat, 6) as gain from j""")
+def length_aware_gain(spark, sf_dir):
+    """Thresholds of each length, and one of whole texts, from the validation half; what they do on the test half."""
+    return metrics.length_aware_gain(sweep_counts(spark, sf_dir, ("a",)))
 
 
-@query(f"""with {SWEPT}, t as (select n, round(quantile_cont(p, 0.97), 6) as own from sw where label = 0 group by 1), g as (select round(quantile_cont(p, 0.97), 6) as flat from sw where label = 0)
-select n, any_value(own) as own, any_value(flat) as flat, round(avg((p >= own)::int) filter (where label = 1), 6) as recall_own, round(avg((p >= flat)::int) filter (where label = 1), 6) as recall_flat from sw join t using (n), g group by 1""")
-def length_aware_gain(spark, sf_dir):
-    rows = swept(spark, sf_dir)
-    own = metrics.quantile_threshold(rows, 0.97, ("n",)).withColumnRenamed("threshold", "own")
-    flat = metrics.quantile_threshold(rows, 0.97).withColumnRenamed("threshold", "flat")
-    rows = rows.join(F.broadcast(own), "n").crossJoin(F.broadcast(flat))
-    rec = lambda t: metrics.rate(F.col("p") >= F.col(t), F.col("label") == 1)
-    return rows.groupBy("n").agg(F.first("own").alias("own"), F.first("flat").alias("flat"), rec("own").alias("recall_own"), rec("flat").alias("recall_flat"))
+#: Recalls that hold-out sources must reach, and the source of which no text may be flagged.
+FLOORS, CLEAN = (("src2", 0.70), ("src5", 0.78), ("src10", 0.50), ("src19", 0.50)), "src0"
+_floor = " union all ".join(f"select 'recall {s}', round(avg((p >= {THR})::int) filter (where label = 1 and source = '{s}'), 6), '>=', {b}::double from w" for s, b in FLOORS)
+
+
+@query(f"""with {REPORT}, pk as (select max(recall) filter (where scorer = 'b' and n = 40) - max(recall) filter (where scorer = 'a' and n = 40) as g, max(fpr) filter (where scorer = 'b' and n > 0) as f, max(fpr) filter (where scorer = 'b' and n = 0) - max(fpr) filter (where scorer = 'a' and n = 0) as w from report),
+k as (select round(g, 6) as g, round(f, 6) as f, round(w, 6) as w, coalesce(round(g, 6) >= 0.1, false) as g1, coalesce(round(g, 6) >= 0.05, false) as g2, coalesce(round(f, 6) <= 0.03, false) as f1, coalesce(round(w, 6) <= 0.005, false) as w1 from pk), v as (select case when g1 and f1 and w1 then 'accepted' when g2 and f1 then 'partial' else 'rejected' end as verdict from k),
+gr as (select 'gain' as rules, 'gain at 40' as name, g as value, '>=' as op, 0.1::double as bound, g1 as passed, verdict from k, v union all select 'gain', 'largest fpr', f, '<=', 0.03::double, f1, verdict from k, v union all select 'gain', 'fpr of whole texts, change', w, '<=', 0.005::double, w1, verdict from k, v),
+w as (select * from sw where scorer = 'b' and n = 0 and part = 'test'), fl as (select 'fpr' as name, round(avg((p >= case when n_words < 40 then 0.6 else {THR} end)::int) filter (where label = 0), 6) as value, '<=' as op, 0.03::double as bound from w union all {_floor} union all select 'flagged of {CLEAN}', (count(*) filter (where label = 0 and source = '{CLEAN}' and p >= {THR}))::double, '<=', 0.0::double from w),
+fo as (select *, coalesce(case when op = '>=' then value >= bound else value <= bound end, false) as passed from fl) select * from gr union all select 'floors', name, value, op, bound, passed, case when (select bool_and(passed) from fo) then 'accepted' else 'rejected' end from fo""")
+def acceptance_sweep(spark, sf_dir):
+    """Whether scorer b may take the place of scorer a, by what it gains at short lengths, and by floors on whole texts."""
+    gain = metrics.sweep_acceptance(metrics.sweep_report(sweep_counts(spark, sf_dir), first=FIRST), "a", "b")
+    whole = scores(spark, sf_dir).where("scorer = 'b'").withColumn("part", part()).where("part = 'test'")
+    thr = T.threshold_for(F.col("n_words"), F.lit(THR), F.lit(0.6), F.lit(40))
+    p, label, source = F.col("p"), F.col("label"), F.col("source")
+    rules = [("fpr", metrics.rate(p >= thr, label == 0), "<=", 0.03)]
+    rules += [(f"recall {s}", metrics.rate(p >= THR, (label == 1) & (source == s)), ">=", floor) for s, floor in FLOORS]
+    rules += [(f"flagged of {CLEAN}", F.count_if((label == 0) & (source == CLEAN) & (p >= THR)).cast("double"), "<=", 0.0)]
+    found = whole.agg(F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value, _, _ in rules]).alias("m")).select(F.inline("m"))
+    floors = metrics.acceptance(found, spark.createDataFrame([(name, op, bound) for name, _, op, bound in rules], "name string, op string, bound double"))
+    floors = floors.withColumn("verdict", F.when(F.col("all_passed"), "accepted").otherwise("rejected"))
+    columns = ("name", "value", "op", "bound", "passed", "verdict")
+    return gain.select(F.lit("gain").alias("rules"), *columns).unionByName(floors.select(F.lit("floors").alias("rules"), *columns))
 
 
 @query(f"with {SWEPT} select n, label, round(avg((p >= case when n_words < 40 then 0.6 else {THR} end)::int), 6) as aware, round(avg((p >= {THR})::int), 6) as flat from sw group by 1, 2")

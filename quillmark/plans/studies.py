@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features
@@ -39,17 +36,13 @@ _ALONE = f"select 0 as size, doc_id, round(p_a, 6) as p from (with {D.LINED}, lo
 
 @query(f"with e as ({_ALL} union all {_ALONE}), s as (select size, p, 1 - quality as label from e join labels using (doc_id)) select size, count(*) as n, {AVG.format(THR, 0)} as fpr, {AVG.format(THR, 1)} as recall from s group by 1")
 def window_size_study(spark, sf_dir):
-    """False positives and recall of paragraphs scored through windows of several sizes, and, as size 0, on their own."""
+    """False positives and recall of paragraphs scored through windows of several sizes, all in one scan, and, as size 0, on
+    their own."""
     paras = segments.split_paragraphs(D.documents(spark, sf_dir), "\n")
-    truth = segments.split_paragraphs(C.corpus(spark, sf_dir), "\n").select("doc_id", "text").join(C.corpus(spark, sf_dir).select("doc_id", "label"), "doc_id")
-
-    def scanned(size: int, step: int) -> DataFrame:
-        wins = features.with_scores(segments.build_windows(paras, size, step))
-        found = segments.project_to_paragraphs(segments.content_spans(paras), wins, THR, size=size, step=step)
-        return found.where("p is not null").select(F.lit(size).alias("size"), "doc_id", "text", "p")
-
+    truth = segments.split_paragraphs(C.corpus(spark, sf_dir), "\n", ("label",)).select("doc_id", "text", "label")
+    scanned = segments.score_paragraphs(paras, sizes=SIZES).where("p_a is not null").select("size", "doc_id", "text", F.col("p_a").alias("p"))
     alone = features.with_scores(paras.where(F.length("text") >= 200)).select(F.lit(0).alias("size"), "doc_id", "text", F.round("p_a", 6).alias("p"))
-    rows = reduce(DataFrame.unionByName, [scanned(*size) for size in SIZES], alone)
+    rows = scanned.unionByName(alone)
     return metrics.fpr_recall_at(segments.attach_truth(rows, truth).withColumnRenamed("truth", "label"), THR, ("size",))
 
 
