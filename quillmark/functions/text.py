@@ -6,7 +6,8 @@ which mean the same in Java's and in other regular expression engines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,9 +109,13 @@ def words(text: Column) -> Column:
     return F.filter(tokens, lambda token: F.rlike(token, F.lit(r"^\p{L}+$")))
 
 
+#: Where a sentence ends.
+END = r"[.!?]+(?:[ \t\n\r\f\x0B]|\z)"
+
+
 def sentences(text: Column) -> Column:
     """Parts between runs of . ! ? before white space or the end."""
-    return F.split(text, r"[.!?]+(?:[ \t\n\r\f\x0B]|\z)")
+    return F.split(text, END)
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -121,29 +126,6 @@ def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
 
 
-def burstiness(text: Column) -> tuple[Column, Column]:
-    """(population deviation, mean) of sentence lengths in words; with fewer than two sentences (0, that length or 0)."""
-    n = sentence_lengths(text)
-    square = F.aggregate(n, F.lit(0.0), lambda total, x: total + x.cast("double") * x)
-    spread = F.sqrt(F.greatest(square / F.size(n) - mean(n) * mean(n), F.lit(0.0)))
-    return F.when(F.size(n) < 2, 0.0).otherwise(spread), F.when(F.size(n) == 0, 0.0).otherwise(mean(n))
-
-
-def mattr(text: Column, window: int = 20) -> Column:
-    """Mean share of distinct words in windows of `window` words; of all words if there are fewer; 0 without words."""
-    found = words(text)
-    n = F.size(found)
-    shares = F.transform(F.sequence(F.lit(1), n - window + 1), lambda at: F.size(F.array_distinct(F.slice(found, at, F.lit(window)))) / F.lit(float(window)))
-    return F.when(n == 0, 0.0).when(n < window, F.size(F.array_distinct(found)) / n).otherwise(mean(shares))
-
-
-def phrase_rate(text: Column, phrases: Sequence[str]) -> Column:
-    """Occurrences of phrases, in any case, in 100 words."""
-    low = F.lower(text)
-    hits = sum(((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p) for p in phrases), F.lit(0.0))
-    return 100.0 * hits / F.greatest(F.size(words(text)), F.lit(1))
-
-
 def punct_variety(text: Column) -> Column:
     """Distinct marks of ten, over 8."""
     return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(MARKS), 0))) / F.lit(8.0)
@@ -188,43 +170,81 @@ def chance(op: str, seed: int, text: Column, at: Column | int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{op}:"), at.cast("string"), F.lit(":"), text)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-#: Phrases and their plain replacements, connectives, and introductory words; fixed values of the default edit.
-PHRASES = (("the", "this"), ("with", "plus"), ("and that", "so that"))
-CONNECTIVES = ("well", "so", "indeed", "then", "now", "thus", "still", "also")
-SPLITTERS = (" and ", " that ", " which ", " und ", " que ")
-INTRO = r"^(However|Indeed|Therefore|The)[ ,]+"
+@dataclass(frozen=True)
+class EditRules:
+    """What the edits put in place: phrases and replacements; connectives that open a sentence; what a long sentence is split at
+    with the opening of its second part (none: a capital); and a pattern of introductory words that may move to the end."""
+
+    phrases: tuple[tuple[str, str], ...]
+    connectives: tuple[str, ...]
+    splits: tuple[tuple[str, str], ...]
+    intro: str
 
 
-def perturb_phrase(sentence: Column, seed: int, k: int, old: str, new: str, p: float = 0.7) -> Column:
+PLAIN = EditRules(
+    (("the", "this"), ("with", "plus"), ("and that", "so that")),
+    ("Well,", "So,", "Indeed,", "Then,", "Now,", "Thus,", "Still,", "Also,"),
+    ((" and ", ""), (" that ", "This "), (" which ", "It "), (" und ", ""), (" que ", "Que ")),
+    r"^(However|Indeed|Therefore|The)[ ,]+",
+)
+#: The rules for Russian texts; fixed values.
+RUSSIAN = EditRules(
+    (
+        ("важно отметить", "стоит сказать"), ("стоит отметить", "замечу"), ("следует отметить", "добавлю"), ("необходимо отметить", "скажу"),
+        ("таким образом", "значит"), ("в заключение", "под конец"), ("играет важную роль", "много значит"), ("играет ключевую роль", "очень важна"),
+        ("является неотъемлемой частью", "часть"), ("следует подчеркнуть", "подчеркну"), ("в современном мире", "сейчас"), ("в настоящее время", "сейчас"),
+        ("не секрет, что", "понятно, что"), ("в первую очередь", "сперва"), ("необходимо учитывать", "надо помнить"), ("в целом можно сказать", "в общем"),
+        ("подводя итог", "если коротко"), ("позволяет сделать вывод", "показывает"), ("открывает широкие возможности", "много чего даёт"),
+        ("приобретают всё большую актуальность", "всё важнее"),
+    ),
+    ("В общем,", "Честно говоря,", "По сути,", "На самом деле,", "Если что,", "Грубо говоря,", "Кстати,", "Короче,"),
+    ((", и ", ""), (", а также ", ""), (", а ", ""), (", но ", "Но "), (", однако ", "Однако "), (", поэтому ", "Поэтому "), (", что ", "Это ")),
+    r"^(Однако|Кроме того|Таким образом|Тем не менее|Более того|Впрочем|Следовательно|Конечно) ?,[ ,]*",
+)
+#: Chances of the edits, the words beyond which a sentence is long, and the share of it that its first part has; fixed values.
+P_PHRASE, P_SPLIT, P_CONNECTIVE, P_INTRO, LONG_SENTENCE, FIRST_PART = 0.7, 0.6, 0.3, 0.5, 16, 0.35
+
+
+def _capital(x: str) -> str:
+    return x[0].upper() + x[1:]
+
+
+def _opened(text: Column, change: Callable[[Column], Column]) -> Column:
+    """The text with its first character changed."""
+    return F.concat(change(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
+def perturb_phrase(sentence: Column, seed: int, k: int, old: str, new: str, p: float = P_PHRASE) -> Column:
     """Replaces the k-th phrase with chance p, keeping a capital at its start."""
-    upper = lambda x: x[0].upper() + x[1:]
     edited = F.regexp_replace(sentence, rf"(^|[^\p{{L}}]){old}($|[^\p{{L}}])", f"$1{new}$2")
-    edited = F.regexp_replace(edited, rf"(^|[^\p{{L}}]){upper(old)}($|[^\p{{L}}])", f"$1{upper(new)}$2")
+    edited = F.regexp_replace(edited, rf"(^|[^\p{{L}}]){_capital(old)}($|[^\p{{L}}])", f"$1{_capital(new)}$2")
     return F.when(chance("phrase", seed, sentence, k) < p, edited).otherwise(sentence)
 
 
-def perturb_split(sentence: Column, seed: int, splitters: Sequence[str] = SPLITTERS, p: float = 0.6, longest: int = 16) -> Column:
-    """Ends a long sentence at the first splitter past 35 % of its length and starts a new one there."""
-    floor = F.floor(F.length(sentence) * 0.35).cast("int") + 1
-    found = F.array_min(F.filter(F.array(*[F.struct(F.instr(F.substring(sentence, floor, F.length(sentence)), s).alias("at"), F.lit(len(s)).alias("n")) for s in splitters]), lambda x: x["at"] > 0))
+def perturb_split(sentence: Column, seed: int, splits: Sequence[tuple[str, str]] = PLAIN.splits, p: float = P_SPLIT, longest: int = LONG_SENTENCE) -> Column:
+    """Ends a long sentence at the first place of `splits` past 35 % of its length; a second one starts there, with the
+    opening that the place asks for or else a capital."""
+    floor = F.floor(F.length(sentence) * FIRST_PART).cast("int") + 1
+    found = F.array_min(F.filter(F.array(*[F.struct(F.instr(F.substring(sentence, floor, F.length(sentence)), s).alias("at"), F.lit(k).alias("k")) for k, (s, _) in enumerate(splits)]), lambda x: x["at"] > 0))
     begin = found["at"] + floor - 1
-    rest = F.substring(sentence, begin + found["n"], F.length(sentence))
-    cut = F.concat(F.substring(sentence, F.lit(1), begin - 1), F.lit(". "), F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))
-    return F.when((word_count(sentence) > longest) & found.isNotNull() & (chance("split", seed, sentence) < p), cut).otherwise(sentence)
+    width, head = (F.element_at(F.array(*map(F.lit, values)), found["k"] + 1) for values in ([len(s) for s, _ in splits], [h for _, h in splits]))
+    rest = F.substring(sentence, begin + width, F.length(sentence))
+    second = F.when(head == "", _opened(rest, F.upper)).otherwise(F.concat(head, rest))
+    parted = F.concat(F.rtrim(F.substring(sentence, F.lit(1), begin - 1), F.lit(" ,")), F.lit(". "), second)
+    return F.when((word_count(sentence) > longest) & found.isNotNull() & (chance("split", seed, sentence) < p), parted).otherwise(sentence)
 
 
-def perturb_connective(sentence: Column, seed: int, connectives: Sequence[str] = CONNECTIVES, p: float = 0.3) -> Column:
-    """Puts a connective before the sentence."""
+def perturb_connective(sentence: Column, seed: int, connectives: Sequence[str] = PLAIN.connectives, p: float = P_CONNECTIVE) -> Column:
+    """Puts a connective before a sentence that does not start with one."""
     pick = F.element_at(F.array(*map(F.lit, connectives)), F.floor(chance("pick", seed, sentence) * len(connectives)).cast("int") + 1)
-    start = F.concat(F.upper(F.substring(pick, 1, 1)), F.substring(pick, 2, 100), F.lit(", "), F.lower(F.substring(sentence, 1, 1)), F.substring(sentence, F.lit(2), F.length(sentence)))
-    return F.when((chance("connective", seed, sentence) < p) & (F.length(sentence) > 0), start).otherwise(sentence)
+    has = F.rlike(sentence, F.lit("^(" + "|".join(connectives) + ")"))
+    return F.when((chance("connective", seed, sentence) < p) & (F.length(sentence) > 0) & ~has, F.concat(pick, F.lit(" "), _opened(sentence, F.lower))).otherwise(sentence)
 
 
-def perturb_reorder(sentence: Column, seed: int, intro: str = INTRO, p: float = 0.5) -> Column:
+def perturb_reorder(sentence: Column, seed: int, intro: str = PLAIN.intro, p: float = P_INTRO) -> Column:
     """Moves an introductory word to the end."""
-    word = F.regexp_extract(sentence, intro, 1)
-    rest = F.regexp_replace(sentence, intro, "")
-    moved = F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)), F.lit(", "), F.lower(word))
+    word, rest = F.regexp_extract(sentence, intro, 1), F.regexp_replace(sentence, intro, "")
+    moved = F.concat(_opened(rest, F.upper), F.lit(", "), F.lower(word))
     return F.when(F.rlike(sentence, F.lit(intro)) & (F.length(rest) > 0) & (chance("reorder", seed, sentence) < p), moved).otherwise(sentence)
 
 
@@ -232,12 +252,41 @@ def _each(edit, *args):
     return lambda sentence: edit(sentence, *args)
 
 
-def perturb(text: Column, seed: int) -> Column:
+def perturb(text: Column, seed: int, rules: EditRules = PLAIN) -> Column:
     """All edits, sentence by sentence, joined by a full stop and a space; no shuffle."""
     parts = F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 0)
     # one transform an edit: an edit names its sentence many times, so nesting them would multiply the expression
-    for k, (old, new) in enumerate(PHRASES):
+    for k, (old, new) in enumerate(rules.phrases):
         parts = F.transform(parts, _each(perturb_phrase, seed, k, old, new))
-    for edit in (perturb_split, perturb_connective, perturb_reorder):
-        parts = F.transform(parts, _each(edit, seed))
+    for edit, rule in ((perturb_split, rules.splits), (perturb_connective, rules.connectives), (perturb_reorder, rules.intro)):
+        parts = F.transform(parts, _each(edit, seed, rule))
     return F.array_join(parts, ". ")
+
+
+def sql_perturb(source: str, seed: int, rules: EditRules = PLAIN) -> str:
+    """The same in DuckDB SQL: common table expressions that end in edited(doc_id, text)."""
+
+    def draw(op: str, k: int = 0) -> str:
+        return f"('0x' || substr(md5('{seed}:{op}:{k}:' || s), 1, 8))::bigint / 4294967296.0::double"
+
+    opened = lambda x, f: f"{f}(substr({x}, 1, 1)) || substr({x}, 2)"
+    parts = f"list_transform(string_split_regex(text, '{END}'), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g'))"
+    steps = [f"e0 as (select doc_id, unnest(l) as s, unnest(range(len(l))) as pos from (select doc_id, list_filter({parts}, lambda x: length(x) > 0) as l from {source}))"]
+
+    def step(value: str) -> None:
+        steps.append(f"e{len(steps)} as (select doc_id, pos, {value} as s from e{len(steps) - 1})")
+
+    for k, (old, new) in enumerate(rules.phrases):
+        edited = rf"regexp_replace(regexp_replace(s, '(^|[^\p{{L}}]){old}($|[^\p{{L}}])', '\1{new}\2', 'g'), '(^|[^\p{{L}}]){_capital(old)}($|[^\p{{L}}])', '\1{_capital(new)}\2', 'g')"
+        step(f"case when {draw('phrase', k)} < {P_PHRASE} then {edited} else s end")
+    floor = f"(floor(length(s) * {FIRST_PART}::double)::int + 1)"
+    places = ", ".join(f"{{'place': instr(substr(s, {floor}), '{x}'), 'k': {k}}}" for k, (x, _) in enumerate(rules.splits))
+    steps.append(f"e{len(steps)} as (select *, {floor} as lo, list_min(list_filter([{places}], lambda x: x.place > 0)) as f from e{len(steps) - 1})")
+    width, head = f"[{', '.join(str(len(x)) for x, _ in rules.splits)}][f.k + 1]", f"[{', '.join(repr(h) for _, h in rules.splits)}][f.k + 1]"
+    rest = f"substr(s, (f.place + lo - 1 + {width})::int)"
+    step(f"case when len(regexp_extract_all(s, '{WORD}')) > {LONG_SENTENCE} and f is not null and {draw('split')} < {P_SPLIT} then rtrim(substr(s, 1, (f.place + lo - 2)::int), ' ,') || '. ' || case when {head} = '' then {opened(rest, 'upper')} else {head} || {rest} end else s end")
+    pick = f"[{', '.join(repr(c) for c in rules.connectives)}][floor({draw('pick')} * {len(rules.connectives)})::int + 1]"
+    step(f"case when {draw('connective')} < {P_CONNECTIVE} and length(s) > 0 and not regexp_matches(s, '^({'|'.join(rules.connectives)})') then {pick} || ' ' || {opened('s', 'lower')} else s end")
+    rest = f"regexp_replace(s, '{rules.intro}', '')"
+    step(f"case when regexp_matches(s, '{rules.intro}') and length({rest}) > 0 and {draw('reorder')} < {P_INTRO} then {opened(rest, 'upper')} || ', ' || lower(regexp_extract(s, '{rules.intro}', 1)) else s end")
+    return ", ".join(steps) + f", edited as (select d.doc_id, case when d.text is not null then coalesce(string_agg(s, '. ' order by pos), '') end as text from {source} d left join e{len(steps) - 1} using (doc_id) group by d.doc_id, d.text)"

@@ -17,6 +17,7 @@ from ..functions import text as T
 
 
 def normalise(df: DataFrame, text: str, label: Column, source: Column, generator: Column) -> DataFrame:
+    """Rows of any table in the columns of a corpus."""
     return df.select(F.col(text).alias("text"), label.cast("int").alias("label"), source.alias("source"), generator.alias("generator"))
 
 
@@ -80,21 +81,31 @@ def dedup_exact(df: DataFrame, order: str = "doc_id") -> DataFrame:
 
 
 def filter_len(df: DataFrame, low: int, high: int | None = None) -> DataFrame:
+    """Rows whose text has from `low` to `high` characters."""
     n = F.length("text")
     return df.where(n >= low if high is None else n.between(low, high))
 
 
+#: Rows of a digest bucket that one task is meant to rank.
+BUCKET_ROWS = 20_000
+
+
 def hash_rank(df: DataFrame, groups: list[str], seed: str, name: str = "rank") -> DataFrame:
-    """Adds the row's 1-based place in its group by md5(seed:text), doc_id. Rows are ranked in buckets of the digest;
-    what lies in lower buckets comes from a table of at most 256 counts a group."""
-    rows = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "text"))).withColumn("_b", F.substring("_h", 1, 2))
-    groups = groups or ["_all"]
-    rows = rows.withColumn("_all", F.lit(0))
-    counts = rows.groupBy(*groups, "_b").count()
-    below = F.sum("count").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*groups, "_b", F.coalesce(below, F.lit(0)).alias("_below"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h", "doc_id"))
-    ranked = rows.withColumn("_in", inside).join(counts, [*groups, "_b"])
+    """Adds the row's 1-based place in its group by md5(seed:text), doc_id.
+
+    Rows are ranked in buckets of the digest, of a depth that follows from the size of their group, so that a bucket holds some
+    `BUCKET_ROWS` rows however large the group; what lies in lower buckets comes from a table of counts. Rows of one
+    group with one text share a bucket. Null is a group of its own.
+    """
+    group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
+    rows = df.withColumns({"_h": F.md5(F.concat(F.lit(f"{seed}:"), "text")), "_g": group})
+    depth = F.greatest(F.lit(1), F.ceil(F.log(F.count("*") / F.lit(float(BUCKET_ROWS))) / F.log(F.lit(16.0)))).cast("int")
+    rows = rows.join(rows.groupBy("_g").agg(depth.alias("_d")), "_g").withColumn("_b", F.substring(F.col("_h"), F.lit(1), F.col("_d")))
+    counts = rows.groupBy("_g", "_b").count()
+    below = F.sum("count").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_g", "_b", F.coalesce(below, F.lit(0)).alias("_below"))
+    inside = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", "doc_id"))
+    ranked = rows.withColumn("_in", inside).join(counts, ["_g", "_b"])
     return ranked.select(*df.columns, (F.col("_below") + F.col("_in")).alias(name))
 
 
@@ -161,6 +172,17 @@ def augment_with_deficit(base: DataFrame, addition: DataFrame, fresh: DataFrame,
     return both.unionByName(ranked.where(F.col("rank") <= lack).select(*both.columns))
 
 
+def parts_overlap(df: DataFrame) -> DataFrame:
+    """(left, right, n) for each two parts of a split: the distinct texts that both hold, which must be none."""
+    texts = df.select("part", F.md5("text").alias("m")).distinct()
+    both = texts.groupBy("m").agg(F.sort_array(F.collect_set("part")).alias("parts"))  # a few parts
+    pairs = F.flatten(F.transform("parts", lambda a: F.transform(F.filter("parts", lambda b: b > a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    met = both.select(F.explode(pairs).alias("_p")).groupBy("_p.left", "_p.right").agg(F.count("*").alias("_n"))
+    names = df.select("part").distinct()
+    every = names.select(F.col("part").alias("left")).join(names.select(F.col("part").alias("right")), F.col("left") < F.col("right"))
+    return every.join(met, ["left", "right"], "left").select("left", "right", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
 def overlap_count(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: n, the number of distinct texts in both."""
     return a.select(F.md5("text").alias("m")).intersect(b.select(F.md5("text").alias("m"))).agg(F.count("*").alias("n"))
@@ -217,17 +239,36 @@ def score_incremental(df: DataFrame, cache: DataFrame, score: Callable[[DataFram
     return df.withColumn("text_md5", F.md5("text")).join(grown, "text_md5"), grown
 
 
+def _both_versions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(m, text, pa, pb, gap) of paragraphs by flat text; a version without the text has null."""
+    key = lambda df, p: df.select(T.flat(F.col("text")).alias("text"), "p").groupBy(F.md5("text").alias("m")).agg(F.min("text").alias(f"_{p}"), F.max("p").alias(p))
+    both = key(a, "pa").join(key(b, "pb"), "m", "full")
+    return both.select("m", F.coalesce("_pa", "_pb").alias("text"), "pa", "pb", F.round(F.abs(F.col("pa") - F.col("pb")), 6).alias("gap"))
+
+
 def compare_versions(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """One row: paragraphs (text, p) in both versions by flat text, median and largest difference of p, and how many
     are flagged in one alone."""
-    key = lambda df: df.groupBy(F.md5(T.flat(F.col("text"))).alias("m")).agg(F.max("p").alias("p"))
-    x, y = key(a).withColumnRenamed("p", "pa"), key(b).withColumnRenamed("p", "pb")
-    both = x.join(y, "m", "full")
+    both = _both_versions(a, b)
     gap = F.abs(F.col("pa") - F.col("pb"))
     only = lambda p, q: F.count_if((F.col(p) >= threshold) & ~F.coalesce(F.col(q) >= threshold, F.lit(False)))
     return both.agg(F.count(gap).alias("n"), F.round(F.percentile(gap, F.lit(0.5)), 6).alias("median_gap"), F.round(F.max(gap), 6).alias("max_gap"), only("pa", "pb").alias("only_a"), only("pb", "pa").alias("only_b"))
 
 
+def version_gaps(a: DataFrame, b: DataFrame, n: int = 5) -> DataFrame:
+    """(m, text, pa, pb, gap): the n paragraphs in both versions whose p differ most; ties by digest."""
+    return _both_versions(a, b).where("gap is not null").orderBy(F.desc("gap"), "m").limit(n)
+
+
+def flagged_in_one(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(side, m, text, p, other): paragraphs that one version alone flags, with the other's p, null if it lacks the text."""
+    both, hit = _both_versions(a, b), lambda p: F.coalesce(F.col(p) >= threshold, F.lit(False))
+    side = F.when(hit("pa") & ~hit("pb"), "a").when(hit("pb") & ~hit("pa"), "b")
+    rows = both.withColumn("side", side).where("side is not null")
+    pick = lambda x, y: F.when(F.col("side") == "a", F.col(x)).otherwise(F.col(y))
+    return rows.select("side", "m", "text", pick("pa", "pb").alias("p"), pick("pb", "pa").alias("other"))
+
+
 def match_prefix(paras: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Paragraphs that start with one of `prefixes` (prefix, truth), with its truth; the longest counts.
 

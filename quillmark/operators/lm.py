@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import features
@@ -18,12 +18,39 @@ def tokens(docs: DataFrame) -> DataFrame:
     return words.withColumn("v", F.lag("w", 1, START).over(Window.partitionBy("doc_id").orderBy("sent", "pos"))).drop("pos")
 
 
-def fit(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bigrams (v, w, n, of_v, rank), unigrams (w, n_w, rank_w)): counts, and places by falling count."""
+#: A key with more than one part in so many of all rows is dealt to several tasks.
+PARTS = 10_000
+
+
+def frequent(rows: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """(*keys, _parts) of keys that make up more than 1 / parts of the rows, which are fewer than `parts`: how many tasks each
+    is dealt to, so that none gets more than that share. For broadcasts."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
+    share = F.col("_n") * parts / F.col("_all")
+    return F.broadcast(counts.crossJoin(most).where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_parts")))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], heads: DataFrame, by: list[str]) -> DataFrame:
+    """`left` with the row of `right`, unique in `keys`, that has its keys, or nulls. Rows of `left` with a key of `heads` are dealt by a
+    digest of `by`, and the key's row of `right` is copied to each of its parts, fewer than twice `PARTS` copies in all."""
+    one = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(heads, keys, "left").withColumn("_at", F.pmod(F.xxhash64(*by), one).cast("int")).drop("_parts")
+    copied = right.join(heads, keys, "left").withColumn("_at", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_at"], "left").drop("_at")
+
+
+def fit(toks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bigrams (v, w, n), predecessors (v, of_v, least), words (w, n_w)): counts; `least` holds, for ranks below 1, 10, 100
+    and 1000 among the successors of v by falling count, ties alike, the least count that still has one. Ranks come from
+    how many successors have a count, so no task sorts all successors of a frequent word."""
     pairs = toks.where(F.col("v") != START).groupBy("v", "w").agg(F.count("*").alias("n"))
-    of_v = pairs.groupBy("v").agg(F.sum("n").alias("of_v"), F.count("*").alias("successors"))
-    rank = F.rank().over(Window.partitionBy("v").orderBy(F.desc("n"))) - 1
-    return pairs.withColumn("rank", rank).join(of_v, "v"), toks.groupBy("w").agg(F.count("*").alias("n_w"))
+    same = pairs.groupBy("v", "n").agg(F.count("*").alias("k"))
+    above = F.coalesce(F.sum("k").over(Window.partitionBy("v").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = same.withColumn("rank", above)
+    least = F.array(*[F.min(F.when(F.col("rank") < most, F.col("n"))) for most in (1, 10, 100, 1000)])
+    before = ranked.groupBy("v").agg(F.sum(F.col("n") * F.col("k")).alias("of_v"), least.alias("least"))
+    return pairs, before, toks.groupBy("w").agg(F.count("*").alias("n_w"))
 
 
 def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -34,14 +61,16 @@ def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
     rank_entropy that of the bins 0, 1-9, 10-99, 100-999 and beyond of a word's place among its predecessor's
     successors, unseen pairs beyond. Mean losses are rounded to nine places, below which they depend on the order of sums.
     """
-    pairs, words = fit(tokens(train))
+    pairs, before, words = fit(tokens(train))
     size = F.broadcast(words.agg(F.sum("n_w").alias("big_n"), F.count("*").alias("big_v")))
     counts = tokens(docs).groupBy("doc_id", "sent", "v", "w").agg(F.count("*").alias("k"))  # pairs of a sentence meet the model once
-    of_v = pairs.select("v", "of_v").distinct()
-    rows = counts.join(pairs.select("v", "w", "n", "rank"), ["v", "w"], "left").join(words, "w", "left").join(of_v, "v", "left").crossJoin(size)
+    rows = counts
+    for model, keys in ((pairs, ["v", "w"]), (words, ["w"]), (before, ["v"])):
+        rows = dealt_join(rows, model, keys, frequent(counts, keys), ["doc_id", "sent"])
+    rows = rows.crossJoin(size)  # one row
     uni = (F.coalesce("n_w", F.lit(0)) + 1) / (F.col("big_n") + F.col("big_v") + 1)
     p = F.when(F.col("v") == START, uni).otherwise(F.coalesce(0.7 * F.col("n") / F.col("of_v"), F.lit(0.0)) + 0.3 * uni)
-    bin_ = F.when(F.col("rank").isNull(), 4).when(F.col("rank") == 0, 0).when(F.col("rank") < 10, 1).when(F.col("rank") < 100, 2).when(F.col("rank") < 1000, 3).otherwise(4)
+    bin_ = F.when(F.col("n").isNull(), 4).otherwise(F.size(F.filter("least", lambda least: F.col("n") < least)))
     rows = rows.select("doc_id", "sent", "k", (-F.log(p) * F.col("k")).alias("loss"), bin_.alias("bin"))
     sums = rows.groupBy("doc_id", "sent").agg(F.sum("loss").alias("loss"), F.sum("k").alias("k"), *[F.sum(F.when(F.col("bin") == b, F.col("k")).otherwise(0)).alias(f"b{b}") for b in range(5)])
     per = sums.groupBy("doc_id").agg(F.sum("k").alias("n_tokens"), F.exp(F.round(F.sum("loss") / F.sum("k"), 9)).alias("perplexity"), F.when(F.count("*") > 1, F.stddev_pop(F.exp(F.round(F.col("loss") / F.col("k"), 9)))).otherwise(0.0).alias("sentence_std"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(5)])
@@ -50,13 +79,16 @@ def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
     return per.select("doc_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"), F.round("sentence_std", 4).alias("sentence_std"), F.round(entropy, 6).alias("rank_entropy"))
 
 
-def feature_matrix(corpus: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matrix, skipped) of labelled texts (doc_id, text, label): the eight features of each, and a row with the number of
-    those left out for a null text or label. Documents of fewer than two tokens have zeros from the language model."""
+def feature_matrix(corpus: DataFrame, train: DataFrame) -> tuple[DataFrame, Observation]:
+    """(matrix, observation) of labelled texts (doc_id, text, label): the eight features of each. Once the matrix was computed, the
+    observation has `rows` and `skipped`, those left out for a null text or label, counted in the same pass. Documents of
+    fewer than two tokens have zeros from the language model."""
     good = F.col("text").isNotNull() & F.col("label").isNotNull()
-    rows = corpus.where(good).select("doc_id", "text", "label")
-    own = features.with_features(rows).select("doc_id", "label", *[F.round(name, 6).alias(name) for name in features.FEATURES])
+    seen = Observation()
+    rows = corpus.select("doc_id", "text", "label")
+    counted = rows.observe(seen, F.count("*").alias("rows"), F.count_if(~good).alias("skipped")).where(good)
+    own = features.with_features(counted).select("doc_id", "label", *[F.round(name, 6).alias(name) for name in features.FEATURES])
     three = ("perplexity", "sentence_std", "rank_entropy")
-    found = own.join(lm_features(rows.select("doc_id", "text"), train), "doc_id", "left")
+    found = own.join(lm_features(rows.where(good).select("doc_id", "text"), train), "doc_id", "left")
     zeroed = [F.when(F.col("n_tokens") >= 2, F.col(name)).otherwise(0.0).alias(name) for name in three]
-    return found.select("doc_id", "label", *features.FEATURES, *zeroed), corpus.agg(F.count_if(~good).alias("skipped"))
+    return found.select("doc_id", "label", *features.FEATURES, *zeroed), seen

@@ -216,3 +216,19 @@ def acceptance(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 def fpr_budget(df: DataFrame, threshold: float, keys: tuple[str, ...], budget: float = 0.03) -> DataFrame:
     """(*keys, n, flagged, within): whether flagged negatives are at most ceil(budget * n)."""
     return df.where("label = 0").groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("p") >= threshold).alias("flagged")).withColumn("within", F.col("flagged") <= F.ceil(budget * F.col("n")))
+
+
+def compare_on_sets(sets: DataFrame, thresholds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set, scorer, threshold, n, auc, fpr, recall, recall_after) of scores in long form (set, scorer, label, p), each scorer at its own of
+    `thresholds` (scorer, threshold), and as set `edited` the recalls of paired scores (scorer, before, after)."""
+    by = score_counts(sets, ("set", "scorer"))
+    few = F.broadcast(thresholds)  # a row for each scorer
+    hit = F.col("p") >= F.col("threshold")
+    share = lambda c: F.round(F.sum(F.when(hit, F.col(c)).otherwise(0)) / F.nullif(F.sum(c), F.lit(0)), 6)
+    rates = by.join(few, "scorer").groupBy("set", "scorer").agg(F.first("threshold").alias("threshold"), F.sum(F.col("n0") + F.col("n1")).alias("n"), share("n0").alias("fpr"), share("n1").alias("recall"))
+    rates = rates.join(auc_of_counts(by, ("set", "scorer")), ["set", "scorer"], "left")
+    over = lambda c: F.round(F.avg((F.col(c) >= F.col("threshold")).cast("int")), 6)
+    edited = pairs.join(few, "scorer").groupBy("scorer").agg(F.first("threshold").alias("threshold"), F.count("*").alias("n"), over("before").alias("recall"), over("after").alias("recall_after"))
+    none = F.lit(None).cast("double")
+    columns = ("set", "scorer", "threshold", "n", "auc", "fpr", "recall", "recall_after")
+    return rates.withColumn("recall_after", none).select(*columns).unionByName(edited.select(F.lit("edited").alias("set"), "scorer", "threshold", "n", none.alias("auc"), none.alias("fpr"), "recall", "recall_after"))

@@ -318,10 +318,10 @@ def glue_aggressive(results: DataFrame, tables: DataFrame) -> DataFrame:
     return frags.withColumn("n_chars", F.length("text")).where(F.col("n_chars") >= MIN_CHARS)
 
 
-def score_fragments(frags: DataFrame, threshold: float, scorer: str = "a") -> DataFrame:
+def score_fragments(frags: DataFrame, threshold: float, scorer: str = "a", keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds p and label of fragments."""
     scored = features.with_scores(frags, "text", (scorer,))
-    return scored.select("doc_id", "anchor_idx", "member_idxs", "n_chars", F.round(f"p_{scorer}", 6).alias("p"), T.label_for(F.col(f"p_{scorer}"), threshold).alias("label"))
+    return scored.select("doc_id", "anchor_idx", "member_idxs", "n_chars", F.round(f"p_{scorer}", 6).alias("p"), T.label_for(F.col(f"p_{scorer}"), threshold).alias("label"), *keep)
 
 
 def _scanned(paras: DataFrame, threshold: float, scorers: tuple[str, ...], size: int, step: int) -> DataFrame:
@@ -329,23 +329,27 @@ def _scanned(paras: DataFrame, threshold: float, scorers: tuple[str, ...], size:
     return rows.withColumn("label", T.label_for(F.col("p"), threshold))
 
 
-def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None) -> DataFrame:
-    """Every content paragraph of every document with p, covered_chars, label and subcat (null if scored), for the
-    first of `scorers`; with two, also p_<name> for each further one. `blocks` are flags of `attach_block_meta`, by which short
-    paragraphs are told apart first."""
+def scan_all(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None) -> DataFrame:
+    """Every paragraph of every document with kind and drop_reason; content also has p, covered_chars, label and subcat (null if
+    scored), for the first of `scorers`; with two, also p_<name> for each further one. `blocks` are flags of `attach_block_meta`, by
+    which short paragraphs are told apart first."""
     paras = split_paragraphs(docs, sep)
     flags = (None, None, None)
     if blocks is not None:
         paras, flags = attach_block_meta(paras, blocks), (F.col("is_heading"), F.col("is_caption"), F.col("has_math"))
-    rows = _scanned(classify_sections(paras), threshold, scorers, size, step).where("kind = 'content'")
-    return rows.withColumn("subcat", F.when(F.col("p").isNull(), classify_short(F.col("text"), *flags)))
+    rows = _scanned(classify_sections(paras), threshold, scorers, size, step)
+    content = F.col("kind") == "content"
+    return rows.withColumns({"label": F.when(content, F.col("label")), "subcat": F.when(content & F.col("p").isNull(), classify_short(F.col("text"), *flags))})
+
+
+def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None) -> DataFrame:
+    """The content paragraphs of `scan_all`."""
+    return scan_all(docs, threshold, sep, scorers, size, step, blocks).where("kind = 'content'")
 
 
 def document_map(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+") -> DataFrame:
     """Every paragraph of every document, content and dropped, with kind and drop_reason; content also has p and label."""
-    rows = _scanned(classify_sections(split_paragraphs(docs, sep)), threshold, ("a",), WINDOW_WORDS, STEP)
-    label = F.when(F.col("kind") == "content", F.col("label"))
-    return rows.select("doc_id", "idx", "text", "kind", "drop_reason", "p", label.alias("label"))
+    return scan_all(docs, threshold, sep).select("doc_id", "idx", "text", "kind", "drop_reason", "p", "label")
 
 
 def attach_truth(paras: DataFrame, truth: DataFrame) -> DataFrame:

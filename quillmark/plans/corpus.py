@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
 from ..sources import readers
+from ..sources.folders import scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -278,3 +282,64 @@ def composition(spark, sf_dir):
     n = F.length("text")
     c = corpus(spark, sf_dir)
     return c.groupingSets([["label"], ["source"], ["label", "source"], []], "label", "source").agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("longest"))
+
+
+_VERSIONS = """f as (select text, doc_id, (length(text) % 1000) / 1000.0::double as p from documents), a as (select trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, max(p) as pa from f where doc_id % 3 <> 0 group by 1), b as (select trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, max(p / 2 + 0.25) as pb from f where doc_id % 3 <> 1 group by 1),
+v as (select md5(text) as m, text, pa, pb, round(abs(pa - pb), 6) as gap from a full join b using (text))"""
+
+
+def _versions(spark, sf_dir):
+    f = read(spark, sf_dir, "documents").select("doc_id", "text", (F.length("text") % 1000 / F.lit(1000.0)).alias("p"))
+    return f.where("doc_id % 3 <> 0"), f.where("doc_id % 3 <> 1").withColumn("p", F.col("p") / 2 + 0.25)
+
+
+@query(f"with {_VERSIONS} select m, pa, pb, gap from v where gap is not null order by gap desc, m limit 5")
+def version_gaps(spark, sf_dir):
+    return C.version_gaps(*_versions(spark, sf_dir)).drop("text")
+
+
+@query(f"with {_VERSIONS}, h as (select *, coalesce(pa >= 0.6, false) as ha, coalesce(pb >= 0.6, false) as hb from v) select case when ha then 'a' else 'b' end as side, m, case when ha then pa else pb end as p, case when ha then pb else pa end as other from h where ha <> hb")
+def flagged_in_one(spark, sf_dir):
+    return C.flagged_in_one(*_versions(spark, sf_dir), 0.6).drop("text")
+
+
+@query(f"with {K}, b as (select *, case when length(text) < 1000 then 'A' else 'B' end as bucket from c) select label, generator, bucket, count(*) as n, round(avg(length(text)), 6) as mean_chars from b group by grouping sets ((label, generator), (bucket, generator), (bucket), ())")
+def composition_by_generator(spark, sf_dir):
+    """Rows of each label and bucket by generator."""
+    rows = corpus(spark, sf_dir).withColumn("bucket", F.when(F.length("text") < 1000, "A").otherwise("B"))
+    sets = [["label", "generator"], ["bucket", "generator"], ["bucket"], []]
+    return rows.groupingSets(sets, "label", "generator", "bucket").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+
+
+BUCKETS = ((30, 199), (50, 199), (200, 3000), (200, None))
+
+
+@query(f"with {K} " + " union all ".join(f"select {low} as low, {high or 'null::int'} as high, doc_id, label from c where length(text) >= {low}" + (f" and length(text) <= {high}" if high else "") for low, high in BUCKETS))
+def length_buckets(spark, sf_dir):
+    """Documents of each range of lengths."""
+    rows = corpus(spark, sf_dir)
+    found = [C.filter_len(rows, low, high).select(F.lit(low).alias("low"), F.lit(high).cast("int").alias("high"), "doc_id", "label") for low, high in BUCKETS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("select md5(text) as m, case when lang = 'en' then 0 else 1 end as label, 'table:' || source as source, coalesce(lang, 'unknown') as generator from documents")
+def normalised(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    rows = C.normalise(docs, "text", F.when(F.col("lang") == "en", 0).otherwise(1), F.concat(F.lit("table:"), "source"), F.coalesce("lang", F.lit("unknown")))
+    return rows.select(F.md5("text").alias("m"), "label", "source", "generator")
+
+
+@query(f"with {K}, u as (select * from c qualify row_number() over (partition by text order by doc_id) = 1), p as (select md5(text) as m, case when rank <= round(n * 0.7) then 'train' else 'holdout' end as part from (select *, count(*) over (partition by generator) as n from {rank('gen', 'generator', 'u')})) select 'holdout' as \"left\", 'train' as \"right\", (select count(*) from (select m from p where part = 'train' intersect select m from p where part = 'holdout')) as n")
+def split_is_disjoint(spark, sf_dir):
+    """Texts that both parts of a split by generator hold, once exact copies are gone."""
+    return C.parts_overlap(C.split_by(C.dedup_exact(corpus(spark, sf_dir)), "generator", 0.7, "gen"))
+
+
+@query("select doc_id, md5(text) as m, 1 as label, source from documents where doc_id % 7 <> 3")
+def json_lines(spark, sf_dir):
+    """Lines of which each seventh is cut off in the middle: what is no JSON object is counted and left out."""
+    docs = read(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "text", F.lit(1).alias("label"), "source"))
+    path = scratch(spark, "lines")
+    docs.select(F.when(F.col("doc_id") % 7 == 3, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return readers.read_corpus(spark, path, "doc_id long, text string, label int, source string").select("doc_id", F.md5("text").alias("m"), "label", "source")

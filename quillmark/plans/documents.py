@@ -183,18 +183,41 @@ def text_features(spark, sf_dir):
     return features.with_features(documents(spark, sf_dir)).select("doc_id", "n_chars", "n_words", *[F.round(c, 6).alias(c) for c in cols])
 
 
+def reported(spark, sf_dir):
+    """(content, dropped paragraphs, scored fragments with their text) of one scan, for reports."""
+    rows = segments.scan_all(wrapped(documents(spark, sf_dir), True, True), THRESHOLD)
+    results = rows.where("kind = 'content'")
+    return results, rows.where("kind = 'service'"), segments.score_fragments(segments.glue_short_prose(results), THRESHOLD, keep=("text",))
+
+
 def report_markdown(spark, sf_dir):
-    return reports.report_markdown(_results(spark, sf_dir)).select("doc_id", F.md5("md").alias("md5"), F.length("md").alias("n"))
+    return reports.report_markdown(*reported(spark, sf_dir), THRESHOLD).select("doc_id", F.md5("md").alias("md5"), F.length("md").alias("n"))
 
 
 def report_html(spark, sf_dir):
-    return reports.report_html(_results(spark, sf_dir)).select("doc_id", F.md5("html").alias("md5"), F.length("html").alias("n"))
+    return reports.report_html(*reported(spark, sf_dir), THRESHOLD).select("doc_id", F.md5("html").alias("md5"), F.length("html").alias("n"))
+
+
+def block_scan(spark, sf_dir):
+    """Kinds of short paragraphs where the extraction of blocks said what some of them are."""
+    docs = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", BREAK, "$1\n"))
+    blocks = segments.split_paragraphs(docs, "\n").select("doc_id", "idx", F.lit("").alias("style"), (F.col("idx") % 5 == 0).alias("is_heading"), (F.col("idx") % 5 == 1).alias("is_caption"), (F.col("idx") % 5 == 2).alias("has_math"))
+    rows = segments.scan_documents(docs, THRESHOLD, "\n", blocks=blocks)
+    return rows.groupBy("doc_id", "subcat").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def agreement_counts(spark, sf_dir):
+    """Each document's paragraphs by agreement, and the share that scorers disagree on of those that both scored."""
+    rows = agreement(spark, sf_dir)
+    count = lambda label: F.count_if(F.col("agreement") == label)
+    both = F.count("*") - count("insufficient")
+    return rows.groupBy("doc_id").agg(*[count(label).alias(label) for label in ("both_ai", "both_human", "disagree", "insufficient")], F.round(count("disagree") / F.nullif(both, F.lit(0)), 6).alias("disagreement"))
 
 
 QUERIES = {f.__name__: f for f in (
     document_scan, paragraphs, block_flags, section_map, dropped_counts, content_stream, word_windows, paragraph_scores, label_shares, short_kinds,
     insufficient_breakdown, document_map, glued, glued_aggressive, glue_stats, map_glued, direct_scores, flagged_listing, agreement, quick_agreement, text_features,
-    report_markdown, report_html,
+    report_markdown, report_html, block_scan, agreement_counts,
 )}
 
 
@@ -318,6 +341,8 @@ frags as (select doc_id, min(idx) as anchor_idx, list(idx order by idx) as membe
 TWO_SCORES = f"{LINED}, {CONTENT_ALL}, {SPANS}, {WINS}, {sql_scored(('a', 'b'))}, {sql_projected('p_a', 'ra')}, {sql_projected('p_b', 'rb')}"
 PREVIEW = rf"(case when length(trim(regexp_replace(text, '{S}+', ' ', 'g'))) > 60 then substr(trim(regexp_replace(text, '{S}+', ' ', 'g')), 1, 60) || '…' else trim(regexp_replace(text, '{S}+', ' ', 'g')) end)"
 
+REPORTED = "dr as (select * from sections where kind = 'service'), gl as (select sf.*, frags.text from sf join frags using (doc_id, anchor_idx))"
+
 ORACLES = {
     "document_scan": f"with {DIRECT} select lang, label, count(*) as paragraphs, sum(length(results.text))::bigint as chars from results join documents using (doc_id) group by 1, 2",
     "paragraphs": f"with {LINED} select * from paras",
@@ -346,6 +371,9 @@ select doc_id, section, place, idx, p, {PREVIEW} as preview from pl where place
 select doc_id, idx, p_a, p_b, case when p_a is null or p_b is null then 'insufficient' when p_a >= 0.6 and p_b >= 0.72 then 'both_ai' when p_a < 0.6 and p_b < 0.72 then 'both_human' else 'disagree' end as agreement, gap, row_number() over (partition by doc_id order by gap desc nulls last, idx) as place from k""",
     "quick_agreement": f"with {LINED}, {CONTENT_ALL}, {WINS}, {sql_scored(('a', 'b'))}, t as (select * from scored where n_wins >= 3 and exists (select 1 from (select unnest(range(least(n_wins, 30))) as i) where (i * n_wins) // least(n_wins, 30) = win_no)) select doc_id, count(*) as n, round(avg((p_b >= {THRESHOLD} and p_a < 0.45)::int), 6) as divergence from t group by 1",
     "text_features": f"select doc_id, n_chars, n_words, round(burst, 6) as burst, round(mean_len, 6) as mean_len, round(mattr, 6) as mattr, round(phrase, 6) as phrase, round(punct, 6) as punct from ({features.sql_features('documents')})",
-    "report_markdown": f"with {SHORT}, {reports.SQL_SHARES} {reports.SQL_MARKDOWN}",
-    "report_html": f"with {SHORT} {reports.SQL_HTML}",
+    "report_markdown": f"with {SHORT}, {FRAGS}, {SCORED_FRAGS}, {REPORTED}, {reports.SQL_MARKDOWN}",
+    "report_html": f"with {SHORT}, {FRAGS}, {SCORED_FRAGS}, {REPORTED}, {reports.SQL_HTML}",
+    "block_scan": f"with docs as (select doc_id, regexp_replace(text, '{BREAK}', '\\1' || chr(10), 'g') as text from documents), {sql_paras('docs', 'chr(10)')}, {SECTIONS}, {CONTENT_KEPT}, {SPANS}, {WINS}, {sql_scored()}, {sql_projected('p_a', 'r0')}, rs as (select *, case when p is null then case idx % 5 when 0 then 'heading' when 1 then 'caption' when 2 then 'formula' else {sql_short('text')} end end as subcat from r0) select doc_id, subcat, count(*) as n, sum(length(text))::bigint as chars from rs group by 1, 2",
 }
+ORACLES["agreement_counts"] = f"""select doc_id, count(*) filter (where agreement = 'both_ai') as both_ai, count(*) filter (where agreement = 'both_human') as both_human, count(*) filter (where agreement = 'disagree') as disagree, count(*) filter (where agreement = 'insufficient') as insufficient,
+round(count(*) filter (where agreement = 'disagree') / nullif(count(*) filter (where agreement <> 'insufficient'), 0), 6) as disagreement from ({ORACLES['agreement']}) group by 1"""

@@ -237,7 +237,9 @@ def genre_decision(spark, sf_dir):
     return genre.classify_genre(genre.genre_features(_sample(spark, sf_dir))).select("doc_id", "genre", "recommended", "confident")
 
 
-@query(None)
+@query(f"""with {GENRE}, sg as (select doc_id, tech_per1k + 800 * mathcode_per_w + 0.6::double * sci_per1k as tech, hum_per1k + 120 * cite_frac + 80 * latin_frac + greatest(0.0::double, mean_sent_len - 14) * 1.2::double as hum from gf), mx as (select *, greatest(tech, hum) < 8 or (least(tech, hum) > 8 and least(tech, hum) / greatest(tech, hum) > 0.75) as mixed from sg),
+gd as (select doc_id, case when mixed then 'mixed' when tech >= hum then 'technical' else 'humanities' end as genre, case when mixed then 'agree' when tech >= hum then 'v4' else 'v3' end as rec from mx), qa as ({D.ORACLES['quick_agreement']})
+select doc_id, genre, case when genre = 'technical' and coalesce(divergence, 0) > 0.15 then 'agree' else rec end as recommended, divergence from gd left join qa using (doc_id)""")
 def recommended_scorer(spark, sf_dir):
     genres = genre.classify_genre(genre.genre_features(_sample(spark, sf_dir)))
     return genre.recommend(genres, D.quick_agreement(spark, sf_dir)).select("doc_id", "genre", "recommended", "divergence")
@@ -257,13 +259,77 @@ def lm_features(spark, sf_dir):
     return lm.lm_features(docs, docs.where("doc_id % 5 <> 0"))
 
 
-@query(None)
+SEED = 7
+
+
+@query(f"with {T.sql_perturb('documents', SEED)} select doc_id, text from edited")
 def perturbed(spark, sf_dir):
-    return D.documents(spark, sf_dir).select("doc_id", T.perturb(F.col("text"), 7).alias("text"))
+    return D.documents(spark, sf_dir).select("doc_id", T.perturb(F.col("text"), SEED).alias("text"))
+
+
+@query(f"with ru as (select doc_id, replace(text, ' and ', ', однако ') as text from documents), {T.sql_perturb('ru', SEED, T.RUSSIAN)} select doc_id, text from edited")
+def perturbed_russian(spark, sf_dir):
+    """The fixed rules for Russian, over texts in which one English word is a Russian place to split at."""
+    text = F.replace(F.col("text"), F.lit(" and "), F.lit(", однако "))
+    return D.documents(spark, sf_dir).select("doc_id", T.perturb(text, SEED, T.RUSSIAN).alias("text"))
+
 
+def paired(spark, sf_dir, scorers=("a",)):
+    """Scores of generated texts before and after edits: doc_id, generator, bucket, n_chars, scorer, before, after."""
+    rows = C.corpus(spark, sf_dir).where("label = 1").select("doc_id", F.col("source").alias("generator"), "text")
+    both = rows.select("doc_id", "generator", F.length("text").alias("size"), F.explode(F.array(F.struct(F.lit("before").alias("at"), F.col("text")), F.struct(F.lit("after").alias("at"), T.perturb(F.col("text"), SEED).alias("text")))).alias("v")).select("doc_id", "generator", "size", "v.at", "v.text")
+    scored = features.with_scores(both, "text", ("a", "b"))
+    p = {"a": F.col("p_a"), "b": F.col("p_b"), "ensemble": T.ensemble(F.col("p_a"), F.col("p_b"), F.col("n_chars"))}
+    each = scored.select("doc_id", "generator", "size", "at", F.explode(F.array(*[F.struct(F.lit(s).alias("scorer"), F.round(p[s], 6).alias("p")) for s in scorers])).alias("s"))
+    pick = lambda at: F.max(F.when(F.col("at") == at, F.col("s.p"))).alias(at)
+    pairs = each.groupBy("doc_id", "generator", "size", "s.scorer").agg(pick("before"), pick("after"))
+    bucket = F.when(F.col("size") < 1000, "A").otherwise("B").alias("bucket")
+    return pairs.select("doc_id", "generator", bucket, F.col("size").alias("n_chars"), "scorer", "before", "after")
 
-@query(None)
+
+PAIRS = f"""ai as (select doc_id, source, text from c where label = 1), {T.sql_perturb('ai', SEED)}, fb as ({features.sql_features('ai', 'text', ('a', 'b'))}), fa as ({features.sql_features('edited', 'text', ('a', 'b'))}),
+pr as (select fb.doc_id, fb.source as generator, case when fb.n_chars < 1000 then 'A' else 'B' end as bucket, fb.n_chars, fb.p_a as ba, fb.p_b as bb, fa.p_a as aa, fa.p_b as ab, fa.n_chars as n_after from fb join fa using (doc_id)),
+pairs as (select doc_id, generator, bucket, n_chars, 'a' as scorer, round(ba, 6) as before, round(aa, 6) as after from pr union all select doc_id, generator, bucket, n_chars, 'b', round(bb, 6), round(ab, 6) from pr
+union all select doc_id, generator, bucket, n_chars, 'ensemble', round(case when n_chars < 200 then bb else (ba + bb) / 2 end, 6), round(case when n_after < 200 then ab else (aa + ab) / 2 end, 6) from pr)"""
+PAIRED = f"{C.K}, {PAIRS}"
+_DROP = f"round(avg((before >= {THR})::int), 6) as recall_before, round(avg((after >= {THR})::int), 6) as recall_after, round(100 * (avg((before >= {THR})::int) - avg((after >= {THR})::int)), 6) as drop_pp"
+
+
+@query(f"""with {PAIRED} select count(*) as n, {_DROP}, count(*) filter (where before >= {THR} and after < {THR}) as flipped, count(*) filter (where before < {THR} and after >= {THR}) as gained, round(avg(after - before), 6) as mean_delta,
+round(quantile_cont(before, 0.5), 6) as median_before, round(quantile_cont(after, 0.5), 6) as median_after, round(quantile_cont(round(after - before, 6), 0.5), 6) as median_delta from pairs where scorer = 'a'""")
 def robustness(spark, sf_dir):
-    rows = features.with_scores(C.corpus(spark, sf_dir)).select("doc_id", "label", F.round("p_a", 6).alias("before"))
-    after = features.with_scores(C.corpus(spark, sf_dir).select("doc_id", T.perturb(F.col("text"), 7).alias("text"))).select("doc_id", F.round("p_a", 6).alias("after"))
-    return metrics.robustness_report(rows.where("label = 1").join(after, "doc_id"), THR)
+    return metrics.robustness_report(paired(spark, sf_dir), THR)
+
+
+@query(f"with {PAIRED} select bucket, generator, count(*) as n, {_DROP} from pairs where scorer = 'a' group by grouping sets ((), (bucket), (generator))")
+def robustness_by(spark, sf_dir):
+    """Recall before and after edits of all texts, of each bucket and of each generator."""
+    return metrics.robustness_by(paired(spark, sf_dir), THR, ("bucket", "generator"))
+
+
+_EDGES = ", ".join(f"({a}::double, {b}::double)" for a, b in zip(metrics.DELTA_EDGES, metrics.DELTA_EDGES[1:]))
+
+
+@query(f"with {PAIRED} select low, high, count(*) filter (where scorer = 'a' and round(after - before, 6) >= low and round(after - before, 6) < high) as n from (values {_EDGES}) as e(low, high), pairs group by 1, 2")
+def delta_histogram(spark, sf_dir):
+    return metrics.delta_histogram(paired(spark, sf_dir))
+
+
+#: Sources that hold out a generator each, in model comparisons.
+HOLDOUTS = ("src2", "src10")
+_SETS = f"""tst as (select * from sc where md5(doc_id::varchar) >= '8'), sets as (select 'test' as set, * from tst where n_chars >= 200 union all select 'short', * from tst where n_chars < 200 union all select 'hold-out ' || source, * from tst where label = 1 and source in {HOLDOUTS}),
+ru as (select set, scorer, label, rank() over (partition by set, scorer order by p) + (count(*) over (partition by set, scorer, p) - 1) / 2.0::double as r from sets),
+au as (select set, scorer, {_AUC} as auc from ru group by 1, 2), gr as (select round(0.05::double + 0.005::double * unnest(range(189)), 3) as t), pk as (select scorer, t, avg((p >= t)::int) as fpr from sc, gr where label = 0 and md5(doc_id::varchar) < '8' group by 1, 2), th as (select scorer, coalesce(min(t) filter (where fpr <= 0.03), max(t)) as threshold from pk group by 1)"""
+
+
+@query(f"""with {Q}, {_SETS}, {PAIRS} select set, scorer, any_value(threshold) as threshold, count(*) as n, any_value(auc) as auc, round(avg((p >= threshold)::int) filter (where label = 0), 6) as fpr, round(avg((p >= threshold)::int) filter (where label = 1), 6) as recall, null::double as recall_after
+from sets join th using (scorer) join au using (set, scorer) group by 1, 2 union all select 'edited', scorer, any_value(threshold), count(*), null, null, round(avg((before >= threshold)::int), 6), round(avg((after >= threshold)::int), 6) from pairs join th using (scorer) group by 2""")
+def compare_on_sets(spark, sf_dir):
+    """Scorers on the sets of a comparison: tests of long and of short texts, generators held out, and edited texts; each
+    scorer at the threshold that the validation half gives it."""
+    rows = scores(spark, sf_dir).withColumn("part", part())
+    thresholds = metrics.pick_threshold(rows.where("part = 'validation'"), 0.03, keys=("scorer",))
+    own = F.when(F.col("n_chars") >= 200, "test").otherwise("short")
+    held = F.when((F.col("label") == 1) & F.col("source").isin(*HOLDOUTS), F.concat(F.lit("hold-out "), "source"))
+    sets = rows.where("part = 'test'").select(F.explode(F.array_compact(F.array(own, held))).alias("set"), "scorer", "label", "p")
+    return metrics.compare_on_sets(sets, thresholds, paired(spark, sf_dir, ("a", "b", "ensemble")))

@@ -5,10 +5,19 @@ Every labelled document is scored, by the model of two that was fitted on the ot
 
 from __future__ import annotations
 
+import json
+import math
+import os
+import tempfile
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from ..functions import features
-from ..operators import metrics, models
+from ..operators import metrics, models, scorers
+from ..sources.folders import scratch
 from . import corpus as C
 from . import documents as D
 from .metrics import AVG, Q, scores
@@ -128,3 +137,36 @@ union all select doc_id, 'b', round(p_b, 6), n_words, 0.86::double, p_b >= 0.86
 def detect_by_registry(spark, sf_dir):
     found = [models.detect(D.documents(spark, sf_dir), s).select("doc_id", F.lit(models.get_scorer(s).name).alias("scorer"), F.round("p", 6).alias("p"), "n_words", "threshold", "verdict") for s in ("default", "b")]
     return found[0].unionByName(found[1])
+
+
+def linear_files(spark, weights):
+    """(scorer of a saved pipeline, scorer of a shipped file, its count of loads): both hold the coefficients of one linear scorer."""
+    path = scratch(spark, "pipeline")
+    terms = " + ".join([f"{weights['bias']}D", *(f"{f} * {weights[f]}D" for f in features.FEATURES)])
+    PipelineModel([SQLTransformer(statement=f"select *, 1 / (1 + exp(-({terms}))) as p from __THIS__")]).save(path)
+    saved = scorers.pipeline_scorer("pipeline", path, cutoff=40, base=0.834, short=0.889)
+
+    file = os.path.join(tempfile.mkdtemp(prefix="quillmark-"), f"{uuid.uuid4().hex}.json")
+    with open(file, "w") as out:
+        json.dump(weights, out)
+
+    def load(local):
+        with open(local) as found:
+            return json.load(found)
+
+    def predict(w, frame):
+        return [1 / (1 + math.exp(-(w["bias"] + sum(w[f] * x for f, x in zip(frame.columns, row))))) for row in frame.itertuples(index=False)]
+
+    shipped, loads = scorers.pandas_scorer(spark, "shipped", file, load, predict, cutoff=40, base=0.834, short=0.889)
+    return saved, shipped, loads
+
+
+_B = "select doc_id, {0} as scorer, round(p_b, 6) as p, n_words, case when n_words < 40 then 0.889::double else 0.834::double end as threshold, p_b >= case when n_words < 40 then 0.889 else 0.834 end as verdict from f"
+
+
+@query(f"with f as ({features.sql_features('documents', 'text', ('b',))}) {_B.format(chr(39) + 'pipeline' + chr(39))} union all {_B.format(chr(39) + 'shipped' + chr(39))}")
+def detect_by_model(spark, sf_dir):
+    """Detection by scorers that are read from files, both with the coefficients of the linear scorer b."""
+    saved, shipped, _ = linear_files(spark, features.SCORERS["b"])
+    found = [models.detect(D.documents(spark, sf_dir), s.name).select("doc_id", F.lit(s.name).alias("scorer"), F.round("p", 6).alias("p"), "n_words", "threshold", "verdict") for s in (saved, shipped)]
+    return found[0].unionByName(found[1])

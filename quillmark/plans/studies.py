@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import lm, metrics, models, segments
+from ..sources.folders import scratch
 from ..streaming import jobs
 from . import corpus as C
 from . import documents as D
@@ -46,17 +47,25 @@ def window_size_study(spark, sf_dir):
     return metrics.fpr_recall_at(segments.attach_truth(rows, truth).withColumnRenamed("truth", "label"), THR, ("size",))
 
 
-@query("select count(*) as n, 0::bigint as differ from documents")
+def compared(batch, stream):
+    """(doc_id, p_batch, p_stream, threshold_batch, threshold_stream, differ) of two outputs of `detect`: documents that only one
+    of them has differ too."""
+    a = batch.select("doc_id", F.col("p").alias("p_batch"), F.col("threshold").alias("threshold_batch"))
+    b = stream.select("doc_id", F.col("p").alias("p_stream"), F.col("threshold").alias("threshold_stream"))
+    same = F.col("p_batch").eqNullSafe(F.col("p_stream")) & F.col("threshold_batch").eqNullSafe(F.col("threshold_stream"))
+    return a.join(b, "doc_id", "full").withColumn("differ", ~same)
+
+
+@query(f"with f as ({features.sql_features('documents')}), d as (select doc_id, round(p_a, 6) as p, case when n_words < 40 then 0.889::double else 0.834::double end as threshold from f) select doc_id, p as p_batch, p as p_stream, threshold as threshold_batch, threshold as threshold_stream, false as differ from d")
 def entry_point_consistency(spark, sf_dir):
-    """Documents, and how many of them get another score or threshold from one entry point than from another: the scorer's
-    column, the narrow function that streams use, and the registry."""
-    docs = D.documents(spark, sf_dir)
-    column = features.with_scores(docs).select("doc_id", F.round("p_a", 6).alias("p0"))
-    narrow = jobs.detect(docs).select("doc_id", F.col("p").alias("p1"), F.col("threshold").alias("t1"))
-    registry = models.detect(docs, "default").select("doc_id", F.round("p", 6).alias("p2"), F.col("threshold").alias("t2"))
-    rows = column.join(narrow, "doc_id", "full").join(registry, "doc_id", "full")
-    same = F.col("p0").eqNullSafe(F.col("p1")) & F.col("p0").eqNullSafe(F.col("p2")) & F.col("t1").eqNullSafe(F.col("t2"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(~same).alias("differ"))
+    """Every document's score and threshold from the registry's scorer over the table, and from a stream that reads the table's
+    files and writes another."""
+    docs = D.documents(spark, sf_dir).select("doc_id", "text")
+    batch = models.detect(docs, "default").withColumn("p", F.round("p", 6))
+    out = scratch(spark, "stream")
+    source = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*")  # a pattern, as the table may be one file
+    jobs.stream_detect(source, f"{out}/rows", f"{out}/state").awaitTermination()
+    return compared(batch, spark.read.parquet(f"{out}/rows"))
 
 
 _FIVE = ", ".join(f"round({name}, 6) as {name}" for name in features.FEATURES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,9 +10,18 @@ from ..functions import text as T
 CORPUS = "text string, label int, source string, generator string, temp double, bucket string"
 
 
+def read_corpus_counted(spark: SparkSession, path: str, schema: str = CORPUS) -> tuple[DataFrame, Observation]:
+    """(rows, observation) of JSON lines. Lines that are no JSON object of the schema are left out; once the rows were read, the
+    observation has `lines` and `bad`, counted in the same pass. Blank lines are skipped."""
+    seen = Observation()
+    raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    bad = F.col("_bad").isNotNull()
+    return raw.observe(seen, F.count("*").alias("lines"), F.count_if(bad).alias("bad")).where(~bad).drop("_bad"), seen
+
+
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
-    """JSON lines; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines; blank and malformed lines are skipped."""
+    return read_corpus_counted(spark, path, schema)[0]
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +33,7 @@ def read_labelled_dir(spark: SparkSession, path: str) -> DataFrame:
     """(file, text, label) of *.txt in a folder and its labels.json, a map from file to label; label null if missing."""
     raw = spark.read.text(f"{path}/labels.json", wholetext=True)
     labels = raw.select(F.explode(F.from_json("value", "map<string,int>")).alias("file", "label"))
-    return _files(spark, path).join(F.broadcast(labels), "file", "left")
+    return _files(spark, path).join(labels, "file", "left")
 
 
 def read_human_dir(spark: SparkSession, path: str) -> DataFrame:

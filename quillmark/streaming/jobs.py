@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import features
-from ..functions import text as T
-from ..operators import corpus, segments
+from ..operators import corpus, models, segments
+from .cache import ScoreCache
 
 
-def detect(docs: DataFrame, base: float = 0.834, short: float = 0.889, cutoff: int = 40) -> DataFrame:
-    """(doc_id, p, threshold, verdict) of each text; narrow and stateless, for batches and streams alike."""
-    rows = features.with_scores(docs.select("doc_id", "text"))
-    threshold = T.threshold_for(F.col("n_words"), F.lit(base), F.lit(short), F.lit(cutoff))
-    return rows.select("doc_id", F.round("p_a", 6).alias("p"), threshold.alias("threshold"), T.verdict(F.col("p_a"), threshold).alias("verdict"))
+def detect(docs: DataFrame, scorer: str | models.Scorer = "default") -> DataFrame:
+    """(doc_id, p, threshold, verdict) of each text by any scorer; narrow and stateless, for batches and streams alike."""
+    rows = models.detect(docs.select("doc_id", "text"), scorer)
+    return rows.select("doc_id", F.round("p", 6).alias("p"), "threshold", "verdict")
 
 
-def stream_detect(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_detect(source: DataFrame, path: str, checkpoint: str, scorer: str | models.Scorer = "default") -> StreamingQuery:
     """Appends `detect` of a stream of (doc_id, text) to Parquet files at `path`, until the source has no more."""
-    return detect(source).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return detect(source, scorer).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_scan(source: DataFrame, path: str, checkpoint: str, threshold: float = 0.72) -> StreamingQuery:
@@ -33,17 +32,16 @@ def stream_scan(source: DataFrame, path: str, checkpoint: str, threshold: float
     return source.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_score_cached(source: DataFrame, cache: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Scores each text once: micro-batches look texts up in the table at `cache` and append what is new. A batch that
-    is run again replaces its own rows, so it does not read them."""
+def stream_score_cached(source: DataFrame, cache: str, path: str, checkpoint: str, fan: int = 8) -> StreamingQuery:
+    """Scores each text once: micro-batches look texts up in the `ScoreCache` at `cache`, which must have been seeded, score what is new
+    and leave it there as the version of their number. Output and cache of a batch that is run again replace their own."""
 
     def score(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema, own = "text_md5 string, p double", f"/batch={number}/"
-        files = [file for file in spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(cache).inputFiles() if own not in file]
-        known = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
-        rows, grown = corpus.score_incremental(batch, known, lambda df: features.with_scores(df).select("text_md5", F.round("p_a", 6).alias("p")))
+        held = ScoreCache(batch.sparkSession, cache, fan)
+        known = held.lookup(number - 1, batch.select(F.md5("text").alias("text_md5")))
+        _, misses = corpus.cache_split(batch, known)
+        new = held.commit(number, features.with_scores(misses).select("text_md5", F.round("p_a", 6).alias("p")))
+        rows = batch.withColumn("text_md5", F.md5("text")).join(known.unionByName(new), "text_md5")
         rows.select("doc_id", "text_md5", "p").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        grown.join(known, "text_md5", "left_anti").write.mode("overwrite").parquet(f"{cache}/batch={number}")
 
     return source.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
