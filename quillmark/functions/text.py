@@ -210,8 +210,9 @@ def _capital(x: str) -> str:
 
 
 def _opened(text: Column, change: Callable[[Column], Column]) -> Column:
-    """The text with its first character changed."""
-    return F.concat(change(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+    """The text with its first character changed, but for one that would become two."""
+    first = F.substring(text, 1, 1)
+    return F.concat(F.when(first == "ß", first).otherwise(change(first)), F.substring(text, F.lit(2), F.length(text)))
 
 
 def perturb_phrase(sentence: Column, seed: int, k: int, old: str, new: str, p: float = P_PHRASE) -> Column:
@@ -269,7 +270,7 @@ def sql_perturb(source: str, seed: int, rules: EditRules = PLAIN) -> str:
     def draw(op: str, k: int = 0) -> str:
         return f"('0x' || substr(md5('{seed}:{op}:{k}:' || s), 1, 8))::bigint / 4294967296.0::double"
 
-    opened = lambda x, f: f"{f}(substr({x}, 1, 1)) || substr({x}, 2)"
+    opened = lambda x, f: f"case when substr({x}, 1, 1) = 'ß' then 'ß' else {f}(substr({x}, 1, 1)) end || substr({x}, 2)"
     parts = f"list_transform(string_split_regex(text, '{END}'), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g'))"
     steps = [f"e0 as (select doc_id, unnest(l) as s, unnest(range(len(l))) as pos from (select doc_id, list_filter({parts}, lambda x: length(x) > 0) as l from {source}))"]
 

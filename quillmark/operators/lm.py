@@ -79,16 +79,16 @@ def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
     return per.select("doc_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"), F.round("sentence_std", 4).alias("sentence_std"), F.round(entropy, 6).alias("rank_entropy"))
 
 
-def feature_matrix(corpus: DataFrame, train: DataFrame) -> tuple[DataFrame, Observation]:
-    """(matrix, observation) of labelled texts (doc_id, text, label): the eight features of each. Once the matrix was computed, the
-    observation has `rows` and `skipped`, those left out for a null text or label, counted in the same pass. Documents of
-    fewer than two tokens have zeros from the language model."""
+def feature_matrix(corpus: DataFrame, train: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """The eight features and the label of each labelled text (doc_id, text, label). Documents of fewer than two tokens have zeros
+    from the language model. Rows with a null text or label are left out; once the matrix was computed, the observation
+    `seen`, if it is given, has `rows` and `skipped`, counted in the same pass (in a session without fitted models of Spark
+    ML, as for `readers.read_corpus_counted`)."""
     good = F.col("text").isNotNull() & F.col("label").isNotNull()
-    seen = Observation()
     rows = corpus.select("doc_id", "text", "label")
-    counted = rows.observe(seen, F.count("*").alias("rows"), F.count_if(~good).alias("skipped")).where(good)
-    own = features.with_features(counted).select("doc_id", "label", *[F.round(name, 6).alias(name) for name in features.FEATURES])
+    counted = rows if seen is None else rows.observe(seen, F.count("*").alias("rows"), F.count_if(~good).alias("skipped"))
+    own = features.with_features(counted.where(good)).select("doc_id", "label", *[F.round(name, 6).alias(name) for name in features.FEATURES])
     three = ("perplexity", "sentence_std", "rank_entropy")
     found = own.join(lm_features(rows.where(good).select("doc_id", "text"), train), "doc_id", "left")
     zeroed = [F.when(F.col("n_tokens") >= 2, F.col(name)).otherwise(0.0).alias(name) for name in three]
-    return found.select("doc_id", "label", *features.FEATURES, *zeroed), seen
+    return found.select("doc_id", "label", *features.FEATURES, *zeroed)

@@ -10,18 +10,26 @@ from ..functions import text as T
 CORPUS = "text string, label int, source string, generator string, temp double, bucket string"
 
 
-def read_corpus_counted(spark: SparkSession, path: str, schema: str = CORPUS) -> tuple[DataFrame, Observation]:
-    """(rows, observation) of JSON lines. Lines that are no JSON object of the schema are left out; once the rows were read, the
-    observation has `lines` and `bad`, counted in the same pass. Blank lines are skipped."""
-    seen = Observation()
+def _lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Column]:
     raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    bad = F.col("_bad").isNotNull()
-    return raw.observe(seen, F.count("*").alias("lines"), F.count_if(bad).alias("bad")).where(~bad).drop("_bad"), seen
+    return raw, F.col("_bad").isNotNull()
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
-    """JSON lines; blank and malformed lines are skipped."""
-    return read_corpus_counted(spark, path, schema)[0]
+    """JSON lines; blank lines, and lines that are no JSON object of the schema, are left out."""
+    raw, bad = _lines(spark, path, schema)
+    return raw.where(~bad).drop("_bad")
+
+
+def read_corpus_counted(spark: SparkSession, path: str, schema: str = CORPUS) -> tuple[DataFrame, Observation]:
+    """(rows of `read_corpus`, observation): once the rows were read, it has `lines` and `bad`, counted in the same pass.
+
+    A session that has observed cannot serialise itself, which fitted models of Spark ML ask for: use a session of its own
+    (`spark.newSession()`) where both are wanted.
+    """
+    raw, bad = _lines(spark, path, schema)
+    seen = Observation()
+    return raw.observe(seen, F.count("*").alias("lines"), F.count_if(bad).alias("bad")).where(~bad).drop("_bad"), seen
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Files written one a document, and rows counted as they are read."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quillmark.operators import lm, reports, segments
@@ -47,7 +48,7 @@ def test_reports_as_files(spark, tmp_path):
 
 def test_malformed_lines_are_counted(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "one", "label": 1}\n\n{"text": "cut\n[1]\n{"text": "two", "label": 0}\n')
-    rows, seen = readers.read_corpus_counted(spark, str(tmp_path / "a.jsonl"))
+    rows, seen = readers.read_corpus_counted(spark.newSession(), str(tmp_path / "a.jsonl"))
     assert [(r.text, r.label) for r in rows.collect()] == [("one", 1), ("two", 0)]
     assert seen.get == {"lines": 4, "bad": 2}
 
@@ -58,9 +59,9 @@ def test_metrics_as_json(spark, tmp_path):
 
 
 def test_skipped_rows_are_counted_with_the_features(spark):
-    docs = spark.createDataFrame([(1, "One two three. Four.", 0), (2, None, 1), (3, "Text here.", None), (4, "a", 1)], "doc_id long, text string, label int")
-    matrix, seen = lm.feature_matrix(docs, docs)
-    assert {r.doc_id for r in matrix.collect()} == {1, 4} and seen.get == {"rows": 4, "skipped": 2}
+    docs = spark.newSession().createDataFrame([(1, "One two three. Four.", 0), (2, None, 1), (3, "Text here.", None), (4, "a", 1)], "doc_id long, text string, label int")
+    seen = Observation()
+    assert {r.doc_id for r in lm.feature_matrix(docs, docs, seen).collect()} == {1, 4} and seen.get == {"rows": 4, "skipped": 2}
 
 
 def test_frequent_words_are_dealt_out(spark, monkeypatch):
