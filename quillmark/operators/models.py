@@ -138,7 +138,10 @@ def short_auc(models: dict[str, Callable[[DataFrame], DataFrame]], rows: DataFra
 
     `models` maps names to functions that add `p` to rows with `text`.
     """
-    cut = rows.withColumn("cut", F.explode(F.array(*map(F.lit, lengths)))).withColumn("text", T.truncate_words(F.col("text"), F.col("cut")))
+    # cut texts come out of a generator, so that no feature cuts them again
+    each = F.array(*[F.struct(F.lit(n).alias("cut"), T.truncate_words(F.col("text"), n).alias("text")) for n in lengths])
+    others = [c for c in rows.columns if c != "text"]
+    cut = rows.select(*others, F.explode(each).alias("_e")).select(*others, "_e.cut", "_e.text")
     scored = None
     for name, score in models.items():
         part = score(cut).select(F.lit(name).alias("model"), "cut", "label", F.round("p", 6).alias("p"))
@@ -185,9 +188,8 @@ def mean_pool(tokens: DataFrame, vectors: DataFrame, doc: str = "doc_id", token:
 def derive_thresholds(validation: DataFrame, score: Callable[[DataFrame], DataFrame], target: float = 0.025, short_words: int = 30) -> DataFrame:
     """One row (base, short): thresholds at the target share of false positives, for whole texts and for the same texts
     cut to `short_words` words. `score` adds `p` to rows with `text`."""
-    kinds = F.explode(F.array(F.lit("base"), F.lit("short"))).alias("kind")
-    rows = validation.where("label = 0").select("label", kinds, "text")
-    rows = rows.withColumn("text", F.when(F.col("kind") == "short", T.truncate_words(F.col("text"), short_words)).otherwise(F.col("text")))
+    kinds = F.array(*[F.struct(F.lit(name).alias("kind"), text.alias("text")) for name, text in (("base", F.col("text")), ("short", T.truncate_words(F.col("text"), short_words)))])
+    rows = validation.where("label = 0").select("label", F.explode(kinds).alias("_k")).select("label", "_k.kind", "_k.text")
     picked = metrics.pick_threshold(score(rows), target, keys=("kind",))
     return picked.agg(F.max(F.when(F.col("kind") == "base", F.col("threshold"))).alias("base"), F.max(F.when(F.col("kind") == "short", F.col("threshold"))).alias("short"))
 
