@@ -89,7 +89,8 @@ def pick_threshold(df: DataFrame, target: float, grid: tuple[float, ...] = GRID,
     """(*keys, threshold): the smallest grid value with at most the target share of negatives at or above, else the
     last. Scores reduce to counts by grid cell before the grid is laid over them."""
     cell = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("p")))
-    counts = df.where("label = 0").groupBy(*keys, cell.alias("cell")).count()
+    # out of a generator, as each grid value would compute the score again
+    counts = apart(df.where("label = 0").select(*keys, "p")).groupBy(*keys, cell.alias("cell")).count()
     steps = counts.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(len(grid))))).groupBy(*keys, "at").agg(F.sum(F.when(F.col("cell") >= F.col("at"), F.col("count")).otherwise(0)).alias("above"), F.sum("count").alias("n"))
     value = F.element_at(F.array(*map(F.lit, grid)), F.col("at"))
     return steps.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("above") / F.col("n") <= target, value)), F.lit(grid[-1])).alias("threshold"))
