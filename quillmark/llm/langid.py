@@ -24,10 +24,10 @@ from .common import held_out, sampled, ship
 ship(__name__)
 
 HIDDEN, WINDOW, LEAD = 8, 112, 8
-#: Bounds of the fit: labelled rows, windows of each row, bytes of a window.
-FIT_ROWS, FIT_WINDOWS, FIT_BYTES = 3000, 2, 48
-#: Passes over the windows, and the least number of steps, which small tables reach by more passes.
-EPOCHS, STEPS, BATCH, RATE = 6, 300, 128, 0.01
+#: Labelled rows to learn from, of which every byte is read; bytes of a window that steps through time go back over.
+FIT_ROWS, FIT_BYTES = 800, 48
+#: The least number of steps, which small tables reach by more passes over their windows; windows of a step; rate at the start.
+STEPS, BATCH, RATE = 300, 128, 0.01
 #: Windows that step together: few enough that their products stay on one thread.
 TOGETHER = 512
 UNKNOWN = "und"
@@ -91,8 +91,9 @@ def fit(windows: np.ndarray, y: np.ndarray, n_lang: int) -> dict[str, np.ndarray
     model, rng = _fresh(n_lang), np.random.default_rng(4)
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
-    step, epochs = 0, max(EPOCHS, -(-STEPS // -(-len(windows) // BATCH)))
-    for epoch in range(epochs):
+    step, epochs = 0, -(-STEPS // -(-len(windows) // BATCH))
+    steps = epochs * -(-len(windows) // BATCH)
+    for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             x, goal = windows[order[at : at + BATCH]], y[order[at : at + BATCH]]
@@ -112,7 +113,7 @@ def fit(windows: np.ndarray, y: np.ndarray, n_lang: int) -> dict[str, np.ndarray
             _backward(x, forth, slope @ model["outf"].T, model, "f", grad)
             _backward(back, other, (slope @ model["outb"].T)[::-1], model, "b", grad)
             step += 1
-            rate = RATE * (1 - epoch / epochs)
+            rate = RATE * (1 - (step - 1) / steps)
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
@@ -187,34 +188,26 @@ def _label(model: dict, languages: list[str]):
     return run
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the rows to learn from, at places that follow from the id."""
-    for batch in batches:
-        langs, cuts = [], []
-        for key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            raw = text.encode("utf-8", "surrogatepass")
-            rng = np.random.default_rng(key % 2**32)
-            for _ in range(FIT_WINDOWS):
-                at = int(rng.integers(0, max(1, len(raw) - FIT_BYTES + 1)))
-                langs.append(lang)
-                cuts.append(raw[at : at + FIT_BYTES].ljust(FIT_BYTES))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cuts, pa.binary())], ["lang", "cut"])
+def _cut(text: bytes) -> np.ndarray:
+    """The whole text as windows of FIT_BYTES bytes, the last one filled up with spaces."""
+    return np.frombuffer(text + b" " * (-len(text) % FIT_BYTES), np.uint8).reshape(-1, FIT_BYTES)
 
 
 def fit_language_model(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[dict, list[str]]:
     """(model, languages), learned from at most `rows` rows of `docs` that are not held out and have a language and a
-    letter: those with the smallest seeded digests of doc_id. Without such rows the list is empty."""
+    letter: those with the smallest seeded digests of doc_id, read whole. The driver holds these rows. A doc_id that repeats teaches
+    all its texts. Without such rows the list is empty."""
     known = docs.where(~held_out()).where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    chosen = sampled(known, "doc_id", rows, "lang:").select("doc_id")
+    chosen = sampled(known, "doc_id", rows, "lang:").select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null")
     learned = texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(r"\p{L}"))
-    found = learned.mapInArrow(_cuts, "lang string, cut binary").collect()
-    languages = sorted({row.lang for row in found})
+    found = sorted((row.lang, bytes(row.raw)) for row in learned.select("lang", F.encode("text", "UTF-8").alias("raw")).collect())
+    languages = sorted({lang for lang, _ in found})
     if not languages:
         return {}, []
-    found.sort(key=lambda row: (row.lang, bytes(row.cut)))
-    windows = np.frombuffer(b"".join(bytes(row.cut) for row in found), np.uint8).reshape(-1, FIT_BYTES)
-    return fit(windows, np.array([languages.index(row.lang) for row in found]), len(languages)), languages
+    windows = [_cut(raw) for _, raw in found]
+    label = np.repeat([languages.index(lang) for lang, _ in found], [len(x) for x in windows])
+    return fit(np.concatenate(windows), label, len(languages)), languages
 
 
 def predict_language(docs: DataFrame, model: dict, languages: list[str]) -> DataFrame:
