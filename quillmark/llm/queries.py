@@ -97,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op4_licence_scan": _licences.SQL,
     "op7_benchmark_decontamination": _decontam.SQL,
     "op9_source_mixing": _mixing.SQL,
+    "op12_substring_dedup": _substrings.SQL,
 }

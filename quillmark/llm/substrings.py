@@ -109,9 +109,9 @@ def recompress(words: Words, rounds: int) -> tuple[np.ndarray, ...]:
     return name, start, end, low, high, doc
 
 
-def anchors(words: Words, symbols: tuple[np.ndarray, ...], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows of `size` words, and the name that anchors each: the longest of those that the window's words
-    decide, of equally long ones the one with the largest digest, 0 where there is none."""
+def anchors(words: Words, symbols: tuple[np.ndarray, ...], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows of `size` words, the name that anchors each, and where that stands: the longest of those that the window's
+    words decide, of equally long ones the one with the largest digest, of equal ones the first; 0 and -1 where there is none."""
     name, start, end, low, high, _ = symbols
     n = words.codes.size
     rank, lows, highs, names = np.zeros(n, np.uint64), np.full(n, -FAR), np.full(n, FAR), np.zeros(n, np.uint64)
@@ -125,7 +125,7 @@ def anchors(words: Words, symbols: tuple[np.ndarray, ...], size: int) -> tuple[n
         best[better] = rank[here][better]
         place[better] = windows[better] + k
     real = words.doc[windows] == words.doc[windows + size - 1]
-    return windows[real], np.where(place[real] >= 0, names[place[real]], np.uint64(0))
+    return windows[real], np.where(place[real] >= 0, names[place[real]], np.uint64(0)), place[real]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +157,10 @@ def _parsed(size: int, rounds: int):
             begins = np.searchsorted(symbols[5], np.arange(words.docs + 1))
             whole = _fold(symbols[0], np.arange(symbols[0].size) - begins[symbols[5]], words.docs, symbols[5])
             plain = _fold(words.digests[1], np.arange(words.doc.size) - words.bounds[words.doc], words.docs, words.doc)
-            start, name = anchors(words, symbols, size)
+            start, name, place = anchors(words, symbols, size)
             doc = words.doc[start]
-            first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if start.size else start
+            # by the place of the anchor, as a name that follows itself occurs more than once
+            first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if start.size else start
             last = np.r_[first[1:], start.size] - 1 if start.size else first
             at = doc[first]
             long = pa.array(np.diff(words.bounds) >= size)
@@ -290,3 +291,16 @@ def removal_digests(rows: DataFrame) -> DataFrame:
     """What `without_repeats` found, as numbers and a SHA-256 of the text kept."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB SQL, by numbering the places of every window's words; for documents with distinct ids.
+SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i+19], ' '))) as s, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20),
+r as (select doc_id, i, row_number() over (partition by s order by doc_id, i) as place from s),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as i from r where place > 1),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text from words anti join gone using (doc_id, i) group by 1),
+n as (select doc_id, count(*) as n from gone group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n.n, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d left join n using (doc_id) left join kept using (doc_id)
+"""

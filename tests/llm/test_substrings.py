@@ -40,6 +40,9 @@ def corpus(rng, n):
 
     passages = [prose(rng.randrange(15, 90)) for _ in range(6)]
     texts = [None, "", " \t\n", "a " * 19, "a " * 20, "a " * 21, "b a " * 200, "b\x0ba\x0c" * 30, " ".join(VOCABULARY[:19]), " ".join(VOCABULARY[:20]), " ".join(VOCABULARY[:21])]
+    for period in range(2, 26):  # repeats within one text alone, down to a single window that comes twice
+        unit = [f"u{period}x{k}" for k in range(period)]
+        texts += [" ".join((unit * 40)[: 20 + more]) for more in (period - 1, period, period + 1, 3 * period)]
     while len(texts) < n:
         words = []
         for _ in range(rng.randrange(1, 6)):
