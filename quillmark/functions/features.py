@@ -1,15 +1,25 @@
 """Features of texts and the linear scorers over them, as staged columns.
 
-Word arrays are materialised as columns first, so that no feature computes them again; everything stays in one stage.
+The five features are taken in one pass over a text's words, batch by batch; everything stays in one stage. Words, letters and
+sentences are those of `text.words` and `text.sentence_lengths`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Phrases and coefficients of the two linear scorers used where no trained model is given.
 PHRASES = ("the", "and", "that", "with", "of the", "in the")
 #: Stock phrases of generated Russian texts; fixed values, for `phrases`.
@@ -26,29 +36,59 @@ SCORERS = {
 FEATURES = ("burst", "mean_len", "mattr", "phrase", "punct")
 
 
+TOKEN, ENDED = re.compile(r"[\w-]+"), re.compile(r"[.!?]+(?:[ \t\n\r\f\x0B]|\Z)")
+MARKS = ".,!?;:()«»—-"
+
+
+def _mattr(words: list[str], window: int) -> float:
+    """Mean share of distinct words over all windows, from the number of words that enter and leave one."""
+    if len(words) < window:
+        return len(set(words)) / len(words) if words else 0.0
+    shares = [k / float(window) for k in range(window + 1)]
+    last: dict[str, int] = {}
+    distinct, total = 0, 0.0
+    for i, word in enumerate(words):
+        if last.get(word, -1) < max(i - window, 0):
+            distinct += 1
+        last[word] = i
+        if i >= window and last[words[i - window]] == i - window:
+            distinct -= 1
+        if i >= window - 1:
+            total += shares[distinct]
+    return total / (len(words) - window + 1)
+
+
+def _measures(text: str, phrases: tuple[str, ...], window: int) -> tuple[float, ...]:
+    """burst, mean_len, mattr, phrase and punct of one text."""
+    low = text.lower()
+    words, lens = [], []
+    for part in ENDED.split(low):
+        found = [token for token in TOKEN.findall(part) if token.isalpha()]
+        if found:
+            words += found
+            lens.append(len(found))
+    n, average = len(lens), len(words) / len(lens) if lens else 0.0
+    burst = 0.0 if n < 2 else math.sqrt(max(sum([x * x for x in lens]) / n - average * average, 0.0))
+    hits = sum([low.count(p) for p in phrases])
+    return burst, average, _mattr(words, window), 100.0 * hits / max(len(words), 1), sum([m in text for m in MARKS]) / 8.0
+
+
+def measured(text: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20) -> Column:
+    """A struct of the five features of a text that is not null, an Arrow batch at a time."""
+
+    @F.arrow_udf(", ".join(f"{name} double" for name in FEATURES))
+    def batch(texts: pa.Array) -> pa.Array:
+        rows = [_measures(x, phrases, window) for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.float64()) for k in range(len(FEATURES))], names=list(FEATURES))
+
+    return batch(text)
+
+
 def with_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES, window: int = 20) -> DataFrame:
     """Adds n_chars, n_words, burst, mean_len, mattr, phrase and punct of column `text`; null texts count as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
-    staged = df.withColumns({"_words": T.words(body), "_lens": T.sentence_lengths(body)})
-    n, lens = F.size("_words"), F.col("_lens")
-    total = F.aggregate(lens, F.lit(0), lambda s, x: s + x)
-    square = F.aggregate(lens, F.lit(0), lambda s, x: s + x * x)
-    average = total / F.size(lens)
-    shares = F.transform(F.sequence(F.lit(1), n - window + 1), lambda at: F.size(F.array_distinct(F.slice("_words", at, F.lit(window)))) / F.lit(float(window)))
-    staged = staged.withColumn("_shares", F.when(n >= window, shares))
-    low = F.lower(body)
-    hits = sum(((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p) for p in phrases), F.lit(0.0))
-    return staged.withColumns(
-        {
-            "n_chars": F.length(body),
-            "n_words": T.word_count(body),
-            "burst": F.when(F.size(lens) < 2, 0.0).otherwise(F.sqrt(F.greatest(square / F.size(lens) - average * average, F.lit(0.0)))),
-            "mean_len": F.when(F.size(lens) == 0, 0.0).otherwise(average),
-            "mattr": F.when(n == 0, 0.0).when(n < window, F.size(F.array_distinct("_words")) / n).otherwise(T.mean(F.col("_shares"))),
-            "phrase": 100.0 * hits / F.greatest(n, F.lit(1)),
-            "punct": T.punct_variety(body),
-        }
-    ).drop("_words", "_lens", "_shares")
+    staged = df.withColumn("_measured", measured(body, phrases, window))
+    return staged.withColumns({"n_chars": F.length(body), "n_words": T.word_count(body), **{name: F.col(f"_measured.{name}") for name in FEATURES}}).drop("_measured")
 
 
 def linear(name: str):

@@ -45,6 +45,20 @@ def test_scan_reads_and_shuffles_a_text_once(spark):
     assert len([line for line in shuffles if "doc_id" in line]) == 1 and len(shuffles) == 2  # the other one sums by language and label
 
 
+def test_features_are_taken_in_one_pass(spark):
+    """One Arrow pass a text, no set of words for each window; values as in the plain definition."""
+    rng = random.Random(7)
+    texts = [None, "", "One two. Three", *[" ".join(rng.choice(["the", "and", "End.", "a-b", "x", "né?!", "of", "in", "3"]) for _ in range(n)) for n in (1, 19, 20, 21, 60, 300)]]
+    df = features.with_features(docs(spark, *texts))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array_distinct" not in plan and "regexp_extract_all" not in plan
+    for row in df.collect():
+        words = [w for w in re.findall(r"[\w-]+", (row.text or "").lower()) if w.isalpha()]
+        wins = [words[i : i + 20] for i in range(len(words) - 19)] or ([words] if words else [])
+        want = sum(len(set(w)) / len(w) for w in wins) / max(len(wins), 1)
+        assert abs(row.mattr - want) < 1e-9
+
+
 def test_sweep_scores_once(spark):
     plan = executed(catalog.QUERIES["length_sweep"](spark, SF))
     assert len(re.findall(r"Scan parquet[^\n]*text", plan)) == 1
