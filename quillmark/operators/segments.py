@@ -287,14 +287,14 @@ def category_short(text: Column) -> Column:
     return kind.when(F.rlike(text, F.lit("[=∑×]")) & (F.length(text) < 130), "formula").otherwise("short_prose")
 
 
-def glue_short_prose(results: DataFrame) -> DataFrame:
+def glue_short_prose(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, anchor_idx, member_idxs, text, n_chars): runs of two or more short prose paragraphs (p null, subcat
-    short_prose) with consecutive idx whose join has 200 characters."""
+    short_prose) with consecutive idx whose join has 200 characters; and columns `keep`, which are the same all over a document."""
     short = results.where("p is null and subcat = 'short_prose'")
     runs = short.withColumn("_run", F.col("idx") - F.row_number().over(_order()))
     members = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    frags = runs.groupBy("doc_id", "_run").agg(members.alias("m")).where(F.size("m") > 1)
-    frags = frags.select("doc_id", F.col("m")[0]["idx"].alias("anchor_idx"), F.transform("m", lambda r: r["idx"]).alias("member_idxs"), F.array_join(F.transform("m", lambda r: r["text"]), " ").alias("text"))
+    frags = runs.groupBy("doc_id", "_run").agg(members.alias("m"), *[F.first(c).alias(c) for c in keep]).where(F.size("m") > 1)
+    frags = frags.select("doc_id", F.col("m")[0]["idx"].alias("anchor_idx"), F.transform("m", lambda r: r["idx"]).alias("member_idxs"), F.array_join(F.transform("m", lambda r: r["text"]), " ").alias("text"), *keep)
     return frags.withColumn("n_chars", F.length("text")).where(F.col("n_chars") >= MIN_CHARS)
 
 

@@ -116,13 +116,13 @@ def glued_aggressive(spark, sf_dir):
 
 def glue_stats(spark, sf_dir):
     """Fragments by label, the characters of their members, and the share of short prose that glue makes scorable."""
-    results = _results(spark, sf_dir)
-    frags = segments.score_fragments(segments.glue_short_prose(results), THRESHOLD)
-    members = frags.select("doc_id", "label", F.explode("member_idxs").alias("idx")).join(results.select("doc_id", "idx", F.length("text").alias("len")), ["doc_id", "idx"])
-    chars = members.groupBy("doc_id", "label").agg(F.sum("len").alias("member_chars"))
-    total = results.groupBy("doc_id").agg(F.sum(F.length("text")).alias("all_chars"))
-    counts = frags.groupBy("doc_id", "label").agg(F.count("*").alias("fragments"))
-    return counts.join(chars, ["doc_id", "label"]).join(total, "doc_id").select("doc_id", "label", "fragments", "member_chars", F.round(F.col("member_chars") / F.col("all_chars"), 6).alias("share"))
+    # all characters of a document ride along, so the scan is read once
+    results = _results(spark, sf_dir).withColumn("all_chars", F.sum(F.length("text")).over(Window.partitionBy("doc_id")))
+    frags = segments.glue_short_prose(results, keep=("all_chars",))
+    # the members' characters are the fragment's without the spaces that join them
+    frags = segments.score_fragments(frags.withColumn("chars", (F.col("n_chars") - F.size("member_idxs") + 1).cast("long")), THRESHOLD, keep=("chars", "all_chars"))
+    rows = frags.groupBy("doc_id", "label").agg(F.count("*").alias("fragments"), F.sum("chars").alias("member_chars"), F.first("all_chars").alias("all_chars"))
+    return rows.select("doc_id", "label", "fragments", "member_chars", F.round(F.col("member_chars") / F.col("all_chars"), 6).alias("share"))
 
 
 def document_map(spark, sf_dir):
