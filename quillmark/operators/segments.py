@@ -298,6 +298,26 @@ def glue_short_prose(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     return frags.withColumn("n_chars", F.length("text")).where(F.col("n_chars") >= MIN_CHARS)
 
 
+def show_glued(results: DataFrame, threshold: float, scorer: str = "a") -> DataFrame:
+    """(doc_id, idx, n_chars, label, is_glued): content paragraphs, with the fragments of `glue_short_prose`, scored, in place of their
+    members and at their first one. One pass: members find their fragment by windows over the document."""
+    short = F.coalesce(F.col("p").isNull() & (F.col("subcat") == "short_prose"), F.lit(False))
+    rows = results.select("doc_id", "idx", "text", "label", short.alias("_short"))
+    rows = rows.withColumn("_run", F.when(F.col("_short"), F.col("idx") - F.sum(F.col("_short").cast("int")).over(_order())))
+    run = Window.partitionBy("doc_id", "_run")
+    joined = F.sum(F.length("text")).over(run) + F.count("*").over(run) - 1
+    rows = rows.withColumn("_glued", F.col("_short") & (F.count("*").over(run) > 1) & (joined >= MIN_CHARS))
+    # a paragraph that is in no fragment is a group of its own
+    anchor = F.when(F.col("_glued"), F.min("idx").over(run)).otherwise(F.col("idx"))
+    member = F.when(F.col("_glued"), F.struct("idx", "text"))
+    found = rows.withColumn("_at", anchor).groupBy("doc_id", "_at").agg(F.array_sort(F.collect_list(member)).alias("m"), F.first("label").alias("_label"), F.first(F.length("text")).alias("_n"))
+    glued = F.size("m") > 0
+    found = found.select("doc_id", F.col("_at").alias("idx"), "_label", "_n", glued.alias("is_glued"), F.when(glued, F.array_join(F.transform("m", lambda r: r["text"]), " ")).alias("text"))
+    scored = features.with_scores(found, "text", (scorer,))
+    pick = lambda a, b: F.when(F.col("is_glued"), a).otherwise(b)
+    return scored.select("doc_id", "idx", pick(F.col("n_chars"), F.col("_n")).alias("n_chars"), pick(T.label_for(F.col(f"p_{scorer}"), threshold), F.col("_label")).alias("label"), "is_glued")
+
+
 def glue_aggressive(results: DataFrame, tables: DataFrame) -> DataFrame:
     """Fragments as above, but over anything except tables (doc_id, idx): short prose adds up in order and a fragment
     closes at 300 characters. A fold over a document's short prose alone gives each row its fragment's number."""

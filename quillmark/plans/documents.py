@@ -132,11 +132,7 @@ def document_map(spark, sf_dir):
 
 def map_glued(spark, sf_dir):
     """The document map with a fragment's members shown at its anchor alone."""
-    results = _results(spark, sf_dir)
-    frags = segments.glue_short_prose(results)
-    hidden = frags.select("doc_id", F.explode("member_idxs").alias("idx"))
-    rest = results.join(hidden, ["doc_id", "idx"], "left_anti").select("doc_id", "idx", F.length("text").alias("n_chars"), "label", F.lit(False).alias("is_glued"))
-    return rest.unionByName(segments.score_fragments(frags, THRESHOLD).select("doc_id", F.col("anchor_idx").alias("idx"), "n_chars", "label", F.lit(True).alias("is_glued")))
+    return segments.show_glued(_results(spark, sf_dir), THRESHOLD)
 
 
 def direct_scores(spark, sf_dir):

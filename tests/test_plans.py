@@ -45,7 +45,7 @@ def test_scan_reads_and_shuffles_a_text_once(spark):
     assert len([line for line in shuffles if "doc_id" in line]) == 1 and len(shuffles) == 2  # the other one sums by language and label
 
 
-@pytest.mark.parametrize("name", ["glue_stats"])
+@pytest.mark.parametrize("name", ["glue_stats", "map_glued"])
 def test_glue_reads_one_scan(spark, name):
     plan = executed(catalog.QUERIES[name](spark, SF))
     assert len(re.findall(r"Scan parquet[^\n]*text", plan)) == 1
