@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions import text as T
 from ..operators import reports, segments
+from ..sources.folders import scratch
 
 THRESHOLD = 0.72
 TABLE = "⟦таблица: 4 ячеек⟧"
@@ -180,8 +181,11 @@ def text_features(spark, sf_dir):
 
 
 def reported(spark, sf_dir):
-    """(content, dropped paragraphs, scored fragments with their text) of one scan, for reports."""
-    rows = segments.scan_all(wrapped(documents(spark, sf_dir), True, True), THRESHOLD)
+    """(content, dropped paragraphs, scored fragments with their text) of one scan, for reports. The scan is written to the checkpoint
+    folder, as a report takes parts of it in several ways."""
+    path = scratch(spark, "scan")
+    segments.scan_all(wrapped(documents(spark, sf_dir), True, True), THRESHOLD).select("doc_id", "idx", "text", "kind", "drop_reason", "p", "label", "subcat").write.parquet(path)
+    rows = spark.read.parquet(path)
     results = rows.where("kind = 'content'")
     return results, rows.where("kind = 'service'"), segments.score_fragments(segments.glue_short_prose(results), THRESHOLD, keep=("text",))
 

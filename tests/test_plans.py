@@ -51,6 +51,12 @@ def test_glue_reads_one_scan(spark, name):
     assert len(re.findall(r"Scan parquet[^\n]*text", plan)) == 1
 
 
+@pytest.mark.parametrize("name", ["report_markdown", "report_html"])
+def test_reports_take_their_parts_from_a_finished_scan(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "ArrowEvalPython" in plan and plan.count("ArrowEvalPython") == 1  # fragments alone are scored
+
+
 def test_features_are_taken_in_one_pass(spark):
     """One Arrow pass a text, no set of words for each window; values as in the plain definition."""
     rng = random.Random(7)
