@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions import text as T
+from ..sources.folders import scratch
 
 START = "<s>"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent, v, w): each word with the one before it in the document, START before the first."""
-    sents = docs.select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sent", "s"))
-    words = sents.select("doc_id", "sent", F.posexplode(T.words(F.col("s"))).alias("pos", "w"))
-    return words.withColumn("v", F.lag("w", 1, START).over(Window.partitionBy("doc_id").orderBy("sent", "pos"))).drop("pos")
+    """(doc_id, sent, v, w): each word with the one before it in the document, START before the first. A document's words are
+    numbered inside its row, so nothing is shuffled."""
+    named = lambda s, sent: F.transform(T.words(s), lambda w: F.struct(sent.alias("sent"), w.alias("w")))
+    rows = docs.select("doc_id", F.flatten(F.transform(T.sentences(F.coalesce("text", F.lit(""))), named)).alias("words"))
+    before = F.concat(F.array(F.lit(START)), F.transform("words", lambda x: x["w"]))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip(F.col("words").alias("x"), before.alias("v"))).alias("t"))
+    return rows.where("t.x is not null").select("doc_id", "t.x.sent", "t.v", "t.x.w")
 
 
 #: A key with more than one part in so many of all rows is dealt to several tasks.
@@ -25,7 +29,12 @@ PARTS = 10_000
 def frequent(rows: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
     """(*keys, _parts) of keys that make up more than 1 / parts of the rows, which are fewer than `parts`: how many tasks each
     is dealt to, so that none gets more than that share. For broadcasts."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return weighty(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys, parts)
+
+
+def weighty(counts: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """`frequent` from the count `n` of each key."""
+    counts = counts.select(*keys, F.col("n").alias("_n"))
     most = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
     share = F.col("_n") * parts / F.col("_all")
     return F.broadcast(counts.crossJoin(most).where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_parts")))
@@ -45,12 +54,34 @@ def fit(toks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     and 1000 among the successors of v by falling count, ties alike, the least count that still has one. Ranks come from
     how many successors have a count, so no task sorts all successors of a frequent word."""
     pairs = toks.where(F.col("v") != START).groupBy("v", "w").agg(F.count("*").alias("n"))
+    return pairs, ranks(pairs), toks.groupBy("w").agg(F.count("*").alias("n_w"))
+
+
+def ranks(pairs: DataFrame) -> DataFrame:
+    """The predecessors of `fit` from its bigrams."""
     same = pairs.groupBy("v", "n").agg(F.count("*").alias("k"))
     above = F.coalesce(F.sum("k").over(Window.partitionBy("v").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = same.withColumn("rank", above)
     least = F.array(*[F.min(F.when(F.col("rank") < most, F.col("n"))) for most in (1, 10, 100, 1000)])
-    before = ranked.groupBy("v").agg(F.sum(F.col("n") * F.col("k")).alias("of_v"), least.alias("least"))
-    return pairs, before, toks.groupBy("w").agg(F.count("*").alias("n_w"))
+    return ranked.groupBy("v").agg(F.sum(F.col("n") * F.col("k")).alias("of_v"), least.alias("least"))
+
+
+#: Words up to which a table of words goes to every task.
+MOST = 200_000
+
+
+def fitted(toks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of `fit`, written to the checkpoint folder and read back, so that pairs are counted once."""
+    spark = toks.sparkSession
+    pairs, _, words = fit(toks)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    pairs = kept(pairs, "pairs")
+    return pairs, kept(ranks(pairs), "before"), kept(words, "words")
 
 
 def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -61,18 +92,22 @@ def lm_features(docs: DataFrame, train: DataFrame) -> DataFrame:
     rank_entropy that of the bins 0, 1-9, 10-99, 100-999 and beyond of a word's place among its predecessor's
     successors, unseen pairs beyond. Mean losses are rounded to nine places, below which they depend on the order of sums.
     """
-    pairs, before, words = fit(tokens(train))
+    pairs, before, words = fitted(tokens(train))
     size = F.broadcast(words.agg(F.sum("n_w").alias("big_n"), F.count("*").alias("big_v")))
-    counts = tokens(docs).groupBy("doc_id", "sent", "v", "w").agg(F.count("*").alias("k"))  # pairs of a sentence meet the model once
-    rows = counts
-    for model, keys in ((pairs, ["v", "w"]), (words, ["w"]), (before, ["v"])):
-        rows = dealt_join(rows, model, keys, frequent(counts, keys), ["doc_id", "sent"])
+    toks = tokens(docs)
+    # pairs that are frequent in the model are dealt out; sorted joins split what is frequent in the texts alone
+    rows = dealt_join(toks, pairs, ["v", "w"], weighty(pairs, ["v", "w"]), ["doc_id", "sent"])
+    for model, key in ((words, "w"), (before, "v")):
+        if model.count() <= MOST:
+            rows = rows.join(F.broadcast(model), key, "left")
+        else:
+            rows = dealt_join(rows, model, [key], frequent(toks, [key]), ["doc_id", "sent"])
     rows = rows.crossJoin(size)  # one row
     uni = (F.coalesce("n_w", F.lit(0)) + 1) / (F.col("big_n") + F.col("big_v") + 1)
     p = F.when(F.col("v") == START, uni).otherwise(F.coalesce(0.7 * F.col("n") / F.col("of_v"), F.lit(0.0)) + 0.3 * uni)
     bin_ = F.when(F.col("n").isNull(), 4).otherwise(F.size(F.filter("least", lambda least: F.col("n") < least)))
-    rows = rows.select("doc_id", "sent", "k", (-F.log(p) * F.col("k")).alias("loss"), bin_.alias("bin"))
-    sums = rows.groupBy("doc_id", "sent").agg(F.sum("loss").alias("loss"), F.sum("k").alias("k"), *[F.sum(F.when(F.col("bin") == b, F.col("k")).otherwise(0)).alias(f"b{b}") for b in range(5)])
+    rows = rows.select("doc_id", "sent", (-F.log(p)).alias("loss"), bin_.cast("tinyint").alias("bin")).repartition("doc_id")  # for both sums
+    sums = rows.groupBy("doc_id", "sent").agg(F.sum("loss").alias("loss"), F.count("*").alias("k"), *[F.count_if(F.col("bin") == b).alias(f"b{b}") for b in range(5)])
     per = sums.groupBy("doc_id").agg(F.sum("k").alias("n_tokens"), F.exp(F.round(F.sum("loss") / F.sum("k"), 9)).alias("perplexity"), F.when(F.count("*") > 1, F.stddev_pop(F.exp(F.round(F.col("loss") / F.col("k"), 9)))).otherwise(0.0).alias("sentence_std"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(5)])
     share = [F.col(f"b{b}") / F.col("n_tokens") for b in range(5)]
     entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in share), F.lit(0.0))

@@ -57,6 +57,13 @@ def test_reports_take_their_parts_from_a_finished_scan(spark, name):
     assert "documents.parquet" not in plan and "ArrowEvalPython" in plan and plan.count("ArrowEvalPython") == 1  # fragments alone are scored
 
 
+def test_language_model_shuffles_texts_for_pairs_and_sums_alone(spark):
+    """Words find the one before them inside their row, and tables of words go to the tasks."""
+    plan = executed(catalog.QUERIES["lm_features"](spark, SF))
+    shuffles = [line for line in plan.splitlines() if re.search(r"\bExchange\b", line) and "doc_id" in line]
+    assert len(shuffles) <= 2 and "Window" not in plan
+
+
 def test_features_are_taken_in_one_pass(spark):
     """One Arrow pass a text, no set of words for each window; values as in the plain definition."""
     rng = random.Random(7)
