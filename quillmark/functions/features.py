@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 import re
 import sys
+from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -84,6 +86,18 @@ def measured(text: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20)
     return batch(text)
 
 
+def measured_each(texts: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20) -> Column:
+    """An array of such structs, one for each of an array of texts; neither the array nor its texts are null."""
+
+    @F.arrow_udf("array<struct<" + ", ".join(f"{name}: double" for name in FEATURES) + ">>")
+    def batch(lists: pa.Array) -> pa.Array:
+        rows = [_measures(x, phrases, window) for x in lists.flatten().to_pylist()]
+        each = pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.float64()) for k in range(len(FEATURES))], names=list(FEATURES))
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(lists.value_lengths().to_pylist())], pa.int32()), each)
+
+    return batch(texts)
+
+
 def with_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES, window: int = 20) -> DataFrame:
     """Adds n_chars, n_words, burst, mean_len, mattr, phrase and punct of column `text`; null texts count as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -91,10 +105,10 @@ def with_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] =
     return staged.withColumns({"n_chars": F.length(body), "n_words": T.word_count(body), **{name: F.col(f"_measured.{name}") for name in FEATURES}}).drop("_measured")
 
 
-def linear(name: str):
-    """P of the named linear scorer from feature columns."""
+def linear(name: str, of: Callable[[str], Column] = F.col) -> Column:
+    """P of the named linear scorer from feature columns, or from what `of` gives for their names."""
     w = SCORERS[name]
-    z = sum((F.col(f) * w[f] for f in FEATURES), F.lit(w["bias"]))
+    z = sum((of(f) * w[f] for f in FEATURES), F.lit(w["bias"]))
     return 1 / (1 + F.exp(-z))
 
 

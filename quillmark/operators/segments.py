@@ -197,9 +197,15 @@ def score_paragraphs(paras: DataFrame, scorers: tuple[str, ...] = ("a",), sizes:
 
     parts = F.concat(*[F.transform(_blocks(F.col("stream"), step), part(k, size)) for k, (size, step) in enumerate(sizes)])
     blocks = docs.select("doc_id", F.explode(parts).alias("x")).select("doc_id", "x.size", "x.b", "x.block", "x.paras")
-    wins = features.with_scores(_windows(blocks, sizes, "paras"), "text", scorers)
-    win = F.struct("size", "win_no", "cstart", "cend", *[f"p_{name}" for name in scorers])
-    met = wins.groupBy("doc_id").agg(F.collect_list("paras").alias("paras"), F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), win))).alias("wins"))
+    wins = _windows(blocks, sizes, "paras")
+    win = F.when(F.col("text").isNotNull(), F.struct("size", "win_no", "cstart", "cend", "text"))
+    met = wins.groupBy("doc_id").agg(F.collect_list("paras").alias("paras"), F.array_sort(F.collect_list(win)).alias("wins"))
+    # a document's windows are scored side by side, as rows that come back from Python would have to be shuffled again
+    met = met.withColumn("_m", features.measured_each(F.transform("wins", lambda w: w["text"])))
+    def scored(w: Column, m: Column) -> Column:
+        return F.struct(*[w[c].alias(c) for c in ("size", "win_no", "cstart", "cend")], *[features.linear(name, lambda f: m[f]).alias(f"p_{name}") for name in scorers])
+
+    met = met.select("doc_id", "paras", F.explode(F.array(F.zip_with("wins", "_m", scored))).alias("wins"))
     of_size = lambda size: lambda w: w["size"] == size
     # out of a generator, so that the sorted windows are computed once and not for each paragraph
     met = met.select("doc_id", F.explode(F.array(F.struct(F.col("paras")[0].alias("paras"), *[F.filter("wins", of_size(size)).alias(f"w{k}") for k, (size, _) in enumerate(sizes)]))).alias("d"))
