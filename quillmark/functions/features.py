@@ -105,6 +105,32 @@ def with_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] =
     return staged.withColumns({"n_chars": F.length(body), "n_words": T.word_count(body), **{name: F.col(f"_measured.{name}") for name in FEATURES}}).drop("_measured")
 
 
+def with_built_in_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES, window: int = 20) -> DataFrame:
+    """Adds n_chars, n_words, burst, mean_len, mattr, phrase and punct of column `text`; null texts count as empty. The same as
+    `with_features` without Python, for rows that go on to a Python model, whose workers would be twice as many otherwise."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    staged = df.withColumns({"_words": T.words(body), "_lens": T.sentence_lengths(body)})
+    n, lens = F.size("_words"), F.col("_lens")
+    total = F.aggregate(lens, F.lit(0), lambda s, x: s + x)
+    square = F.aggregate(lens, F.lit(0), lambda s, x: s + x * x)
+    average = total / F.size(lens)
+    shares = F.transform(F.sequence(F.lit(1), n - window + 1), lambda at: F.size(F.array_distinct(F.slice("_words", at, F.lit(window)))) / F.lit(float(window)))
+    staged = staged.withColumn("_shares", F.when(n >= window, shares))
+    low = F.lower(body)
+    hits = sum(((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p) for p in phrases), F.lit(0.0))
+    return staged.withColumns(
+        {
+            "n_chars": F.length(body),
+            "n_words": T.word_count(body),
+            "burst": F.when(F.size(lens) < 2, 0.0).otherwise(F.sqrt(F.greatest(square / F.size(lens) - average * average, F.lit(0.0)))),
+            "mean_len": F.when(F.size(lens) == 0, 0.0).otherwise(average),
+            "mattr": F.when(n == 0, 0.0).when(n < window, F.size(F.array_distinct("_words")) / n).otherwise(T.mean(F.col("_shares"))),
+            "phrase": 100.0 * hits / F.greatest(n, F.lit(1)),
+            "punct": T.punct_variety(body),
+        }
+    ).drop("_words", "_lens", "_shares")
+
+
 def linear(name: str, of: Callable[[str], Column] = F.col) -> Column:
     """P of the named linear scorer from feature columns, or from what `of` gives for their names."""
     w = SCORERS[name]

@@ -46,7 +46,7 @@ def _held(key: str, load: Callable[[], Any]) -> Any:
 
 def pandas_scorer(
     spark: SparkSession, name: str, path: str, load: Callable[[str], Any], predict: Callable[[Any, pd.DataFrame], Sequence[float]],
-    columns: Sequence[str] = features.FEATURES, prepare: Callable[[DataFrame], DataFrame] = features.with_features, base: float = 0.86, short: float | None = None, cutoff: int | None = None,
+    columns: Sequence[str] = features.FEATURES, prepare: Callable[[DataFrame], DataFrame] = features.with_built_in_features, base: float = 0.86, short: float | None = None, cutoff: int | None = None,
 ) -> tuple[Scorer, Any]:
     """Register a Python model, and give its scorer and an accumulator that counts loads.
 
