@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections.abc import Callable
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain, count
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -42,37 +43,72 @@ TOKEN, ENDED = re.compile(r"[\w-]+"), re.compile(r"[.!?]+(?:[ \t\n\r\f\x0B]|\Z)"
 MARKS = ".,!?;:()«»—-"
 
 
-def _mattr(words: list[str], window: int) -> float:
-    """Mean share of distinct words over all windows, from the number of words that enter and leave one."""
-    if len(words) < window:
-        return len(set(words)) / len(words) if words else 0.0
-    shares = [k / float(window) for k in range(window + 1)]
-    last: dict[str, int] = {}
-    distinct, total = 0, 0.0
-    for i, word in enumerate(words):
-        if last.get(word, -1) < max(i - window, 0):
-            distinct += 1
-        last[word] = i
-        if i >= window and last[words[i - window]] == i - window:
-            distinct -= 1
-        if i >= window - 1:
-            total += shares[distinct]
-    return total / (len(words) - window + 1)
-
-
-def _measures(text: str, phrases: tuple[str, ...], window: int) -> tuple[float, ...]:
-    """burst, mean_len, mattr, phrase and punct of one text."""
-    low = text.lower()
-    words, lens = [], []
-    for part in ENDED.split(low):
-        found = [token for token in TOKEN.findall(part) if token.isalpha()]
-        if found:
-            words += found
-            lens.append(len(found))
-    n, average = len(lens), len(words) / len(lens) if lens else 0.0
-    burst = 0.0 if n < 2 else math.sqrt(max(sum([x * x for x in lens]) / n - average * average, 0.0))
-    hits = sum([low.count(p) for p in phrases])
-    return burst, average, _mattr(words, window), 100.0 * hits / max(len(words), 1), sum([m in text for m in MARKS]) / 8.0
+def _kind(c: str) -> str:
+    """What a character is in a text of Latin-1: a letter itself, - in a token, a blank or a tab between tokens, . at the end of sentences."""
+    return c if c.isalpha() else "-" if TOKEN.match(c) else "." if c in ".!?" else " " if c in " \t\n\r\f\x0B" else "\t"
+
+
+KINDS = bytes(ord(_kind(chr(k))) for k in range(256))
+#: Characters of texts whose words are held at a time.
+HELD = 1 << 20
+
+
+def _sentences(low: str) -> list[list]:
+    """The words of each sentence that has some."""
+    try:
+        parts = low.encode("latin-1").translate(KINDS).split(b". ")
+    except UnicodeEncodeError:
+        found = [[token for token in TOKEN.findall(part) if token.isalpha()] for part in ENDED.split(low)]
+    else:
+        found = [part.replace(b".", b" ").split() for part in parts]
+        found = [[word for word in words if b"-" not in word] if b"-" in part else words for part, words in zip(parts, found)]
+    return [words for words in found if words]
+
+
+def _mattrs(texts: list[list], window: int) -> list[float]:
+    """For each list of words, the mean share of distinct words over its windows. A word counts in each window around it but for
+    those that hold it further left, so only words that come back within a window are looked at."""
+    n = np.array([len(words) for words in texts], np.int64)
+    total = int(n.sum())
+    ids = np.fromiter(map({}.setdefault, chain.from_iterable(texts), count()), np.int64, total)
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    near = np.zeros(total, np.int64)
+    for gap in range(min(window, total) - 1, 0, -1):
+        again = np.flatnonzero(ids[gap:] == ids[:-gap]) + gap
+        near[again[at[again] >= gap]] = gap
+    again = np.flatnonzero(near)
+    twice = np.minimum(at[again] - near[again], n[owner[again]] - window) - np.maximum(at[again] - window, -1)
+    lost = np.bincount(owner[again], np.maximum(twice, 0), len(texts))
+    many = n - window + 1
+    shares = (window * many - lost) / window / np.maximum(many, 1)
+    return [float(share) if k > 0 else len(set(words)) / len(words) if words else 0.0 for share, k, words in zip(shares, many, texts)]
+
+
+def _held(texts: list[str], phrases: tuple[str, ...], window: int) -> Iterator[tuple[float, ...]]:
+    lows = [text.lower() for text in texts]
+    found = [_sentences(low) for low in lows]
+    words = [list(chain.from_iterable(x)) for x in found]
+    for text, low, sentences, own, mattr in zip(texts, lows, found, words, _mattrs(words, window)):
+        lens = [len(x) for x in sentences]
+        n, average = len(lens), len(own) / len(lens) if lens else 0.0
+        burst = 0.0 if n < 2 else math.sqrt(max(sum([x * x for x in lens]) / n - average * average, 0.0))
+        hits = sum([low.count(p) for p in phrases])
+        yield burst, average, mattr, 100.0 * hits / max(len(own), 1), sum([m in text for m in MARKS]) / 8.0
+
+
+def _measures(texts: list[str], phrases: tuple[str, ...], window: int) -> pa.StructArray:
+    """burst, mean_len, mattr, phrase and punct of each text, some texts at a time."""
+    rows: list[tuple[float, ...]] = []
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= HELD:
+            rows += _held(held, phrases, window)
+            held, size = [], 0
+    rows += _held(held, phrases, window)
+    return pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.float64()) for k in range(len(FEATURES))], names=list(FEATURES))
 
 
 def measured(text: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20) -> Column:
@@ -80,8 +116,7 @@ def measured(text: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20)
 
     @F.arrow_udf(", ".join(f"{name} double" for name in FEATURES))
     def batch(texts: pa.Array) -> pa.Array:
-        rows = [_measures(x, phrases, window) for x in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.float64()) for k in range(len(FEATURES))], names=list(FEATURES))
+        return _measures(texts.to_pylist(), phrases, window)
 
     return batch(text)
 
@@ -91,8 +126,7 @@ def measured_each(texts: Column, phrases: tuple[str, ...] = PHRASES, window: int
 
     @F.arrow_udf("array<struct<" + ", ".join(f"{name}: double" for name in FEATURES) + ">>")
     def batch(lists: pa.Array) -> pa.Array:
-        rows = [_measures(x, phrases, window) for x in lists.flatten().to_pylist()]
-        each = pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.float64()) for k in range(len(FEATURES))], names=list(FEATURES))
+        each = _measures(lists.flatten().to_pylist(), phrases, window)
         return pa.ListArray.from_arrays(pa.array([0, *accumulate(lists.value_lengths().to_pylist())], pa.int32()), each)
 
     return batch(texts)

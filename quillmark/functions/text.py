@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 #: A word is a run of letters, digits and underscores with at least one letter.
 WORD = r"[\p{L}\p{N}_]*\p{L}[\p{L}\p{N}_]*"
+#: The same without a step back, for Java.
+WHOLE_WORD = r"[\p{N}_]*+\p{L}[\p{L}\p{N}_]*+"
 SPACE = r"[ \t\n\r\f\x0B]"
+BLANKS = " \t\n\r\f\x0b"
 TABLE_MARK = "⟦таблица"
 MARKS = r"[.,!?;:()«»—-]"
 MIN_CHARS = 200
@@ -22,11 +25,11 @@ MIN_CHARS = 200
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+    return F.regexp_count(text, F.lit(WHOLE_WORD))
 
 
 def flat(text: Column) -> Column:

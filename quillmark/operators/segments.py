@@ -24,6 +24,7 @@ START = ("введение",)
 CHAPTER = ("глава", "раздел", "заключение")
 TOC_LINE = r"(\t|\.{2,})[ \t]*[0-9]{1,4}[ \t]*\z"
 NUMBERED = r"^[ \t]*[0-9]+(\.[0-9]+)*\.?[ \t]+[^ \t]"
+_INK = r"[^ \t\n\r\f\x0B]"
 
 
 def _doc():
@@ -45,7 +46,7 @@ def split_paragraphs(docs: DataFrame, sep: str = r"\n[ \t]*\n+", keep: tuple[str
     parts, seps = F.split(body, sep, -1), F.concat(F.regexp_extract_all(body, F.lit(sep), 0), F.array(F.lit("")))
     rows = docs.select("doc_id", *keep, F.posexplode(F.arrays_zip(parts.alias("part"), seps.alias("sep"))).alias("pos", "row"))
     before = F.sum(F.length("row.part") + F.length("row.sep")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    lead = F.length("row.part") - F.length(F.regexp_replace("row.part", f"^{T.SPACE}+", ""))
+    lead = F.length("row.part") - F.length(F.ltrim(F.col("row.part"), F.lit(T.BLANKS)))
     rows = rows.select("doc_id", *keep, "pos", T.strip(F.col("row.part")).alias("text"), (F.coalesce(before, F.lit(0)) + lead).alias("start"))
     rows = rows.where("text <> ''").withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     return rows.select("doc_id", *keep, "idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
@@ -65,8 +66,9 @@ def norm_heading(text: Column) -> Column:
 
 
 def looks_like_heading(text: Column) -> Column:
-    n = F.size(F.filter(F.split(text, f"{T.SPACE}+"), lambda w: w != ""))
-    return ~F.contains(T.strip(text), F.lit("\n")) & n.between(1, HEADING_WORDS)
+    # no more of the text is read than decides it
+    most = F.rlike(text, F.lit(rf"\A{T.SPACE}*+{_INK}++(?:{T.SPACE}++{_INK}++){{0,{HEADING_WORDS - 1}}}{T.SPACE}*+\z"))
+    return most & ~F.contains(T.strip(text), F.lit("\n"))
 
 
 def is_table(text: Column) -> Column:
@@ -74,7 +76,7 @@ def is_table(text: Column) -> Column:
 
 
 def is_body_prose(text: Column) -> Column:
-    return (F.length(text) >= MIN_CHARS) & ~F.rlike(text, F.lit(r"\.{4,}")) & ~is_table(text)
+    return (F.length(text) >= MIN_CHARS) & ~F.contains(text, F.lit("....")) & ~is_table(text)
 
 
 def is_chapter(text: Column) -> Column:
@@ -132,7 +134,7 @@ def _blocks(stream: Column, step: int) -> Column:
     for a stream without words. One pass; `step` is bounded by the depth of an expression."""
     if step > T.MATCHED_WORDS:
         raise ValueError(f"windows advance by at most {T.MATCHED_WORDS} words")
-    found = F.regexp_extract_all(stream, F.lit(rf"(?s)(?>.*?{T.WORD}){{1,{step}}}"), 0)
+    found = F.regexp_extract_all(stream, F.lit(rf"(?s)(?>.*?{T.WHOLE_WORD}){{1,{step}}}"), 0)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("string")))
 
 
@@ -153,7 +155,7 @@ def _windows(blocks: DataFrame, sizes: tuple[tuple[int, int], ...], *carried: st
 
     ahead = lambda m: order.rowsBetween(0, m - 1)
     rows = blocks.select(
-        "doc_id", "size", "b", *carried, length.alias("_len"), F.length(F.regexp_extract("block", rf"(?s)\A(.*?){T.WORD}", 1)).alias("_gap"),
+        "doc_id", "size", "b", *carried, length.alias("_len"), F.length(F.regexp_extract("block", rf"(?s)\A(.*?){T.WHOLE_WORD}", 1)).alias("_gap"),
         F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         by_size(lambda m: F.sum(length).over(ahead(m))).alias("_span"), by_size(lambda m: F.array_join(F.collect_list("block").over(ahead(m)), "")).alias("_text"),
         by_size(lambda m: F.lead("block", m).over(order)).alias("_more"), F.greatest(F.lit(1), F.count("block").over(per) - by_size(lambda m: F.lit(m - 1))).alias("_k"),
