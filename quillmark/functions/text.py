@@ -6,6 +6,7 @@ which mean the same in Java's and in other regular expression engines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -222,7 +223,10 @@ def perturb_phrase(sentence: Column, seed: int, k: int, old: str, new: str, p: f
     """Replaces the k-th phrase with chance p, keeping a capital at its start."""
     edited = F.regexp_replace(sentence, rf"(^|[^\p{{L}}]){old}($|[^\p{{L}}])", f"$1{new}$2")
     edited = F.regexp_replace(edited, rf"(^|[^\p{{L}}]){_capital(old)}($|[^\p{{L}}])", f"$1{_capital(new)}$2")
-    return F.when(chance("phrase", seed, sentence, k) < p, edited).otherwise(sentence)
+    drawn = chance("phrase", seed, sentence, k) < p
+    if re.escape(old).replace("\\ ", " ") == old:  # a plain phrase is looked for first, as few sentences have it
+        drawn = (F.contains(sentence, F.lit(old)) | F.contains(sentence, F.lit(_capital(old)))) & drawn
+    return F.when(drawn, edited).otherwise(sentence)
 
 
 def perturb_split(sentence: Column, seed: int, splits: Sequence[tuple[str, str]] = PLAIN.splits, p: float = P_SPLIT, longest: int = LONG_SENTENCE) -> Column:
