@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
@@ -205,13 +206,15 @@ def recalibrate(scores: DataFrame, old: float, target: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scorer:
-    """A scorer: `add` gives rows with `text` a probability `p`; texts under `cutoff` words use the `short` threshold."""
+    """A scorer: `add` gives rows with `text` a probability `p`; texts under `cutoff` words use the `short` threshold. One that is
+    linear in the built-in features names its coefficients."""
 
     name: str
     add: Callable[[DataFrame], DataFrame]
     base: float = 0.86
     short: float | None = None
     cutoff: int | None = None
+    linear: str | None = None
 
 
 def _linear(name: str) -> Callable[[DataFrame], DataFrame]:
@@ -221,7 +224,7 @@ def _linear(name: str) -> Callable[[DataFrame], DataFrame]:
     return add
 
 
-SCORERS: dict[str, Scorer] = {"a": Scorer("a", _linear("a"), 0.834, 0.889, 40), "b": Scorer("b", _linear("b"))}
+SCORERS: dict[str, Scorer] = {"a": Scorer("a", _linear("a"), 0.834, 0.889, 40, "a"), "b": Scorer("b", _linear("b"), linear="b")}
 ALIASES: dict[str, str] = {"default": "a"}
 
 
@@ -240,9 +243,23 @@ def get_scorer(name: str = "default") -> Scorer:
     return SCORERS[name]
 
 
+def _threshold(s: Scorer) -> Column:
+    return T.threshold_for(F.col("n_words"), F.lit(s.base), F.lit(s.short).cast("double"), F.lit(s.cutoff).cast("int"))
+
+
 def detect(rows: DataFrame, scorer: str | Scorer = "default") -> DataFrame:
     """`rows` with p, n_words, threshold and verdict by any scorer."""
     s = get_scorer(scorer) if isinstance(scorer, str) else scorer
     n = T.word_count(F.coalesce(F.col("text"), F.lit("")))
-    thr = T.threshold_for(F.col("n_words"), F.lit(s.base), F.lit(s.short).cast("double"), F.lit(s.cutoff).cast("int"))
-    return s.add(rows).withColumn("n_words", n).withColumn("threshold", thr).withColumn("verdict", T.verdict(F.col("p"), F.col("threshold")))
+    return s.add(rows).withColumn("n_words", n).withColumn("threshold", _threshold(s)).withColumn("verdict", T.verdict(F.col("p"), F.col("threshold")))
+
+
+def detect_each(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows of `detect` for each scorer, with its name as `scorer`. Linear ones share one pass that takes the features."""
+    found = [get_scorer(name) for name in names]
+    parts = [detect(rows, s).withColumn("scorer", F.lit(s.name)) for s in found if s.linear is None]
+    if shared := [s for s in found if s.linear is not None]:
+        each = F.array(*[F.struct(features.linear(s.linear).alias("p"), _threshold(s).alias("threshold"), F.lit(s.name).alias("scorer")) for s in shared])
+        scored = features.with_features(rows).select(*rows.columns, "n_words", F.explode(each).alias("_s"))
+        parts.append(scored.select(*rows.columns, "_s.p", "n_words", "_s.threshold", T.verdict(F.col("_s.p"), F.col("_s.threshold")).alias("verdict"), "_s.scorer"))
+    return reduce(DataFrame.unionByName, parts)

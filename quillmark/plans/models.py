@@ -135,8 +135,8 @@ def recalibrate(spark, sf_dir):
 @query(f"""with f as ({features.sql_features('documents', 'text', ('a', 'b'))}) select doc_id, 'a' as scorer, round(p_a, 6) as p, n_words, case when n_words < 40 then 0.889::double else 0.834::double end as threshold, p_a >= case when n_words < 40 then 0.889 else 0.834 end as verdict from f
 union all select doc_id, 'b', round(p_b, 6), n_words, 0.86::double, p_b >= 0.86 from f""")
 def detect_by_registry(spark, sf_dir):
-    found = [models.detect(D.documents(spark, sf_dir), s).select("doc_id", F.lit(models.get_scorer(s).name).alias("scorer"), F.round("p", 6).alias("p"), "n_words", "threshold", "verdict") for s in ("default", "b")]
-    return found[0].unionByName(found[1])
+    found = models.detect_each(D.documents(spark, sf_dir), ("default", "b"))
+    return found.select("doc_id", "scorer", F.round("p", 6).alias("p"), "n_words", "threshold", "verdict")
 
 
 def linear_files(spark, weights):

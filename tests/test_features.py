@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import features
 from quillmark.functions import text as T
+from quillmark.operators import models
 
 
 def test_blanks_before_a_line_separator_at_the_end_stay(spark):
@@ -20,3 +21,23 @@ def test_features_in_a_pass_match_the_built_in_ones(spark):
     found = [{r.k: tuple(round(r[c], 9) for c in names) for r in df.collect()} for df in (features.with_features(rows), features.with_built_in_features(rows))]
     assert found[0] == found[1]
     assert features._measures(texts, features.PHRASES, 20).to_pylist() == [features._measures([x], features.PHRASES, 20).to_pylist()[0] for x in texts]
+
+
+def test_a_phrase_is_looked_for_before_it_is_replaced(spark):
+    """Sentences without a plain phrase are left at once; a phrase that is a pattern is still matched as one."""
+    rows = spark.createDataFrame([("The dog and the cat",), ("the end",), ("theatre",), ("a cot, a cut",)], "s string")
+    edit = T.perturb_phrase(F.col("s"), 7, 0, "the", "this", 1.1)
+    assert [r[0] for r in rows.select(edit).collect()] == ["This dog and this cat", "this end", "theatre", "a cot, a cut"]
+    assert "contains" in str(edit).lower()
+    assert [r[0] for r in rows.select(T.perturb_phrase(F.col("s"), 7, 0, "c.t", "x", 1.1)).collect()] == ["The dog and the x", "the end", "theatre", "a x, a x"]
+
+
+def test_linear_scorers_share_a_pass(spark):
+    """Detection by two linear scorers reads the rows and takes the features once, with the rows of detection by each."""
+    rows = spark.createDataFrame([(1, "One, two. Three!"), (2, None), (3, "the and that " * 30)], "doc_id int, text string")
+    found = models.detect_each(rows, ("default", "b"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("LogicalRDD") == 1
+    columns = ["doc_id", "p", "n_words", "threshold", "verdict"]
+    alone = sorted((s, *r) for s in ("a", "b") for r in models.detect(rows, s).select(*columns).collect())
+    assert sorted((r["scorer"], *[r[c] for c in columns]) for r in found.collect()) == alone
