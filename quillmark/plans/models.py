@@ -45,7 +45,11 @@ def _crossed(rows, fit, score):
 
 
 def _featured(spark, sf_dir):
-    return features.with_features(C.corpus(spark, sf_dir)).withColumn("fold", models.fold("doc_id"))
+    """Features of labelled documents, written to the checkpoint folder, as fits and scores of the halves each read them."""
+    path = scratch(spark, "features")
+    rows = features.with_features(C.corpus(spark, sf_dir)).withColumn("fold", models.fold("doc_id"))
+    rows.select("doc_id", "label", *models.FEATURES, "fold").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _score_a(rows):
