@@ -90,15 +90,15 @@ def filter_len(df: DataFrame, low: int, high: int | None = None) -> DataFrame:
 BUCKET_ROWS = 20_000
 
 
-def hash_rank(df: DataFrame, groups: list[str], seed: str, name: str = "rank") -> DataFrame:
-    """Adds the row's 1-based place in its group by md5(seed:text), doc_id.
+def hash_rank(df: DataFrame, groups: list[str], seed: str, name: str = "rank", digest: str | None = None) -> DataFrame:
+    """Adds the row's 1-based place in its group by md5(seed:text), doc_id; `digest` names a column that has this digest already.
 
     Rows are ranked in buckets of the digest, of a depth that follows from the size of their group, so that a bucket holds some
     `BUCKET_ROWS` rows however large the group; what lies in lower buckets comes from a table of counts. Rows of one
     group with one text share a bucket. Null is a group of its own.
     """
     group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
-    rows = df.withColumns({"_h": F.md5(F.concat(F.lit(f"{seed}:"), "text")), "_g": group})
+    rows = df.withColumns({"_h": F.col(digest) if digest else F.md5(F.concat(F.lit(f"{seed}:"), "text")), "_g": group})
     depth = F.greatest(F.lit(1), F.ceil(F.log(F.count("*") / F.lit(float(BUCKET_ROWS))) / F.log(F.lit(16.0)))).cast("int")
     rows = rows.join(rows.groupBy("_g").agg(depth.alias("_d")), "_g").withColumn("_b", F.substring(F.col("_h"), F.lit(1), F.col("_d")))
     counts = rows.groupBy("_g", "_b").count()
@@ -211,7 +211,12 @@ def assemble_documents(corpus: DataFrame, pattern: str, n_docs: int, head: list[
     place = F.row_number().over(Window.partitionBy("doc_no", "label").orderBy("slot"))
     size = F.when(F.col("label") == 0, per[0]).otherwise(per[1])
     slots = slots.withColumn("rank", F.col("doc_no") * size + place)
-    rows = slots.join(hash_rank(corpus.select("doc_id", "text", "label"), ["label"], seed), ["label", "rank"])
+    # ranks are taken of digests; only the texts of rows that have a slot are joined to them, and copies of a row have one text
+    keyed = corpus.select("doc_id", "label", F.md5(F.concat(F.lit(f"{seed}:"), "text")).alias("_key"))
+    picked = slots.join(hash_rank(keyed, ["label"], seed, digest="_key"), ["label", "rank"])
+    texts = corpus.select("doc_id", "text", F.md5(F.concat(F.lit(f"{seed}:"), "text")).alias("_key"))
+    texts = texts.join(picked.select("doc_id", "_key").distinct(), ["doc_id", "_key"]).groupBy("doc_id", "_key").agg(F.first("text").alias("text"))
+    rows = picked.join(texts, ["doc_id", "_key"])
     docs = rows.groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("slot", "text", "label"))).alias("m")).where(F.size("m") == len(pattern))
     body = F.array_join(F.transform("m", lambda r: r["text"]), "\n\n")
     return docs.select("doc_no", F.concat(F.lit("".join(h + "\n\n" for h in head)), body, F.lit("".join("\n\n" + t for t in tail))).alias("text"), F.transform("m", lambda r: r["label"]).alias("truth"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import features
 from quillmark.functions import text as T
-from quillmark.operators import models
+from quillmark.operators import corpus, models
 
 
 def test_blanks_before_a_line_separator_at_the_end_stay(spark):
@@ -41,3 +41,15 @@ def test_linear_scorers_share_a_pass(spark):
     columns = ["doc_id", "p", "n_words", "threshold", "verdict"]
     alone = sorted((s, *r) for s in ("a", "b") for r in models.detect(rows, s).select(*columns).collect())
     assert sorted((r["scorer"], *[r[c] for c in columns]) for r in found.collect()) == alone
+
+
+def test_assembled_documents_take_texts_after_ranks(spark):
+    """Ranks come from digests alone, as from texts; a row that is there twice fills two slots, and none is lost or doubled."""
+    rows = spark.createDataFrame([(1, "aa", 0), (1, "aa", 0), (2, "bb", 0), (3, "bb", 0), (4, "cc", 1), (5, "dd", 1)], "doc_id long, text string, label int")
+    keyed = rows.select("doc_id", "label", F.md5(F.concat(F.lit("mix:"), "text")).alias("k"))
+    ranks = sorted(tuple(r) for r in corpus.hash_rank(rows, ["label"], "mix").select("label", "rank", "doc_id").collect())
+    assert sorted(tuple(r) for r in corpus.hash_rank(keyed, ["label"], "mix", digest="k").select("label", "rank", "doc_id").collect()) == ranks
+    text = {1: "aa", 2: "bb", 3: "bb", 4: "cc", 5: "dd"}
+    human, model = ([text[d] for label, _, d in ranks if label == k] for k in (0, 1))
+    found = {r.doc_no: (r.text, r.truth) for r in corpus.assemble_documents(rows, "HAH", 3, [], []).collect()}
+    assert found == {n: ("\n\n".join([human[2 * n], model[n], human[2 * n + 1]]), [0, 1, 0]) for n in (0, 1)}
