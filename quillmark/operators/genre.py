@@ -70,7 +70,8 @@ def classify_genre(feats: DataFrame) -> DataFrame:
     """Adds tech_signal, hum_signal, genre, recommended and confident."""
     tech, hum = genre_signals()
     strong, weak = F.greatest(tech, hum), F.least(tech, hum)
-    mixed = (strong < 8) | ((weak > 8) & (weak / strong > 0.75))
+    # Spark may take the quotient out of the condition that guards it, where both signals of a text can be 0
+    mixed = (strong < 8) | ((weak > 8) & (F.try_divide(weak, strong) > 0.75))
     genre = F.when(mixed, "mixed").when(tech >= hum, "technical").otherwise("humanities")
     pick = F.when(mixed, "agree").when(tech >= hum, "v4").otherwise("v3")
     return feats.withColumns({"tech_signal": F.round(tech, 1), "hum_signal": F.round(hum, 1), "genre": genre, "recommended": pick, "confident": ~mixed})

@@ -281,7 +281,7 @@ def classify_short(text: Column, heading: Column | None = None, caption: Column
     kind = kind.when(F.rlike(F.lower(text), F.lit(CAPTION)), "caption").when(F.rlike(text, F.lit(SYMBOL)) & (F.length(text) < 175), "formula")
     kind = kind.when(F.rlike(text, F.lit(CODE)) & F.rlike(text, F.lit(r"[(=.]")), "formula").when(F.rtrim(F.lower(text), F.lit(":")).isin("где", "примечание"), "formula")
     kind = kind.when(is_chapter(text) | F.rlike(text, F.lit(SUBHEAD)) | _starts(norm_heading(text), TOC + BACKMATTER), "heading")
-    kind = kind.when((letters > 0) & (capitals / letters > 0.6) & (F.length(text) < 70), "heading").when(F.rlike(text, F.lit(BULLET)), "list_item")
+    kind = kind.when((letters > 0) & (F.try_divide(capitals, letters) > 0.6) & (F.length(text) < 70), "heading").when(F.rlike(text, F.lit(BULLET)), "list_item")
     return kind.when(F.rlike(text, F.lit(r"[.!?]\z")) | (n >= 8), "short_prose").when(n <= 5, "table_cell").otherwise("short_prose")
 
 
