@@ -10,7 +10,7 @@ import math
 import re
 import sys
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -121,15 +121,53 @@ def measured(text: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20)
     return batch(text)
 
 
-def measured_each(texts: Column, phrases: tuple[str, ...] = PHRASES, window: int = 20) -> Column:
-    """An array of such structs, one for each of an array of texts; neither the array nor its texts are null."""
-
-    @F.arrow_udf("array<struct<" + ", ".join(f"{name}: double" for name in FEATURES) + ">>")
-    def batch(lists: pa.Array) -> pa.Array:
-        each = _measures(lists.flatten().to_pylist(), phrases, window)
-        return pa.ListArray.from_arrays(pa.array([0, *accumulate(lists.value_lengths().to_pylist())], pa.int32()), each)
-
-    return batch(texts)
+def _over(owner: np.ndarray, ps: np.ndarray, pe: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray, ps_of: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For paragraphs [ps, pe) of documents `owner`: the characters that windows [first, last) of documents `of` lie over, those that some
+    window does, and the sums of the windows' scores by characters. Both come by document and place, so a paragraph's windows are a range."""
+    wide = 1 + int(max(pe.max(initial=0), last.max(initial=0)))
+    low = np.searchsorted(of * wide + last, owner * wide + ps, "right")
+    high = np.searchsorted(of * wide + first, owner * wide + pe, "left")
+    n = np.maximum(high - low, 0)
+    para = np.repeat(np.arange(len(ps)), n)
+    win = np.arange(len(para)) + np.repeat(low - np.cumsum(n) + n, n)
+    begin, end = np.maximum(ps[para], first[win]), np.minimum(pe[para], last[win])
+    over, new = end - begin, end - begin
+    again = np.flatnonzero(para[1:] == para[:-1]) + 1
+    new[again] = np.maximum(end[again] - np.maximum(begin[again], end[again - 1]), 0)
+    sums = {"chars": np.bincount(para, over, len(ps)).astype(np.int64), "covered": np.bincount(para, new, len(ps)).astype(np.int32)}
+    return sums | {f"s_{name}": np.bincount(para, p[win] * over, len(ps)) for name, p in ps_of.items()}
+
+
+def laid_back(size: Column, cstart: Column, cend: Column, text: Column, ps: Column, pe: Column, inside: Column, sizes: tuple[int, ...], scorers: tuple[str, ...], phrases: tuple[str, ...] = PHRASES, window: int = 20) -> Column:
+    """From arrays of a document's windows (size, cstart, cend, text; by size and place) and of its paragraphs (ps, pe, inside: whether windows
+    count for it): for each of `sizes` and each paragraph a struct of size, chars and covered, with s_<name> of each scorer, the sum of
+    window scores by the characters of the paragraph that they lie over. No array and nothing in it is null."""
+    kinds = {"size": "int", "chars": "bigint", "covered": "int"} | {f"s_{name}": "double" for name in scorers}
+
+    @F.arrow_udf("array<struct<" + ", ".join(f"{name}: {kind}" for name, kind in kinds.items()) + ">>")
+    def batch(size: pa.Array, cstart: pa.Array, cend: pa.Array, text: pa.Array, ps: pa.Array, pe: pa.Array, inside: pa.Array) -> pa.Array:
+        numbers = lambda lists: lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        each = _measures(text.flatten().to_pylist(), phrases, window)
+        found = {f: each.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(FEATURES)}
+        p = {name: 1 / (1 + np.exp(-sum((found[f] * SCORERS[name][f] for f in FEATURES), SCORERS[name]["bias"]))) for name in scorers}
+        n = ps.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner, of = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), size.value_lengths().to_numpy(zero_copy_only=False))
+        own, first, last, begin, end = numbers(size), numbers(cstart), numbers(cend), numbers(ps), numbers(pe)
+        counts = np.flatnonzero(inside.flatten().to_numpy(zero_copy_only=False))
+        start = np.cumsum(n) - n
+        out = {name: np.zeros(len(owner) * len(sizes), {"int": np.int32, "bigint": np.int64, "double": np.float64}[kind]) for name, kind in kinds.items()}
+        for k, words in enumerate(sizes):
+            of_size = own == words
+            sums = _over(owner[counts], begin[counts], end[counts], of[of_size], first[of_size], last[of_size], {name: x[of_size] for name, x in p.items()})
+            # a document's rows are those of the first size, then those of the next
+            at = (len(sizes) - 1) * start[owner] + k * n[owner] + np.arange(len(owner))
+            out["size"][at] = words
+            for name, values in sums.items():
+                out[name][at[counts]] = values
+        rows = pa.StructArray.from_arrays([pa.array(values) for values in out.values()], names=list(out))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n * len(sizes))]), pa.int32()), rows)
+
+    return batch(size, cstart, cend, text, ps, pe, inside)
 
 
 def with_features(df: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES, window: int = 20) -> DataFrame:

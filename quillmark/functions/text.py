@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]*\p{L}[\p{L}\p{N}_]*"
 #: The same without a step back, for Java.
 WHOLE_WORD = r"[\p{N}_]*+\p{L}[\p{L}\p{N}_]*+"
+#: A word from its first letter on, which is enough to count words and to find where they end.
+WORD_END = r"\p{L}[\p{L}\p{N}_]*+"
 SPACE = r"[ \t\n\r\f\x0B]"
 BLANKS = " \t\n\r\f\x0b"
 TABLE_MARK = "⟦таблица"
@@ -30,7 +32,7 @@ def strip(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WHOLE_WORD))
+    return F.regexp_count(text, F.lit(WORD_END))
 
 
 def flat(text: Column) -> Column:

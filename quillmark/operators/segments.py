@@ -7,11 +7,15 @@ row a document, where a paragraph finds its windows by number.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions import text as T
+from . import metrics
 
 WINDOW_WORDS, STEP, MIN_CHARS, HEADING_WORDS, GLUE_TARGET = 150, 75, 200, 9, 300
 #: Markers that headings start with; fixed values.
@@ -39,16 +43,27 @@ def _starts(text: Column, markers: tuple[str, ...]) -> Column:
     return F.rlike(text, F.lit("^(" + "|".join(markers) + ")"))
 
 
-def split_paragraphs(docs: DataFrame, sep: str = r"\n[ \t]*\n+", keep: tuple[str, ...] = ()) -> DataFrame:
+def split_paragraphs(docs: DataFrame, sep: str = r"\n[ \t]*\n+", keep: tuple[str, ...] = (), spans: bool = True) -> DataFrame:
     """(doc_id, *keep, idx, text, start, end): stripped, not empty parts of a text between matches of `sep`, numbered from 0,
-    with code point positions in the text."""
+    with code point positions in the text, unless no `spans` are asked for."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    parts, seps = F.split(body, sep, -1), F.concat(F.regexp_extract_all(body, F.lit(sep), 0), F.array(F.lit("")))
+    parts, order = F.split(body, sep, -1), Window.partitionBy("doc_id").orderBy("pos")
+    number = F.row_number().over(order) - 1
+
+    def stripped(part: Column) -> Column:  # few parts have blanks at an end, and those are found at once
+        return F.when(reduce(or_, [end(part, F.lit(c)) for c in T.BLANKS for end in (F.startswith, F.endswith)]), T.strip(part)).otherwise(part)
+
+    if not spans:
+        rows = docs.select("doc_id", *keep, F.posexplode(parts).alias("pos", "part")).select("doc_id", *keep, "pos", stripped(F.col("part")).alias("text"))
+        return rows.where("text <> ''").select("doc_id", *keep, number.alias("idx"), "text")
+    seps = F.concat(F.regexp_extract_all(body, F.lit(sep), 0), F.array(F.lit("")))
     rows = docs.select("doc_id", *keep, F.posexplode(F.arrays_zip(parts.alias("part"), seps.alias("sep"))).alias("pos", "row"))
-    before = F.sum(F.length("row.part") + F.length("row.sep")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    # lengths are taken here, so that the shuffle carries a part once
     lead = F.length("row.part") - F.length(F.ltrim(F.col("row.part"), F.lit(T.BLANKS)))
-    rows = rows.select("doc_id", *keep, "pos", T.strip(F.col("row.part")).alias("text"), (F.coalesce(before, F.lit(0)) + lead).alias("start"))
-    rows = rows.where("text <> ''").withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
+    rows = rows.select("doc_id", *keep, "pos", stripped(F.col("row.part")).alias("text"), lead.alias("_lead"), (F.length("row.part") + F.length("row.sep")).alias("_len"))
+    before = F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("doc_id", *keep, "pos", "text", (F.coalesce(before, F.lit(0)) + F.col("_lead")).alias("start"))
+    rows = rows.where("text <> ''").withColumn("idx", number)
     return rows.select("doc_id", *keep, "idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
@@ -65,6 +80,12 @@ def norm_heading(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(T.strip(text)), r"^[ \t]*[0-9]+(\.[0-9]+)*\.?[ \t]*", ""), f"{T.SPACE}+", " ")
 
 
+def _heads(text: Column, markers: tuple[str, ...]) -> Column:
+    """Whether `norm_heading` of the text starts with a marker, by one match of its beginning."""
+    spaced = "|".join(markers).replace(" ", f"{T.SPACE}++")
+    return F.rlike(F.lower(T.strip(text)), F.lit(rf"\A(?:[ \t]*+[0-9]++(?:\.[0-9]++)*+\.?+[ \t]*+)?+(?:{spaced})"))
+
+
 def looks_like_heading(text: Column) -> Column:
     # no more of the text is read than decides it
     most = F.rlike(text, F.lit(rf"\A{T.SPACE}*+{_INK}++(?:{T.SPACE}++{_INK}++){{0,{HEADING_WORDS - 1}}}{T.SPACE}*+\z"))
@@ -83,12 +104,13 @@ def is_chapter(text: Column) -> Column:
     return _starts(norm_heading(text), START + CHAPTER)
 
 
-def heading_kind(text: Column) -> Column:
-    """toc, backmatter, content_start, content, or null for what is no known heading."""
-    n = norm_heading(text)
+def heading_kind(text: Column, looks: Column | None = None, norm: Column | None = None) -> Column:
+    """toc, backmatter, content_start, content, or null for what is no known heading. `looks` and `norm` are `looks_like_heading` and
+    `norm_heading` of the text where a row has them."""
+    n = norm_heading(text) if norm is None else norm
     kind = F.when(F.rlike(text, F.lit(TOC_LINE)) | _starts(n, TOC), "toc").when(_starts(n, BACKMATTER), "backmatter")
     kind = kind.when(_starts(n, START), "content_start").when(_starts(n, CHAPTER) | F.rlike(text, F.lit(NUMBERED)), "content")
-    return F.when(looks_like_heading(text), kind)
+    return F.when(looks_like_heading(text) if looks is None else looks, kind)
 
 
 def classify_sections(paras: DataFrame) -> DataFrame:
@@ -99,7 +121,10 @@ def classify_sections(paras: DataFrame) -> DataFrame:
     heading is followed by prose.
     """
     text = F.col("text")
-    rows = paras.withColumns({"hk": heading_kind(text), "_prose": is_body_prose(text), "_chapter": looks_like_heading(text) & is_chapter(text)})
+    # each asked several times, so a row has its answers once
+    rows = paras.withColumn("_looks", looks_like_heading(text)).withColumn("_norm", F.when(F.col("_looks"), norm_heading(text)))
+    chapter = F.col("_looks") & _starts(F.col("_norm"), START + CHAPTER)
+    rows = rows.withColumns({"hk": heading_kind(text, F.col("_looks"), F.col("_norm")), "_prose": is_body_prose(text), "_chapter": chapter}).drop("_looks", "_norm")
     rows = rows.withColumns({"_next": F.lead("_prose").over(_order()), "_prev": F.lag("hk").over(_order())})
     low = lambda cond: F.min(F.when(cond, F.col("idx"))).over(_doc())
     rows = rows.withColumns({"_toc": low(F.col("hk") == "toc"), "_last": F.max(F.when(F.col("_chapter") & F.col("_next"), F.col("idx"))).over(_doc()), "_first": low(F.col("_prose")), "_head": low(F.col("hk").isin("content_start", "content"))})
@@ -115,18 +140,23 @@ def classify_sections(paras: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("drop_reason").isNull(), "content").otherwise("service")).select(*paras.columns, "hk", "kind", "drop_reason")
 
 
-def content_spans(content: DataFrame, among: Column | None = None) -> DataFrame:
+def _placed(content: DataFrame, among: Column) -> DataFrame:
+    """Adds ps, pe: positions in the stream of a document's paragraphs joined by two characters. Paragraphs that are not `among`
+    those of the stream take no place in it."""
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
+    rows = content.withColumn("ps", F.coalesce(F.sum(F.when(among, F.length("text") + 2).otherwise(0)).over(before), F.lit(0)).cast("int"))
+    return rows.withColumn("pe", F.col("ps") + F.length("text"))
+
+
+def content_spans(content: DataFrame) -> DataFrame:
     """Adds ps, pe: positions in the stream of a document's paragraphs joined by two characters; and word ranges
-    w0, w1 (first and last word number; those of the previous word without words, at least 0). Paragraphs that are not
-    `among` those of the stream take no place in it."""
+    w0, w1 (first and last word number; those of the previous word without words, at least 0)."""
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
-    among = F.lit(True) if among is None else among
-    n = F.when(among, T.word_count(F.col("text"))).otherwise(0)
-    rows = content.withColumns({"ps": F.coalesce(F.sum(F.when(among, F.length("text") + 2).otherwise(0)).over(before), F.lit(0)).cast("int"), "_n": n})
+    rows = _placed(content.withColumn("_n", T.word_count(F.col("text"))), F.lit(True))
     rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     first = F.when(F.col("_n") > 0, F.col("_before")).otherwise(F.greatest(F.col("_before") - 1, F.lit(0)))
     last = F.greatest(F.col("_before") + F.col("_n") - 1, F.lit(0))
-    return rows.withColumns({"pe": F.col("ps") + F.length("text"), "w0": first, "w1": last}).drop("_n", "_before")
+    return rows.withColumns({"w0": first, "w1": last}).drop("_n", "_before")
 
 
 def _blocks(stream: Column, step: int) -> Column:
@@ -134,7 +164,7 @@ def _blocks(stream: Column, step: int) -> Column:
     for a stream without words. One pass; `step` is bounded by the depth of an expression."""
     if step > T.MATCHED_WORDS:
         raise ValueError(f"windows advance by at most {T.MATCHED_WORDS} words")
-    found = F.regexp_extract_all(stream, F.lit(rf"(?s)(?>.*?{T.WHOLE_WORD}){{1,{step}}}"), 0)
+    found = F.regexp_extract_all(stream, F.lit(rf"(?>[^\p{{L}}]*+{T.WORD_END}){{1,{step}}}"), 0)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("string")))
 
 
@@ -179,15 +209,15 @@ def build_windows(content: DataFrame, size: int = WINDOW_WORDS, step: int = STEP
 
 
 def score_paragraphs(paras: DataFrame, scorers: tuple[str, ...] = ("a",), sizes: tuple[tuple[int, int], ...] = ((WINDOW_WORDS, STEP),)) -> DataFrame:
-    """`paras` with ps, pe, w0, w1 and, for each of `sizes` (words, step), a row with size, covered_chars and p_<name> of each scorer:
+    """`paras` with ps, pe and, for each of `sizes` (words, step), a row with size, covered_chars and p_<name> of each scorer:
     the mean of window scores weighted by overlap, null below 200 covered characters.
 
     Rows have doc_id, idx and text; where they have `kind`, only content lies in windows. One shuffle of the text, by doc_id.
     """
     own = [c for c in paras.columns if c not in ("doc_id", "idx")]
     content = F.col("kind") == "content" if "kind" in own else F.lit(True)
-    rows = content_spans(paras, content)
-    own += ["ps", "pe", "w0", "w1"]
+    rows = _placed(paras, content)
+    own += ["ps", "pe"]
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", *own, content.alias("_in")))).alias("paras"))
     stream = F.array_join(F.transform(F.filter("paras", lambda r: r["_in"]), lambda r: r["text"]), "\n\n")
     docs = docs.select("doc_id", "paras", stream.alias("stream"))
@@ -202,40 +232,14 @@ def score_paragraphs(paras: DataFrame, scorers: tuple[str, ...] = ("a",), sizes:
     wins = _windows(blocks, sizes, "paras")
     win = F.when(F.col("text").isNotNull(), F.struct("size", "win_no", "cstart", "cend", "text"))
     met = wins.groupBy("doc_id").agg(F.collect_list("paras").alias("paras"), F.array_sort(F.collect_list(win)).alias("wins"))
-    # a document's windows are scored side by side, as rows that come back from Python would have to be shuffled again
-    met = met.withColumn("_m", features.measured_each(F.transform("wins", lambda w: w["text"])))
-    def scored(w: Column, m: Column) -> Column:
-        return F.struct(*[w[c].alias(c) for c in ("size", "win_no", "cstart", "cend")], *[features.linear(name, lambda f: m[f]).alias(f"p_{name}") for name in scorers])
-
-    met = met.select("doc_id", "paras", F.explode(F.array(F.zip_with("wins", "_m", scored))).alias("wins"))
-    of_size = lambda size: lambda w: w["size"] == size
-    # out of a generator, so that the sorted windows are computed once and not for each paragraph
-    met = met.select("doc_id", F.explode(F.array(F.struct(F.col("paras")[0].alias("paras"), *[F.filter("wins", of_size(size)).alias(f"w{k}") for k, (size, _) in enumerate(sizes)]))).alias("d"))
-
-    def laid(k: int, size: int, step: int) -> Column:
-        found = F.col(f"d.w{k}")
-        top = F.size(found) - 1
-
-        def back(r: Column) -> Column:
-            low = F.greatest(F.lit(0), F.least(top, F.floor((r["w0"] - size) / step).cast("int") + 1) - 1)
-            high = F.greatest(F.least(top, F.floor(r["w1"] / step).cast("int") + 1), low)
-            near = F.when(r["_in"] & (top >= 0), F.slice(found, low + 1, high - low + 1)).otherwise(F.slice(found, 1, 0))
-            start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("covered"), F.lit(-1).alias("end"), *[F.lit(0.0).alias(f"s_{name}") for name in scorers])
-
-            def add(a: Column, w: Column) -> Column:
-                first, last = F.greatest(r["ps"], w["cstart"]), F.least(r["pe"], w["cend"])
-                over = F.greatest(last - first, F.lit(0))
-                new = F.greatest(last - F.greatest(first, a["end"]), F.lit(0))
-                return F.struct((a["chars"] + over).alias("chars"), (a["covered"] + new).alias("covered"), F.greatest(a["end"], last).alias("end"), *[(a[f"s_{name}"] + w[f"p_{name}"] * over).alias(f"s_{name}") for name in scorers])
-
-            return F.struct(F.lit(size).alias("size"), r.alias("r"), F.aggregate(near, start, add).alias("a"))
-
-        return F.transform("d.paras", back)
-
-    each = F.concat(*[laid(k, size, step) for k, (size, step) in enumerate(sizes)])
-    rows = met.select("doc_id", F.explode(each).alias("x"))
-    scores = [F.when(F.col("x.a.covered") >= MIN_CHARS, F.round(F.col(f"x.a.s_{name}") / F.col("x.a.chars"), 6)).alias(f"p_{name}") for name in scorers]
-    return rows.select("doc_id", "x.r.idx", *[f"x.r.{c}" for c in own], "x.size", F.col("x.a.covered").alias("covered_chars"), *scores)
+    # a document's windows are scored and laid back side by side, as rows that come back from Python would have to be shuffled again
+    met = met.select("doc_id", F.col("paras")[0].alias("paras"), "wins")
+    laid = features.laid_back(*[F.col(f"wins.{c}") for c in ("size", "cstart", "cend", "text")], *[F.col(f"paras.{c}") for c in ("ps", "pe", "_in")], tuple(size for size, _ in sizes), scorers)
+    # no array is empty; without `outer` Spark would infer a filter of their sizes and call Python once more for it
+    rows = met.withColumn("_laid", laid).select("doc_id", "paras", F.posexplode_outer("_laid").alias("at", "x"))
+    r = F.col("paras")[F.col("at") % F.size("paras")]
+    scores = [F.when(F.col("x.covered") >= MIN_CHARS, F.round(F.col(f"x.s_{name}") / F.col("x.chars"), 6)).alias(f"p_{name}") for name in scorers]
+    return rows.select("doc_id", r["idx"].alias("idx"), *[r[c].alias(c) for c in own], F.col("x.size").alias("size"), F.col("x.covered").alias("covered_chars"), *scores)
 
 
 def interval_join(spans: DataFrame, wins: DataFrame, size: int = WINDOW_WORDS, step: int = STEP) -> DataFrame:
@@ -278,10 +282,10 @@ def classify_short(text: Column, heading: Column | None = None, caption: Column
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
     kind = F.when(heading if heading is not None else no, "heading").when(caption if caption is not None else no, "caption").when(math if math is not None else no, "formula")
-    kind = kind.when(F.rlike(F.lower(text), F.lit(CAPTION)), "caption").when(F.rlike(text, F.lit(SYMBOL)) & (F.length(text) < 175), "formula")
+    kind = kind.when(F.rlike(F.lower(text), F.lit(CAPTION)), "caption").when((F.length(text) < 175) & F.rlike(text, F.lit(SYMBOL)), "formula")
     kind = kind.when(F.rlike(text, F.lit(CODE)) & F.rlike(text, F.lit(r"[(=.]")), "formula").when(F.rtrim(F.lower(text), F.lit(":")).isin("где", "примечание"), "formula")
-    kind = kind.when(is_chapter(text) | F.rlike(text, F.lit(SUBHEAD)) | _starts(norm_heading(text), TOC + BACKMATTER), "heading")
-    kind = kind.when((letters > 0) & (F.try_divide(capitals, letters) > 0.6) & (F.length(text) < 70), "heading").when(F.rlike(text, F.lit(BULLET)), "list_item")
+    kind = kind.when(_heads(text, START + CHAPTER + TOC + BACKMATTER) | F.rlike(text, F.lit(SUBHEAD)), "heading")
+    kind = kind.when((F.length(text) < 70) & (letters > 0) & (F.try_divide(capitals, letters) > 0.6), "heading").when(F.rlike(text, F.lit(BULLET)), "list_item")
     return kind.when(F.rlike(text, F.lit(r"[.!?]\z")) | (n >= 8), "short_prose").when(n <= 5, "table_cell").otherwise("short_prose")
 
 
@@ -328,20 +332,27 @@ def show_glued(results: DataFrame, threshold: float, scorer: str = "a") -> DataF
 
 def glue_aggressive(results: DataFrame, tables: DataFrame) -> DataFrame:
     """Fragments as above, but over anything except tables (doc_id, idx): short prose adds up in order and a fragment
-    closes at 300 characters. A fold over a document's short prose alone gives each row its fragment's number."""
-    marks = results.where("p is null and subcat = 'short_prose'").select("doc_id", "idx", "text", F.lit(0).alias("_t")).unionByName(tables.select("doc_id", "idx", F.lit("").alias("text"), F.lit(1).alias("_t")))
-    rows = marks.withColumn("epoch", F.sum("_t").over(_order())).where("_t = 0")
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.length("text").alias("len"), "epoch"))).alias("m"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("sum"), F.lit(-1).cast("long").alias("epoch"), F.array().cast("array<struct<idx:int,g:int>>").alias("out"))
+    closes at 300 characters."""
+    short = results.where("p is null and subcat = 'short_prose'").select("doc_id", "idx", "text", F.lit(True).alias("is_short"), F.lit(False).alias("is_table"))
+    return glue_between_tables(short.unionByName(tables.select("doc_id", "idx", F.lit("").alias("text"), F.lit(False).alias("is_short"), F.lit(True).alias("is_table"))))
+
+
+def glue_between_tables(marks: DataFrame) -> DataFrame:
+    """Fragments of `glue_aggressive` from one set of rows (doc_id, idx, text, is_short, is_table). A fold over a document's short prose
+    gives each of its paragraphs its fragment's number, and the texts ride along."""
+    # out of a generator, so that what tells short prose is computed for the filter alone
+    rows = metrics.apart(marks).where("is_short or is_table").withColumn("epoch", F.sum(F.col("is_table").cast("int")).over(_order())).where("is_short")
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "text", F.length("text").alias("len"), "epoch"))).alias("m"))
+    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("sum"), F.lit(-1).cast("long").alias("epoch"), F.array().cast("array<int>").alias("out"))
 
     def add(s: Column, x: Column) -> Column:
         fresh = (s["sum"] >= GLUE_TARGET) | (s["epoch"] != x["epoch"])
         g, total = F.when(fresh, s["g"] + 1).otherwise(s["g"]), F.when(fresh, x["len"]).otherwise(s["sum"] + x["len"])
-        return F.struct(g.alias("g"), total.alias("sum"), x["epoch"].alias("epoch"), F.concat(s["out"], F.array(F.struct(x["idx"].cast("int").alias("idx"), g.alias("g")))).alias("out"))
+        return F.struct(g.alias("g"), total.alias("sum"), x["epoch"].alias("epoch"), F.concat(s["out"], F.array(g)).alias("out"))
 
-    groups = ordered.select("doc_id", F.explode(F.aggregate("m", start, add, lambda s: s["out"])).alias("r")).select("doc_id", "r.idx", "r.g")
-    members = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    frags = rows.join(groups, ["doc_id", "idx"]).groupBy("doc_id", "g").agg(members.alias("m")).where(F.size("m") > 1)
+    numbers = F.aggregate("m", start, add, lambda s: s["out"])
+    each = docs.select("doc_id", F.explode(F.arrays_zip(numbers.alias("g"), F.col("m").alias("r"))).alias("x")).select("doc_id", "x.g", "x.r.idx", "x.r.text")
+    frags = each.groupBy("doc_id", "g").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("m")).where(F.size("m") > 1)
     frags = frags.select("doc_id", F.col("m")[0]["idx"].alias("anchor_idx"), F.transform("m", lambda r: r["idx"]).alias("member_idxs"), F.array_join(F.transform("m", lambda r: r["text"]), " ").alias("text"))
     return frags.withColumn("n_chars", F.length("text")).where(F.col("n_chars") >= MIN_CHARS)
 
@@ -357,11 +368,11 @@ def _scanned(paras: DataFrame, threshold: float, scorers: tuple[str, ...], size:
     return rows.withColumn("label", T.label_for(F.col("p"), threshold))
 
 
-def scan_all(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None) -> DataFrame:
+def scan_all(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None, spans: bool = True) -> DataFrame:
     """Every paragraph of every document with kind and drop_reason; content also has p, covered_chars, label and subcat (null if
     scored), for the first of `scorers`; with two, also p_<name> for each further one. `blocks` are flags of `attach_block_meta`, by
-    which short paragraphs are told apart first."""
-    paras = split_paragraphs(docs, sep)
+    which short paragraphs are told apart first. Without `spans`, rows have no start and end."""
+    paras = split_paragraphs(docs, sep, spans=spans)
     flags = (None, None, None)
     if blocks is not None:
         paras, flags = attach_block_meta(paras, blocks), (F.col("is_heading"), F.col("is_caption"), F.col("has_math"))
@@ -370,14 +381,14 @@ def scan_all(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+"
     return rows.withColumns({"label": F.when(content, F.col("label")), "subcat": F.when(content & F.col("p").isNull(), classify_short(F.col("text"), *flags))})
 
 
-def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None) -> DataFrame:
+def scan_documents(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+", scorers: tuple[str, ...] = ("a",), size: int = WINDOW_WORDS, step: int = STEP, blocks: DataFrame | None = None, spans: bool = True) -> DataFrame:
     """The content paragraphs of `scan_all`."""
-    return scan_all(docs, threshold, sep, scorers, size, step, blocks).where("kind = 'content'")
+    return scan_all(docs, threshold, sep, scorers, size, step, blocks, spans).where("kind = 'content'")
 
 
 def document_map(docs: DataFrame, threshold: float = 0.72, sep: str = r"\n[ \t]*\n+") -> DataFrame:
     """Every paragraph of every document, content and dropped, with kind and drop_reason; content also has p and label."""
-    return scan_all(docs, threshold, sep).select("doc_id", "idx", "text", "kind", "drop_reason", "p", "label")
+    return scan_all(docs, threshold, sep, spans=False).select("doc_id", "idx", "text", "kind", "drop_reason", "p", "label")
 
 
 def attach_truth(paras: DataFrame, truth: DataFrame) -> DataFrame:

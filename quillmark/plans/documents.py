@@ -42,7 +42,7 @@ def _paras(spark, sf_dir, **how):
 
 def _results(spark, sf_dir, scorers=("a",)):
     """A scan of documents with tables in which short paragraphs lie between long ones."""
-    return segments.scan_documents(wrapped(documents(spark, sf_dir), True, True), THRESHOLD, scorers=scorers)
+    return segments.scan_documents(wrapped(documents(spark, sf_dir), True, True), THRESHOLD, scorers=scorers, spans=False)
 
 
 def paragraphs(spark, sf_dir):
@@ -184,7 +184,7 @@ def reported(spark, sf_dir):
     """(content, dropped paragraphs, scored fragments with their text) of one scan, for reports. The scan is written to the checkpoint
     folder, as a report takes parts of it in several ways."""
     path = scratch(spark, "scan")
-    segments.scan_all(wrapped(documents(spark, sf_dir), True, True), THRESHOLD).select("doc_id", "idx", "text", "kind", "drop_reason", "p", "label", "subcat").write.parquet(path)
+    segments.scan_all(wrapped(documents(spark, sf_dir), True, True), THRESHOLD, spans=False).select("doc_id", "idx", "text", "kind", "drop_reason", "p", "label", "subcat").write.parquet(path)
     rows = spark.read.parquet(path)
     results = rows.where("kind = 'content'")
     return results, rows.where("kind = 'service'"), segments.score_fragments(segments.glue_short_prose(results), THRESHOLD, keep=("text",))

@@ -1,6 +1,11 @@
 """What scans, glue and fits make of odd texts, and how often they read their input."""
 
+from pyspark.sql import functions as F
+
 from quillmark import catalog
+from quillmark.operators import segments
+
+SF = "/root/testdata/sf0.001"
 
 
 def folder(spark, tmp_path, *texts):
@@ -13,3 +18,21 @@ def test_genre_of_a_text_without_signals(spark, tmp_path):
     """Documents of ids that are 2 by 3 get no mark of a citation, so both signals of digits alone are 0."""
     found = catalog.QUERIES["genre_decision"](spark, folder(spark, tmp_path, "1", "2", "1234 5678 90.")).where("doc_id = 2").first()
     assert (found["genre"], found["recommended"], found["confident"]) == ("mixed", "agree", False)
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_a_part_is_shuffled_once_and_scores_are_laid_back_in_batches(spark):
+    plan = executed(catalog.QUERIES["document_map"](spark, SF))
+    assert "_extract_part" not in plan and "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_markers_of_headings_are_found_at_the_start_alone(spark):
+    texts = ["1.2. Введение", "введение", "Список \n литературы", "1\nвведение", "2 1 глава", "о введение", " \t3) литература", "Contents of it", "1.1.раздел", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    markers = segments.START + segments.CHAPTER + segments.TOC + segments.BACKMATTER
+    got = rows.select("text", segments._heads(F.col("text"), markers).alias("a"), segments._starts(segments.norm_heading(F.col("text")), markers).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and [r.a for r in got].count(True) == 5
