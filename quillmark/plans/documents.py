@@ -106,13 +106,12 @@ def glued(spark, sf_dir):
     return segments.glue_short_prose(_results(spark, sf_dir)).select("doc_id", "anchor_idx", "member_idxs", "n_chars", F.md5("text").alias("text_md5"))
 
 
-def _tables(spark, sf_dir):
-    return _paras(spark, sf_dir, tables=True, shorten=True).where(segments.is_table(F.col("text"))).select("doc_id", "idx")
-
-
 def glued_aggressive(spark, sf_dir):
-    frags = segments.glue_aggressive(_results(spark, sf_dir), _tables(spark, sf_dir))
-    return segments.score_fragments(frags, THRESHOLD)
+    # tables are in the same scan as short prose, so the texts are read once
+    rows = segments.scan_all(wrapped(documents(spark, sf_dir), True, True), THRESHOLD, spans=False)
+    short = F.coalesce((F.col("kind") == "content") & F.col("p").isNull() & (F.col("subcat") == "short_prose"), F.lit(False))
+    marks = rows.select("doc_id", "idx", "text", short.alias("is_short"), segments.is_table(F.col("text")).alias("is_table"))
+    return segments.score_fragments(segments.glue_between_tables(marks), THRESHOLD)
 
 
 def glue_stats(spark, sf_dir):

@@ -25,6 +25,12 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def test_aggressive_glue_reads_one_scan(spark):
+    """Tables and the members' texts come from the scan that finds short prose."""
+    plan = executed(catalog.QUERIES["glued_aggressive"](spark, SF))
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and plan.count("ArrowEvalPython") == 2
+
+
 def test_a_part_is_shuffled_once_and_scores_are_laid_back_in_batches(spark):
     plan = executed(catalog.QUERIES["document_map"](spark, SF))
     assert "_extract_part" not in plan and "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
