@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions import text as T
+from ..sources.folders import scratch
 from . import metrics
 
 FEATURES = (*features.FEATURES, "n_chars")
@@ -121,28 +122,41 @@ def balanced(label: str, counts: DataFrame) -> Column:
     return weight
 
 
+def gram_counts(rows: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """`rows` with `_tf`, the counts of the text's words, word pairs and character trigrams by hash, for `fit_text_models`."""
+    return HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size).transform(rows.withColumn("_grams", _grams(F.col("text")))).drop("_grams")
+
+
+def fit_text_models(counted: DataFrame, penalties: Sequence[float], size: int = 1 << 16, rounds: int = 50) -> list[TextModel]:
+    """A balanced logistic regression over hashed words, word pairs and character trigrams weighted by rarity for each penalty. Rows have
+    label and the `_tf` of `gram_counts`; rarity is fitted once for all."""
+    rows = counted.where("label is not null").select("_tf", F.col("label").cast("double").alias("label"))
+    rows = rows.withColumn("_w", balanced("label", rows.groupBy("label").count()))
+    idf = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2).fit(rows)
+    unit = Normalizer(inputCol="_idf", outputCol="_x")  # long texts weigh no more than short ones
+    weighed = unit.transform(idf.transform(rows)).select("_x", "label", "_w")
+    hashed = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size)
+    fits = [LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=penalty, maxIter=rounds).fit(weighed) for penalty in penalties]
+    return [TextModel(PipelineModel(stages=[hashed, idf, unit, fit])) for fit in fits]
+
+
 def fit_text_model(rows: DataFrame, size: int = 1 << 16, penalty: float = 0.01, rounds: int = 50) -> TextModel:
-    """Balanced logistic regression over hashed words, word pairs and character trigrams weighted by rarity."""
-    rows = rows.where("label is not null").select("text", F.col("label").cast("double").alias("label"))
-    rows = rows.withColumn("_w", balanced("label", rows.groupBy("label").count())).withColumn("_grams", _grams(F.col("text")))
-    stages = [
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size),
-        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2),
-        Normalizer(inputCol="_idf", outputCol="_x"),  # long texts weigh no more than short ones
-        LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=penalty, maxIter=rounds),
-    ]
-    return TextModel(Pipeline(stages=stages).fit(rows))
+    """The model of `fit_text_models` for one penalty, from rows with text and label."""
+    return fit_text_models(gram_counts(rows.where("label is not null").select("text", "label"), size), (penalty,), size, rounds)[0]
 
 
 def short_auc(models: dict[str, Callable[[DataFrame], DataFrame]], rows: DataFrame, lengths: Sequence[int] = (40, 30, 20)) -> DataFrame:
     """(model, mean_auc), best first: each model's mean AUC over texts cut to a few words.
 
-    `models` maps names to functions that add `p` to rows with `text`.
+    `models` maps names to functions that add `p` to rows with `text`. The cut texts are written to the checkpoint folder, so that whole
+    texts are read once and not for each model.
     """
     # cut texts come out of a generator, so that no feature cuts them again
     each = F.array(*[F.struct(F.lit(n).alias("cut"), T.truncate_words(F.col("text"), n).alias("text")) for n in lengths])
     others = [c for c in rows.columns if c != "text"]
-    cut = rows.select(*others, F.explode(each).alias("_e")).select(*others, "_e.cut", "_e.text")
+    path = scratch(rows.sparkSession, "cut")
+    rows.select(*others, F.explode(each).alias("_e")).select(*others, "_e.cut", "_e.text").write.parquet(path)
+    cut = rows.sparkSession.read.parquet(path)
     scored = None
     for name, score in models.items():
         part = score(cut).select(F.lit(name).alias("model"), "cut", "label", F.round("p", 6).alias("p"))

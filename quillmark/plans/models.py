@@ -87,7 +87,10 @@ def text_model(spark, sf_dir):
 @query()
 def select_by_short_auc(spark, sf_dir):
     rows = C.corpus(spark, sf_dir).withColumn("fold", models.fold("doc_id"))
-    half = lambda c: {k: models.fit_text_model(rows.where(F.col("fold") % 2 != k), penalty=c) for k in (0, 1)}
+    # all fits read the hashed grams of the texts, which are found once
+    path, penalties = scratch(spark, "grams"), (0.001, 0.1)
+    models.gram_counts(rows).select("label", "fold", "_tf").write.parquet(path)
+    halves = [models.fit_text_models(spark.read.parquet(path).where(F.col("fold") % 2 != k), penalties) for k in (0, 1)]
 
     def scorer(pair):
         def score(part):
@@ -96,7 +99,7 @@ def select_by_short_auc(spark, sf_dir):
 
         return score
 
-    fitted = {f"penalty {c}": scorer(half(c)) for c in (0.001, 0.1)}
+    fitted = {f"penalty {c}": scorer(pair) for c, pair in zip(penalties, zip(*halves))}
     return models.short_auc({**fitted, "linear a": _score_a}, rows)
 
 

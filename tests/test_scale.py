@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillmark import catalog
-from quillmark.operators import segments
+from quillmark.operators import models, segments
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,12 @@ def test_markers_of_headings_are_found_at_the_start_alone(spark):
     markers = segments.START + segments.CHAPTER + segments.TOC + segments.BACKMATTER
     got = rows.select("text", segments._heads(F.col("text"), markers).alias("a"), segments._starts(segments.norm_heading(F.col("text")), markers).alias("b")).collect()
     assert all(r.a == r.b for r in got) and [r.a for r in got].count(True) == 5
+
+
+def test_selection_of_a_model_finds_the_grams_of_whole_texts_once(spark, monkeypatch):
+    """Each of four fits took the grams of its texts several times over; now one table of them serves all, and scores take those of cut texts."""
+    taken, grams = [], models._grams
+    monkeypatch.setattr(models, "_grams", lambda text: taken.append(text) or grams(text))
+    found = catalog.QUERIES["select_by_short_auc"](spark, SF)
+    assert "documents.parquet" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(taken) == 5 and {r.model for r in found.collect()} == {"penalty 0.001", "penalty 0.1", "linear a"}
