@@ -184,7 +184,7 @@ def with_built_in_features(df: DataFrame, text: str = "text", phrases: tuple[str
     staged = df.withColumns({"_words": T.words(body), "_lens": T.sentence_lengths(body)})
     n, lens = F.size("_words"), F.col("_lens")
     total = F.aggregate(lens, F.lit(0), lambda s, x: s + x)
-    square = F.aggregate(lens, F.lit(0), lambda s, x: s + x * x)
+    square = F.aggregate(lens, F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)  # 46,341 words squared exceed an int
     average = total / F.size(lens)
     shares = F.transform(F.sequence(F.lit(1), n - window + 1), lambda at: F.size(F.array_distinct(F.slice("_words", at, F.lit(window)))) / F.lit(float(window)))
     staged = staged.withColumn("_shares", F.when(n >= window, shares))

@@ -162,7 +162,8 @@ def linear_files(spark, weights):
             return json.load(found)
 
     def predict(w, frame):
-        return [1 / (1 + math.exp(-(w["bias"] + sum(w[f] * x for f, x in zip(frame.columns, row))))) for row in frame.itertuples(index=False)]
+        # a sentence of thousands of words drives the power beyond what a double holds; p is 0 there, as in Spark and SQL
+        return [1 / (1 + math.exp(min(-(w["bias"] + sum(w[f] * x for f, x in zip(frame.columns, row))), 709.0))) for row in frame.itertuples(index=False)]
 
     shipped, loads = scorers.pandas_scorer(spark, "shipped", file, load, predict, cutoff=40, base=0.834, short=0.889)
     return saved, shipped, loads

@@ -20,6 +20,13 @@ def test_genre_of_a_text_without_signals(spark, tmp_path):
     assert (found["genre"], found["recommended"], found["confident"]) == ("mixed", "agree", False)
 
 
+def test_models_from_files_take_a_sentence_of_any_length(spark, tmp_path):
+    """Thousands of words without an end made the power of a shipped model overflow, 50,000 the sum of squares of lengths."""
+    texts = ("word " * 9_000, "other " * 50_000, "One two. Three four.", "")
+    found = {(r.doc_id, r.scorer): r.p for r in catalog.QUERIES["detect_by_model"](spark, folder(spark, tmp_path, *texts)).collect()}
+    assert len(found) == 8 and all(found[k, "pipeline"] == found[k, "shipped"] for k in range(4)) and found[0, "shipped"] == found[1, "shipped"] == 0.0 < found[2, "shipped"]
+
+
 def executed(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
