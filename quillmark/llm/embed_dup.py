@@ -1,8 +1,10 @@
 """Embedding near-duplicates: a forest of random-projection trees with spill, compared within leaves and unified.
 
 A tree splits vectors at the median of a random direction, again and again; vectors near a split go to both sides
-(spill). The upper levels are fitted on a bounded sample and sent to all tasks; a leaf that holds more than `LEAF` rows
-after the whole table is dealt out is split further by thresholds that Spark computes over its rows.
+(spill). The upper levels are fitted on a bounded sample and sent to all tasks; leaves are counted over the whole table, and one
+that holds more than `LEAF` rows is split further by thresholds over some `AT_SPLIT` of its rows. Only then are rows dealt
+out, a few trees at a time, and with them 16-bit codes instead of vectors: codes decide all pairs but those closer to the limit
+than the error that they can have, which vectors decide in double precision.
 
 Dense groups would fill leaves of any size, so they are collapsed first. In each of `ROUNDS` rounds the rows of a leaf,
 in blocks of at most `BLOCK`, elect leaders: a leader takes the vectors within half the linking angle, measured again
@@ -28,8 +30,12 @@ ship(__name__)
 TREES, LEAF, BLOCK, ROUNDS, SPILL = 10, 600, 1500, 3, 0.06
 #: Bound of the sample on which upper levels are fitted, and the rows of it that a leaf of a tree keeps.
 SAMPLE, SAMPLE_LEAF = 20_000, 64
-#: Further levels for leaves that are still too large.
-DEEPER = 12
+#: Further levels for leaves that are still too large, and rows of such a leaf that its threshold is taken over, on average.
+DEEPER, AT_SPLIT = 12, 512
+#: Rows times trees that are dealt out at a time, and rows of which leaves are found together.
+TURN, AT_ONCE = 500_000, 50_000
+#: Largest number of a code's component, and what products of codes in single precision are allowed to be off.
+LARGEST, SINGLE = 32767, 1e-5
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -78,70 +84,124 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, step) of each vector: numbers of 16 bits and what they are to be multiplied by."""
+    step = np.abs(vectors).max(1) / LARGEST
+    return np.rint(vectors / step[:, None]).astype("<i2"), step
+
+
+def decoded(code: pa.Array | pa.ChunkedArray, step: np.ndarray) -> np.ndarray:
+    """The vectors of `codes`, in single precision."""
+    held = np.frombuffer(b"".join(code.to_pylist()), "<i2")
+    return held.reshape(len(code), -1).astype(np.float32) * step.astype(np.float32)[:, None]
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, vec) with code and step."""
+    for batch in batches:
+        if batch.num_rows:
+            code, step = codes(matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row.tobytes() for row in code], pa.binary()), pa.array(step)], [*batch.schema.names, "code", "step"])
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    """Vectors of rows that have code and step, or vec."""
+    return decoded(table.column("code"), table.column("step").to_numpy()) if "code" in table.column_names else matrix(table.column("vec"))
+
+
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables of `AT_ONCE` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _deal(forest, seed: int, trees: list[int], spill: bool):
-    """Rows (tree, node, vec_id, vec, r, m) from rows (vec_id, vec, r, m)."""
+    """Rows (tree, node) with all columns of the points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = matrix(batch.column(1))
+        for table in _many(batches):
+            vectors = _vectors(table)
             for tree in trees:
                 rows, found = leaves(vectors, forest.value[tree], seed, tree, spill)
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tree, np.int32)), pa.array(found), *part.columns], ["tree", "node", *part.schema.names])
+                part = table.take(pa.array(rows))
+                part = part.add_column(0, "node", pa.array(found, pa.int64())).add_column(0, "tree", pa.array(np.full(len(rows), tree, np.int32)))
+                yield from part.to_batches(max_chunksize=10_000)
 
     return run
 
 
-def _along(seed: int):
+def _sizes(forest, seed: int, trees: list[int], spill: bool):
+    """Rows (tree, node, n): how many rows of a table go to a leaf."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tree, node, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(3))
-            along = np.zeros(len(node))
-            keys, which = np.unique(np.stack([tree, node], 1), axis=0, return_inverse=True)
-            for k, (t, n) in enumerate(keys):
-                along[which.ravel() == k] = vectors[which.ravel() == k] @ direction(seed, int(t), int(n), vectors.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], [*batch.schema.names, "along"])
+        for table in _many(batches):
+            vectors = _vectors(table)
+            for tree in trees:
+                node, n = np.unique(leaves(vectors, forest.value[tree], seed, tree, spill)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree, np.int32)), pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["tree", "node", "n"])
 
     return run
 
 
-DEALT = "tree int, node long, vec_id long, vec array<double>, r double, m long"
+def _along(forest, large, seed: int, trees: list[int], spill: bool):
+    """Rows (tree, node, along) of rows in leaves that are too large, some `AT_SPLIT` of a leaf, chosen by a digest of the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _many(batches):
+            vectors = _vectors(table)
+            # a number below 2^32 for each id
+            digest = (table.column("vec_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+            for tree in trees:
+                rows, found = leaves(vectors, forest.value[tree], seed, tree, spill)
+                order = np.argsort(found, kind="stable")
+                nodes, starts = np.unique(found[order], return_index=True)
+                for node, at in zip(nodes.tolist(), np.split(rows[order], starts[1:])):
+                    if (tree, node) in large.value:
+                        at = at[digest[at] < AT_SPLIT / large.value[tree, node] * 2**32]
+                        along = vectors[at] @ direction(seed, tree, node, vectors.shape[1])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(np.full(len(at), node), pa.int64()), pa.array(along, pa.float64())], ["tree", "node", "along"])
+
+    return run
 
 
-def deal(points: DataFrame, seed: int, trees: list[int], spill: bool) -> DataFrame:
-    """Each of `points` (vec_id, vec, r, m) with its leaves, of at most `LEAF` rows if `DEEPER` more levels suffice."""
+def planted(points: DataFrame, seed: int, trees: list[int], spill: bool) -> tuple[dict[int, dict], dict[tuple[int, int], int]]:
+    """(forest, wide): the splits of each of `trees` over `points`, rows of vec_id and of vec, or of code and step, with leaves of at
+    most `LEAF` rows if `DEEPER` more levels suffice, and how many rows those leaves have that hold more than `BLOCK`."""
     spark = points.sparkSession
     count = points.count()
-    chosen = points.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("vec").toArrow()
-    sample = matrix(chosen.column("vec")) if chosen.num_rows else np.zeros((0, 1))
+    vector = [c for c in points.columns if c in ("vec", "code", "step")]
+    chosen = points.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select(vector).toArrow()
+    sample = _vectors(chosen) if chosen.num_rows else np.zeros((0, 1))
     per_leaf = max(SAMPLE_LEAF if count > SAMPLE else 2, int(LEAF * len(sample) / max(1, count) / 2))
-    forest = spark.sparkContext.broadcast({tree: grow(sample, seed, tree, per_leaf) for tree in trees})
-    rows = cut(points.mapInArrow(_deal(forest, seed, trees, spill), DEALT))
-    for _ in range(DEEPER):
-        sizes = rows.groupBy("tree", "node").count().where(F.col("count") > LEAF).select("tree", "node")
-        large = cut(sizes)
-        if large.isEmpty():
-            break
-        stay = rows.join(small(large), ["tree", "node"], "left_anti")
-        split = cut(rows.join(small(large), ["tree", "node"], "left_semi").select(*rows.columns).mapInArrow(_along(seed), DEALT + ", along double"))
-        at = [0.5 - SPILL, 0.5, 0.5 + SPILL] if spill else [0.5, 0.5, 0.5]
-        ends = cut(split.groupBy("tree", "node").agg(F.percentile_approx("along", at, 1000).alias("q"), F.min("along").alias("lo"), F.max("along").alias("hi")))
-        split = split.join(small(ends), ["tree", "node"])
+    forest = {tree: grow(sample, seed, tree, per_leaf) for tree in trees}
+    whole: set[tuple[int, int]] = set()
+    rows = points.select("vec_id", *vector)
+    for level in range(DEEPER + 1):
+        sent = spark.sparkContext.broadcast(forest)
+        sizes = rows.mapInArrow(_sizes(sent, seed, trees, spill), "tree int, node long, n long").groupBy("tree", "node").agg(F.sum("n").alias("n")).where(F.col("n") > LEAF).collect()
         # a leaf whose rows all lie at one place stays as it is
-        flat = F.col("q")[1] <= F.col("lo")
-        down = F.when(flat, F.array("node")).otherwise(
-            F.array_compact(F.array(F.when(F.col("along") < F.col("q")[2 if spill else 1], F.col("node") * 2), F.when(F.col("along") >= F.col("q")[0 if spill else 1], F.col("node") * 2 + 1)))
-        )
-        rows = cut(stay.unionByName(split.withColumn("node", F.explode(down)).select(*rows.columns)))
-    return rows
+        large = {(r.tree, r.node): r.n for r in sizes if (r.tree, r.node) not in whole}
+        if not large or level == DEEPER:
+            break
+        along = rows.mapInArrow(_along(sent, spark.sparkContext.broadcast(large), seed, trees, spill), "tree int, node long, along double")
+        at = [0.5 - SPILL, 0.5, 0.5 + SPILL]
+        for r in along.groupBy("tree", "node").agg(F.percentile_approx("along", at, 1000).alias("q"), F.min("along").alias("lo")).collect():
+            if r.q[1] > r.lo:
+                forest[r.tree][r.node] = (r.q[1], r.q[0], r.q[2])
+            else:
+                whole.add((r.tree, r.node))
+    return forest, {(r.tree, r.node): r.n for r in sizes if r.n > BLOCK}
 
 
 def _elect(least: float):
-    """In a block: rows (vec_id, leader, vec of the leader) of those that a leader takes."""
+    """In a block: rows (vec_id, leader, near) of those that a leader takes, with the cosine of the two."""
 
     def work(group: pa.Table) -> dict | None:
         if group.num_rows < 2:
@@ -149,7 +209,8 @@ def _elect(least: float):
         ids, vectors = group.column("vec_id").to_numpy(), matrix(group.column("vec"))
         order = np.argsort(ids)
         ids, vectors = ids[order], vectors[order]
-        near = vectors @ vectors.T >= least
+        cosines = vectors @ vectors.T
+        near = cosines >= least
         leader, free = np.full(len(ids), -1), near.sum(1) > 1
         for i in np.flatnonzero(free):
             if leader[i] < 0:
@@ -157,30 +218,34 @@ def _elect(least: float):
         own = (leader >= 0) & (leader != np.arange(len(ids)))
         if not own.any():
             return None
-        return {"vec_id": ids[own], "leader": ids[leader[own]], "leader_vec": pa.array(list(vectors[leader[own]]), pa.list_(pa.float64()))}
+        return {"vec_id": ids[own], "leader": ids[leader[own]], "near": cosines[own, leader[own]]}
 
     return work
 
 
 def _compare(cosine: float):
-    """In a leaf: rows (a, b, angle) of leaders whose groups may link, a < b."""
+    """In a leaf: rows (a, b, cos, off) of leaders whose groups may link, a < b: the cosine of their codes and the most that it is off."""
 
     def work(group: pa.Table) -> dict | None:
         if group.num_rows < 2:
             return None
-        ids, radius, vectors = group.column("vec_id").to_numpy(), group.column("r").to_numpy(), matrix(group.column("vec"))
+        ids, radius, step, vectors = group.column("vec_id").to_numpy(), group.column("r").to_numpy(), group.column("step").to_numpy(), decoded(group.column("code"), group.column("step").to_numpy())
+        # half a step in each component; codes are as much longer than vectors
+        short = step * np.sqrt(vectors.shape[1]) / 2
         angle = np.arccos(cosine)
-        a, b, c = [], [], []
+        a, b, c, d = [], [], [], []
         for at in range(0, len(ids), 1000):
             close = np.clip(vectors[at : at + 1000] @ vectors.T, -1, 1)
-            i, j = np.nonzero(close >= np.cos(np.minimum(np.pi, angle + radius[at : at + 1000, None] + radius[None, :])) - 1e-9)
+            off = short[at : at + 1000, None] * (1 + short[None, :]) + short[None, :] + SINGLE
+            i, j = np.nonzero(close >= np.cos(np.minimum(np.pi, angle + radius[at : at + 1000, None] + radius[None, :])) - off)
             keep = ids[i + at] < ids[j]
             i, j = i[keep], j[keep]
             a.append(ids[i + at])
             b.append(ids[j])
-            c.append(close[i, j])
-        a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
-        return {"a": a, "b": b, "cos": c} if len(a) else None
+            c.append(close[i, j].astype(np.float64))
+            d.append(off[i, j])
+        a, b, c, d = np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(d)
+        return {"a": a, "b": b, "cos": c, "off": d} if len(a) else None
 
     return work
 
@@ -248,51 +313,87 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     return named.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """`cut`, with the shuffles that it took removed as soon as the table is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, True)
+    try:
+        return cut(df.select("*"))  # planned anew, under this setting
+    finally:
+        conf.set(key, before)
+
+
+def _blocks(dealt: DataFrame, wide: dict[tuple[int, int], int]) -> DataFrame:
+    """`dealt` with the number of blocks of its leaf, 1 for leaves of at most `BLOCK` rows."""
+    if not wide:
+        return dealt.withColumn("blocks", F.lit(1))
+    sizes = dealt.sparkSession.createDataFrame([(*leaf, -(-n // BLOCK)) for leaf, n in wide.items()], "tree int, node long, blocks int")
+    return dealt.join(small(sizes), ["tree", "node"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
 def _linked(good: DataFrame, cosine: float) -> DataFrame:
     """(vec_id, class, n): of each of `good` (vec_id, vec), unit vectors of one length with an id each, the class that
     links reach, named by one of its ids, and the number of vectors that it links with."""
     half = float(np.cos(np.arccos(cosine) / 2 - 1e-6))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    spark = good.sparkSession
+    vec = lambda key, name: good.select(F.col("vec_id").alias(key), F.col("vec").alias(name))
 
-    # elections: of each vector its leader, whose angle to it is at most half the linking angle
-    member = cut(good.select("vec_id", "vec", F.col("vec_id").alias("leader"), F.lit(1.0).alias("near")))
-    points = good.select("vec_id", "vec", F.lit(0.0).alias("r"), F.lit(1).cast("long").alias("m"))
+    # elections: of each vector its leader, whose angle to it is at most half the linking angle; vectors don't travel along
+    member = cut(good.select("vec_id", F.col("vec_id").alias("leader"), F.lit(1.0).alias("near")))
+    points = good.select("vec_id", "vec")
     for k in range(ROUNDS):
-        dealt = deal(points, 100 + k, [0], False)
-        sizes = cut(dealt.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-        blocks = dealt.join(small(sizes), "node").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
-        taken = cut(in_groups(blocks.select("node", "block", "vec_id", "vec"), ["node", "block"], _elect(half), "vec_id long, leader long, leader_vec array<double>"))
+        forest, wide = planted(points, 100 + k, [0], False)
+        dealt = points.mapInArrow(_deal(spark.sparkContext.broadcast(forest), 100 + k, [0], False), "tree int, node long, vec_id long, vec array<double>")
+        blocks = _blocks(dealt, wide).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+        taken = _cut(in_groups(blocks.select("node", "block", "vec_id", "vec"), ["node", "block"], _elect(half), "vec_id long, leader long, near double"))
         if taken.isEmpty():
             continue
-        step = small(taken.select(F.col("vec_id").alias("leader"), F.col("leader").alias("next"), F.col("leader_vec").alias("next_vec")))
-        moved = member.join(step, "leader", "left").withColumn("next_near", F.when(F.col("next").isNotNull(), dot("vec", "next_vec")))
+        step = small(taken.select(F.col("vec_id").alias("leader"), F.col("leader").alias("next"), F.col("near").alias("next_near")))
+        moved = member.join(step, "leader", "left")
         # vectors that the next leader does not reach stay with theirs
+        if k:
+            led = _cut(moved.where("next is not null and vec_id <> leader").select("vec_id", "next"))
+            led = _cut(led.join(vec("vec_id", "x"), "vec_id").join(vec("next", "y"), "next").select("vec_id", dot("x", "y").alias("led_near")))
+            moved = moved.join(small(led), "vec_id", "left").withColumn("next_near", F.when(F.col("vec_id") == F.col("leader"), F.col("next_near")).otherwise(F.col("led_near")))
         reached = F.col("next").isNotNull() & (F.col("next_near") >= half)
-        member = cut(moved.select("vec_id", "vec", F.when(reached, F.col("next")).otherwise(F.col("leader")).alias("leader"), F.when(reached, F.col("next_near")).otherwise(F.col("near")).alias("near")))
+        member = _cut(moved.select("vec_id", F.when(reached, F.col("next")).otherwise(F.col("leader")).alias("leader"), F.when(reached, F.col("next_near")).otherwise(F.col("near")).alias("near")))
         # a leader that was taken but still has vectors it must keep leads them on
-        points = _leaders(member)
-    points = cut(_leaders(member))
-
-    dealt = deal(points, 7, list(range(TREES)), True)
-    # a leaf that no level could split is compared in blocks, each pair of blocks in a task
-    wide = cut(dealt.groupBy("tree", "node").count().where(F.col("count") > BLOCK).select("tree", "node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    leaf = dealt.join(small(wide), ["tree", "node"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks"))
-    leaf = leaf.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "vec_id", "vec", "r")
-    pairs = cut(in_groups(leaf, ["tree", "node", "i", "j"], _compare(cosine), "a long, b long, cos double").dropDuplicates(["a", "b"]))
+        points = _cut(member.select(F.col("leader").alias("vec_id")).distinct().join(good, "vec_id").select("vec_id", "vec"))
+    coded = points.mapInArrow(_coded, "vec_id long, vec array<double>, code binary, step double").select("vec_id", "code", "step")
+    points = _cut(_leaders(member.join(points, "vec_id", "left")).drop("vec").join(coded, "vec_id"))
+
+    count, pairs = points.count(), None
+    turn = max(1, TURN // max(1, count))
+    for at in range(0, TREES, turn):
+        trees = list(range(at, min(TREES, at + turn)))
+        forest, wide = planted(points, 7, trees, True)
+        dealt = points.select("vec_id", "code", "step", "r").mapInArrow(_deal(spark.sparkContext.broadcast(forest), 7, trees, True), "tree int, node long, vec_id long, code binary, step double, r double")
+        keys = ["tree", "node"]
+        if wide:
+            # a leaf that no level could split is compared in blocks, each pair of blocks in a task
+            keys = ["tree", "node", "i", "j"]
+            dealt = _blocks(dealt, wide).withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "vec_id", "code", "step", "r")
+        found = _cut(in_groups(dealt, keys, _compare(cosine), "a long, b long, cos double, off double").dropDuplicates(["a", "b"]))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.dropDuplicates(["a", "b"])
     about = small(points.select("vec_id", "r", "m"))
     pairs = pairs.join(about.select(F.col("vec_id").alias("a"), F.col("r").alias("ra"), F.col("m").alias("ma")), "a").join(about.select(F.col("vec_id").alias("b"), F.col("r").alias("rb"), F.col("m").alias("mb")), "b")
-    angle, limit = F.acos(F.least(F.col("cos"), F.lit(1.0))), float(np.arccos(cosine))
+    angle, limit = F.acos(F.greatest(F.lit(-1.0), F.least(F.col("cos") - F.col("off"), F.lit(1.0)))), float(np.arccos(cosine))
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
-    pairs = cut(pairs.withColumn("whole", F.when(single, F.col("cos") >= cosine).when(angle + F.col("ra") + F.col("rb") <= limit - 1e-6, True)))
+    decided = F.when(single & (F.col("cos") - F.col("off") >= cosine), True).when(single & (F.col("cos") + F.col("off") < cosine), False)
+    pairs = _cut(pairs.withColumn("whole", decided.when(~single & (angle + F.col("ra") + F.col("rb") <= limit - 1e-6), True)))
     whole = pairs.where("whole")
     # the other pairs of groups are compared vector by vector, in blocks of one group against the other
     open_ = pairs.where("whole is null").select("a", "b", F.ceil(F.col("ma") / BLOCK).cast("int").alias("na"), F.ceil(F.col("mb") / BLOCK).cast("int").alias("nb"))
     open_ = small(cut(open_))
     own, each = lambda n: F.pmod(F.xxhash64("vec_id"), n), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - F.lit(1).cast("long")))
-    x = open_.join(member.select(F.col("leader").alias("a"), "vec_id", "vec"), "a").select("a", "b", own("na").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "vec_id", "vec")
-    y = open_.join(member.select(F.col("leader").alias("b"), "vec_id", "vec"), "b").select("a", "b", each("na").alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "vec_id", "vec")
-    sides = x.unionByName(y)
-    single_links = cut(in_groups(sides, ["a", "b", "i", "j"], _between(cosine), "vec_id long, links long, a long, b long", ("side", "vec_id")))
+    x = open_.join(member.select(F.col("leader").alias("a"), "vec_id"), "a").select("a", "b", own("na").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "vec_id")
+    y = open_.join(member.select(F.col("leader").alias("b"), "vec_id"), "b").select("a", "b", each("na").alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "vec_id")
+    sides = x.unionByName(y).join(good.select("vec_id", "vec"), "vec_id")
+    single_links = _cut(in_groups(sides, ["a", "b", "i", "j"], _between(cosine), "vec_id long, links long, a long, b long", ("side", "vec_id")))
 
     by_leader = whole.select(F.col("a").alias("leader"), F.col("mb").alias("n")).unionByName(whole.select(F.col("b").alias("leader"), F.col("ma").alias("n"))).groupBy("leader").agg(F.sum("n").alias("by_leader"))
     by_vector = single_links.groupBy("vec_id").agg(F.sum("links").alias("by_vector"))

@@ -400,6 +400,39 @@ def test_embeddings_left_by_their_leader(spark, monkeypatch):
     assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == want[i] for i in range(len(u)))
 
 
+def test_forests_write_no_vectors(spark, monkeypatch):
+    """Leaves of ten trees were written with all their vectors, again for each level; now a vector is written as a point of a step alone."""
+    written, cut = [], embed_dup.cut
+    monkeypatch.setattr(embed_dup, "cut", lambda df: written.append(kept := cut(df)) or kept)
+    monkeypatch.setattr(embed_dup, "LEAF", 40)
+    monkeypatch.setattr(embed_dup, "TURN", 2_400)
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    x[300:] = x[:300] + np.random.default_rng(5).normal(size=(300, 8)) * 0.05
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dup.embedding_duplicates(rows).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.95).sum(1) - 1
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.95 * true.sum()
+    held = [df for df in written if "vec" in df.columns]
+    assert not any("tree" in df.columns for df in written) and sum(df.count() for df in held) <= 5 * len(x)
+
+
+def test_codes_are_off_by_no_more_than_they_say(spark):
+    """Pairs at the limit itself: a code alone decides none of them, and none that it does decide wrongly."""
+    rng = np.random.default_rng(8)
+    x = embed_dup.unit(rng.normal(size=(200, 64)))
+    side = embed_dup.unit((y := rng.normal(size=x.shape)) - (y * x).sum(1, keepdims=True) * x)
+    angle = np.arccos(0.95) + rng.choice([-1e-3, -1e-7, 1e-7, 1e-3], 200)
+    both = np.concatenate([x, np.cos(angle)[:, None] * x + np.sin(angle)[:, None] * side])
+    code, step = embed_dup.codes(both)
+    group = embed_dup.pa.table({"vec_id": np.arange(400), "r": np.zeros(400), "step": step, "code": [row.tobytes() for row in code]})
+    found = embed_dup._compare(0.95)(group)
+    true = (both @ both.T)[found["a"], found["b"]]
+    assert (np.abs(found["cos"] - true) <= found["off"]).all() and found["off"].max() < 1e-3
+    want = {(i, i + 200) for i in range(200) if angle[i] <= np.arccos(0.95)}
+    assert want <= set(zip(found["a"].tolist(), found["b"].tolist()))
+
+
 def test_mixing(spark, docs):
     rng = random.Random(3)
     many = table(spark, [prose(rng, rng.randint(1, 40)) for _ in range(600)]).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
