@@ -3,16 +3,21 @@ mean pooling, and a registry of scorers with their thresholds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,9 @@ from ..functions import text as T
 from ..sources.folders import scratch
 from . import metrics
 
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FEATURES = (*features.FEATURES, "n_chars")
 
 
@@ -185,16 +193,79 @@ def score_linear_probe(rows: DataFrame, model: PipelineModel, vector: str = "emb
     return done.withColumn(out, vector_to_array("probability")[1]).drop("_v", "_x", "rawPrediction", "probability", "prediction")
 
 
+#: Tokens that a task counts at a time, and pairs of a document and one of its tokens that are pooled together.
+COUNTED, POOLED = 1_000_000, 200_000
+
+
+def _counted(doc: str, token: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc, token, n) with arrays of a document's distinct tokens and of their numbers, for each stretch of `COUNTED` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if held and (batch is None or sum(x.num_rows for x in held) >= COUNTED):
+                found = pa.Table.from_batches(held).group_by([doc, token]).aggregate([([], "count_all")])
+                found = found.group_by(doc).aggregate([(token, "list"), ("count_all", "list")])
+                yield from found.select([doc, f"{token}_list", "count_all_list"]).rename_columns([doc, token, "n"]).to_batches(max_chunksize=1000)
+                held = []
+
+    return run
+
+
+def _pooled(doc: str, token: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """From rows (doc, token, n) of `_counted` and rows (token, vector): rows (doc, n_tokens, pooled)."""
+
+    def work(bags: pa.Table, vectors: pa.Table) -> pa.Table:
+        known = vectors.column(token).combine_chunks().dictionary_encode()
+        flat = vectors.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(vectors.num_rows, -1)
+        at = known.indices.to_numpy(zero_copy_only=False)
+        # a token counts with each of its vectors
+        sums, times = np.zeros((len(known.dictionary), flat.shape[1])), np.bincount(at, minlength=len(known.dictionary))
+        np.add.at(sums, at, flat)
+        tokens, n = bags.column(token).combine_chunks(), bags.column("n").combine_chunks().flatten().to_numpy()
+        which = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known.dictionary), -1).to_numpy()
+        docs = bags.column(doc).combine_chunks().dictionary_encode(null_encoding="encode")
+        owner = np.repeat(docs.indices.to_numpy(), tokens.value_lengths().to_numpy())
+        met = np.flatnonzero(which >= 0)
+        met = met[np.argsort(owner[met], kind="stable")]
+        owner, which, n = owner[met], which[met], n[met]
+        total, pooled = np.bincount(owner, n * times[which], len(docs.dictionary)), np.zeros((len(docs.dictionary), flat.shape[1]))
+        for begin in range(0, len(met), 20_000):
+            part = slice(begin, begin + 20_000)
+            own, first = np.unique(owner[part], return_index=True)
+            pooled[own] += np.add.reduceat(sums[which[part]] * n[part, None], first)
+        some = np.flatnonzero(total > 0)
+        mean = pooled[some] / total[some, None]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * flat.shape[1], pa.int32()), pa.array(mean.ravel()))
+        return pa.Table.from_arrays([docs.dictionary.take(pa.array(some)), pa.array(total[some].astype(np.int64)), lists], [doc, "n_tokens", "pooled"])
+
+    def guarded(bags: pa.Table, vectors: pa.Table) -> pa.Table:
+        if bags.num_rows and vectors.num_rows:
+            return work(bags, vectors)
+        return pa.Table.from_arrays([pa.array([], bags.schema.field(doc).type), pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64()))], [doc, "n_tokens", "pooled"])
+
+    return guarded
+
+
 def mean_pool(tokens: DataFrame, vectors: DataFrame, doc: str = "doc_id", token: str = "token") -> DataFrame:
     """(doc, n_tokens, pooled): mean vector of a document's tokens that have one.
 
-    `tokens` has (doc, token), `vectors` has (token, vector). Repeats are counted before the join, so that a document
-    moves one row per distinct token.
+    `tokens` has (doc, token), `vectors` has (token, vector). A document moves as its distinct tokens and their numbers, and each group of
+    documents, of some `POOLED` distinct tokens in all, gets the vectors of its tokens once. Counts are written to the checkpoint folder.
     """
-    counts = tokens.where(F.col(token).isNotNull()).groupBy(doc, token).agg(F.count("*").alias("_n"))
-    met = counts.join(vectors.where("vector is not null").select(token, array_to_vector(F.col("vector").cast("array<double>")).alias("_v")), token)
-    pooled = met.groupBy(doc).agg(F.sum("_n").alias("n_tokens"), Summarizer.mean(F.col("_v"), F.col("_n").cast("double")).alias("_m"))
-    return pooled.select(doc, "n_tokens", vector_to_array("_m").alias("pooled"))
+    spark, kinds = tokens.sparkSession, dict(tokens.dtypes)
+    path = scratch(spark, "tokens")
+    known = tokens.where(F.col(token).isNotNull()).select(doc, token)
+    known.mapInArrow(_counted(doc, token), f"`{doc}` {kinds[doc]}, `{token}` array<{kinds[token]}>, n array<bigint>").write.parquet(path)
+    bags = spark.read.parquet(path)
+    parts = 1 + (bags.agg(F.sum(F.size("n"))).first()[0] or 0) // POOLED
+    bags = bags.withColumn("_part", F.pmod(F.xxhash64(doc), F.lit(parts)))
+    needed = bags.select(F.col("_part").alias("_of"), F.explode(token).alias(token)).distinct()
+    own = vectors.where("vector is not null").select(token, F.col("vector").cast("array<double>").alias("vector"))
+    met = needed.join(own, token).select("_of", token, "vector")
+    return bags.groupBy("_part").cogroup(met.groupBy("_of")).applyInArrow(_pooled(doc, token), f"`{doc}` {kinds[doc]}, n_tokens bigint, pooled array<double>")
 
 
 # ---- thresholds and the registry -----------------------------------------------------------------------------------

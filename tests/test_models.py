@@ -67,6 +67,22 @@ def test_mean_pool_weighs_repeats_and_skips_unknown(spark):
     assert [(r.doc_id, r.n_tokens, r.pooled) for r in found] == [(1, 3, [2.0, 1.0])]
 
 
+def test_mean_pool_moves_a_vector_once_a_group_of_documents(spark, monkeypatch):
+    """Each token of each document took its vector through a shuffle; ids that repeat count with each of their vectors."""
+    rows = [(k, f"t{(k * i) % 7}") for k in range(40) for i in range(30)]
+    tokens = spark.createDataFrame(rows, "doc_id long, token string").repartition(5)
+    vectors = spark.createDataFrame([(f"t{k}", [float(k), 1.0]) for k in range(6)] + [("t1", [9.0, 2.0])], "token string, vector array<double>")
+    monkeypatch.setattr(models, "POOLED", 50)
+    monkeypatch.setattr(models, "COUNTED", 20)
+    found = models.mean_pool(tokens, vectors)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Summarizer" not in plan and "FlatMapCoGroupsInArrow" in plan
+    met = {k: [(v.vector, 1) for d, t in rows if d == k for v in vectors.collect() if v.token == t] for k in range(8)}
+    got = {r.doc_id: r for r in found.where("doc_id < 8").collect()}
+    for k, each in met.items():
+        assert got[k].n_tokens == len(each) and got[k].pooled == pytest.approx([sum(v[d] for v, _ in each) / len(each) for d in (0, 1)])
+
+
 def test_registry(spark):
     constant = models.Scorer("constant", lambda d: d.withColumn("p", F.lit(0.9)))
     try:
