@@ -256,7 +256,7 @@ bn as (select doc_id, bin, count(*)::double as c from p group by 1, 2), en as (s
 select doc_id, n_tokens, round(perplexity, 4) as perplexity, round(sentence_std, 4) as sentence_std, round(rank_entropy, 6) as rank_entropy from pd join sd using (doc_id) join en using (doc_id)""")
 def lm_features(spark, sf_dir):
     docs = D.documents(spark, sf_dir).select("doc_id", "text")
-    return lm.lm_features(docs, docs.where("doc_id % 5 <> 0"))
+    return lm.lm_features(docs, F.col("doc_id") % 5 != 0)
 
 
 SEED = 7

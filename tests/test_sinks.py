@@ -1,5 +1,8 @@
 """Files written one a document, and rows counted as they are read."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -78,3 +81,35 @@ def test_frequent_words_are_dealt_out(spark, monkeypatch):
         assert dealt.count() == counts.count() and dealt.where("n_w is null").count() == 0
     monkeypatch.setattr(lm, "PARTS", 50)
     assert sorted(lm.lm_features(docs, docs.where("doc_id % 2 = 0")).collect()) == want
+
+
+def test_bigrams_are_asked_about_in_chunks(spark, monkeypatch):
+    """Every token went through four shuffles; now none does. The same features in chunks and groups of any size, frequent words dealt out or
+    not, as by a plain count over words in ASCII, Latin-1 and beyond."""
+    texts = [" ".join("the" if i % 2 else f"{'xéя'[k % 3]}{chr(97 + i * k % 11)}" for i in range(20 + k)) + ("! The end. the The" if k % 4 else ".") for k in range(1, 30)] + ["", "1 2.", "Один. Два"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = docs.where("doc_id % 3 <> 0")
+    found = lm.lm_features(docs, train)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted(found.collect())
+    words = {k: [[w for w in s.lower().split()] for s in t.replace("!", ".").split(".") if any(c.isalpha() for c in s)] for k, t in enumerate(texts)}
+    flat = {k: [w for s in v for w in s] for k, v in words.items()}
+    uni = Counter(w for k, v in flat.items() if k % 3 for w in v)
+    pairs = Counter(p for k, v in flat.items() if k % 3 for p in zip(v, v[1:]))
+    of = Counter()
+    for (v, _), n in pairs.items():
+        of[v] += n
+    whole = sum(uni.values()) + len(uni) + 1
+    losses = {k: [-math.log((0.7 * pairs[v, w] / of[v] if pairs[v, w] else 0) + 0.3 * (uni[w] + 1) / whole if v else (uni[w] + 1) / whole) for v, w in zip([None, *x], x)] for k, x in flat.items() if x}
+    assert {r.doc_id: (r.n_tokens, r.perplexity) for r in want} == {k: (len(x), pytest.approx(math.exp(sum(x) / len(x)), abs=1e-4)) for k, x in losses.items()}
+    for chunk, dealt, held in ((40, 1_000_000, 1_000_000), (200, 4, 60), (2_000_000, 3, 1)):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "DEALT", dealt)
+        monkeypatch.setattr(lm, "HELD", held)
+        assert sorted(lm.lm_features(docs, train).collect()) == want
+        assert sorted(lm.lm_features(docs, F.col("doc_id") % 3 != 0).collect()) == want
+    # an id of two rows makes one document of them
+    again = docs.unionByName(docs.where("doc_id = 4"))
+    found = {r.doc_id: r for r in lm.lm_features(again, train).collect()}
+    assert sorted(r for k, r in found.items() if k != 4) == [r for r in want if r.doc_id != 4] and found[4].n_tokens == 2 * len(flat[4])
+    assert found[4].perplexity == pytest.approx({r.doc_id: r for r in want}[4].perplexity, abs=2e-4)
