@@ -113,3 +113,13 @@ def test_bigrams_are_asked_about_in_chunks(spark, monkeypatch):
     found = {r.doc_id: r for r in lm.lm_features(again, train).collect()}
     assert sorted(r for k, r in found.items() if k != 4) == [r for r in want if r.doc_id != 4] and found[4].n_tokens == 2 * len(flat[4])
     assert found[4].perplexity == pytest.approx({r.doc_id: r for r in want}[4].perplexity, abs=2e-4)
+
+
+def test_the_matrix_shuffles_no_tokens(spark):
+    """It takes the language model's features from the same chunks; before, every token of labelled texts was exploded and shuffled."""
+    docs = spark.createDataFrame([(1, "One two three. Four.", 0), (2, "Two three!", 1), (3, "Text here.", None), (4, "a", 1), (5, "", 0)], "doc_id long, text string, label int")
+    found = lm.feature_matrix(docs, docs)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r for r in found.collect()}
+    plain = {r.doc_id: r for r in lm.lm_features(docs, docs).collect()}
+    assert set(rows) == {1, 2, 4, 5} and all(rows[k].perplexity == plain[k].perplexity > 0 for k in (1, 2)) and rows[4].perplexity == rows[5].perplexity == 0.0
