@@ -3,11 +3,13 @@ mean pooling, and a registry of scorers with their thresholds."""
 
 from __future__ import annotations
 
+import re
 import sys
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import features
 from ..functions import text as T
 from ..sources.folders import scratch
 from . import metrics
+from .lm import _words as lm_words
 
 # executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -119,6 +124,11 @@ class TextModel:
         done = self.stages.transform(rows.withColumn("_grams", _grams(F.col("text"))))
         return done.withColumn(out, vector_to_array("probability")[1]).drop("_grams", "_tf", "_idf", "_x", "rawPrediction", "probability", "prediction")
 
+    def score_counted(self, rows: DataFrame, out: str = "p") -> DataFrame:
+        """`score` of rows that have `_tf` instead of a text."""
+        done = PipelineModel(stages=self.stages.stages[1:]).transform(rows)
+        return done.withColumn(out, vector_to_array("probability")[1]).drop("_tf", "_idf", "_x", "rawPrediction", "probability", "prediction")
+
 
 def balanced(label: str, counts: DataFrame) -> Column:
     """Weight of a row so that both classes weigh the same; `counts` has one row per label."""
@@ -135,6 +145,101 @@ def gram_counts(rows: DataFrame, size: int = 1 << 16) -> DataFrame:
     return HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size).transform(rows.withColumn("_grams", _grams(F.col("text")))).drop("_grams")
 
 
+#: Characters of texts whose grams are counted together, and characters that a regular expression takes for the end of a line.
+HELD, ENDS = 1 << 20, (0x85, 0x2028, 0x2029)
+BLANK = re.compile(r"[ \t\n\r\f\x0B]+")
+
+
+def _mixed(k: np.ndarray) -> np.ndarray:
+    k = k * np.uint32(0xCC9E2D51)
+    return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+
+def _slots(blocks: np.ndarray, length: int, size: int) -> np.ndarray:
+    """What `HashingTF` with `size` slots makes of strings of `length` bytes, rows of words of four bytes with zeros behind the end: their
+    murmur hash with seed 42."""
+    h = np.full(len(blocks), 42, np.uint32)
+    for at in range(blocks.shape[1]):
+        h ^= _mixed(blocks[:, at])
+        if 4 * at + 4 <= length:
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(length)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    return (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % size
+
+
+def _hashed(strings: list[bytes], size: int) -> np.ndarray:
+    """The slot of each string."""
+    lens = np.fromiter(map(len, strings), np.int64, len(strings))
+    found, order = np.zeros(len(strings), np.int64), np.argsort(lens, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(lens[order])) + 1):
+        if len(at):
+            length = int(lens[at[0]])
+            blocks = np.zeros((len(at), -(-length // 4) * 4), np.uint8)
+            blocks[:, :length] = np.frombuffer(b"".join([strings[k] for k in at]), np.uint8).reshape(len(at), length)
+            found[at] = _slots(blocks.view("<u4"), length, size)
+    return found
+
+
+def _trigrams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) of each character trigram, as the regular expression of `_grams` finds them."""
+    bodies = [f" {BLANK.sub(' ', text).strip(' ').lower()} " for text in texts]
+    points = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(bodies)), np.fromiter(map(len, bodies), np.int64, len(bodies)))
+    ended = np.isin(points, ENDS)
+    good = np.flatnonzero((owner[2:] == owner[:-2]) & ~(ended[2:] | ended[1:-1] | ended[:-2]))
+    low = (points[good] | points[good + 1] | points[good + 2]) < 0x80
+    at = good[low]
+    slots = np.zeros(len(good), np.int64)
+    slots[low] = _slots((np.uint32(ord("#")) | points[at] << np.uint32(8) | points[at + 1] << np.uint32(16) | points[at + 2] << np.uint32(24))[:, None], 4, size)
+    wide = [points[good[~low] + k].astype(np.int64) for k in range(3)]
+    keys, which = np.unique(wide[0] << 42 | wide[1] << 21 | wide[2], return_inverse=True)  # 21 bits a character
+    slots[~low] = _hashed([f"#{chr(k >> 42)}{chr(k >> 21 & 0x1FFFFF)}{chr(k & 0x1FFFFF)}".encode("utf-8", "replace") for k in keys.tolist()], size)[which]
+    # a character of two halves is found from its second half on, too, which is no character
+    two = good[points[good] > 0xFFFF]
+    halves = _hashed([f"#?{chr(points[k + 1])}{chr(points[k + 2])}".encode("utf-8", "replace") for k in two.tolist()], size)
+    return np.concatenate([owner[good], owner[two]]), np.concatenate([slots, halves])
+
+
+def _gram_vectors(texts: list[str], size: int) -> pa.StructArray:
+    """The `_tf` of each text, as a sparse vector is stored."""
+    found = [[word for words in lm_words(text) for word in words] for text in texts]
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(lens.sum()))
+    owner, words = np.repeat(np.arange(len(found)), lens), list(numbers)
+    of_words = _hashed(words, size)[ids] if words else ids
+    next_ = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs, which = np.unique(ids[next_] * max(1, len(words)) + ids[next_ + 1], return_inverse=True)
+    of_pairs = _hashed([words[v] + b" " + words[w] for v, w in zip(*[x.tolist() for x in np.divmod(pairs, max(1, len(words)))])], size)[which]
+    texts_of, of_chars = _trigrams(texts, size)
+    each, n = np.unique(np.concatenate([owner, owner[next_], texts_of]) * size + np.concatenate([of_words, of_pairs, of_chars]), return_counts=True)
+    ends = pa.array(np.searchsorted(each, np.arange(len(texts) + 1) * size), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, values) for values in (pa.array((each % size).astype(np.int32)), pa.array(n.astype(np.float64)))]
+    return pa.StructArray.from_arrays([pa.array(np.zeros(len(texts), np.int8)), pa.array(np.full(len(texts), size, np.int32)), *lists], ["type", "size", "indices", "values"])
+
+
+def gram_table(rows: DataFrame, keep: Sequence[str], size: int = 1 << 16) -> DataFrame:
+    """Columns `keep` of `rows` with the `_tf` of `gram_counts`, found once, in Arrow batches, and written to the checkpoint folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text or "" for text in batch.column(len(keep)).to_pylist()]
+            ends = np.cumsum([len(text) for text in texts])
+            at = 0
+            while at < len(texts):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD)))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _gram_vectors(texts[at:end], size)], [*keep, "_tf"])
+                at = end
+
+    spark, path, kept = rows.sparkSession, scratch(rows.sparkSession, "grams"), rows.select(*keep)
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)
+    rows.select(*keep, "text").mapInArrow(run, f"{kinds}, _tf struct<type: tinyint, size: int, indices: array<int>, values: array<double>>").write.parquet(path)
+    return spark.read.schema(StructType([*kept.schema.fields, StructField("_tf", VectorUDT())])).parquet(path)
+
+
 def fit_text_models(counted: DataFrame, penalties: Sequence[float], size: int = 1 << 16, rounds: int = 50) -> list[TextModel]:
     """A balanced logistic regression over hashed words, word pairs and character trigrams weighted by rarity for each penalty. Rows have
     label and the `_tf` of `gram_counts`; rarity is fitted once for all."""
@@ -150,7 +255,7 @@ def fit_text_models(counted: DataFrame, penalties: Sequence[float], size: int =
 
 def fit_text_model(rows: DataFrame, size: int = 1 << 16, penalty: float = 0.01, rounds: int = 50) -> TextModel:
     """The model of `fit_text_models` for one penalty, from rows with text and label."""
-    return fit_text_models(gram_counts(rows.where("label is not null").select("text", "label"), size), (penalty,), size, rounds)[0]
+    return fit_text_models(gram_table(rows.where("label is not null"), ["label"], size), (penalty,), size, rounds)[0]
 
 
 def short_auc(models: dict[str, Callable[[DataFrame], DataFrame]], rows: DataFrame, lengths: Sequence[int] = (40, 30, 20)) -> DataFrame:

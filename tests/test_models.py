@@ -53,6 +53,23 @@ def test_text_model_beats_chance_and_is_chosen(spark):
     assert [r.model for r in ranked] == ["text", "flat"] and ranked[1].mean_auc == 0.5
 
 
+def test_grams_are_found_once_and_as_by_expressions(spark, monkeypatch):
+    """Fits and scores took the grams of whole texts seven times; arrays give the very slots that expressions and HashingTF give."""
+    odd = ["", None, "One two, two-three; ONE two.", "Ünï cödé ß 12 a1 x_y", "Слова и СЛОВА.  Ещё", "line\u2028end \u0085 \t\r\n tab", "smile \U0001f600\U0001f600 end", "a", "ab", "word " * 700]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(odd * 3)], "doc_id long, text string, label int").repartition(2)
+    monkeypatch.setattr(models, "HELD", 60)
+    for size in (1 << 16, 1000):
+        want = {r.doc_id: r._tf for r in models.gram_counts(rows, size).collect()}
+        got = {r.doc_id: r._tf for r in models.gram_table(rows, ["doc_id", "label"], size).collect()}
+        assert got == want and len(got) == 30
+    taken, grams = [], models._grams
+    monkeypatch.setattr(models, "_grams", lambda text: taken.append(text) or grams(text))
+    model = models.fit_text_model(rows, size=1000, rounds=3)
+    assert not taken
+    by_text = {r.doc_id: r.p for r in model.score(rows).collect()}
+    assert {r.doc_id: pytest.approx(r.p) for r in model.score_counted(models.gram_table(rows, ["doc_id"], 1000)).collect()} == by_text
+
+
 def test_linear_probe_separates(spark):
     rows = made(spark).select("label", F.array(F.col("x").cast("float"), F.col("noise").cast("float")).alias("embedding"))
     odd = spark.createDataFrame([(1, None)], "label int, embedding array<float>")
